@@ -1,21 +1,48 @@
-"""The corpus pipeline: quality rules, near-duplicate join, passage dedup, decontamination, tokens."""
+"""The corpus pipeline: quality rules, near-duplicate join, passage dedup, decontamination, token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lokalis.llm import bpe, decontaminate, quality_rules
+from lokalis.llm import bpe, decontaminate, near_duplicates, quality_rules, substring_dedup
 from lokalis.llm.common import saved, table
 from lokalis.llm.queries import vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows with a null id can't be told apart and are scored like others, but have no verdict to join: they go."""
-    verdict = quality_rules.quality(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.keep(docs, verdict)
+    """Documents that the base rules and the trained model keep."""
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each near-duplicate group."""
+    return near_duplicates.one_of_each(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated 200-byte strings; ``n_chars`` follows the text. A document of nothing else stays, empty."""
+    return substring_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("suffix-array dedup", passage_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("BPE encoding and decoding", token_stage),
+]
+#: SQL expresses neither the trained model nor the sort; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -222,3 +222,21 @@ def local_model(key: str, shared) -> QualityModel:
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Fit on a bounded sample of labelled rows and score every document."""
     return scored(docs, fit(labelled_sample(docs, labels, "quality", sample)))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = GOOD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the base rules and the model keep."""
+    model = fit(labelled_sample(docs, labels, "quality", sample))
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset))
+    key = repr((float(model.weights.sum()), model.bias, model.slope, model.offset))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = local_model(key, shared)
+        for batch in slices(batches):
+            whole = texts(batch)
+            words = [WORD.findall(t) for t in whole]
+            verdict = [not base_row(t, ws, own.words.hashes[k])[-1] and own.probability(k) >= threshold for t, ws, k in zip(whole, words, own.read(words))]
+            yield batch.filter(pa.array(verdict, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

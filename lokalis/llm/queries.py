@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, license_scan, quality_rules, token_counts, toxicity, warc
+from . import bpe, decontaminate, html_text, license_scan, near_duplicates, quality_rules, substring_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -29,10 +29,18 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -51,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_license_scans, op3_html_extraction, op5_toxicity, op7_bpe, op8_quality_rules, op9_warc, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_license_scans, op3_html_extraction, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op7_bpe, op8_quality_rules, op9_warc, op10_token_counts)
 }
 
 OP9_SQL = """
