@@ -37,10 +37,10 @@ LENGTH = 200
 FIRST_GRAM, SECOND_GRAM = 64, 184
 #: Bytes that numpy works on at once, and ranges that a map task collapses at once.
 BLOCK_BYTES, FLUSH_RANGES = 2 << 20, 600_000
-#: Suffixes of one sorted run; suffixes that the splitters are taken from, at most about this many.
-RUN, SPLIT_SAMPLE = 50_000, 2_000
+#: Suffixes of one sorted run; suffixes that each splitter is chosen from, about.
+RUN, SPLIT_SAMPLE = 50_000, 16
 #: Suffixes for each range of the exchange.
-RANGE = 150_000
+RANGE = 40_000
 
 #: A range: first start and number of suffixes in one 64-bit word.
 COUNT_BITS = 24
@@ -361,15 +361,15 @@ def suffix_sort(segs: DataFrame, found: DataFrame) -> DataFrame:
     total = opened.agg(F.sum(F.col("pos").bitwiseAND(F.lit(MOST_COUNT)))).first()[0] or 0
     rows = saved(segs.join(opened.groupBy("rid").agg(F.collect_list("pos").alias("at")), "rid"))
     targets = max(1, -(-total // RANGE))
-    rate = min(1.0, SPLIT_SAMPLE / max(1, total))
+    rate = min(1.0, SPLIT_SAMPLE * targets / max(1, total))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             limit = int(rate * (1 << 64)) - 1
-            keys = [s for s, rid, p in open_suffixes(batch) if int(mixed(np.array([rid ^ (p << 20)], np.int64).view(np.uint64))[0]) <= limit] if rate >= 1 else sampled(batch, limit)
+            keys = sampled(batch, int(rate * ((1 << 64) - 1)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
 
-    keys = sorted(bytes(r["key"]) for r in rows.mapInArrow(sample, "key binary").collect()) if targets > 1 else []  # about SPLIT_SAMPLE suffixes
+    keys = sorted(bytes(r["key"]) for r in rows.mapInArrow(sample, "key binary").collect()) if targets > 1 else []  # about SPLIT_SAMPLE suffixes for each range
     splitters = [keys[len(keys) * k // targets] for k in range(1, targets)] if keys else []
 
     def pieces(run: list[tuple[bytes, int, int]], doubled: list[tuple[int, int]]) -> list[tuple]:
