@@ -139,31 +139,31 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def spanning(link: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (smallest id, member) that span the connected parts of a boolean matrix."""
-    n = len(ids)
+def parts(link: np.ndarray) -> np.ndarray:
+    """The smallest place connected to each place of a symmetric boolean matrix."""
+    n = len(link)
     label = np.arange(n)
     while True:
-        near = np.where(link, label[None, :], n).min(1)
-        new = np.minimum(label, near)
+        new = np.minimum(label, np.where(link, label[None, :], n).min(1))
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    out = []
-    for root in np.unique(label):
-        own = ids[label == root]
-        if len(own) > 1:
-            low = own.min()
-            out += [(int(low), int(x)) for x in own if x != low]
-    return out
+
+
+def spanning(link: np.ndarray, ids: np.ndarray, block: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+    """Edges that span the connected parts of ``ids``. A ``cross`` group holds two blocks, whose own parts other groups span: only what joins those is given."""
+    own = parts(link & (block[:, None] == block[None, :])) if cross else np.arange(len(ids))
+    whole = parts(link)
+    heads = np.flatnonzero(own == np.arange(len(ids)))
+    return [(int(ids[whole[k]]), int(ids[k])) for k in heads.tolist() if whole[k] != k]
 
 
 def dealt(rows: DataFrame, key: list[str], member: str, block: int) -> DataFrame:
     """Rows with a ``size`` of their key, repeated for each pair of blocks that theirs is in: ``bi <= bj`` and the row's own ``block``."""
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(*key, member, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), *[c for c in ("sig",) if c in rows.columns])
+    return rows.select(*key, member, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
 
 
 def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,14 +173,14 @@ def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def bucket_edges(reps: DataFrame, hashes: int, threshold: float) -> DataFrame:
     """``a, b``: edges that span, in each bucket, the classes whose estimated similarity is not far below the threshold."""
-    rows = reps.select("rep", "sig", F.posexplode("bands").alias("band", "h"))
-    sizes = rows.groupBy("band", "h").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = dealt(rows.join(sizes, ["band", "h"]), ["band", "h"], "rep", BUCKET_BLOCK)
+    rows = reps.select("rep", F.explode("bands").alias("h"))  # the band is part of its hash
+    sizes = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = dealt(rows.join(sizes, "h"), ["h"], "rep", BUCKET_BLOCK).join(reps.select("rep", "sig"), "rep")
     least = (threshold - MARGIN) * 255 / 256 + 1 / 256
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
-        for g in grouped(batches, ["band", "h", "bi", "bj"]):
+        for g in grouped(batches, ["h", "bi", "bj"]):
             ids, block = g.rep.to_numpy(), g.block.to_numpy()
             if len(ids) < 2:
                 continue
@@ -193,13 +193,13 @@ def bucket_edges(reps: DataFrame, hashes: int, threshold: float) -> DataFrame:
                 same = np.zeros((len(ids), len(ids)), np.int16)
                 for k in range(hashes):
                     same += sig[:, k, None] == sig[None, :, k]
-                out += spanning(same >= least * hashes, ids)
+                out += spanning(same >= least * hashes, ids, block, cross)
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return spread(rows, ["band", "h", "bi", "bj"]).mapInPandas(run, "a bigint, b bigint").distinct()
+    return spread(rows, ["h", "bi", "bj"]).mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -222,9 +222,10 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
         for g in grouped(batches, ["root", "bi", "bj"]):
             ids, block, weight = g.rep.to_numpy(), g.block.to_numpy(), g.n_texts.to_numpy()
             link = similar([np.frombuffer(s, np.uint64) for s in g.shingles], threshold)
-            if g.bi.iat[0] != g.bj.iat[0]:
+            cross = g.bi.iat[0] != g.bj.iat[0]
+            out += [(a, b, None) for a, b in spanning(link, ids, block, cross)]
+            if cross:  # links inside a block are counted by the block's own group
                 link &= block[:, None] != block[None, :]
-            out += [(a, b, None) for a, b in spanning(link, ids)]
             counts = link @ weight
             out += [(int(i), None, int(c)) for i, c in zip(ids, counts) if c]
             if len(out) > 20_000:
