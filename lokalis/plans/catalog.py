@@ -1,32 +1,187 @@
-"""Registered queries over the driver's tables, and the SQL that checks them."""
+"""Registered queries over the driver's tables, and the SQL that checks them.
+
+The tables have no coordinates: points are derived from keys in the same way here and in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lokalis.functions import distance as dist
+from lokalis.functions import kernels
+from lokalis.operators import local, models, pairs, rows, summary
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+CUSTOMERS = "SELECT c_custkey AS fid, CAST((c_custkey*37)%101 AS DOUBLE) AS x, CAST((c_custkey*53)%97 AS DOUBLE) AS y, c_acctbal AS v FROM customer"
+SUPPLIERS = "SELECT s_suppkey AS fid, CAST((s_suppkey*37)%101 AS DOUBLE) AS x, CAST((s_suppkey*53)%97 AS DOUBLE) AS y, s_acctbal AS v FROM supplier"
+LINES = "SELECT l_suppkey AS fid, CAST((l_suppkey*37)%101 AS DOUBLE) AS x, CAST((l_suppkey*53)%97 AS DOUBLE) AS y, avg(l_extendedprice) AS dep, avg(l_quantity) AS a, avg(l_discount) AS b, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_suppkey"
+PARTS = "SELECT p_partkey AS fid, CAST((p_partkey*37)%101 AS DOUBLE) AS x, CAST((p_partkey*53)%97 AS DOUBLE) AS y, p_retailprice AS dep, CAST(p_size AS DOUBLE) AS a FROM part"
+D2 = "((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))"
+
+
+def put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+def points_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    key = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_suppkey"}[table]
+    if table == "lineitem":
+        df = df.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("dep"), F.avg("l_quantity").alias("a"), F.avg("l_discount").alias("b"), F.count("*").cast("double").alias("n"))
+        values = ["dep", "a", "b", "n"]
+    elif table == "part":
+        values = [F.col("p_retailprice").alias("dep"), F.col("p_size").cast("double").alias("a")]
+    else:
+        values = [F.col(f"{key[0]}_acctbal").alias("v")]
+    k = F.col(key)
+    return df.select(k.alias("fid"), ((k * 37) % 101).cast("double").alias("x"), ((k * 53) % 97).cast("double").alias("y"), *values)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+KERNEL_SQL = {
+    "gaussian": "exp(-(d*d)/(bw*bw)/2.0)",
+    "exponential": "exp(-d/bw)",
+    "bisquare": "CASE WHEN d > bw THEN 0.0 ELSE (1.0-(d/bw)*(d/bw))*(1.0-(d/bw)*(d/bw)) END",
+    "tricube": "CASE WHEN d > bw THEN 0.0 ELSE pow(1.0-pow(d/bw,3),3) END",
+    "boxcar": "CASE WHEN d > bw THEN 0.0 ELSE 1.0 END",
+}
+
+
+def weighted_sql(kernel: str, size: float, points: str, adaptive: bool = False) -> str:
+    """SQL text of ``w``: focus fid, data row, weight."""
+    w = KERNEL_SQL[kernel]
+    p = f"p AS ({points}), pq AS (SELECT f.fid AS fid, d.* EXCLUDE (fid), d.fid AS d_fid, sqrt{D2} AS d FROM p f CROSS JOIN p d)"
+    b = f"r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, d_fid) AS rk FROM pq), k AS (SELECT fid, d AS bw FROM r WHERE rk={int(size)}), w AS (SELECT pq.*, {w} AS w FROM pq JOIN k USING (fid))"
+    return f"WITH {p}, " + (b if adaptive else f"w AS (SELECT *, {w} AS w FROM (SELECT *, CAST({float(size)} AS DOUBLE) AS bw FROM pq))")
+
+
+def mean_of(p: DataFrame) -> DataFrame:
+    return rounded(p.groupBy("fid").agg((F.sum(F.col("w") * F.col("d_v")) / F.sum("w")).alias("lm")))
+
+
+def gw_mean(kernel: str, size: float, adaptive: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = points_of(spark, sf_dir, "customer")
+        return mean_of(pairs.weighted(p.select("fid", "x", "y"), p, pairs.Bandwidth(size, kernel, adaptive)))
+
+    return run
+
+
+for _kernel in kernels.NAMES:
+    put(f"gw_mean_{_kernel}_fixed", gw_mean(_kernel, 15, False), weighted_sql(_kernel, 15, CUSTOMERS) + " SELECT fid, round(sum(w*v)/sum(w), 6) AS lm FROM w GROUP BY fid")
+    put(f"gw_mean_{_kernel}_adaptive", gw_mean(_kernel, 60, True), weighted_sql(_kernel, 60, CUSTOMERS, True) + " SELECT fid, round(sum(w*v)/sum(w), 6) AS lm FROM w GROUP BY fid")
+
+
+def distance_query(metric: dist.Distance, lonlat: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = points_of(spark, sf_dir, "supplier")
+        p = p.withColumn("x", F.col("x") * 3.5 - 177).withColumn("y", F.col("y") * 1.2 - 57.6) if lonlat else p
+        return rounded(pairs.all_pairs(p.select("fid", "x", "y"), p.select("fid", "x", "y"), metric).groupBy("fid").agg(F.avg("d").alias("mean_d"), F.max("d").alias("max_d"), F.min("d").alias("min_d")))
+
+    return run
+
+
+def distance_sql(expr: str, lonlat: bool = False) -> str:
+    src = f"SELECT fid, x*3.5-177.0 AS x, y*1.2-57.6 AS y FROM ({SUPPLIERS})" if lonlat else SUPPLIERS
+    return f"WITH p AS ({src}), q AS (SELECT f.fid, {expr} AS d FROM p f CROSS JOIN p d) SELECT fid, round(avg(d),6) AS mean_d, round(max(d),6) AS max_d, round(min(d),6) AS min_d FROM q GROUP BY fid"
+
+
+GREAT_CIRCLE_SQL = """
+WITH p AS (SELECT fid, x*3.5-177.0 AS x, y*1.2-57.6 AS y FROM ({0})),
+a AS (SELECT f.fid, f.x AS fx, f.y AS fy, d.x AS dx, d.y AS dy, radians(f.y+d.y)/2 AS ff, radians(f.y-d.y)/2 AS gg, radians(f.x-d.x)/2 AS ll FROM p f CROSS JOIN p d),
+b AS (SELECT *, pow(sin(gg),2)*pow(cos(ll),2)+pow(cos(ff),2)*pow(sin(ll),2) AS s, pow(cos(gg),2)*pow(cos(ll),2)+pow(sin(ff),2)*pow(sin(ll),2) AS c FROM a),
+e AS (SELECT *, CASE WHEN s > 0 THEN atan(sqrt(s/c)) END AS w FROM b), g AS (SELECT *, CASE WHEN w <> 0 THEN sqrt(s*c)/w END AS r FROM e),
+h AS (SELECT fid, CASE WHEN fx=dx AND fy=dy OR fy=dy AND abs(fx)+abs(dx)=360 THEN 0.0 ELSE 2*w*6378.137*(1+(1/298.257223563)*((3*r-1)/(2*c)*pow(sin(ff),2)*pow(cos(gg),2)-(3*r+1)/(2*s)*pow(cos(ff),2)*pow(sin(gg),2))) END AS d FROM g)
+SELECT fid, round(avg(d),6) AS mean_d, round(max(d),6) AS max_d, round(min(d),6) AS min_d FROM h GROUP BY fid
+""".format(SUPPLIERS)
+
+put("distance_euclidean", distance_query(dist.euclidean), distance_sql(f"sqrt{D2}"))
+put("distance_chebyshev", distance_query(dist.by_power(1)), distance_sql("greatest(abs(f.x-d.x),abs(f.y-d.y))"))
+put("distance_manhattan", distance_query(dist.by_power(-1)), distance_sql("abs(f.x-d.x)+abs(f.y-d.y)"))
+put("distance_minkowski", distance_query(dist.minkowski(3)), distance_sql("pow(pow(abs(f.x-d.x),3)+pow(abs(f.y-d.y),3),1.0/3)"))
+put("distance_great_circle", distance_query(dist.great_circle, True), GREAT_CIRCLE_SQL)
+
+
+def local_pairs(spark: SparkSession, sf_dir: str, table: str, kernel: str = "bisquare", size: float = 40, adaptive: bool = True) -> DataFrame:
+    p = points_of(spark, sf_dir, table)
+    return pairs.weighted(p.select("fid", "x", "y"), p, pairs.Bandwidth(size, kernel, adaptive))
+
+
+put("gw_average", lambda s, d: rounded(summary.averages(local_pairs(s, d, "supplier", "gaussian", 20, False), ["v"]), 4), weighted_sql("gaussian", 20, SUPPLIERS) + """,
+m AS (SELECT fid, sum(w*v)/sum(w) AS m1, sum(w*v*v)/sum(w) AS m2, sum(w*v*v*v)/sum(w) AS m3 FROM w GROUP BY fid)
+SELECT fid, round(m1,4) AS "v_LM", round(sqrt(m2-m1*m1),4) AS "v_LSD", round(m2-m1*m1,4) AS "v_LVar", round((m3-3*m1*m2+2*m1*m1*m1)/pow(m2-m1*m1,1.5),4) AS "v_LSke", round(sqrt(m2-m1*m1)/m1,4) AS "v_LCV" FROM m""")
+put("gw_quantiles", lambda s, d: rounded(summary.quantiles(local_pairs(s, d, "supplier", "gaussian", 20, False), "v")), weighted_sql("gaussian", 20, SUPPLIERS) + """,
+c AS (SELECT fid, v, sum(w) OVER (PARTITION BY fid ORDER BY v, d_fid ROWS UNBOUNDED PRECEDING)/sum(w) OVER (PARTITION BY fid) AS s, row_number() OVER (PARTITION BY fid ORDER BY v, d_fid) AS k FROM w),
+q AS (SELECT fid, coalesce(max_by(v,k) FILTER (WHERE s<=0.25), min(v)) AS q0, coalesce(max_by(v,k) FILTER (WHERE s<=0.5), min(v)) AS q1, coalesce(max_by(v,k) FILTER (WHERE s<=0.75), min(v)) AS q2 FROM c GROUP BY fid)
+SELECT fid, round(q1,6) AS "v_Median", round(q2-q0,6) AS "v_IQR", round(CASE WHEN q2<>q0 THEN (2*q1-q2-q0)/(q2-q0) END,6) AS "v_QI" FROM q""")
+CORRELATION_SQL = """, c AS (SELECT fid, w, {x} AS a, {y} AS b FROM w), s AS (SELECT fid, sum(w) AS s, sum(w*w) AS ww, sum(w*a) AS sa, sum(w*b) AS sb, sum(w*a*a) AS aa, sum(w*b*b) AS bb, sum(w*a*b) AS ab FROM c GROUP BY fid),
+t AS (SELECT fid, 1-ww/(s*s) AS k, ab/s-sa*sb/(s*s) AS ab, aa/s-sa*sa/(s*s) AS aa, bb/s-sb*sb/(s*s) AS bb FROM s) """
+put("gw_correlation", lambda s, d: rounded(summary.correlation(local_pairs(s, d, "lineitem", "gaussian", 20, False), "dep", "a").toDF("fid", "cov", "corr"), 4), weighted_sql("gaussian", 20, LINES) + CORRELATION_SQL.format(x="dep", y="a") + "SELECT fid, round(ab/k,4) AS cov, round(ab/sqrt(aa*bb),4) AS corr FROM t")
+put("gw_spearman", lambda s, d: rounded(summary.spearman(local_pairs(s, d, "lineitem", "gaussian", 20, False), "dep", "a").toDF("fid", "rho"), 4), (weighted_sql("gaussian", 20, LINES) + CORRELATION_SQL.format(x="dep", y="a") + "SELECT fid, round(ab/sqrt(aa*bb),4) AS rho FROM t").replace("SELECT fid, w, dep AS a, a AS b FROM w", "SELECT fid, w, CAST(row_number() OVER (PARTITION BY fid ORDER BY dep, d_fid)-1 AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY fid ORDER BY a, d_fid)-1 AS DOUBLE) AS b FROM w"))
+put("nearest_neighbours", lambda s, d: rounded(pairs.nearest(points_of(s, d, "supplier").select("fid", "x", "y"), points_of(s, d, "supplier"), 5).select("fid", "d_fid", "rank", "d")), f"WITH p AS ({SUPPLIERS}), q AS (SELECT f.fid, d.fid AS d_fid, sqrt{D2} AS d FROM p f CROSS JOIN p d), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, d_fid) AS rank FROM q) SELECT fid, d_fid, rank, round(d,6) AS d FROM r WHERE rank <= 5")
+put("grid_range_join", lambda s, d: pairs.within(points_of(s, d, "customer").select("fid", "x", "y"), points_of(s, d, "customer"), 4.0).groupBy("fid").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("sum_d")), f"WITH p AS ({CUSTOMERS}) SELECT f.fid, count(*) AS n, round(sum(sqrt{D2}),6) AS sum_d FROM p f JOIN p d ON sqrt{D2} <= 4.0 GROUP BY f.fid")
+put("layer_statistics", lambda s, d: summary.layer_statistics(points_of(s, d, "customer")), f"SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM ({CUSTOMERS})")
+put("z_scores", lambda s, d: rounded(summary.z_scores(points_of(s, d, "customer"), ["v"]).select("fid", "v")), f"SELECT fid, round((v-avg(v) OVER ())/stddev_samp(v) OVER (),6) AS v FROM ({CUSTOMERS})")
+put("centred", lambda s, d: rounded(summary.centred(points_of(s, d, "customer"), ["v"]).select("fid", "v")), f"SELECT fid, round(v-avg(v) OVER (),6) AS v FROM ({CUSTOMERS})")
+put("filter_expression", lambda s, d: rows.where(points_of(s, d, "customer"), rows.combined("v > 1000", "x < 50", "and")), f"SELECT * FROM ({CUSTOMERS}) WHERE v > 1000 AND x < 50")
+put("filter_rectangle", lambda s, d: rows.in_box(points_of(s, d, "customer"), 10, 10, 40, 60), f"SELECT * FROM ({CUSTOMERS}) WHERE x BETWEEN 10 AND 40 AND y BETWEEN 10 AND 60")
+put("select_invert", lambda s, d: rows.inverted(rows.select_rows(points_of(s, d, "supplier"), "v > 5000")), f"SELECT *, NOT (v > 5000) AS selected FROM ({SUPPLIERS})")
+put("field_calculator", lambda s, d: rounded(rows.calculated(points_of(s, d, "supplier"), "v", "v / 100 + x", "y < 50")), f"SELECT fid, x, y, round(CASE WHEN y < 50 THEN v/100+x ELSE v END,6) AS v FROM ({SUPPLIERS})")
+put("reproject_mercator", lambda s, d: rounded(rows.to_mercator(points_of(s, d, "supplier").withColumn("y", F.col("y") * 0.8).select("fid", "x", "y")), 3), f"SELECT fid, round(6378137.0*radians(x),3) AS x, round(6378137.0*ln(tan(0.7853981633974483+radians(y*0.8)/2)),3) AS y FROM ({SUPPLIERS})")
+put("quartile_table", lambda s, d: rounded(summary.quartile_table(points_of(s, d, "supplier"), ["v"])), f"""WITH r AS (SELECT v, row_number() OVER (ORDER BY v) AS k, count(*) OVER () AS n, lead(v) OVER (ORDER BY v) AS nx FROM ({SUPPLIERS})),
+h AS (SELECT *, p, least(greatest(n*p+0.5,1.0),n) AS h FROM r CROSS JOIN (VALUES (0.0),(0.25),(0.5),(0.75),(1.0)) AS t(p)), g AS (SELECT p, v+(h-floor(h))*(coalesce(nx,v)-v) AS q FROM h WHERE k=floor(h))
+SELECT 'v' AS name, round(max(q) FILTER (WHERE p=0.0),6) AS q0, round(max(q) FILTER (WHERE p=0.25),6) AS q1, round(max(q) FILTER (WHERE p=0.5),6) AS q2, round(max(q) FILTER (WHERE p=0.75),6) AS q3, round(max(q) FILTER (WHERE p=1.0),6) AS q4 FROM g""")
+
+MOMENTS_SQL = """, s AS (SELECT fid, sum(w) AS s0, sum(w*a) AS s1, sum(w*a*a) AS s2, sum(w*dep) AS t0, sum(w*a*dep) AS t1, sum(w*w) AS b0, sum(w*w*a) AS b1, sum(w*w*a*a) AS b2 FROM w GROUP BY fid),
+g AS (SELECT *, s0*s2-s1*s1 AS det FROM s),
+o AS (SELECT g.*, p.a AS xa, p.dep AS yy, (s2*t0-s1*t1)/det AS beta0, (s0*t1-s1*t0)/det AS beta1, (s2-2*p.a*s1+p.a*p.a*s0)/det AS sii,
+ (pow(s2-p.a*s1,2)*b0+2*(s2-p.a*s1)*(p.a*s0-s1)*b1+pow(p.a*s0-s1,2)*b2)/(det*det) AS ss, (s0-1)*(s2-p.a*p.a)-(s1-p.a)*(s1-p.a) AS d1 FROM g JOIN p USING (fid)),
+e AS (SELECT *, yy-beta0-beta1*xa AS res, yy-(((s2-xa*xa)*(t0-yy)-(s1-xa)*(t1-xa*yy))+xa*((s0-1)*(t1-xa*yy)-(s1-xa)*(t0-yy)))/d1 AS cv FROM o) """
+LINE_SPEC = local.Spec(30, "gaussian")
+
+
+def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = points_of(spark, sf_dir, "lineitem")
+    return rounded(models.gwr_predict(df, df.select("fid", "x", "y"), "dep", ["a"], LINE_SPEC).select("fid", F.col("Intercept").alias("beta0"), F.col("a").alias("beta1")), 4)
+
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that gives the same rows."""
+def one_row(spark: SparkSession, values: dict) -> DataFrame:
+    return spark.createDataFrame(pd.DataFrame([{k: float(v) for k, v in values.items() if isinstance(v, (int, float))}]))
 
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
 
-    return put
+def model(f: Callable[[DataFrame, SparkSession], DataFrame], table: str = "lineitem"):
+    return lambda spark, sf_dir: f(points_of(spark, sf_dir, table), spark)
 
 
-@query("""
-WITH p AS (SELECT c_custkey AS fid, CAST((c_custkey*37)%101 AS DOUBLE) AS x, CAST((c_custkey*53)%97 AS DOUBLE) AS y, c_acctbal AS v FROM customer)
-SELECT f.fid, round(sum(exp(-((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))/450.0)*d.v)/sum(exp(-((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))/450.0)), 6) AS lm
-FROM p f CROSS JOIN p d GROUP BY f.fid
-""")
-def gw_mean_gaussian_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+put("gwr_coefficients", coefficients, weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT fid, round(beta0,4) AS beta0, round(beta1,4) AS beta1 FROM e")
+put("gwr_diagnostics", model(lambda df, s: rounded(one_row(s, models.gwr(df, "dep", ["a"], LINE_SPEC)[1]).select((F.col("rss") / 1000).alias("rss"), "tr_s", "tr_sts", "aicc"), 3)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(res*res)/1000,3) AS rss, round(sum(sii),3) AS tr_s, round(sum(ss),3) AS tr_sts, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(sii))/(count(*)-2-sum(sii)),3) AS aicc FROM e")
+put("gwr_cv_score", model(lambda df, s: rounded(one_row(s, {"cv": models.score(df, local.points(df, "dep", ["a"]), LINE_SPEC)}), 2)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(cv*cv),2) AS cv FROM e")
+put("ols", model(lambda df, s: (lambda o: rounded(s.createDataFrame([(float(o["beta"][0]), float(o["beta"][1]), float(o["r2"]))], "intercept double, slope double, r2 double"), 4))(models.ols(local.points(df, "dep", ["a"])))), f"SELECT round(regr_intercept(dep,a),4) AS intercept, round(regr_slope(dep,a),4) AS slope, round(regr_r2(dep,a),4) AS r2 FROM ({LINES})")
+put("gwr_basic", model(lambda df, s: models.gwr(df, "dep", ["a", "b"], local.Spec(60, "bisquare", True))[0]))
+put("gwr_bandwidth_search", model(lambda df, s: s.createDataFrame(models.select_bandwidth(df, local.points(df, "dep", ["a"]), local.Spec(0, "bisquare", True))[1], "bandwidth double, score double")))
+put("gwr_variable_selection", model(lambda df, s: s.createDataFrame([(",".join(m), float(a)) for m, a in models.forward_selection(df, "dep", ["a", "b", "n"])[1]], "model string, aicc double")))
+put("gwr_robust_filter", model(lambda df, s: models.robust_gwr(df, "dep", ["a"], LINE_SPEC)[0]))
+put("gwr_robust_iterative", model(lambda df, s: models.robust_gwr(df, "dep", ["a"], LINE_SPEC, "iterative")[0]))
+put("gwr_scalable", model(lambda df, s: models.scalable_gwr(df, "dep", ["a"])[0]))
+put("gwr_multiscale", model(lambda df, s: models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, most=8)[0]))
+put("gwr_ridge", model(lambda df, s: models.ridge_gwr(df, "dep", ["a", "b"], LINE_SPEC, adjust=True)))
+put("gwr_poisson", model(lambda df, s: models.generalized_gwr(df, "n", ["a"], LINE_SPEC)[0]))
+put("gwr_binomial", model(lambda df, s: models.generalized_gwr(df.withColumn("z", (F.col("v") > 4500).cast("double")).withColumn("u", F.col("x") / 100), "z", ["u"], local.Spec(40), "binomial")[0], "supplier"))
+put("gtwr", model(lambda df, s: models.gwr(df.withColumn("t", F.col("fid") % 12), "dep", ["a"], local.Spec(30, time_scale=0.05), t="t")[0]))
+put("gtdr", model(lambda df, s: models.gtdr(df, "dep", ["a", "b"], [local.Spec(1.0), local.Spec(0.01)])))
+put("gwpca", model(lambda df, s: models.gwpca(df, ["dep", "a", "b"], 2, LINE_SPEC).drop("loadings")))
+put("gwpca_robust", model(lambda df, s: models.gwpca(df, ["dep", "a", "b"], 2, LINE_SPEC, robust=True).drop("loadings")))
+put("gwpca_glyphs", model(lambda df, s: models.glyphs(models.gwpca(df, ["dep", "a", "b"], 2, LINE_SPEC), df, ["dep", "a", "b"])))
+put("f_tests", model(lambda df, s: s.createDataFrame([(k, *map(float, v)) for k, v in models.f_tests(df, "dep", ["a"], LINE_SPEC).items()], "test string, f double, df1 double, df2 double, p double")))
+put("glm_poisson", model(lambda df, s: one_row(s, {k: v for k, v in models.glm(local.points(df, "n", ["a"]), "poisson").items() if k != "beta"})))
