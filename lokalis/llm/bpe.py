@@ -34,7 +34,7 @@ LATIN_TEXT = {"{L}": f"[{LETTERS}]", "{L1}": LETTERS, "{N}": "[0-9]", "{N1}": "0
 LATIN = re.compile("[\0-\x7f\u00c0-\u024f]*")
 
 #: Distinct pre-tokens that a worker remembers before it starts anew; results don't depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Longer pre-tokens are not remembered.
 REMEMBERED_LENGTH = 64
 

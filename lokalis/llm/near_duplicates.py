@@ -38,7 +38,7 @@ MARGIN = 0.155
 BUCKET_BLOCK, GROUP_BLOCK = 128, 64
 #: Ids up to this number are broadcast (about 60 bytes each), else shuffled.
 BROADCAST_IDS = 200_000
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

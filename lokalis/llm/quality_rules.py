@@ -27,12 +27,12 @@ WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 SYMBOL = re.compile("[#*$%&|<>]+")
 WINDOW = 8
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 2_000
+SAMPLE = 1_200
 BITS = 18
 GRAMS = (3, 4)
 #: A text with a lower probability of being good is rejected.
 GOOD = 0.5
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 BASE = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,9 +160,9 @@ def fit(examples: list[tuple[str, int]], steps: int = 80, rate: float = 0.5, rid
         at = np.repeat(ends[own] - np.cumsum(size), size) + np.arange(size.sum())
         total = np.bincount(feature[at], share[at] * np.repeat(n / len(ws), size))
         col = np.flatnonzero(total)
-        rows.append(np.full(len(col), k))
-        cols.append(col)
-        vals.append(total[col])
+        rows.append(np.full(len(col), k, np.int32))
+        cols.append(col.astype(np.int32))
+        vals.append(total[col].astype(np.float32))
     row, col, val = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, cols, vals))
     y = np.array([label for _, label in examples], float)
     held = np.arange(len(y)) % 4 == 3
