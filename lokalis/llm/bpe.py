@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, texts
+from .common import bounded_batches, slices, texts, worker_memory
 
 #: How a byte-level vocabulary file spells bytes, and its pre-tokenizer's pattern.
 #: Letters come first because no other alternative can match where they do.
@@ -138,6 +138,7 @@ _loaded: dict[str, ForcedBoundaryBpe] = {}
 
 def vocabulary(path: str) -> ForcedBoundaryBpe:
     """The vocabulary at ``path``, read once by each worker."""
+    worker_memory("bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = ForcedBoundaryBpe(path)
     return _loaded[path]

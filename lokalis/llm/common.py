@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one slice of an Arrow batch holds at most (one text may be longer).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep an Arrow batch small enough for a worker that holds very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
@@ -65,3 +66,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
+
+
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def worker_memory(owner: str, forget: Callable[[], None]) -> None:
+    """Called where an operator starts in a worker: what other operators remember in this process is dropped and given back."""
+    others = [k for k in _forget if k != owner]
+    for k in others:
+        _forget.pop(k)()
+    _forget[owner] = forget
+    if others:
+        ctypes.CDLL(None).malloc_trim(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, saved, slices, texts
+from .common import bounded_batches, mixed, saved, slices, texts, worker_memory
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -106,6 +106,7 @@ def sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("near", _hashes.clear)
         minhash = MinHash(bands, rows)
         for batch in slices(batches):
             out = []
@@ -212,6 +213,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     text = text.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "rep", "left_semi").dropDuplicates(["rep"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("near", _hashes.clear)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingle_set(t).tobytes() for t in texts(batch)], pa.binary())], ["rep", "shingles"])
 

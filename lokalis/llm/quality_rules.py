@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, slices, texts
+from .common import bounded_batches, mixed, slices, texts, worker_memory
 from .labelled import labelled_sample, platt
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -213,6 +213,7 @@ _local: dict[str, QualityModel] = {}
 
 
 def local_model(key: str, shared) -> QualityModel:
+    worker_memory("quality", _local.clear)
     if key not in _local:
         _local.clear()
         _local[key] = QualityModel(*shared.value)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, saved, slices
+from .common import bounded_batches, mixed, saved, slices, worker_memory
 
 LENGTH = 200
 #: k-gram lengths of step 1 and step 2.
@@ -141,6 +141,7 @@ def sent(key: np.ndarray, u: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> It
 
 
 def collapsing(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    worker_memory("suffixes", _powers.clear)
     held: list[tuple] = []
     n = 0
     for part in parts:
