@@ -50,9 +50,8 @@ def template(text: Column) -> Column:
 
 
 def hashed(df: DataFrame, key: str) -> DataFrame:
-    """``key, hs``: a 64-bit hash of each template word; rows without words are left out."""
-    out = df.select(F.col(key).cast("long").alias(key), template(F.col("text").cast("string")).alias("t")).filter("t[0] <> ''")
-    return out.select(key, F.transform("t", lambda w: F.xxhash64(w)).alias("hs"))
+    """``key, hs``: a 64-bit hash of each template word. No row is filtered by its template, which would compute it twice."""
+    return df.select(F.col(key).cast("long").alias(key), F.transform(template(F.col("text").cast("string")), lambda w: F.xxhash64(w)).alias("hs"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -66,17 +65,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, item_id, k, item_words, pos, item_pos`` of equal windows."""
+    """``doc_id, item_id, k, item_words, pos, item_pos`` of equal windows; one pass over the texts for all window lengths."""
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``window`` numbers
-    n = items.count()
-    small = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
-    hs = hashed(docs, "doc_id")
-    found = None
-    for k in lengths or [window]:
-        part = hs.filter(F.size("hs") >= k).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("hs") - (k - 1)), lambda i: F.xxhash64(F.slice("hs", i, k)))).alias("pos", "h"))
-        part = part.join(small.filter(F.col("k") == k), "h").select("doc_id", "item_id", "k", "item_words", "pos", "item_pos")
-        found = part if found is None else found.unionByName(part)
-    return found
+    small = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
+    hs = hashed(docs, "doc_id").select("doc_id", "hs", F.explode(F.array(*map(F.lit, lengths or [window]))).alias("n"))
+    places = F.when(F.size("hs") >= F.col("n"), F.sequence(F.lit(1), F.size("hs") - F.col("n") + 1))
+    windows = hs.select("doc_id", "n", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("hs", i, F.col("n"))))).alias("pos", "h"))
+    return windows.join(small, "h").filter("k = n").select("doc_id", "item_id", "k", "item_words", "pos", "item_pos")
 
 
 def slots(texts: DataFrame, key: str) -> DataFrame:
