@@ -8,7 +8,8 @@ item must stand for one value in the document everywhere. So a question with oth
 units is found, and a chance likeness of templates is not.
 
 A pair is reported if its alignment is consistent and its windows cover ``SHARE`` of the item's words or
-``RUN`` words. Items with fewer than ``WINDOW`` words are matched whole. Texts that are null, empty or
+``RUN`` words. Windows with fewer than half plain words find no pair by their template: there the words
+themselves must be equal, or plainer windows must have found the same alignment. Items with fewer than ``WINDOW`` words are matched whole. Texts that are null, empty or
 without words match nothing; repeated rows give one row for each pair of ids. Other columns are ignored.
 """
 
@@ -49,29 +50,46 @@ def template(text: Column) -> Column:
     return F.split(t, " ")
 
 
-def hashed(df: DataFrame, key: str) -> DataFrame:
-    """``key, hs``: a 64-bit hash of each template word. No row is filtered by its template, which would compute it twice."""
-    return df.select(F.col(key).cast("long").alias(key), F.transform(template(F.col("text").cast("string")), lambda w: F.xxhash64(w)).alias("hs"))
+def hashed(df: DataFrame, key: str, literal: bool = False) -> DataFrame:
+    """``key, hs``: a 64-bit hash of each template word, and ``ls`` of each lower-cased word if asked. No row is filtered by its template, which would compute it twice."""
+    text = F.col("text").cast("string")
+    own = [F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)).alias("ls")] if literal else []
+    return df.select(F.col(key).cast("long").alias(key), F.transform(template(text), lambda w: F.xxhash64(w)).alias("hs"), *own)
+
+
+def plain_enough(t: Column, k: Column) -> Column:
+    return 2 * F.size(F.filter(t, lambda w: ~w.startswith("\x01"))) >= k
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``h, item_id, item_pos, k, item_words`` of each item's windows with at least half plain words."""
-    t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text").cast("string")).alias("t")).filter("t[0] <> '' and item_id is not null").distinct()
-    t = t.select("item_id", "t", F.size("t").alias("item_words"), F.least(F.size("t"), F.lit(window)).alias("k"), F.transform("t", lambda w: F.xxhash64(w)).alias("hs"))
+    """``h, item_id, item_pos, k, item_words, literal, wide`` of each item's windows.
+
+    A template window with fewer than half plain words is like any other row of slots, so it finds no pair by itself.
+    An item that has such windows is ``wide``: it is met by the windows of its lower-cased words too (``literal``).
+    """
+    text = F.col("text").cast("string")
+    t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(text).alias("t"), words(F.lower(text)).alias("w")).filter("w[0] <> '' and item_id is not null").distinct()
+    k = F.least(F.size("t"), F.lit(window))
+    t = t.withColumn("wide", F.exists(F.sequence(F.lit(0), F.size("t") - k), lambda i: ~plain_enough(F.slice("t", i + 1, k), k)))
+    kinds = F.array(F.struct(F.col("t").alias("t"), F.lit(False).alias("literal")), F.struct(F.col("w").alias("t"), F.lit(True).alias("literal")))
+    t = t.select("item_id", "wide", F.inline(kinds)).filter("wide or not literal")
+    t = t.select("item_id", "wide", "literal", "t", F.size("t").alias("item_words"), k.alias("k"), F.transform("t", lambda w: F.xxhash64(w)).alias("hs"))
     t = t.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("k"))).alias("item_pos"))
     own = F.slice("t", F.col("item_pos") + 1, F.col("k"))
-    plain = F.size(F.filter(own, lambda w: ~w.startswith("\x01")))
-    return t.filter(2 * plain >= F.col("k")).select(F.xxhash64(F.slice("hs", F.col("item_pos") + 1, F.col("k"))).alias("h"), "item_id", "item_pos", "k", "item_words")
+    return t.filter(F.col("literal") | plain_enough(own, F.col("k"))).select(F.xxhash64(F.slice("hs", F.col("item_pos") + 1, F.col("k"))).alias("h"), "item_id", "item_pos", "k", "item_words", "literal", "wide")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, item_id, k, item_words, pos, item_pos`` of equal windows; one pass over the texts for all window lengths."""
-    lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``window`` numbers
+    """``doc_id, item_id, k, item_words, literal, wide, pos, item_pos`` of equal windows; one pass over the texts for all window lengths."""
+    kinds = sorted((r["literal"], r["k"]) for r in items.select("literal", "k").distinct().collect())  # at most twice ``window`` rows
+    literal = any(own for own, _ in kinds)
     small = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
-    hs = hashed(docs, "doc_id").select("doc_id", "hs", F.explode(F.array(*map(F.lit, lengths or [window]))).alias("n"))
+    each = F.array(*(F.struct(F.lit(k).alias("n"), F.lit(own).alias("own")) for own, k in kinds or [(False, window)]))
+    hs = hashed(docs, "doc_id", literal).select("*", F.inline(each))
+    hs = hs.withColumn("hs", F.when(F.col("own"), F.col("ls")).otherwise(F.col("hs"))) if literal else hs
     places = F.when(F.size("hs") >= F.col("n"), F.sequence(F.lit(1), F.size("hs") - F.col("n") + 1))
-    windows = hs.select("doc_id", "n", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("hs", i, F.col("n"))))).alias("pos", "h"))
-    return windows.join(small, "h").filter("k = n").select("doc_id", "item_id", "k", "item_words", "pos", "item_pos")
+    windows = hs.select("doc_id", "n", "own", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("hs", i, F.col("n"))))).alias("pos", "h"))
+    return windows.join(small, "h").filter("k = n and literal = own").select("doc_id", "item_id", "k", "item_words", "literal", "wide", "pos", "item_pos")
 
 
 def slots(texts: DataFrame, key: str) -> DataFrame:
@@ -84,18 +102,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     items = saved(item_windows(benchmark, window))
     found = matches(docs, items, window).withColumn("shift", F.col("pos") - F.col("item_pos")).filter("doc_id is not null")
     # a diagonal holds each item place once, so this group is bounded by the item's length
-    diagonals = found.groupBy("doc_id", "item_id", "shift", "k", "item_words").agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
+    diagonals = found.groupBy("doc_id", "item_id", "shift", "k", "item_words", "literal", "wide").agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
     steps = F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.when(i == F.size("at"), F.col("k")).otherwise(F.least(F.col("k"), F.element_at("at", F.least(i + 1, F.size("at"))) - F.element_at("at", i))))
     diagonals = diagonals.withColumn("covered_words", F.aggregate(steps, F.lit(0), lambda a, x: a + x))
-    diagonals = saved(diagonals.filter((F.col("covered_words") >= run) | (F.col("covered_words") >= share * F.col("item_words"))))
+    enough = (F.col("covered_words") >= run) | (F.col("covered_words") >= share * F.col("item_words"))
+    # a wide item's windows of slots have not been joined: they are counted below, along the diagonals that were found
+    diagonals = saved(diagonals.filter(enough | (F.col("wide") & ~F.col("literal"))))
     n = diagonals.count()
     ids = diagonals.select(F.col("doc_id").alias("own_id")).distinct()
     own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_DOCUMENTS else ids, F.col("doc_id").cast("long") == F.col("own_id"), "left_semi")
-    doc_words = slots(own, "doc_id").distinct().select("doc_id", F.col("w").alias("dw"))
+    doc_words = slots(own, "doc_id").distinct().select("doc_id", F.col("w").alias("dw"), F.col("t").alias("dt"))
     item_words = slots(benchmark, "item_id").distinct().select("item_id", F.col("w").alias("iw"), F.col("t").alias("it"))
     pairs = diagonals.join(doc_words, "doc_id").join(F.broadcast(item_words) if items.count() <= BROADCAST_WINDOWS else item_words, "item_id")
+    here = lambda i: (i + F.col("shift") >= 0) & (F.slice("it", i + 1, F.col("k")) == F.slice("dt", F.greatest(i + F.col("shift") + 1, F.lit(1)), F.col("k")))
+    pairs = pairs.withColumn("at", F.when(F.col("wide") & ~F.col("literal"), F.filter(F.sequence(F.lit(0), F.col("item_words") - F.col("k")), here)).otherwise(F.col("at")))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("k") - 1))))
-    slot_at = F.filter(covered, lambda p: F.element_at("it", p + 1).startswith("\x01"))
+    pairs = pairs.withColumn("covered", covered).withColumn("covered_words", F.size("covered")).filter(enough)
+    slot_at = F.filter("covered", lambda p: ~F.col("literal") & F.element_at("it", p + 1).startswith("\x01"))
     filled = F.array_distinct(F.transform(slot_at, lambda p: F.struct(F.lower(F.element_at("iw", p + 1)).alias("i"), F.lower(F.try_element_at("dw", p + F.col("shift") + 1)).alias("d"))))
     pairs = pairs.withColumn("filled", filled)
     pairs = pairs.withColumn("consistent", F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda s: s["i"]))))

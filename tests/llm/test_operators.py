@@ -201,6 +201,14 @@ def test_decontamination_finds_other_numbers_and_names(spark, edge_docs):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_of_slots(spark):
+    mixed = "the old driver walks slowly down to Rome Oslo Bern Kiev Lima Cairo Paris Quito Accra Dakar Hanoi Seoul Tunis Sofia"
+    bench = spark.createDataFrame([(1, "Compute 12 + 7 - 3 * 4 + 19"), (2, "Who Wrote The Old Man And The Sea In The Year After The War"), (3, mixed), (4, "42 7")], "item_id long, text string")
+    rows = [(20, prose(20, 1) + ". Compute 12 + 7 - 3 * 4 + 19. " + prose(9, 2)), (21, "Compute 15 + 8 - 2 * 9 + 11"), (22, "ask who wrote the old man and the sea in the year after the war now"), (23, "say " + mixed), (24, mixed.replace("Rome", "Riga").replace("Sofia", "Minsk")), (25, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (26, "The Cat Sat On The Mat And The Dog Ran To The Red Barn")]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(20, 1): True, (22, 2): True, (23, 3): True, (24, 3): False}
+
+
 def test_license_scan(spark, edge_docs):
     rows = [(1, prose(20, 1) + "\nReleased under the MIT License.\n" + prose(20, 2)), (2, "This work is licensed under the GNU General Public License, version 3."), (3, prose(60, 4)), (4, "Licensed under CC BY-NC 4.0. " + prose(60, 5)), (5, "Licensed under the terms of the licence of its owner, distributed under a license agreement.")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
