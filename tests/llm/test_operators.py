@@ -209,6 +209,17 @@ def test_decontamination_finds_items_of_slots(spark):
     assert got == {(20, 1): True, (22, 2): True, (23, 3): True, (24, 3): False}
 
 
+def test_decontamination_finds_values_of_other_lengths(spark):
+    item = "the old train to the north left Bob at the river and he asked Ann about it then they went home"
+    bench = spark.createDataFrame([(1, item), (2, "a cart rolls from New York City for 10 km and stops near the mill in New York City at noon")], "item_id long, text string")
+    rows = [(30, item.replace("Bob", "Mary Ann").replace("Ann about", "Jean-Paul Sartre about")), (31, "a cart rolls from Paris for 1,250.5 miles and stops near the mill in Paris at noon"), (32, "a cart rolls from Paris for 3 km and stops near the mill in Rome at noon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.contaminated(docs, bench).collect()} == {(30, 1): False, (31, 2): False}
+    text = "So Bob² said O'Brien-Smith and New  York, Paris left 5 km 3 h ago; Ann's 7B İx É\u0301 1²"
+    row = spark.createDataFrame([(text,)], "text string").select(decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v"), decontaminate.words(F.col("text")).alias("w")).first()
+    assert len(row["t"]) == len(row["v"]) and sum(v.count("\x02") + 1 for v in row["v"]) == len(row["w"])
+
+
 def test_license_scan(spark, edge_docs):
     rows = [(1, prose(20, 1) + "\nReleased under the MIT License.\n" + prose(20, 2)), (2, "This work is licensed under the GNU General Public License, version 3."), (3, prose(60, 4)), (4, "Licensed under CC BY-NC 4.0. " + prose(60, 5)), (5, "Licensed under the terms of the licence of its owner, distributed under a license agreement.")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
