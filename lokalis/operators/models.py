@@ -357,14 +357,22 @@ def moments_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
     return pd.DataFrame({"fid": p.fid[i], "M": [x.ravel() for x in np.stack(M, 1)], "m": [x.ravel() for x in np.stack(m, 1)]})
 
 
+def neighbour_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
+    """Distance of each focus to its k-th nearest other point."""
+    p, k = held
+    i = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
+    d = distances(Spec(0), p.xy[i], p.xy)
+    d[np.arange(len(i)), i] = -1
+    return pd.DataFrame({"fid": p.fid[i], "d": np.partition(d, k, 1)[:, k]})
+
+
 def scalable_gwr(df: DataFrame, y: str, xs: list[str], k: int = 50, polynomial: int = 4) -> tuple[DataFrame, dict]:
-    """Kernel as a polynomial of a fixed base kernel over k neighbours plus a global share; the two scales minimise the leave-one-out error."""
+    """Kernel as a polynomial of a fixed gaussian base kernel (its bandwidth is the median neighbour distance of all points over the root of 3) over k neighbours plus a global share; the two scales minimise the leave-one-out error."""
     p = points(df, y, xs)
     n, c = p.X.shape
     k = min(k, n - 1)
-    idx = np.random.default_rng(0).permutation(n)[: min(n, 2000)]
-    d = distances(Spec(0), p.xy[idx], p.xy)
-    band = float(np.median(np.sort(d, 1)[:, min(50, k)])) / math.sqrt(3) or 1.0
+    near = over_foci(foci(p, df), (p, min(50, k)), neighbour_block, "fid bigint, d double", n).select("d").toPandas().d
+    band = float(np.median(near)) / math.sqrt(3) or 1.0
     powers = [2 ** (polynomial / 2) / 2 ** (q + 1) for q in range(polynomial)]
     rows = over_foci(foci(p, df), (p, k, band, powers), moments_block, "fid bigint, M array<double>, m array<double>", n).toPandas().sort_values("fid")
     M, m = np.stack(rows.M).reshape(n, polynomial, c, c), np.stack(rows.m).reshape(n, polynomial, c)

@@ -119,6 +119,15 @@ def test_other_models_run(grid):
     assert np.allclose(pca["Comp.1_PV"], 100 * v[1] / v.sum())
 
 
+def test_scalable_bandwidth_is_of_all_points(spark):
+    r = np.random.default_rng(3)
+    pdf = pd.DataFrame({"fid": range(2600), "x": np.r_[r.uniform(0, 1, 1250), r.uniform(0, 90, 1350)], "y": r.uniform(0, 1, 2600), "a": r.normal(size=2600)})
+    pdf["z"] = 1 + 2 * pdf.a + r.normal(size=2600)
+    d = np.hypot(*(pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None, :] for c in "xy"))
+    band = models.scalable_gwr(spark.createDataFrame(pdf), "z", ["a"], k=50)[1]["band"]
+    assert math.isclose(band, np.median(np.sort(d, 1)[:, 50]) / math.sqrt(3))
+
+
 def test_row_edits(grid):
     df, _ = grid
     assert rows.combined("a", "b", "or") == "(a) OR (b)"
