@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .local import Points, Spec, distances, fit_block, foci, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
+from .local import BLOCK_PAIRS, Points, Spec, distances, fit_block, foci, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
 
 
 def names_of(xs: list[str], intercept: bool = True) -> list[str]:
@@ -88,11 +88,11 @@ def score(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str |
     return aicc_of(len(p.y), v["rss"], v["s"]) if v["rss"] and math.isfinite(v["rss"]) else math.inf
 
 
-def select_bandwidth(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None) -> tuple[float, list[tuple[float, float]]]:
+def select_bandwidth(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None, by: Callable[[Spec], float] | None = None) -> tuple[float, list[tuple[float, float]]]:
     """Golden-section search: 20 to n points, or 0 to the largest distance between the corners of the points' box."""
     high = float(len(p.fid)) if spec.adaptive else float(np.hypot(*(p.xy.max(0) - p.xy.min(0)))) if spec.metric != "geographic" else 20037.5
     low = 20.0 if spec.adaptive else 0.0
-    return golden(lambda b: score(df, p, with_size(spec, b), criterion, t), low, high, spec.adaptive)
+    return golden(lambda b: by(with_size(spec, b)) if by else score(df, p, with_size(spec, b), criterion, t), low, high, spec.adaptive)
 
 
 def forward_selection(df: DataFrame, y: str, xs: list[str], threshold: float = 3.0) -> tuple[list[str], list[tuple[list[str], float]]]:
@@ -285,22 +285,32 @@ def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
     return rows.select("fid", *spread_out(rows, "beta", names_of(xs)), "ok")
 
 
-def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False) -> tuple[DataFrame, dict]:
-    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike ``retries`` times is frozen."""
+def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6) -> tuple[DataFrame, dict]:
+    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds."""
     xs = [v for v in specs if v != "Intercept"]
     p = points(df, y, xs)
     own = [specs.get(n, next(iter(specs.values()))) for n in names_of(xs)]
-    beta = np.stack(fitted(df, p, own[0]).beta)
+    small = len(p.y) ** 2 <= BLOCK_PAIRS  # one block: fitted here, alike, without a job for each of many fits
+
+    def fit(q: Points, spec: Spec) -> pd.DataFrame:
+        return fit_block(pd.DataFrame({"fid": q.fid, "x": q.xy[:, 0], "y": q.xy[:, 1]}), (spec, q, None)) if small else fitted(df, q, spec)
+
+    def cv(q: Points, spec: Spec) -> float:
+        v = float((fit(q, spec).cv ** 2).sum(skipna=False)) if small else score(df, q, spec)
+        return v if math.isfinite(v) else math.inf
+
+    beta = np.stack(fit(p, own[0]).beta)
     rss, stable, rounds = float(((p.y - (beta * p.X).sum(1)) ** 2).sum()), [0] * len(own), 0
+    change = math.inf
     for rounds in range(1, most + 1):
         for k, spec in enumerate(own):
             rest = p.y - (beta * p.X).sum(1) + beta[:, k] * p.X[:, k]
             one = Points(p.fid, p.xy, p.X[:, [k]], rest)
             if select and stable[k] < retries:
-                b = select_bandwidth(df, one, spec, "CV")[0]
-                stable[k] = stable[k] + 1 if b == spec.size else 0
+                b = select_bandwidth(df, one, spec, "CV", by=lambda x: cv(one, x))[0]  # noqa: B023
+                stable[k] = stable[k] + 1 if abs(b - spec.size) <= near else 0
                 own[k] = spec = with_size(spec, b)
-            beta[:, k] = np.stack(fitted(df, one, spec).beta)[:, 0]
+            beta[:, k] = np.stack(fit(one, spec).beta)[:, 0]
         new = float(((p.y - (beta * p.X).sum(1)) ** 2).sum())
         change = abs(new - rss) if criterion == "CVR" else math.sqrt(abs(new - rss) / max(new, 1e-300))
         rss = new
@@ -308,7 +318,7 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
             break
     yhat = (beta * p.X).sum(1)
     out = pd.DataFrame({"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names_of(xs))}, "y": p.y, "yhat": yhat, "residual": p.y - yhat})
-    return df.sparkSession.createDataFrame(out), {"rss": rss, "rounds": rounds, "bandwidths": {n: s.size for n, s in zip(names_of(xs), own)}}
+    return df.sparkSession.createDataFrame(out), {"rss": rss, "rounds": rounds, "change": change, "converged": change <= tol, "bandwidths": {n: s.size for n, s in zip(names_of(xs), own)}}
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.01, size: float = 1e-6, most: int = 500) -> np.ndarray:

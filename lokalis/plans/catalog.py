@@ -164,6 +164,11 @@ def model(f: Callable[[DataFrame, SparkSession], DataFrame], table: str = "linei
     return lambda spark, sf_dir: f(points_of(spark, sf_dir, table), spark)
 
 
+def multiscale(df: DataFrame, spark: SparkSession) -> DataFrame:
+    out, diag = models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, select=True)
+    return out.withColumn("rounds", F.lit(diag["rounds"])).withColumn("converged", F.lit(diag["converged"]))
+
+
 put("gwr_coefficients", coefficients, weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT fid, round(beta0,4) AS beta0, round(beta1,4) AS beta1 FROM e")
 put("gwr_diagnostics", model(lambda df, s: rounded(one_row(s, models.gwr(df, "dep", ["a"], LINE_SPEC)[1]).select((F.col("rss") / 1000).alias("rss"), "tr_s", "tr_sts", "aicc"), 3)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(res*res)/1000,3) AS rss, round(sum(sii),3) AS tr_s, round(sum(ss),3) AS tr_sts, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(sii))/(count(*)-2-sum(sii)),3) AS aicc FROM e")
 put("gwr_cv_score", model(lambda df, s: rounded(one_row(s, {"cv": models.score(df, local.points(df, "dep", ["a"]), LINE_SPEC)}), 2)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(cv*cv),2) AS cv FROM e")
@@ -174,7 +179,7 @@ put("gwr_variable_selection", model(lambda df, s: s.createDataFrame([(",".join(m
 put("gwr_robust_filter", model(lambda df, s: models.robust_gwr(df, "dep", ["a"], LINE_SPEC)[0]))
 put("gwr_robust_iterative", model(lambda df, s: models.robust_gwr(df, "dep", ["a"], LINE_SPEC, "iterative")[0]))
 put("gwr_scalable", model(lambda df, s: models.scalable_gwr(df, "dep", ["a"])[0]))
-put("gwr_multiscale", model(lambda df, s: models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, most=8)[0]))
+put("gwr_multiscale", model(multiscale))
 put("gwr_ridge", model(lambda df, s: models.ridge_gwr(df, "dep", ["a", "b"], LINE_SPEC, adjust=True)))
 put("gwr_poisson", model(lambda df, s: models.generalized_gwr(df, "n", ["a"], LINE_SPEC)[0]))
 put("gwr_binomial", model(lambda df, s: models.generalized_gwr(df.withColumn("z", (F.col("v") > 4500).cast("double")).withColumn("u", F.col("x") / 100), "z", ["u"], local.Spec(40), "binomial")[0], "supplier"))

@@ -128,6 +128,14 @@ def test_scalable_bandwidth_is_of_all_points(spark):
     assert math.isclose(band, np.median(np.sort(d, 1)[:, 50]) / math.sqrt(3))
 
 
+def test_multiscale_tells_whether_it_converged(grid):
+    df, _ = grid
+    specs = {"Intercept": local.Spec(3.0), "b": local.Spec(3.0)}
+    assert not models.multiscale_gwr(df, "z", specs, most=1)[1]["converged"]
+    diag = models.multiscale_gwr(df, "z", specs, select=True)[1]
+    assert diag["converged"] == (diag["change"] <= 1e-6) and set(diag["bandwidths"].values()) != {3.0}
+
+
 def test_row_edits(grid):
     df, _ = grid
     assert rows.combined("a", "b", "or") == "(a) OR (b)"
