@@ -25,9 +25,11 @@ from .common import bounded_batches, slices, texts
 #: The roles of HTML's elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed audio video canvas svg math datalist title noframes noembed select textarea input dialog".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed audio video canvas datalist title noframes noembed input".split())
+#: Inside MathML and SVG: what is not drawn where it stands.
+UNDRAWN = frozenset("annotation annotation-xml desc metadata defs symbol clippath mask pattern marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())
-BLOCK = SPACED | frozenset("html body div section article nav header footer main aside address form fieldset figcaption li dt dd tr caption thead tbody tfoot center details summary legend hgroup search optgroup option".split())
+BLOCK = SPACED | frozenset("html body div section article nav header footer main aside address form fieldset figcaption li dt dd tr caption thead tbody tfoot center details summary legend hgroup search optgroup option dialog".split())
 CELL = frozenset(("td", "th"))
 #: A start tag closes the open elements of its set that are above (inside) the nearest of its fence.
 CLOSES = {
@@ -53,10 +55,13 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start")
+    __slots__ = ("tag", "kids", "hidden", "start", "foreign", "para")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, parent: Node | None = None):
         self.tag, self.kids, self.hidden, self.start = tag, [], hidden, start
+        #: "math", "svg" or "text" (SVG text) inside these; and whether a paragraph is open here.
+        self.foreign = tag if tag in ("math", "svg") else "" if parent is None or tag == "foreignobject" else "text" if tag == "text" and parent.foreign == "svg" else parent.foreign
+        self.para = tag == "p" or (parent is not None and parent.para and tag not in FENCES)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -68,7 +73,7 @@ def attributes(text: str) -> dict[str, str]:
 
 def invisible(tag: str, attrs: dict[str, str]) -> bool:
     """Visibility rules: elements without a box, the hidden attribute, closed details excepted, and inline styles."""
-    return tag in HIDDEN or "hidden" in attrs or (tag == "input") or bool(INVISIBLE_STYLE.search(attrs.get("style", "")))
+    return tag in HIDDEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or bool(INVISIBLE_STYLE.search(attrs.get("style", "")))
 
 
 def build(html: str) -> Node:
@@ -126,14 +131,15 @@ def build(html: str) -> Node:
                 del stack[-1]
             if tag in CLOSES:
                 close(*CLOSES[tag])
-            if tag in BLOCK and any(x.tag == "p" for x in stack[-6:]):
+            if tag in BLOCK and stack[-1].para:
                 close({"p"}, FENCES)
             if tag in CELL and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr")
+                row = Node("tr", parent=stack[-1])
                 stack[-1].kids.append(row)
                 stack.append(row)
             start = attrs.get("start" if tag == "ol" else "value", "") if tag in ("ol", "li") else ""
-            node = Node(tag, invisible(tag, attrs), int(start) if re.fullmatch(r"-?\d{1,9}", start) else (1 if tag == "ol" else -1))
+            node = Node(tag, invisible(tag, attrs), int(start) if re.fullmatch(r"-?\d{1,9}", start) else (1 if tag == "ol" else -1), stack[-1])
+            node.hidden |= tag in UNDRAWN and stack[-1].foreign != ""
             if tag == "img" and attrs.get("alt") and not node.hidden:
                 stack[-1].kids.append(attrs["alt"].replace("&", "&amp;"))
             stack[-1].kids.append(node)
@@ -141,7 +147,7 @@ def build(html: str) -> Node:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, pos)
                 node.kids.append(html[pos : end.start() if end else n])
                 pos = end.end() if end else n
-            elif tag not in VOID:  # a slash at its end does not close an HTML element
+            elif tag not in VOID and not (m[4] and node.foreign):  # a slash at its end does not close an HTML element
                 stack.append(node)
     return root
 
@@ -230,7 +236,7 @@ def render(root: Node) -> str:
             page.inline.append("\v")
         elif tag == "hr":
             page.block(True)
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             page.block(True)
             for line in plain(node).strip("\n").split("\n"):
                 page.put(line)
@@ -258,6 +264,9 @@ def render(root: Node) -> str:
                 else:
                     kids.append(("open", k, inner, None))
             todo += reversed(kids)
+        elif node.foreign in ("svg", "text"):  # of SVG, text elements are drawn as text, each by itself
+            kids = node.kids if node.foreign == "text" else [k for k in node.kids if isinstance(k, Node)]
+            todo += [("open", k, depth, None) for k in reversed([" ", *kids, " "] if tag in ("text", "svg") else kids)]
         else:
             todo += [("open", k, depth, None) for k in reversed(node.kids)]
     page.flush()

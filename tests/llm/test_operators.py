@@ -237,6 +237,14 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_html_shows_formulas_labels_and_forms():
+    page = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math><svg><title>no</title><defs/><path/><g>no<text>Cats<tspan> up</tspan></text><text>Dogs</text></g></svg>end"
+    assert html_text.visible_text(page) == "x=2 Cats up Dogs end"
+    assert html_text.visible_text("<select><option>one<option>two</select><textarea>a\n  b</textarea><dialog open>yes</dialog><dialog>no</dialog>") == "one\ntwo\n\na\n  b\n\nyes"
+    assert html_text.visible_text("<p hidden>" + "<b>" * 9 + "no<div>seen</div>") == "seen"
+    assert html_text.visible_text("<div/>" * 50_000 + "x") == "x" and html_text.visible_text("<svg><path/><text>t</text></svg><p>a<p>b") == "t\n\na\n\nb"
+
+
 def test_warc_round_trip(spark, tmp_path):
     inside = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "u\r\nv", "x" * 150), (2, None, "x" * 150), (3, "w", "y" * 50), (4, "w", "y" * 50), (5, "", None), (6, "", "p" * 90 + inside + inside + "q"), (7, "", "é" * 60), (None, "n", "x" * 150), (1, "u", "x" * 150), (8, "", "WARC/1.1\r\n")]
