@@ -475,7 +475,7 @@ def f_cdf(x: float, d1: float, d2: float) -> float:
 
 
 def f_tests(df: DataFrame, y: str, xs: list[str], spec: Spec, most: int = 3000) -> dict:
-    """F1 and F2 (local against global fit) and F3 for each coefficient (does it vary), from the dense hat matrix of at most ``most`` points."""
+    """F1, F2 and F4 (local against global fit) and F3 for each coefficient (does it vary), from the dense hat matrix of at most ``most`` points."""
     p = points(df, y, xs)
     n, c = p.X.shape
     if n > most:
@@ -501,4 +501,5 @@ def f_tests(df: DataFrame, y: str, xs: list[str], spec: Spec, most: int = 3000)
         t1, t2 = float(np.trace(Q)), float((Q * Q).sum())
         f3 = float(((b - b.mean()) ** 2).mean()) / t1 / (rss / g1)
         out[f"F3_{name}"] = (f3, t1 * t1 / t2, d1, 1 - f_cdf(f3, t1 * t1 / t2, d1))
+    out["F4"] = (rss / o["rss"], g1, n - c, f_cdf(rss / o["rss"], g1, n - c))
     return out

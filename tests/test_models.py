@@ -136,6 +136,13 @@ def test_multiscale_tells_whether_it_converged(grid):
     assert diag["converged"] == (diag["change"] <= 1e-6) and set(diag["bandwidths"].values()) != {3.0}
 
 
+def test_f4_is_the_share_of_the_global_residuals(grid):
+    df, _ = grid
+    f, d1, d2, q = models.f_tests(df, "z", ["a"], local.Spec(3.0))["F4"]
+    rss = models.gwr(df, "z", ["a"], local.Spec(3.0))[1]["rss"]
+    assert math.isclose(f, rss / models.ols(local.points(df, "z", ["a"]))["rss"]) and d2 == 23 and 0 < d1 < 25 and math.isclose(q, models.f_cdf(f, d1, d2))
+
+
 def test_row_edits(grid):
     df, _ = grid
     assert rows.combined("a", "b", "or") == "(a) OR (b)"
