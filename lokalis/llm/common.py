@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local default is set only where none is."""
+    """A new folder below ``spark.checkpoint.dir``. Where none is set, a local default serves a local master; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "/tmp/lokalis-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "lokalis-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/lokalis-{uuid.uuid4().hex}"
 
@@ -32,7 +38,19 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, work_dir(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``saved`` wrote for these tables, once everything made of them is written, and let go of finished shuffles' files."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()  # Spark drops a shuffle's files when the driver's collector finds it unused
 
 
 def bounded_batches(spark: SparkSession) -> None:

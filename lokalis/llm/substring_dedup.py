@@ -1,19 +1,22 @@
 """Exact removal of repeated 200-byte strings by a distributed, common-prefix-aware suffix sort (operator 6).
 
-A suffix is a text's bytes from some place on, cut at ``LENGTH`` bytes; suffixes that start less than
-``LENGTH`` bytes before their document's end take no part. Two equal suffixes are a repeat.
-
-1. *Anchors.* Each suffix is named by the k-gram with the smallest hash inside it, so equal suffixes
-   have equal anchors at equal places. Neighbouring suffixes with one anchor occurrence are a range, whose
-   text is known by a hash. Anchors are shuffled on their hash: one that occurs once has no repeat;
-   ranges of equal text are repeats as wholes and one of them stands for all; where an anchor has
-   ranges of different text, one range of each text stays *open*. Map tasks do the same before the
-   shuffle and send at most two ranges for each anchor, so a frequent passage is no hot key.
-2. *Refinement.* The open ranges' text is taken out of the documents and step 1 is done again with long anchors.
-3. *Suffix sort.* Tasks sort what is still open into runs, front-code them (length of the prefix common with
-   the predecessor, rest), and exchange the pieces of the runs by ranges of the suffix order. A loser tree merges a
-   task's runs; it knows each candidate's common prefix with the last winner and compares only behind
-   it. Neighbours in the merged order with ``LENGTH`` common bytes are repeats.
+A suffix is a text's bytes from some place on, cut at ``LENGTH`` bytes; those that start less than
+``LENGTH`` bytes before their document's end take no part. Two equal suffixes are a repeat, and only the
+merge of sorted suffixes tells them, by their bytes. Three sorts follow each other, with k-grams of
+``GRAMS`` bytes; each sees what the one before left open:
+
+1. *Anchors.* A suffix is named by the k-gram with the smallest hash inside it, so equal suffixes have equal
+   anchors at equal places. Neighbours named by one anchor occurrence are a range: all of them are suffixes
+   of one string, the range's text. In the last sort a range is a single suffix.
+2. *Duplicate detection.* Anchors' hashes are exchanged; an anchor that occurs once has no repeat and its
+   range is left out, so that only suffixes whose distinguishing prefix is longer than the k-gram are sorted.
+   Tasks hand on at most two of each anchor, so a frequent passage is no hot key.
+3. *Merge sort.* Tasks sort the ranges' texts, from the anchor on, into runs, front-code them (length of the prefix common
+   with the predecessor, rest) and exchange the pieces of the runs by slices of the order. A loser tree
+   merges a slice's pieces; it knows each candidate's common prefix with the last winner and compares
+   only behind it. Neighbours that are equal as wholes are repeats. Neighbours that share the anchor but not
+   the whole may share some suffixes: one of each text stays *open* for the next sort. What a run
+   holds twice is told by the run itself and goes on once.
 
 Each byte that a repeat covers is removed. Null texts count as empty; rows that repeat an id and text are
 each other's repeats; rows with a null id are treated like others. Other columns are ignored.
@@ -22,31 +25,31 @@ each other's repeats; rows with a null id are treated like others. Other columns
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, saved, slices, worker_memory
+from .common import bounded_batches, discard, mixed, saved, slices, worker_memory
 
 LENGTH = 200
-#: k-gram lengths of step 1 and step 2.
-FIRST_GRAM, SECOND_GRAM = 64, 184
-#: Bytes that numpy works on at once, and ranges that a map task collapses at once.
-BLOCK_BYTES, FLUSH_RANGES = 2 << 20, 600_000
-#: Suffixes of one sorted run; suffixes that each splitter is chosen from, about.
-RUN, SPLIT_SAMPLE = 50_000, 16
-#: Suffixes for each range of the exchange.
-RANGE = 40_000
-
-#: A range: first start and number of suffixes in one 64-bit word.
-COUNT_BITS = 24
-MOST_COUNT = (1 << COUNT_BITS) - 1
-SENT, COVERED, OPEN, SENT_OPEN = 0, 1, 2, 3
-RANGES = "key bigint, kind tinyint, u bigint, rid bigint, pos bigint"
+#: k-gram lengths of the three sorts; the last must be LENGTH.
+GRAMS = (64, 184, LENGTH)
+#: Bytes that numpy works on at once, and ranges that a map task looks for doubles in at once.
+BLOCK_BYTES, FLUSH_RANGES = 1 << 20, 250_000
+#: Strings of one sorted run; strings for each slice of the order.
+RUN, SLICE = 50_000, 40_000
+#: Slices whose limits are chosen from a sample on the driver (at most), and strings sampled for each. Beyond them slices are cut by interpolation.
+MOST_LIMITS, SAMPLE = 2_000, 16
+
+#: The low bits of a hash that give way to its place in a block of BLOCK_BYTES and the longest overlap.
+PLACE_BITS = np.uint64(21)
+SENT, KNOWN, CANDIDATE = 0, 1, 2
+COVERED, OPEN = 0, 1
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -56,39 +59,40 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        p = np.full(max(n, BLOCK_BYTES + (1 << 18)), base, np.uint64)
+        p = np.full(max(n, BLOCK_BYTES + 2 * LENGTH), base, np.uint64)
         p[0] = 1
         _powers[int(base)] = have = np.multiply.accumulate(p)
     return have[:n]
 
 
-def packed(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << COUNT_BITS) | count.astype(np.int64)
+def packed(start: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A range in one word: its first suffix's start, the anchor's distance from it and the number of suffixes (both below 256)."""
+    return (start.astype(np.int64) << 16) | (offset.astype(np.int64) << 8) | count.astype(np.int64)
 
 
-def unpacked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return pos >> COUNT_BITS, pos & MOST_COUNT
+def unpacked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pos >> 16, (pos >> 8) & 255, pos & 255
 
 
 def ranges(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of the suffixes in pieces of ``data`` that end at ``ends``: anchor hash, text hash, start in ``data``, count."""
+    """Ranges of the suffixes in pieces of ``data`` (at most 2**PLACE_BITS bytes) that end at ``ends``: anchor hash, start in ``data``, anchor's offset, count."""
     n, width = len(data), LENGTH - gram + 1
-    empty = np.zeros(0, np.uint64)
     if n < LENGTH:
-        return empty, empty, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = powers(ODD, n), powers(INVERSE, n)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    h = mixed((total[gram:] - total[:-gram]) * down[: n - gram + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal hashes
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(ODD, n), out=total[1:])
+    h = mixed((total[gram:] - total[:-gram]) * powers(INVERSE, n)[: n - gram + 1])
+    del total
+    # the leftmost of the smallest; equal texts choose alike, wherever they stand
+    low = (h >> PLACE_BITS << PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = (low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    del low
     room = np.repeat(ends, np.diff(np.append(0, ends)))[: len(anchor)] - np.arange(len(anchor))
     valid = room >= LENGTH
     first = valid.copy()
@@ -96,188 +100,140 @@ def ranges(data: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, n
     last = valid.copy()
     last[:-1] &= first[1:] | ~valid[1:]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = (stop - start).astype(np.uint64)
-    u = mixed(((total[stop - 1 + LENGTH] - total[start]) * down[start]) ^ (size << np.uint64(48)) ^ (anchor[start] - start).astype(np.uint64))
-    return h[anchor[start]], u, start, stop - start
-
-
-def classes(key: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key and u, where classes (equal both) begin, each row's class size and its key's number of classes."""
-    order = np.lexsort((u, key))
-    k, v = key[order], u[order]
-    new_key = np.ones(len(k), bool)
-    new_key[1:] = k[1:] != k[:-1]
-    new = new_key.copy()
-    new[1:] |= v[1:] != v[:-1]
-    cls, grp = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-    size = np.bincount(cls)[cls] if len(k) else cls
-    many = np.bincount(grp[new])[grp] if len(k) else grp
-    return order, new, size, many
-
-
-def batch_of(key, kind, u, rid, pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int8()), pa.array(u, pa.int64()), pa.array(rid, pa.int64()), pa.array(pos, pa.int64())], ["key", "kind", "u", "rid", "pos"])
-
-
-def sent(key: np.ndarray, u: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What a map task hands on of its ranges: covered and open ones as such, and at most two of each anchor for others to see."""
-    order, new, size, many = classes(key, u)
-    key, u, rid, pos = key[order], u[order], rid[order], pos[order]
-    home = mixed(rid.view(np.uint64)).view(np.int64)  # covered and open ranges only pass through the exchange
-    covered = size > 1
-    opened = new & (many > 1)
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    last_class = np.zeros(len(key), bool)
-    if len(key):
-        at = np.flatnonzero(new)
-        last_class[at] = np.append(key[at][1:] != key[at][:-1], True)
-    ends = new & (first | last_class)
-    for pick, kind, k in ((covered, COVERED, home), (opened, OPEN, home), (ends & (many == 1), SENT, key), (ends & (many > 1), SENT_OPEN, key)):
-        i = np.flatnonzero(pick)
-        for a in range(0, len(i), 1 << 16):
-            j = i[a : a + (1 << 16)]
-            yield batch_of(k[j], np.full(len(j), kind), u[j], rid[j], pos[j])
-
-
-def collapsing(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    worker_memory("suffixes", _powers.clear)
-    held: list[tuple] = []
-    n = 0
-    for part in parts:
-        held.append(part)
-        n += len(part[0])
-        if n >= FLUSH_RANGES:
-            yield from sent(*(np.concatenate(c) for c in zip(*held)))
-            held, n = [], 0
-    if held:
-        yield from sent(*(np.concatenate(c) for c in zip(*held)))
+    return h[anchor[start]], start, anchor[start] - start, stop - start
 
 
-def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shuffle partition's ranges: anchors' groups become covered and open ranges, the rest passes."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        kind = b.column("kind").to_numpy()
-        passing = (kind == COVERED) | (kind == OPEN)
-        if passing.any():
-            yield b.filter(pa.array(passing))
-        if not passing.all():
-            held.append(b.filter(pa.array(~passing)))
-    if not held:
-        return
-    key, kind, u, rid, pos = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "kind", "u", "rid", "pos"))
-    order, new, size, many = classes(key, u)
-    key, kind, u, rid, pos = key[order], kind[order], u[order], rid[order], pos[order]
-    cls = np.cumsum(new) - 1
-    stands = np.bincount(cls, kind == SENT_OPEN) > 0 if len(key) else np.zeros(0, bool)
-    covered, opened = size > 1, new & (many > 1) & ~stands[cls]
-    for pick, k in ((covered, COVERED), (opened, OPEN)):
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes of about BLOCK_BYTES with their pieces' ends, uid and first place in their unit. Longer units come in pieces whose suffixes don't overlap."""
+    for batch in slices(batches, "body", BLOCK_BYTES // 2):
+        body, uid = batch.column("body").to_pylist(), batch.column("uid").to_numpy()
+        parts = [(b[lo : lo + BLOCK_BYTES // 2 + LENGTH - 1], u, lo) for b, u in zip(body, uid.tolist()) for lo in range(0, max(1, len(b) - LENGTH + 1), BLOCK_BYTES // 2)]
+        held: list[tuple[bytes, int, int]] = []
+        n = 0
+        for k, part in enumerate(parts):
+            held.append(part)
+            n += len(part[0])
+            if k + 1 == len(parts) or n + len(parts[k + 1][0]) > BLOCK_BYTES:
+                data, u, lo = zip(*held)
+                yield np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]), np.array(u, np.int64), np.array(lo, np.int64)
+                held, n = [], 0
+
+
+def range_batch(key, kind, uid, pos) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int8()), pa.array(uid, pa.int64()), pa.array(pos, pa.int64())], ["key", "kind", "uid", "pos"])
+
+
+def sent(key: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a map task hands on of its ranges: those whose anchor it has seen twice as candidates, their anchors once for others to know, the rest as they are."""
+    order = np.argsort(key, kind="stable")
+    key, uid, pos = key[order], uid[order], pos[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    single = new & np.append(new[1:], True)
+    home = mixed(uid.view(np.uint64)).view(np.int64)  # candidates only pass through the exchange
+    for pick, kind, k in ((~single, CANDIDATE, home), (new & ~single, KNOWN, key), (single, SENT, key)):
         i = np.flatnonzero(pick)
-        if len(i):
-            yield batch_of(key[i], np.full(len(i), k), u[i], rid[i], pos[i])
-
-
-def exchanged(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Map ``rows`` to ranges, shuffle them on their anchors and settle: ``kind, rid, pos``, written."""
-    return saved(rows.mapInArrow(step, RANGES).repartition("key").mapInArrow(settled, RANGES).select("kind", "rid", "pos"))
-
-
-def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
-        for batch in slices(batches, "body", BLOCK_BYTES):
-            bodies = batch.column("body")
-            sizes = np.array([len(x) if x else 0 for x in bodies.to_pylist()], np.int64)
-            data = np.frombuffer(b"".join(x or b"" for x in bodies.to_pylist()), np.uint8)
-            ends, rid = np.cumsum(sizes), batch.column("rid").to_numpy()
-            h, u, start, count = ranges(data, ends, FIRST_GRAM)
-            doc = np.searchsorted(ends, start, "right")
-            yield h.view(np.int64), u.view(np.int64), rid[doc], packed(start - (ends - sizes)[doc], count)
-            # rows of the same id and text are told by their rid
-            i = np.flatnonzero(sizes >= LENGTH)
-            suffixes = sizes[i] - LENGTH + 1
-            pieces = -(-suffixes // MOST_COUNT)
-            i, lo = np.repeat(i, pieces), (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MOST_COUNT
-            own = mixed(rid[i].view(np.uint64) + lo.astype(np.uint64)).view(np.int64)
-            yield own, np.zeros(len(i), np.int64), rid[i], packed(lo, np.minimum(np.repeat(suffixes, pieces) - lo, MOST_COUNT))
-
-    return collapsing(parts())
-
-
-def merged_spans(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted, touching ranges of starts put together: first, stop."""
-    start, count = unpacked(np.sort(pos))
-    stop = np.maximum.accumulate(start + count)
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > stop[:-1]
-    return start[new], np.append(stop[:-1][new[1:]], stop[-1:])
-
+        for a in range(0, len(i), 1 << 16):
+            j = i[a : a + (1 << 16)]
+            yield range_batch(k[j], np.full(len(j), kind), uid[j], pos[j])
 
-def segments(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``rid, lo, body``: the text under each stretch of open suffixes."""
-    opened = found.filter(f"kind = {OPEN}").groupBy("rid").agg(F.collect_list("pos").alias("at"))  # bounded by the document's length
 
+def detecting(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body"):
-            out: list[tuple] = []
-            for rid, body, at in zip(batch.column("rid").to_pylist(), batch.column("body").to_pylist(), batch.column("at").to_pylist()):
-                for lo, hi in zip(*(x.tolist() for x in merged_spans(np.array(at, np.int64)))):
-                    out.append((rid, lo, body[lo : hi - 1 + LENGTH]))
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["rid", "lo", "body"])
-
-    long_enough = docs.filter(F.octet_length("body") >= LENGTH)
-    return saved(long_enough.join(opened, "rid").mapInArrow(run, "rid bigint, lo bigint, body binary"))
-
-
-def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
-        for batch in slices(batches, "body", BLOCK_BYTES):
-            bodies = batch.column("body").to_pylist()
-            sizes = np.array([len(x) for x in bodies], np.int64)
-            ends, rid, lo = np.cumsum(sizes), batch.column("rid").to_numpy(), batch.column("lo").to_numpy()
-            h, u, start, count = ranges(np.frombuffer(b"".join(bodies), np.uint8), ends, SECOND_GRAM)
+        worker_memory("suffixes", _powers.clear)
+        held: list[tuple] = []
+        n = 0
+        for data, ends, uid, lo in blocks(batches):
+            h, start, offset, count = ranges(data, ends, gram)
             piece = np.searchsorted(ends, start, "right")
-            yield h.view(np.int64), u.view(np.int64), rid[piece], packed(start - (ends - sizes)[piece] + lo[piece], count)
+            held.append((h.view(np.int64), uid[piece], packed(start - np.append(0, ends)[piece] + lo[piece], offset, count)))
+            n += len(h)
+            if n >= FLUSH_RANGES:
+                yield from sent(*(np.concatenate(c) for c in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from sent(*(np.concatenate(c) for c in zip(*held)))
 
-    return collapsing(parts())
+    return run
 
 
-def open_suffixes(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
-    """(suffix, rid, start) of a segment's suffixes in its document's open ranges."""
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of a partition sorted by ``key``: those sent as such, and the ranges of anchors that came twice. Of the last anchor of a batch, one range and whether it is known are held."""
+    held: tuple | None = None  # (key, known, uid, pos); uid None: nothing left to tell
+    for b in batches:
+        key, kind, uid, pos = (b.column(c).to_numpy() for c in ("key", "kind", "uid", "pos"))
+        passing = kind == CANDIDATE
+        out = [(uid[passing], pos[passing])]
+        key, kind, uid, pos = key[~passing], kind[~passing], uid[~passing], pos[~passing]
+        if len(key):
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            grp = np.cumsum(new) - 1
+            many = (np.bincount(grp) > 1) | (np.bincount(grp, kind == KNOWN) > 0)
+            if held is not None and held[0] == key[0]:
+                many[0] = True
+                if held[2] is not None:
+                    out.append((np.array([held[2]], np.int64), np.array([held[3]], np.int64)))
+            told = many[grp] & (kind == SENT)
+            out.append((uid[told], pos[told]))
+            held = (key[-1], True, None, None) if many[-1] else (key[-1], False, uid[-1], pos[-1])
+        u, p = (np.concatenate(c) for c in zip(*out))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(p, pa.int64())], ["uid", "pos"])
+
+
+def candidates(units: DataFrame, gram: int) -> DataFrame:
+    """``uid, pos`` of the ranges whose anchor occurs more than once; written."""
+    rows = units.select("uid", "body").mapInArrow(detecting(gram), "key bigint, kind tinyint, uid bigint, pos bigint")
+    return saved(rows.repartition("key").sortWithinPartitions("key").mapInArrow(settled, "uid bigint, pos bigint"))
+
+
+def strings(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
+    """(text from the anchor on, then the text before it and its length; rid; range in the document) of a batch's candidates."""
     for rid, lo, body, at in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "body", "at"))):
-        hi = lo + len(body) - LENGTH + 1
-        for first, count in zip(*(x.tolist() for x in unpacked(np.array(at, np.int64)))):
-            for p in range(max(first, lo), min(first + count, hi)):
-                yield body[p - lo : p - lo + LENGTH], rid, p
-
-
-def common(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix of two suffixes whose first ``known`` bytes are equal."""
-    x = int.from_bytes(a[known:]) ^ int.from_bytes(b[known:])
-    return len(a) - (x.bit_length() + 7) // 8
+        for p in at:
+            start, offset, count = p >> 16, (p >> 8) & 255, p & 255
+            a = start + offset
+            yield body[a : start + count - 1 + LENGTH] + body[start:a] + bytes((offset,)), rid, p + (lo << 16)
 
 
-def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes]:
-    """Common prefix lengths with the predecessor (0 for the first), and the rests in a row."""
-    m = np.frombuffer(b"".join(suffixes), np.uint8).reshape(-1, LENGTH)
-    lcp = np.zeros(len(m), np.uint8)
-    if len(m) > 1:
-        lcp[1:] = (m[1:] != m[:-1]).argmax(1)
-    return lcp.tobytes(), b"".join([s[k:] for s, k in zip(suffixes, lcp.tolist())])
+def range_text(s: bytes) -> bytes:
+    """A range's text in its own order, of its string."""
+    n = s[-1]
+    return s[len(s) - 1 - n : -1] + s[: len(s) - 1 - n]
 
 
-def decoded(lcp: bytes, tails: bytes, rid: bytes, start: bytes) -> Iterator[tuple[int, bytes, int, int]]:
+def common(a: bytes, b: bytes, known: int) -> int:
+    """Length of the common prefix of two strings whose first ``known`` bytes are equal."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])
+    return n - (x.bit_length() + 7) // 8
+
+
+def front_coded(run: list[tuple[bytes, int, int]]) -> tuple[bytes, bytes, int, bytes, bytes, bytes]:
+    """A sorted piece: common prefix lengths with the predecessor (0 for the first), lengths, number of the rests' bytes, the rests compressed, rids, ranges."""
+    lcp, tails, last = [], [], b""
+    for s, _, _ in run:
+        k = common(last, s, 0)
+        lcp.append(k)
+        tails.append(s[k:])
+        last = s
+    raw = b"".join(tails)
+    numbers = (np.array([x[c] for x in run], np.int64).tobytes() for c in (1, 2))
+    return np.array(lcp, np.uint16).tobytes(), np.array([len(s) for s, _, _ in run], np.uint16).tobytes(), len(raw), pa.compress(raw, "zstd", asbytes=True), *numbers
+
+
+def decoded(lcp: bytes, size: bytes, n_raw: int, rests: bytes, rid: bytes, pos: bytes) -> Iterator[tuple[int, bytes, int, int]]:
+    tails = pa.decompress(rests, n_raw, "zstd", asbytes=True)
     last, at = b"", 0
-    for k, r, s in zip(lcp, np.frombuffer(rid, np.int64).tolist(), np.frombuffer(start, np.int64).tolist()):
-        n = LENGTH - k
-        last = last[:k] + tails[at : at + n]
-        at += n
-        yield k, last, r, s
+    for k, n, r, p in zip(*(np.frombuffer(b, kind).tolist() for b, kind in ((lcp, np.uint16), (size, np.uint16), (rid, np.int64), (pos, np.int64)))):
+        last = last[:k] + tails[at : at + n - k]
+        at += n - k
+        yield k, last, r, p
 
 
 class LoserTree:
-    """Merges sorted runs of (common prefix with the run's predecessor, suffix, rid, start).
+    """Merges sorted runs of (common prefix with the run's predecessor, string, rid, range).
 
     Every loser keeps the length of its common prefix with the one that beat it last. When two meet
     whose lengths differ, the longer one is smaller and nothing is compared; else they are compared behind it.
@@ -309,7 +265,7 @@ class LoserTree:
             return b
         s, t = x[1], y[1]
         n = common(s, t, self.lcp[a])
-        if n == LENGTH or s[n] < t[n]:
+        if n == len(s) or (n < len(t) and s[n] < t[n]):
             self.lcp[b] = n
             self.loser[node] = b
             return a
@@ -317,11 +273,11 @@ class LoserTree:
         self.loser[node] = a
         return b
 
-    def __iter__(self) -> Iterator[tuple[int, int, int]]:
-        """(common prefix with the suffix before, rid, start) in the suffixes' order."""
+    def __iter__(self) -> Iterator[tuple[int, bytes, int, int]]:
+        """(common prefix with the string before, string, rid, range) in order."""
         while (x := self.entry[self.winner]) is not None:
             w = self.winner
-            yield self.lcp[w], x[2], x[3]
+            yield self.lcp[w], *x[1:]
             self.entry[w] = nxt = next(self.runs[w], None)
             self.lcp[w] = nxt[0] if nxt else 0
             node = (w + self.k) // 2
@@ -331,130 +287,173 @@ class LoserTree:
             self.winner = w
 
 
-def repeats(merged: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """(rid, start) of each suffix with a neighbour of LENGTH common bytes."""
-    before, told = None, False
-    for lcp, rid, start in merged:
-        if lcp == LENGTH:
-            if not told:
-                yield before
-            yield rid, start
-            told = True
+def told(merged: Iterator[tuple[int, bytes, int, int]], gram: int) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """(COVERED, rid, range, None) of strings that equal a neighbour; (OPEN, rid, range, string) of one of each text among those that share an anchor.
+
+    The anchors of the slice's first and last string may have others beyond it: their texts are open too.
+    """
+    last: tuple | None = None  # first of the running text: (string, rid, range)
+    alone = telling = True  # is the running text a single string; are its anchor's texts open
+    for lcp, s, rid, pos in merged:
+        if last is not None and lcp == len(s) == len(last[0]):
+            if alone:
+                yield COVERED, last[1], last[2], None
+            alone = False
+            yield COVERED, rid, pos, None
+            continue
+        if last is not None:
+            same = lcp >= gram
+            if same or telling:
+                yield OPEN, last[1], last[2], last[0]
+            telling = same
+        last, alone = (s, rid, pos), True
+    if last is not None:
+        yield OPEN, last[1], last[2], last[0]
+
+
+def slice_limits(keys: list[bytes], n: int) -> list[bytes]:
+    """At most ``n`` - 1 limits that cut the sorted sample in equal parts."""
+    return sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
+
+
+def interpolated(s: bytes, lo: bytes, hi: bytes | None, n: int) -> int:
+    """Which of ``n`` parts of the order between two limits a string is in, by the bytes behind the limits' common prefix."""
+    k = 0 if hi is None else common(lo, hi, 0)
+    at = lambda x: int.from_bytes(x[k : k + 8].ljust(8, b"\0"))
+    low, high = at(lo), 1 << 64 if hi is None else at(hi) + 1
+    return min(n - 1, max(0, at(s) - low) * n // (high - low))
+
+
+PIECE = ["slice", "part", "lcp", "size", "n_raw", "rests", "rid", "pos"]
+PIECE_KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+
+def pieces(run: list[tuple[bytes, int, int]], limits: list[bytes], parts: int) -> list[tuple]:
+    """A run, sorted, cut by slices and parts of them and front-coded. Repeats inside are told at once, as a piece of slice -1, and go on once."""
+    run.sort()
+    doubled: list[tuple[int, int]] = []
+    kept, telling = [], True
+    for x in run:
+        if kept and kept[-1][0] == x[0]:
+            if telling:
+                doubled.append(kept[-1][1:])
+            doubled.append(x[1:])
+            telling = False
         else:
-            told = False
-        before = (rid, start)
-
-
-def starts_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Single starts, put together to ranges of one document."""
-    found.sort()
-    rid, start = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    new = np.ones(len(rid), bool)
-    new[1:] = (rid[1:] != rid[:-1]) | (start[1:] > start[:-1] + 1)
-    at = np.flatnonzero(new)
-    last = start[np.append(at[1:], len(start)) - 1] if len(at) else start
-    return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(packed(start[at], last - start[at] + 1))], ["rid", "pos"])
-
-
-def suffix_sort(segs: DataFrame, found: DataFrame) -> DataFrame:
-    """``rid, pos``: the repeats among the open suffixes, by runs, exchange and merge."""
-    opened = found.filter(f"kind = {OPEN}")
-    total = opened.agg(F.sum(F.col("pos").bitwiseAND(F.lit(MOST_COUNT)))).first()[0] or 0
-    rows = saved(segs.join(opened.groupBy("rid").agg(F.collect_list("pos").alias("at")), "rid"))
-    targets = max(1, -(-total // RANGE))
-    rate = min(1.0, SPLIT_SAMPLE * targets / max(1, total))
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            limit = int(rate * (1 << 64)) - 1
-            keys = sampled(batch, int(rate * ((1 << 64) - 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
-
-    keys = sorted(bytes(r["key"]) for r in rows.mapInArrow(sample, "key binary").collect()) if targets > 1 else []  # about SPLIT_SAMPLE suffixes for each range
-    splitters = [keys[len(keys) * k // targets] for k in range(1, targets)] if keys else []
-
-    def pieces(run: list[tuple[bytes, int, int]], doubled: list[tuple[int, int]]) -> list[tuple]:
-        """A sorted run without repeats inside, cut at the splitters and front-coded; the repeats inside are told at once."""
-        run.sort()
-        kept, last, told = [], None, False
-        for x in run:
-            if last is not None and x[0] == last[0]:
-                if not told:
-                    doubled.append(last[1:])
-                doubled.append(x[1:])
-                told = True
-            else:
-                kept.append(x)
-                last, told = x, False
-        out, lo = [], 0
-        names = [x[0] for x in kept]
-        while lo < len(kept):
-            target = bisect_right(splitters, names[lo])
-            hi = bisect_right(names, splitters[target], lo) if target < len(splitters) else len(kept)
-            hi = hi if hi == len(kept) or names[hi - 1] < splitters[target] else hi - 1
-            hi = max(hi, lo + 1)
-            part = kept[lo:hi]
-            out.append((target, *front_coded(names[lo:hi]), np.array([x[1] for x in part], np.int64).tobytes(), np.array([x[2] for x in part], np.int64).tobytes()))
-            lo = hi
-        return out
-
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    columns = ["target", "lcp", "tails", "rid", "start"]
+            kept.append(x)
+            telling = True
+    out = []
+    names = [x[0] for x in kept]
+    cuts = [0, *(bisect_left(names, x) for x in limits), len(kept)]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if parts == 1 or a == b:
+            if a < b:
+                out.append((k, 0, *front_coded(kept[a:b])))
+            continue
+        lo, hi = limits[k - 1] if k else b"", limits[k] if k < len(limits) else None
+        which = [interpolated(s, lo, hi, parts) for s in names[a:b]]
+        for part in sorted(set(which)):
+            i, j = bisect_left(which, part), bisect_left(which, part + 1)
+            out.append((k, part, *front_coded(kept[a + i : a + j])))
+    if doubled:
+        out.append((-1, 0, b"", b"", 0, b"", *(np.array(c, np.int64).tobytes() for c in zip(*doubled))))
+    return out
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int]] = []
 
-        def flush() -> pa.RecordBatch:
-            doubled: list[tuple[int, int]] = []
-            out = pieces(held, doubled)
-            if doubled:  # target -1: known repeats
-                out.append((-1, b"", b"", *(np.array(c, np.int64).tobytes() for c in zip(*doubled))))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
+TOLD = "kind tinyint, rid bigint, pos bigint, text binary"
 
-        for batch in batches:
-            for x in open_suffixes(batch):
+
+def told_batch(kind: list[int], rid, pos, text: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(rid, pa.int64()), pa.array(pos, pa.int64()), pa.array(text, pa.binary())], ["kind", "rid", "pos", "text"])
+
+
+def suffix_sort(units: DataFrame, found: DataFrame, gram: int) -> DataFrame:
+    """``kind, rid, pos, text`` of the candidates ``found`` of ``units``, by runs, exchange and merge: repeats, and what stays open with its text; written."""
+    total = found.count()
+    n = max(1, min(MOST_LIMITS, -(-total // SLICE)))
+    parts = max(1, -(-total // (SLICE * n)))
+    limits: list[bytes] = []
+    if n > 1:
+        rate = min(1.0, SAMPLE * n / total)
+        some = found.filter(F.xxhash64("uid", "pos") <= F.lit(int(rate * 2**64) - 2**63 - 1)).groupBy("uid").agg(F.collect_set("pos").alias("at"))
+
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "body"):
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in strings(batch)], pa.binary())], ["key"])
+
+        # about SAMPLE strings of some hundred bytes for each limit, 10 MB at most
+        limits = slice_limits(sorted(bytes(r["key"]) for r in units.join(F.broadcast(some), "uid").mapInArrow(sample, "key binary").collect()), n)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("suffixes", _powers.clear)
+        held: list[tuple[bytes, int, int]] = []
+        for batch in slices(batches, "body"):
+            for x in strings(batch):
                 held.append(x)
                 if len(held) >= RUN:
-                    yield flush()
+                    yield from flushed(held)
                     held = []
         if held:
-            yield flush()
+            yield from flushed(held)
+
+    def flushed(held: list[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        out = pieces(held, limits, parts)
+        for a in range(0, len(out), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 64]), PIECE_KINDS)], PIECE)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple]] = {}
+        """One slice after the other; only the pieces of one are held."""
+        held: list[tuple] = []
+        where = None
         for batch in batches:
-            for target, *rest in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if target < 0:
-                    yield starts_batch([*zip(np.frombuffer(rest[2], np.int64).tolist(), np.frombuffer(rest[3], np.int64).tolist())])
-                else:
-                    by.setdefault(target, []).append(rest)
-        for target in sorted(by):
-            found = list(repeats(LoserTree([decoded(*r) for r in by.pop(target)])))
-            if found:
-                yield starts_batch(found)
-
-    parts = rows.mapInArrow(runs, "target int, lcp binary, tails binary, rid binary, start binary")
-    # pieces of known repeats go anywhere; a range's pieces go to one task
-    spread = F.when(F.col("target") < 0, F.xxhash64("rid")).otherwise(F.col("target").cast("long"))
-    return saved(parts.repartition(spread).mapInArrow(merge, "rid bigint, pos bigint"))
-
-
-def sampled(batch: pa.RecordBatch, limit: int) -> list[bytes]:
-    """Suffixes of a batch whose place hashes below a limit."""
+            for *at, lcp, size, n_raw, rests, rid, pos in zip(*(batch.column(c).to_pylist() for c in PIECE)):
+                if at[0] < 0:
+                    r, p = np.frombuffer(rid, np.int64), np.frombuffer(pos, np.int64)
+                    yield told_batch([COVERED] * len(r), r, p, [None] * len(r))
+                    continue
+                if held and at != where:
+                    yield from merged(held)
+                    held = []
+                where = at
+                held.append((lcp, size, n_raw, rests, rid, pos))
+        if held:
+            yield from merged(held)
+
+    def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for x in told(iter(LoserTree([decoded(*p) for p in held])), gram):
+            if x[0] == COVERED or gram < LENGTH:  # whole suffixes leave nothing open
+                out.append(x if x[0] == COVERED else (*x[:3], range_text(x[3])))
+            if len(out) >= 10_000:
+                yield told_batch(*zip(*out))
+                out = []
+        if out:
+            yield told_batch(*zip(*out))
+
+    rows = units.join(found.groupBy("uid").agg(F.collect_set("pos").alias("at")), "uid")  # bounded by the unit's length
+    cut = rows.mapInArrow(runs, "slice int, part bigint, lcp binary, size binary, n_raw bigint, rests binary, rid binary, pos binary")
+    # pieces of known repeats go anywhere; a slice's pieces go to one task
+    home = F.when(F.col("slice") < 0, F.xxhash64("rid")).otherwise(F.xxhash64("slice", "part"))
+    return saved(cut.repartition(home).sortWithinPartitions("slice", "part").mapInArrow(merge, TOLD))
+
+
+def repeated(docs: DataFrame) -> list[DataFrame]:
+    """``rid, pos``: all ranges of suffixes that repeat, of the bodies of ``docs``; a written table of each sort."""
+    units = bodies(docs).select(F.col("rid").alias("uid"), "rid", F.lit(0).cast("long").alias("lo"), "body").filter(F.octet_length("body") >= LENGTH)
     out = []
-    for rid, lo, body, at in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "body", "at"))):
-        hi = lo + len(body) - LENGTH + 1
-        for first, count in zip(*(x.tolist() for x in unpacked(np.array(at, np.int64)))):
-            p = np.arange(max(first, lo), min(first + count, hi))
-            if len(p):
-                low = mixed(np.uint64(rid & (2**64 - 1)) ^ (p.astype(np.uint64) << np.uint64(20))) <= np.uint64(limit)
-                out += [body[q - lo : q - lo + LENGTH] for q in p[low].tolist()]
+    for gram in GRAMS:
+        found = candidates(units, gram)
+        done = suffix_sort(units, found, gram)
+        discard(found)
+        out.append(done.filter(f"kind = {COVERED}").select("rid", "pos"))
+        lo = F.shiftright("pos", 16)
+        units = done.filter(f"kind = {OPEN}").select(F.xxhash64("rid", "pos").alias("uid"), "rid", lo.alias("lo"), F.col("text").alias("body"))
     return out
 
 
 def removed(docs: DataFrame, covered: DataFrame, step: Callable, schema: str) -> DataFrame:
     """Join each document with its covered ranges and map both by ``step(batch, list of (first, stop) byte spans)``."""
-    spans = covered.groupBy("rid").agg(F.collect_list("pos").alias("at"))  # bounded by the document's length
+    spans = covered.groupBy("rid").agg(F.collect_set("pos").alias("at"))  # bounded by the document's length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
@@ -463,11 +462,15 @@ def removed(docs: DataFrame, covered: DataFrame, step: Callable, schema: str) ->
     return docs.join(spans, "rid", "left").mapInArrow(run, schema)
 
 
+def whole(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def byte_spans(at: list[int] | None) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes from ranges of repeats' starts."""
     if not at:
         return []
-    start, count = unpacked(np.sort(np.array(at, np.int64)))
+    start, _, count = unpacked(np.sort(np.array(at, np.int64)))
     stop = np.maximum.accumulate(start + count - 1 + LENGTH)
     new = np.ones(len(start), bool)
     new[1:] = start[1:] > stop[:-1]
@@ -490,17 +493,6 @@ def bodies(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, body).alias("rid"), doc_id.alias("doc_id"), body.alias("body"), *more)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``rid, pos``: all ranges of suffixes that repeat, of the bodies of ``docs``."""
-    rows = bodies(docs).select("rid", "body")
-    found = exchanged(rows, first_pass)
-    segs = segments(rows, found)
-    again = exchanged(segs, second_pass)
-    last = suffix_sort(segs, again)
-    covered = [x.filter(f"kind = {COVERED}").select("rid", "pos") for x in (found, again)]
-    return covered[0].unionByName(covered[1]).unionByName(last)
-
-
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     bounded_batches(docs.sparkSession)
@@ -512,7 +504,7 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
         sha = [hashlib.sha256(kept_bytes(b, s)).hexdigest() for b, s in zip(all_bodies, spans)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(bodies(docs), repeated(docs), step, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return removed(bodies(docs), whole(repeated(docs)), step, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -527,6 +519,6 @@ def dedup(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), *(batch.column(n) for n in names)], ["doc_id", "text", *names])
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    out = removed(rows, repeated(docs), step, "doc_id bigint, text string" + (f", {kinds}" if kinds else ""))
+    out = removed(rows, whole(repeated(docs)), step, "doc_id bigint, text string" + (f", {kinds}" if kinds else ""))
     back = dict(zip(others, names)) | {"doc_id": "doc_id", "text": "text"}
     return out.select(*(F.col(back[c]).alias(c) for c in docs.columns))

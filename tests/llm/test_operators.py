@@ -117,32 +117,76 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("run,piece", [(50_000, 40_000), (60, 100)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, run, piece):
-    monkeypatch.setattr(substring_dedup, "RUN", run)
-    monkeypatch.setattr(substring_dedup, "RANGE", piece)
+def check_suffix_dedup(spark, rows, parts=3):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = Counter(tuple(r) for r in substring_dedup.dedup_digest(docs).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows])))
+    return docs
+
+
+SMALL = {"RUN": 60, "SLICE": 40, "BLOCK_BYTES": 1 << 11, "FLUSH_RANGES": 100}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL, SMALL | {"MOST_LIMITS": 2}])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(substring_dedup, name, value)
     shared = [prose(60, 900 + k) for k in range(4)]
     texts = [prose(30, k) + shared[k % 4][: 150 + 13 * (k % 9)] + prose(20, 50 + k) for k in range(40)]
     texts += ["a" * 700, "ab" * 300, None, "", "x" * 199, "q" * 200 + "r", "é" * 150 + prose(40, 7), "é" * 150 + prose(40, 8)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(1000, prose(50, 77)), (1000, prose(50, 77)), (None, prose(50, 78))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = Counter(tuple(r) for r in substring_dedup.dedup_digest(docs).collect())
-    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows])))
+    rows += [(2000, prose(900, 3)), (2001, "start " + prose(900, 3)), (2002, prose(300, 4) + prose(300, 3)[40:900])]
+    docs = check_suffix_dedup(spark, rows)
     assert substring_dedup.dedup(docs).columns == docs.columns
+    assert substring_dedup.dedup_digest(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_with_odd_cuts(spark, monkeypatch, seed):
+    """Passages cut at random from few sources, so that most repeats are shorter than a whole range or just too short."""
+    r = random.Random(seed)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", r.choice([1 << 11, 1 << 14]))
+    monkeypatch.setattr(substring_dedup, "SLICE", 50)
+    sources = [prose(200, 70 + k) for k in range(3)] + ["ab" * 60 + "c" * 150 + "abc" * 60]
+    rows = []
+    for k in range(60):
+        text = ""
+        for _ in range(r.randint(1, 3)):
+            s = r.choice(sources)
+            lo = r.randrange(len(s))
+            text += s[lo : lo + r.randint(150, 420)] + prose(r.randint(0, 8), 1000 * seed + k)
+        rows.append((k, text))
+    check_suffix_dedup(spark, rows, 4)
+
+
+def test_anchors_do_not_depend_on_the_batch():
+    text = prose(300, 6).encode()
+    alone = substring_dedup.ranges(np.frombuffer(text, np.uint8), np.array([len(text)]), 64)
+    other = prose(9000, 8).encode()
+    h, start, offset, count = substring_dedup.ranges(np.frombuffer(other + text, np.uint8), np.array([len(other), len(other) + len(text)]), 64)
+    own = start >= len(other)
+    assert [x.tolist() for x in alone] == [h[own].tolist(), (start[own] - len(other)).tolist(), offset[own].tolist(), count[own].tolist()]
 
 
 def test_loser_tree_orders_and_knows_prefixes():
     r = random.Random(3)
-    suffixes = [bytes(r.choice(b"ab") for _ in range(12)) + bytes(188) for _ in range(300)]
+    names = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))) + bytes(r.randint(0, 30)) for _ in range(300)]
     runs = []
     for k in range(5):
-        part = sorted(set(suffixes[k::5]))
-        ids = np.arange(len(part), dtype=np.int64).tobytes()
-        runs.append(substring_dedup.decoded(*substring_dedup.front_coded(part), ids, ids))
-    lcps = [x[0] for x in substring_dedup.LoserTree(runs)]
-    whole = sorted(s for k in range(5) for s in set(suffixes[k::5]))
-    want = [0] + [next((i for i in range(200) if a[i] != b[i]), 200) for a, b in zip(whole, whole[1:])]
-    assert lcps == want
+        part = sorted(set(names[k::5]))
+        runs.append(substring_dedup.decoded(*substring_dedup.front_coded([(s, i, i) for i, s in enumerate(part)])))
+    got = list(substring_dedup.LoserTree(runs))
+    whole = sorted(s for k in range(5) for s in set(names[k::5]))
+    assert [x[1] for x in got] == whole
+    assert [x[0] for x in got] == [0] + [next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))) for a, b in zip(whole, whole[1:])]
+
+
+def test_interpolation_keeps_the_order():
+    r = random.Random(9)
+    names = sorted(b"pre" + bytes(r.choices(b"abcxyz", k=r.randint(1, 12))) for _ in range(500))
+    for lo, hi in ((b"", None), (names[50], names[300])):
+        which = [substring_dedup.interpolated(s, lo, hi, 7) for s in names if s >= lo and (hi is None or s < hi)]
+        assert which == sorted(which) and 0 <= min(which) and max(which) < 7
 
 
 def test_near_duplicates_equal_brute_force(spark, edge_docs, monkeypatch):
