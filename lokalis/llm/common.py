@@ -44,13 +44,17 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete what ``saved`` wrote for these tables, once everything made of them is written, and let go of finished shuffles' files."""
+    """Delete what ``saved`` wrote for these tables, once everything made of them is written."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let go of finished shuffles' files now: Spark deletes them when the driver's collector finds them unused."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()  # Spark drops a shuffle's files when the driver's collector finds it unused
+    spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:

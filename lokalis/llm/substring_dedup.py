@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, mixed, saved, slices, worker_memory
+from .common import bounded_batches, discard, drop_shuffles, mixed, saved, slices, worker_memory
 
 LENGTH = 200
 #: k-gram lengths of the three sorts; the last must be LENGTH.
@@ -445,6 +445,7 @@ def repeated(docs: DataFrame) -> list[DataFrame]:
         found = candidates(units, gram)
         done = suffix_sort(units, found, gram)
         discard(found)
+        drop_shuffles(docs.sparkSession)
         out.append(done.filter(f"kind = {COVERED}").select("rid", "pos"))
         lo = F.shiftright("pos", 16)
         units = done.filter(f"kind = {OPEN}").select(F.xxhash64("rid", "pos").alias("uid"), "rid", lo.alias("lo"), F.col("text").alias("body"))

@@ -214,9 +214,9 @@ def test_near_duplicates_equal_brute_force(spark, edge_docs, monkeypatch):
             degree[a] += 1
             degree[b] += 1
     same = Counter(texts.values())
-    for blocks in ((128, 64), (3, 2)):
-        monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", blocks[0])
-        monkeypatch.setattr(near_duplicates, "GROUP_BLOCK", blocks[1])
+    for bucket, block in ((1024, 1024), (3, 2), (1, 7)):
+        monkeypatch.setattr(near_duplicates, "BUCKET", bucket)
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
         got = near_duplicates.near_duplicates(docs).collect()
         assert {x["doc_id"]: x["class_id"] for x in got} == root
         for x in got:
@@ -228,6 +228,43 @@ def test_near_duplicates_equal_brute_force(spark, edge_docs, monkeypatch):
     assert near_duplicates.one_of_each(docs).count() == len(set(root.values()))
 
 
+def brute_links(rows):
+    """The other distinct texts that each text links to, by whole sets."""
+    sets = {t: set(near_duplicates.shingle_set(t).tolist()) for _, t in rows if t}
+    near = lambda a, b: a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return {a: {b for b in sets if near(a, b)} for a in sets}
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = prose(90, 1), prose(90, 2)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a + " tail"), (5, b + " tail"), (1, a)]
+    got = Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_links"]) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, 1, 1)] * 3 + [(2, 1, 1, 1), (3, 1, 1, 1), (4, 1, 4, 1), (5, 1, 5, 1)])
+    rows = [(8, a), (9, b), (9, a), (4, a + " tail"), (5, b + " tail")]
+    got = Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_links"]) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(8, 4, 8, 1), (9, 4, 8, 1), (9, 5, 9, 1), (4, 4, 4, 1), (5, 5, 5, 1)])
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_links_of_a_hot_group(spark, monkeypatch, seed):
+    """A third of all rows are near copies of one text, of many lengths, in more blocks than one; recall counts what signatures and bands lose."""
+    r = random.Random(seed)
+    monkeypatch.setattr(near_duplicates, "BUCKET", [1024, 20][seed])
+    monkeypatch.setattr(near_duplicates, "BLOCK", 40)
+    base = prose(150, 1).split()
+    rows = []
+    for k in range(360):
+        w = list(base) if k % 3 == 0 else prose(100, 500 + k // 2).split()
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"v{r.randrange(30)}"
+        rows.append((k, " ".join(w[: len(w) - r.randint(0, 40 if k % 3 == 0 else 8)])))
+    want = brute_links(rows)
+    got = {x["doc_id"]: x["n_links"] for x in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    total = sum(len(want[t]) for _, t in rows)
+    assert total > 2000 and all(got[k] <= len(want[t]) for k, t in rows)
+    assert sum(got.values()) >= 0.99 * total
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_duplicates.bands_for()
     assert bands * rows <= near_duplicates.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= near_duplicates.RECALL
