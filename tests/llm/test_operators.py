@@ -347,9 +347,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [None, "4000", "30000"])
+def test_warc_with_magic_in_payloads_over_splits(spark, split):
+    """Whole archives inside payloads, bare magic, records longer than a split, several files; at the default split size and at small ones."""
+    r = random.Random(2)
+    fake = lambda k, n: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {n}\r\n\r\n" + "z" * r.choice([n, n - 3]) + "\r\n\r\n"
+    rows = []
+    for k in range(400):
+        html = prose(r.randint(5, 300), k)
+        if k % 23 == 0:
+            html += "".join(fake(9000 + j, r.randint(5, 4000)) for j in range(r.randint(1, 12))) + "WARC/1.1\r\n"
+        rows.append((k, "u", html * (12 if k == 46 else 1)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    path = warc.work_dir(spark)
+    warc.write(pages, path, records_per_file=150)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {x["page_id"]: (x["payload_bytes"], x["payload_digest"]) for x in warc.read(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: (len(h.encode()), hashlib.sha256(h.encode()).hexdigest()) for k, _, h in rows}
+
+
 def test_pointer_jumping_rejects_unreachable():
     off, suc = np.array([0, 10, 15, 20, 90]), np.array([10, 20, 17, 25, 100])
     assert warc.reachable(off, suc).tolist() == [True, True, False, True, False]
+    assert warc.exits(off, suc).tolist() == [25, 25, 17, 25, 100]
+    assert warc.reachable(off[2:], suc[2:], 90).tolist() == [False, False, True]
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
