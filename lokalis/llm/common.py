@@ -34,11 +34,16 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lokalis-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def file_count(rows: DataFrame) -> int:
+    """In how many files to write tables made of these rows: one for each 8 MB that their sources take, 8 at least."""
+    return max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 23)
+
+
+def saved(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors. ``files``: at most so many, where there would be more small ones."""
     spark, path = df.sparkSession, work_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    (df.coalesce(files) if files else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import file_count, saved
 
 WINDOW = 8
 SHARE = 0.5
@@ -122,7 +122,7 @@ def slots(texts: DataFrame, key: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """``doc_id, item_id, n_windows, covered_words, item_words, exact``: the documents that hold an item, re-parameterised or not."""
-    items = saved(item_windows(benchmark, window))
+    items = saved(item_windows(benchmark, window), file_count(benchmark))
     found = matches(docs, items, window).withColumn("shift", F.col("pos") - F.col("item_pos")).filter("doc_id is not null")
     # a diagonal holds each item place once, so this group is bounded by the item's length
     diagonals = found.groupBy("doc_id", "item_id", "shift", "k", "item_words", "literal", "wide").agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
@@ -130,7 +130,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     diagonals = diagonals.withColumn("covered_words", F.aggregate(steps, F.lit(0), lambda a, x: a + x))
     enough = (F.col("covered_words") >= run) | (F.col("covered_words") >= share * F.col("item_words"))
     # a wide item's windows of slots have not been joined: they are counted below, along the diagonals that were found
-    diagonals = saved(diagonals.filter(enough | (F.col("wide") & ~F.col("literal"))))
+    diagonals = saved(diagonals.filter(enough | (F.col("wide") & ~F.col("literal"))), file_count(docs))
     n = diagonals.count()
     ids = diagonals.select(F.col("doc_id").alias("own_id")).distinct()
     own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_DOCUMENTS else ids, F.col("doc_id").cast("long") == F.col("own_id"), "left_semi")
@@ -165,6 +165,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; rows with a null id are kept."""
-    bad = saved(contaminated(docs, benchmark).select(F.col("doc_id").alias("__contaminated_id")).distinct())
+    bad = saved(contaminated(docs, benchmark).select(F.col("doc_id").alias("__contaminated_id")).distinct(), file_count(docs))
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_DOCUMENTS else bad
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("__contaminated_id"), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, drop_shuffles, mixed, saved, slices, texts, worker_memory
+from .common import bounded_batches, discard, drop_shuffles, file_count, mixed, saved, slices, texts, worker_memory
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -176,11 +176,11 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def bucket_edges(classes: DataFrame, hashes: int, threshold: float) -> DataFrame:
+def bucket_edges(classes: DataFrame, hashes: int, threshold: float, files: int) -> DataFrame:
     """``a, b``: edges that connect, in each bucket, the classes whose estimated similarity is not far below the threshold."""
     rows = classes.select("node", F.explode("bands").alias("h"))  # the band is part of its hash
     sizes = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("node").alias("head")).filter("size > 1")
-    rows = saved(rows.join(sizes, "h"))
+    rows = saved(rows.join(sizes, "h"), files)
     small = rows.filter(F.col("size") <= BUCKET).select("h", "node").join(classes.select("node", "sig"), "node")
     least = math.ceil(((threshold - MARGIN) * 255 / 256 + 1 / 256) * hashes)
 
@@ -206,13 +206,13 @@ def bucket_edges(classes: DataFrame, hashes: int, threshold: float) -> DataFrame
 
     near = small.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a bigint, b bigint")
     large = rows.filter(F.col("size") > BUCKET).select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    out = saved(near.union(large).distinct())
+    out = saved(near.union(large).distinct(), files)
     discard(rows)
     drop_shuffles(classes.sparkSession)
     return out
 
 
-def blocked(groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def blocked(groups: DataFrame, threshold: float, files: int) -> tuple[DataFrame, DataFrame]:
     """Members of groups with their block ``root, cls, sub`` and whether it is the group's only one, and the pairs of different blocks that may hold links.
 
     A small group is one block. In others ``cls`` is the logarithm of the set's size, in steps of which two span the
@@ -223,7 +223,7 @@ def blocked(groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     step = F.floor(F.log("n") / F.lit(math.log(1 / threshold) / 2) + 1e-9).cast("int")
     rows = groups.join(size.select("root", single.alias("single")), "root").withColumn("cls", F.when(F.col("single"), 0).otherwise(step))
     per = rows.groupBy("root", "cls", "single").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    per = saved(per.select("root", "cls", "single", F.when(F.col("single"), 1).otherwise(F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("subs")))
+    per = saved(per.select("root", "cls", "single", F.when(F.col("single"), 1).otherwise(F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("subs")), files)
     rows = rows.drop("single").join(per, ["root", "cls"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")).drop("subs")
     left = per.filter("not single").select("root", F.col("cls").alias("c1"), F.col("subs").alias("n1"), F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("up"))
     right = per.select("root", F.col("cls").alias("c2"), F.col("subs").alias("n2"))
@@ -293,10 +293,10 @@ def sets_of(sizes: bytes, sets: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(sets, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
 
 
-def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+def verified(docs: DataFrame, groups: DataFrame, threshold: float, files: int) -> DataFrame:
     """``a, b, n``: spanning edges of verified links (n null), and (node, null, links) counts of linked texts; from ``node, root, n, n_texts, rep, set_key``; written."""
-    members, pairs = blocked(groups, threshold)
-    members = saved(members.select("rep", "set_key", "node", "n_texts", "root", "cls", "sub", "single"))
+    members, pairs = blocked(groups, threshold, files)
+    members = saved(members.select("rep", "set_key", "node", "n_texts", "root", "cls", "sub", "single"), files)
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     text = text.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "rep")
     passed = ["node", "n_texts", "root", "cls", "sub", "single"]
@@ -366,7 +366,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
 
     shingled = text.select("text", "set_key", *passed).mapInArrow(sets, "node bigint, n_texts bigint, root bigint, cls int, sub int, single boolean, shingles binary")
     block = ["root", "cls", "sub"]
-    packed = saved(shingled.repartition(*block).sortWithinPartitions(*block).mapInArrow(own_links, PACKED))
+    packed = saved(shingled.repartition(*block).sortWithinPartitions(*block).mapInArrow(own_links, PACKED), files)
     several = packed.filter("sets is not null")
     left = several.join(pairs.select("root", F.col("c1").alias("cls"), F.col("s1").alias("sub"), "c2", "s2"), block)
     right = several.select(*(F.col(c).alias(f"to_{c}") for c in NAMES))
@@ -374,7 +374,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     cross = both.mapInArrow(cross_links, PACKED)
     counts = ["root", "cls", "sub", "nodes", "labels", "links"]
     rows = packed.select(*counts).unionByName(cross.select(*counts))
-    out = saved(rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(summed, "a bigint, b bigint, n bigint"))
+    out = saved(rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(summed, "a bigint, b bigint, n bigint"), files)
     discard(members, packed)
     drop_shuffles(docs.sparkSession)
     return out
@@ -383,21 +383,22 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``doc_id, class_id, copy_of, n_links`` of every document."""
     bands, rows = bands_for(threshold, recall)
-    sketch = saved(sketched(docs, bands, rows))
+    files = file_count(docs)
+    sketch = saved(sketched(docs, bands, rows), files)
     some = sketch.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key", "text_key", F.struct("n", "bands", "sig").alias("look"))
     first = some.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("rep"), F.first("look").alias("look"))
     classes = first.groupBy("set_key").agg(F.min("rep").alias("rep"), F.count("*").alias("n_texts"), F.first("look").alias("look"))
-    classes = saved(classes.select(F.monotonically_increasing_id().alias("node"), "set_key", "rep", "n_texts", "look.*"))  # written, so the numbers stay
-    edges = bucket_edges(classes, bands * rows, threshold)
-    groups = saved(components(edges).join(classes.drop("bands", "sig"), "node"))
-    links = verified(docs, groups, threshold)
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("node"), "set_key", "rep", "n_texts", "look.*"), files)  # written, so the numbers stay
+    edges = bucket_edges(classes, bands * rows, threshold, files)
+    groups = saved(components(edges).join(classes.drop("bands", "sig"), "node"), files)
+    links = verified(docs, groups, threshold, files)
     near = components(links.filter("b is not null").select("a", "b").distinct())
     counts = links.filter("n is not null").select(F.col("a").alias("node"), F.col("n").alias("links"))
-    near = saved(near.join(classes.select("node", "rep"), "node"))
+    near = saved(near.join(classes.select("node", "rep"), "node"), files)
     least = near.groupBy("root").agg(F.min("rep").alias("class_id"))
     near = near.join(least, "root").select("node", "class_id")
     known = classes.select("node", "set_key", "rep", "n_texts").join(near, "node", "left").join(counts, "node", "left")
-    known = saved(known.select(F.col("set_key").alias("key"), F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    known = saved(known.select(F.col("set_key").alias("key"), F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), files)
     discard(classes, edges, groups, links)
     out = sketch.select("doc_id", "set_key").join(known, F.col("set_key") == F.col("key"), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -405,6 +406,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows whose id isn't the smallest of its near-duplicate group; rows with a null id are kept."""
-    goes = saved(near_duplicates(docs, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("__goes")).distinct())
+    goes = saved(near_duplicates(docs, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("__goes")).distinct(), file_count(docs))
     goes = F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes
     return docs.join(goes, F.col("doc_id").cast("long") == F.col("__goes"), "left_anti")

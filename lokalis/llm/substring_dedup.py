@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, drop_shuffles, mixed, saved, slices, worker_memory
+from .common import bounded_batches, discard, drop_shuffles, file_count, mixed, saved, slices, worker_memory
 
 LENGTH = 200
 #: k-gram lengths of the three sorts; the last must be LENGTH.
@@ -182,10 +182,10 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(p, pa.int64())], ["uid", "pos"])
 
 
-def candidates(units: DataFrame, gram: int) -> DataFrame:
+def candidates(units: DataFrame, gram: int, files: int) -> DataFrame:
     """``uid, pos`` of the ranges whose anchor occurs more than once; written."""
     rows = units.select("uid", "body").mapInArrow(detecting(gram), "key bigint, kind tinyint, uid bigint, pos bigint")
-    return saved(rows.repartition("key").sortWithinPartitions("key").mapInArrow(settled, "uid bigint, pos bigint"))
+    return saved(rows.repartition("key").sortWithinPartitions("key").mapInArrow(settled, "uid bigint, pos bigint"), files)
 
 
 def strings(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
@@ -367,7 +367,7 @@ def told_batch(kind: list[int], rid, pos, text: list[bytes | None]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(rid, pa.int64()), pa.array(pos, pa.int64()), pa.array(text, pa.binary())], ["kind", "rid", "pos", "text"])
 
 
-def suffix_sort(units: DataFrame, found: DataFrame, gram: int) -> DataFrame:
+def suffix_sort(units: DataFrame, found: DataFrame, gram: int, files: int) -> DataFrame:
     """``kind, rid, pos, text`` of the candidates ``found`` of ``units``, by runs, exchange and merge: repeats, and what stays open with its text; written."""
     total = found.count()
     n = max(1, min(MOST_LIMITS, -(-total // SLICE)))
@@ -434,16 +434,17 @@ def suffix_sort(units: DataFrame, found: DataFrame, gram: int) -> DataFrame:
     cut = rows.mapInArrow(runs, "slice int, part bigint, lcp binary, size binary, n_raw bigint, rests binary, rid binary, pos binary")
     # pieces of known repeats go anywhere; a slice's pieces go to one task
     home = F.when(F.col("slice") < 0, F.xxhash64("rid")).otherwise(F.xxhash64("slice", "part"))
-    return saved(cut.repartition(home).sortWithinPartitions("slice", "part").mapInArrow(merge, TOLD))
+    return saved(cut.repartition(home).sortWithinPartitions("slice", "part").mapInArrow(merge, TOLD), files)
 
 
 def repeated(docs: DataFrame) -> list[DataFrame]:
     """``rid, pos``: all ranges of suffixes that repeat, of the bodies of ``docs``; a written table of each sort."""
     units = bodies(docs).select(F.col("rid").alias("uid"), "rid", F.lit(0).cast("long").alias("lo"), "body").filter(F.octet_length("body") >= LENGTH)
+    files = file_count(docs)
     out = []
     for gram in GRAMS:
-        found = candidates(units, gram)
-        done = suffix_sort(units, found, gram)
+        found = candidates(units, gram, files)
+        done = suffix_sort(units, found, gram, files)
         discard(found)
         drop_shuffles(docs.sparkSession)
         out.append(done.filter(f"kind = {COVERED}").select("rid", "pos"))

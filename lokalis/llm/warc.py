@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved, work_dir
+from .common import discard, file_count, saved, work_dir
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -63,7 +63,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE,
     """Write ``page_id, url, html`` rows as WARC files below ``path``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    again = saved(repeated_payloads(rows.drop("url")))
+    again = saved(repeated_payloads(rows.drop("url")), file_count(pages))
     again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
     rows = rows.join(again, "digest", "left")
     rows = rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id")))
@@ -185,17 +185,17 @@ def marked(t: pa.Table) -> dict[str, pa.Array]:
 def split_entries(chains: DataFrame) -> DataFrame:
     """``file, block, entry``: where the chains from the files' starts enter each split. The table that is jumped over has a few rows for each split, those that some chain enters."""
     ends = chains.filter("exit >= 0").select("file", F.col("exit").alias("offset")).distinct()
-    doors = saved(chains.select("file", "block", "offset", "exit").join(ends.unionByName(chains.filter("offset = 0").select("file", "offset")).distinct(), ["file", "offset"], "left_semi"))
+    doors = saved(chains.select("file", "block", "offset", "exit").join(ends.unionByName(chains.filter("offset = 0").select("file", "offset")).distinct(), ["file", "offset"], "left_semi"), 8)
     reached, jump = doors.filter("offset = 0").select("file", "offset"), doors.select("file", "offset", "exit")
     n = reached.count()
     while True:
         there = jump.join(reached, ["file", "offset"], "left_semi").select("file", F.col("exit").alias("offset"))
-        reached = saved(reached.union(there.join(doors, ["file", "offset"], "left_semi")).distinct())
+        reached = saved(reached.union(there.join(doors, ["file", "offset"], "left_semi")).distinct(), 8)
         was, n = n, reached.count()
         if n == was:
             return reached.join(doors, ["file", "offset"]).select("file", "block", F.col("offset").alias("entry"))
         beyond = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("to"))
-        jump = saved(jump.join(beyond, ["file", "exit"]).select("file", "offset", F.col("to").alias("exit")))
+        jump = saved(jump.join(beyond, ["file", "exit"]).select("file", "offset", F.col("to").alias("exit")), 8)
 
 
 def joined_payloads(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
@@ -227,19 +227,20 @@ def joined_payloads(spark: SparkSession, path: str, parts: DataFrame) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 3, (pa.string(), pa.int64(), pa.string()))], ["file", "offset", "digest"])
 
     rows = raw.repartition("file", "owner").sortWithinPartitions("file", "owner", "offset")
-    return saved(rows.mapInArrow(run, "file string, offset bigint, digest string"))
+    return saved(rows.mapInArrow(run, "file string, offset bigint, digest string"), file_count(spark.read.text(path)))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``file, offset, page_id, record_type, refers_to, payload_bytes, payload_digest`` of each record of the archives below ``path``."""
-    cands = saved(candidates(chunks(spark, path)))
+    files = file_count(spark.read.text(path))
+    cands = saved(candidates(chunks(spark, path)), files)
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = cands.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
     base = splits.select("file", "block", F.coalesce(F.sum("total").over(in_file), F.lit(0)).alias("base"))  # one row for each split
-    chains = saved(by_split(cands.join(base, ["file", "block"]), linked, "offset bigint, successor bigint, exit bigint").drop("base"))
+    chains = saved(by_split(cands.join(base, ["file", "block"]), linked, "offset bigint, successor bigint, exit bigint").drop("base"), files)
     discard(cands)
     entries = split_entries(chains)
-    rows = saved(by_split(chains.join(entries, ["file", "block"], "left"), marked, "reached boolean, owner bigint").drop("entry", "exit", "successor"))
+    rows = saved(by_split(chains.join(entries, ["file", "block"], "left"), marked, "reached boolean, owner bigint").drop("entry", "exit", "successor"), files)
     discard(chains)
     # what stands in a split before its first record belongs to the last record of the splits before
     last = rows.groupBy("file", "block").agg(F.max("owner").alias("last"))
@@ -250,7 +251,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         odd = out.join(stray.select("file", F.col("owner").alias("offset")).distinct(), ["file", "offset"], "left_semi")
         place = ["file", "block", "seq", "offset", "size", "owner"]
         pieces = odd.select(*place).unionByName(stray.select(*place)).join(odd.select("file", F.col("offset").alias("owner"), F.col("head_bytes").alias("own_head"), F.col("block_bytes").alias("own_block")), ["file", "owner"])
-        out = out.join(joined_payloads(spark, path, saved(pieces)), ["file", "offset"], "left").withColumn("own_digest", F.coalesce("digest", "own_digest"))
+        out = out.join(joined_payloads(spark, path, saved(pieces, files)), ["file", "offset"], "left").withColumn("own_digest", F.coalesce("digest", "own_digest"))
     full = F.col("record_type") == "response"
     return out.select(
         "file", "offset", "page_id", "record_type", "refers_to",
