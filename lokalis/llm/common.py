@@ -36,7 +36,7 @@ def work_dir(spark: SparkSession) -> str:
 
 def file_count(rows: DataFrame) -> int:
     """In how many files to write tables made of these rows: one for each 8 MB that their sources take, 8 at least."""
-    return max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 23)
+    return min(max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 23), 1 << 30)
 
 
 def saved(df: DataFrame, files: int | None = None) -> DataFrame:
