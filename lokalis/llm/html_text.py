@@ -4,15 +4,21 @@ A page is scanned into tags and text, a tree is built with the implied tags of t
 rules that matter for text (paragraphs, list items, table parts and options close themselves; blocks
 close paragraphs), invisible subtrees are left out, and the tree is laid out: a blank line around
 paragraphs, headings, lists and tables, a line for other blocks, ``- `` or the number before list
-items, indented by depth, table cells padded to their column's width, preformatted text as it stands.
+items, indented by depth, preformatted text as it stands. A table's cells are laid out like pages; columns are
+as wide as their widest cell, spans over columns and rows are kept, a cell of several lines makes a row of several.
 
-Null and empty pages give an empty text; unclosed and stray tags are repaired, never an error.
-Repeated rows give equal rows; other columns are ignored. Very deep nesting is laid out without recursion.
+Invisible are elements without a box, the hidden attribute, ``display: none`` and ``visibility`` (which a
+descendant may turn back) of inline styles, and those of page styles for a single class, id or tag outside of
+at-rules; other selectors are not followed. Scanning and building take time in proportion to the page.
+
+Null and empty pages give an empty text; unclosed and stray tags are repaired, never an error; a tag that never
+ends is text. Repeated rows give equal rows; other columns are ignored. Deep nesting is laid out without recursion.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,21 +53,33 @@ CLOSES = {
     "body": ({"head"}, {"html"}),
 }
 FENCES = frozenset("table td th caption html template object button".split())
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-INVISIBLE_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: What an end tag may not reach beyond: of table parts the table, of a table nothing but the page, else FENCES.
+TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption".split())
+#: The most columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quotes count only behind an equals sign. Possessive, so that no text is tried twice.
+REST = re.compile(r"((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+SIMPLE = re.compile(r"[.#]?-?[a-zA-Z_][\w-]*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start", "foreign", "para")
+    __slots__ = ("tag", "kids", "hidden", "start", "foreign", "para", "ghost", "names", "spans", "lines")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1, parent: Node | None = None):
         self.tag, self.kids, self.hidden, self.start = tag, [], hidden, start
         #: "math", "svg" or "text" (SVG text) inside these; and whether a paragraph is open here.
         self.foreign = tag if tag in ("math", "svg") else "" if parent is None or tag == "foreignobject" else "text" if tag == "text" and parent.foreign == "svg" else parent.foreign
         self.para = tag == "p" or (parent is not None and parent.para and tag not in FENCES)
+        #: Own visibility (None: as around it), what page styles know it by, columns and rows spanned, lines of a table.
+        self.ghost: bool | None = None
+        self.names: tuple[str, ...] = ()
+        self.spans = (1, 1)
+        self.lines: list[str] | None = None
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -71,85 +89,164 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def invisible(tag: str, attrs: dict[str, str]) -> bool:
-    """Visibility rules: elements without a box, the hidden attribute, closed details excepted, and inline styles."""
-    return tag in HIDDEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or bool(INVISIBLE_STYLE.search(attrs.get("style", "")))
+def declared(style: str) -> tuple[bool, bool | None]:
+    """(not displayed, invisible or None if that isn't said) of declarations; the last one counts."""
+    said = {m[1].lower(): m[2].lower() for m in DECLARED.finditer(style)}
+    return said.get("display") == "none", said["visibility"] in ("hidden", "collapse") if "visibility" in said else None
+
+
+def style_rules(css: str) -> dict[str, tuple[bool, bool | None]]:
+    """What a page style says of single classes, ids and tags, outside of at-rules."""
+    css, out = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S), {}
+    depth, at, prelude = 0, 0, ""
+    for m in re.finditer(r"[{};]", css):
+        if m[0] == "{":
+            if depth == 0:
+                prelude, at = css[at : m.start()].strip(), m.end()
+            depth += 1
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+            if depth == 0:
+                if not prelude.startswith("@"):
+                    said = declared(css[at : m.start()])
+                    if said != (False, None):
+                        out |= {x.strip(): said for x in prelude.split(",") if SIMPLE.fullmatch(x.strip())}
+                at = m.end()
+        elif depth == 0:  # the end of an at-rule without a block
+            at = m.end()
+    return out
+
+
+def number(text: str, most: int, least: int = 1) -> int:
+    return min(most, max(least, int(text))) if re.fullmatch(r"\d{1,9}", text) else 1
+
+
+class Builder:
+    """The open elements, with the places of each tag among them, so that no search walks over the stack."""
+
+    def __init__(self) -> None:
+        self.root = Node("html")
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.rules: dict[str, tuple[bool, bool | None]] = {}
+        self.tables: list[Node] = []
+
+    def open(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
+    def close(self, tags, fence) -> None:
+        """Close the elements of ``tags`` above the last one of ``fence``."""
+        while (k := self.last(tags)) > self.last(fence):
+            self.cut(k)
 
-def build(html: str) -> Node:
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.stack[-1].kids.append(Node("br"))
+        elif tag not in ("html", "body"):
+            fence = {"table"} if tag in TABLE_PARTS else FENCES - {tag} if tag != "table" else {"html"}
+            if (k := self.last((tag,))) > self.last(fence):
+                self.cut(k)
+
+    def start(self, tag: str, rest: str, closed: bool) -> Node:
+        attrs = attributes(rest) if rest and not rest.isspace() else {}
+        if self.stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("meta", "link", "base"):
+            self.cut(len(self.stack) - 1)
+        if tag in CLOSES:
+            self.close(*CLOSES[tag])
+        if tag in BLOCK and self.stack[-1].para:
+            self.close({"p"}, FENCES)
+        if tag in CELL and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            row = Node("tr", parent=self.stack[-1])
+            self.stack[-1].kids.append(row)
+            self.open(row)
+        above = self.stack[-1]
+        first = attrs.get("start" if tag == "ol" else "value", "") if tag in ("ol", "li") else ""
+        node = Node(tag, parent=above, start=int(first) if re.fullmatch(r"-?\d{1,9}", first) else (1 if tag == "ol" else -1))
+        gone, node.ghost = declared(attrs["style"]) if "style" in attrs else (False, None)
+        node.hidden = gone or tag in HIDDEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or (tag in UNDRAWN and above.foreign != "")
+        if "class" in attrs or "id" in attrs:
+            node.names = (*(f".{c}" for c in attrs.get("class", "").split()), f"#{attrs.get('id', '')}")
+        if tag in CELL and ("colspan" in attrs or "rowspan" in attrs):
+            node.spans = number(attrs.get("colspan", ""), MOST_COLUMNS), number(attrs.get("rowspan", ""), MOST_ROWS, 0)
+        if tag == "table":
+            self.tables.append(node)
+        if tag == "img" and attrs.get("alt"):  # inside the image's node, so that its visibility holds
+            node.kids.append(attrs["alt"].replace("&", "&amp;"))
+        above.kids.append(node)
+        if tag not in RAW and tag not in VOID and not (closed and node.foreign):  # a slash at its end does not close an HTML element
+            self.open(node)
+        return node
+
+
+_ends: dict[str, re.Pattern] = {}
+
+
+def build(html: str) -> Builder:
     """The tree of a page: nodes and, for text, strings."""
-    root = Node("html")
-    stack = [root]
+    b = Builder()
     pos, n = 0, len(html)
+    last_gt = html.rfind(">")
+    simple = False  # after a tag that doesn't end, tags end at the next >
 
-    def close(tags: set[str], fence) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                close(tags, fence)
-                return
-            if stack[k].tag in fence:
-                return
+    def text(lo: int, hi: int) -> None:
+        if hi > lo:
+            if b.stack[-1].tag == "head" and not html[lo:hi].isspace():
+                b.cut(len(b.stack) - 1)
+            b.stack[-1].kids.append(html[lo:hi])
 
     while pos < n:
         lt = html.find("<", pos)
-        if lt < 0:
-            stack[-1].kids.append(html[pos:])
+        if lt < 0 or lt > last_gt and not html.startswith("<!", lt):
+            text(pos, n)
             break
-        m = TAG.match(html, lt)
+        c = html[lt + 1 : lt + 2]
+        if c in ("!", "?"):
+            text(pos, lt)
+            end = html.find("-->", lt + 4) + 3 if html.startswith("<!--", lt) else html.find(">", lt) + 1
+            if html.startswith(("<!-->", "<!--->"), lt):
+                end = html.find(">", lt) + 1
+            pos = end if end > lt else n
+            continue
+        m = NAME.match(html, lt)
+        if m is None and c == "/" and html[lt + 2 : lt + 3]:  # an end tag without a name is a comment
+            text(pos, lt)
+            pos = html.find(">", lt) + 1
+            continue
         if m is None:  # a bare less-than sign is text
-            nxt = html.find("<", lt + 1)
-            nxt = n if nxt < 0 else nxt
-            stack[-1].kids.append(html[pos:nxt])
-            pos = nxt
+            text(pos, lt + 1)
+            pos = lt + 1
             continue
-        if lt > pos:
-            if stack[-1].tag == "head" and html[pos:lt].strip():
-                close({"head"}, {"html"})
-            stack[-1].kids.append(html[pos:lt])
-        pos = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag == "br":
-                stack[-1].kids.append(Node("br"))
-            elif tag in ("html", "body"):
-                continue
-            else:
-                fence = {"table"} if tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else FENCES - {tag} if tag != "table" else {"html"}
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in fence:
-                        break
-        elif m[2]:
-            tag = m[2].lower()
-            if tag == "html":
-                continue
-            attrs = attributes(m[3]) if m[3].strip() else {}
-            if stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("meta", "link", "base"):
-                del stack[-1]
-            if tag in CLOSES:
-                close(*CLOSES[tag])
-            if tag in BLOCK and stack[-1].para:
-                close({"p"}, FENCES)
-            if tag in CELL and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr", parent=stack[-1])
-                stack[-1].kids.append(row)
-                stack.append(row)
-            start = attrs.get("start" if tag == "ol" else "value", "") if tag in ("ol", "li") else ""
-            node = Node(tag, invisible(tag, attrs), int(start) if re.fullmatch(r"-?\d{1,9}", start) else (1 if tag == "ol" else -1), stack[-1])
-            node.hidden |= tag in UNDRAWN and stack[-1].foreign != ""
-            if tag == "img" and attrs.get("alt") and not node.hidden:
-                stack[-1].kids.append(attrs["alt"].replace("&", "&amp;"))
-            stack[-1].kids.append(node)
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, pos)
+        text(pos, lt)
+        rest = None if simple else REST.match(html, m.end())
+        if rest is None:
+            simple = True
+            pos = html.find(">", m.end()) + 1
+            inside = html[m.end() : pos - 1]
+        else:
+            pos, inside = rest.end(), rest[1]
+        tag = m[1].lower()
+        if c == "/":
+            b.end(tag)
+        elif tag != "html":
+            closed = inside.endswith("/")
+            node = b.start(tag, inside, closed)
+            if tag in RAW and not (closed and node.foreign):
+                if tag not in _ends:
+                    _ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+                end = _ends[tag].search(html, pos)
                 node.kids.append(html[pos : end.start() if end else n])
                 pos = end.end() if end else n
-            elif tag not in VOID and not (m[4] and node.foreign):  # a slash at its end does not close an HTML element
-                stack.append(node)
-    return root
+                if tag == "style":
+                    b.rules |= style_rules(node.kids[0])
+    return b
 
 
 class Page:
@@ -186,40 +283,86 @@ class Page:
         self.gap |= spaced
 
 
-def table_lines(table: Node) -> list[str]:
-    """Rows of a table with cells padded to their columns' widths; cells hold their own layout on one line."""
-    rows: list[list[str]] = []
+def table_lines(table: Node, rules: dict) -> list[str]:
+    """Rows of a table on a grid of columns; a cell's lines are padded to the widths of the columns that it spans."""
+    rows: list[list[tuple[int, int, int, list[str]]]] = []  # first column, columns and rows spanned, lines
     captions: list[str] = []
-    todo = [(k, None) for k in reversed(table.kids)]
+    todo = list(reversed(table.kids))
+    taken: dict[int, int] = {}  # column: rows that a cell from above still covers
     while todo:
-        node, _ = todo.pop()
+        node = todo.pop()
         if isinstance(node, str):
-            if node.strip():
+            if not node.isspace():
                 captions.append(SPACE.sub(" ", unescape(node)).strip())
-        elif node.hidden:
+        elif unseen(node, rules):
             continue
         elif node.tag == "tr":
-            row = [" ".join(render(c).split("\n")) if isinstance(c, Node) else SPACE.sub(" ", unescape(c)).strip() for c in node.kids if not (isinstance(c, str) and not c.strip()) and not (isinstance(c, Node) and c.hidden)]
-            rows.append([SPACE.sub(" ", c).strip() for c in row])
+            row, at = [], 0
+            below: dict[int, int] = {}
+            for c in node.kids:
+                if isinstance(c, str) and c.isspace() or isinstance(c, Node) and unseen(c, rules):
+                    continue
+                while taken.get(at, 0) > 0:
+                    at += 1
+                lines = render(c, rules).split("\n") if isinstance(c, Node) else [SPACE.sub(" ", unescape(c)).strip()]
+                wide, deep = c.spans if isinstance(c, Node) else (1, 1)
+                row.append((at, wide, deep, lines))
+                if deep != 1:
+                    below |= {k: (deep or MOST_ROWS) for k in range(at, at + wide)}
+                at += wide
+            taken = {k: v - 1 for k, v in (taken | below).items() if v > 1}
+            rows.append(row)
         elif node.tag in ("thead", "tbody", "tfoot"):
-            todo += [(k, None) for k in reversed(node.kids)]
+            todo += reversed(node.kids)
         else:
-            captions += render(node).split("\n")
-    width: list[int] = []
+            captions += render(node, rules).split("\n")
+    starts = sorted({at for row in rows for at, *_ in row})  # columns in which no cell begins have no width
+    place = {at: k for k, at in enumerate(starts)}
+    width = [0] * len(starts)
+    spanning = []
     for row in rows:
-        for k, c in enumerate(row):
-            if k == len(width):
-                width.append(0)
-            width[k] = max(width[k], len(c))
-    return [c for c in captions if c] + [" | ".join(c.ljust(w) for c, w in zip(row, width)).rstrip() for row in rows if any(row)]
+        for at, wide, _, lines in row:
+            k, to = place[at], bisect_left(starts, at + wide)
+            need = max(map(len, lines))
+            if to - k <= 1:
+                width[k] = max(width[k], need)
+            else:
+                spanning.append((to - k, k, to, need))
+    for _, k, to, need in sorted(spanning):
+        width[to - 1] += max(0, need - sum(width[k:to]) - 3 * (to - k - 1))
+    out = []
+    for row in rows:
+        cells = {place[at]: (bisect_left(starts, at + wide), lines) for at, wide, _, lines in row}
+        for line in range(max((len(x) for _, x in cells.values()), default=0)):
+            parts, k, end = [], 0, max(cells) + 1
+            while k < end:
+                to, lines = cells.get(k, (k + 1, ()))
+                parts.append((lines[line] if line < len(lines) else "").ljust(sum(width[k:to]) + 3 * (to - k - 1)))
+                k = to
+            text = " | ".join(parts).rstrip()
+            out.append(text if text.strip(" |") else "")
+        if out and not out[-1]:
+            out.pop()
+    return [c for c in captions if c] + out
+
+
+def unseen(node: Node, rules: dict) -> bool:
+    return node.hidden or bool(rules) and any(rules[x][0] for x in (node.tag, *node.names) if x in rules)
+
+
+def ghostly(node: Node, rules: dict, around: bool) -> bool:
+    """Whether the text right inside is invisible, though elements inside may be visible."""
+    said = [rules[x][1] for x in (node.tag, *node.names) if x in rules] if rules else []
+    own = node.ghost if node.ghost is not None else next((x for x in reversed(said) if x is not None), None)
+    return around if own is None else own
 
 
-def render(root: Node) -> str:
-    """Lay the tree out; an explicit stack, so depth is no limit. Tables inside tables are laid out within their cell."""
+def render(root: Node, rules: dict) -> str:
+    """Lay the tree out; an explicit stack, so depth is no limit. Tables inside have been laid out before."""
     page = Page()
-    todo: list[tuple] = [("open", root, 0, None)]
+    todo: list[tuple] = [("open", root, 0, None, False)]
     while todo:
-        what, node, depth, counter = todo.pop()
+        what, node, depth, counter, ghost = todo.pop()
         if what == "close":
             page.block(node.tag in SPACED and not (node.tag in ("ul", "ol", "menu") and depth > 1))
             if node.tag == "li":
@@ -227,29 +370,31 @@ def render(root: Node) -> str:
             page.indent = counter
             continue
         if isinstance(node, str):
-            page.inline.append(unescape(node) if "&" in node else node)
+            if not ghost:
+                page.inline.append(unescape(node) if "&" in node else node)
             continue
-        if node.hidden:
+        if unseen(node, rules):
             continue
         tag = node.tag
+        ghost = ghostly(node, rules, ghost)
         if tag == "br":
             page.inline.append("\v")
         elif tag == "hr":
             page.block(True)
         elif tag in ("pre", "textarea"):
             page.block(True)
-            for line in plain(node).strip("\n").split("\n"):
+            for line in plain(node, rules, ghost).strip("\n").split("\n"):
                 page.put(line)
             page.gap = True
-        elif tag == "table":
+        elif tag == "table" and node is not root:
             page.block(True)
-            for line in table_lines(node):
+            for line in [] if ghost else node.lines or []:
                 page.put(line)
             page.gap = True
         elif tag in BLOCK or tag in CELL:
             nested = tag in ("ul", "ol", "menu") and depth > 0
             page.block(tag in SPACED and not nested)
-            todo.append(("close", node, depth + (tag in ("ul", "ol", "menu")), page.indent))
+            todo.append(("close", node, depth + (tag in ("ul", "ol", "menu")), page.indent, ghost))
             if tag == "li":
                 page.marker = f"{counter}. " if counter is not None else "- "
             elif nested or tag in ("blockquote", "dd"):
@@ -259,35 +404,41 @@ def render(root: Node) -> str:
             for k in node.kids:
                 if tag == "ol" and isinstance(k, Node) and k.tag == "li":
                     number = k.start if k.start >= 0 else number
-                    kids.append(("open", k, inner, number))
+                    kids.append(("open", k, inner, number, ghost))
                     number += 1
                 else:
-                    kids.append(("open", k, inner, None))
+                    kids.append(("open", k, inner, None, ghost))
             todo += reversed(kids)
         elif node.foreign in ("svg", "text"):  # of SVG, text elements are drawn as text, each by itself
             kids = node.kids if node.foreign == "text" else [k for k in node.kids if isinstance(k, Node)]
-            todo += [("open", k, depth, None) for k in reversed([" ", *kids, " "] if tag in ("text", "svg") else kids)]
+            todo += [("open", k, depth, None, ghost) for k in reversed([" ", *kids, " "] if tag in ("text", "svg") else kids)]
         else:
-            todo += [("open", k, depth, None) for k in reversed(node.kids)]
+            todo += [("open", k, depth, None, ghost) for k in reversed(node.kids)]
     page.flush()
     return "\n".join(page.lines)
 
 
-def plain(node: Node) -> str:
-    out, todo = [], [node]
+def plain(node: Node, rules: dict, around: bool) -> str:
+    out, todo = [], [(node, around)]
     while todo:
-        x = todo.pop()
+        x, ghost = todo.pop()
         if isinstance(x, str):
-            out.append(unescape(x))
+            if not ghost:
+                out.append(unescape(x))
         elif x.tag == "br":
             out.append("\n")
-        elif not x.hidden or x is node:
-            todo += reversed(x.kids)
+        elif not unseen(x, rules) or x is node:
+            todo += [(k, ghostly(x, rules, ghost)) for k in reversed(x.kids)]
     return "".join(out)
 
 
 def visible_text(html: str) -> str:
-    return render(build(html)) if html else ""
+    if not html:
+        return ""
+    tree = build(html)
+    for table in reversed(tree.tables):  # inner ones first
+        table.lines = table_lines(table, tree.rules)
+    return render(tree.root, tree.rules)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -326,6 +326,35 @@ def test_html_shows_formulas_labels_and_forms():
     assert html_text.visible_text("<div/>" * 50_000 + "x") == "x" and html_text.visible_text("<svg><path/><text>t</text></svg><p>a<p>b") == "t\n\na\n\nb"
 
 
+def test_html_tables_keep_spans_and_cells_of_several_lines():
+    assert html_text.visible_text("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3<tr><td rowspan=2>r<td>x<td>y<tr><td>long cell<td>z</table>") == "ab            | c\n1 | 2         | 3\nr | x         | y\n  | long cell | z"
+    assert html_text.visible_text("<table><tr><td><ul><li>a<li>b</ul><td><p>x<p>y</table>") == "- a | x\n- b |\n    | y"
+    assert html_text.visible_text("<table><tr><td>a<td><table><tr><td>1<td>22<tr><td>333<td>4</table><td>b</table>") == "a | 1   | 22 | b\n  | 333 | 4  |"
+
+
+def test_html_visibility():
+    page = "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div><style>.h{display:none} @media print{.q{display:none}} #z, .y {visibility:hidden}</style><p class='a h'>no<p class=q>show<p id=z>no"
+    assert html_text.visible_text(page) == "yes\n\nshow"
+    assert html_text.visible_text("<p>a<b><i><u><s><em><strong>b<div>c") == "ab\n\nc" and html_text.visible_text("<a title=it's href=x>link</a>") == "link"
+
+
+@pytest.mark.parametrize("page", ["<table><tr><td>", "<table><tr><td>a<td>", "<div><p>a", "<span><li>a", '<a b="', "<a b='\"' c=\">", "<b></x>", "<div></b><td>", "<!", "<", "<td rowspan=9 colspan=1000>a", "<ul><li><p>", "<!--", "<p style='"])
+def test_html_takes_time_in_proportion(page):
+    import time
+
+    began = time.time()
+    html_text.visible_text(page * 2_000)
+    small = time.time() - began
+    began = time.time()
+    html_text.visible_text(page * 16_000 + "end>")
+    assert time.time() - began < 8 + 24 * small
+
+
+def test_html_very_long_pages(spark):
+    rows = spark.createDataFrame([(1, "<p>" + "word " * 400_000), (2, "<b>" * 200_000 + "deep"), (3, "x" * 2_000_000)], "page_id long, html string")
+    assert {r["page_id"]: len(r["text"]) for r in html_text.extract(rows).collect()} == {1: 1_999_999, 2: 4, 3: 2_000_000}
+
+
 def test_warc_round_trip(spark, tmp_path):
     inside = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "u\r\nv", "x" * 150), (2, None, "x" * 150), (3, "w", "y" * 50), (4, "w", "y" * 50), (5, "", None), (6, "", "p" * 90 + inside + inside + "q"), (7, "", "é" * 60), (None, "n", "x" * 150), (1, "u", "x" * 150), (8, "", "WARC/1.1\r\n")]
