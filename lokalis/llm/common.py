@@ -35,8 +35,8 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def file_count(rows: DataFrame) -> int:
-    """In how many files to write tables made of these rows: one for each 8 MB that their sources take, 8 at least."""
-    return min(max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 23), 1 << 30)
+    """In how many files to write tables made of these rows: one for each 32 MB that their sources take, 8 at least. Each file costs its writer some processes (permissions are set by a shell)."""
+    return min(max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 25), 1 << 30)
 
 
 def saved(df: DataFrame, files: int | None = None) -> DataFrame:

@@ -212,7 +212,7 @@ def bucket_edges(classes: DataFrame, hashes: int, threshold: float, files: int)
     return out
 
 
-def blocked(groups: DataFrame, threshold: float, files: int) -> tuple[DataFrame, DataFrame]:
+def blocked(groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Members of groups with their block ``root, cls, sub`` and whether it is the group's only one, and the pairs of different blocks that may hold links.
 
     A small group is one block. In others ``cls`` is the logarithm of the set's size, in steps of which two span the
@@ -223,7 +223,7 @@ def blocked(groups: DataFrame, threshold: float, files: int) -> tuple[DataFrame,
     step = F.floor(F.log("n") / F.lit(math.log(1 / threshold) / 2) + 1e-9).cast("int")
     rows = groups.join(size.select("root", single.alias("single")), "root").withColumn("cls", F.when(F.col("single"), 0).otherwise(step))
     per = rows.groupBy("root", "cls", "single").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    per = saved(per.select("root", "cls", "single", F.when(F.col("single"), 1).otherwise(F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("subs")), files)
+    per = per.select("root", "cls", "single", F.when(F.col("single"), 1).otherwise(F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("subs"))
     rows = rows.drop("single").join(per, ["root", "cls"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")).drop("subs")
     left = per.filter("not single").select("root", F.col("cls").alias("c1"), F.col("subs").alias("n1"), F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("up"))
     right = per.select("root", F.col("cls").alias("c2"), F.col("subs").alias("n2"))
@@ -295,10 +295,10 @@ def sets_of(sizes: bytes, sets: bytes) -> list[np.ndarray]:
 
 def verified(docs: DataFrame, groups: DataFrame, threshold: float, files: int) -> DataFrame:
     """``a, b, n``: spanning edges of verified links (n null), and (node, null, links) counts of linked texts; from ``node, root, n, n_texts, rep, set_key``; written."""
-    members, pairs = blocked(groups, threshold, files)
-    members = saved(members.select("rep", "set_key", "node", "n_texts", "root", "cls", "sub", "single"), files)
+    members, pairs = blocked(groups, threshold)
+    members = members.select("rep", "set_key", "node", "n_texts", "root", "cls", "sub", "single")
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    text = text.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "rep")
+    text = text.join(F.broadcast(members) if groups.count() <= BROADCAST_IDS else members, "rep")
     passed = ["node", "n_texts", "root", "cls", "sub", "single"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +375,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, files: int) -
     counts = ["root", "cls", "sub", "nodes", "labels", "links"]
     rows = packed.select(*counts).unionByName(cross.select(*counts))
     out = saved(rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(summed, "a bigint, b bigint, n bigint"), files)
-    discard(members, packed)
+    discard(packed)
     drop_shuffles(docs.sparkSession)
     return out
 
@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = verified(docs, groups, threshold, files)
     near = components(links.filter("b is not null").select("a", "b").distinct())
     counts = links.filter("n is not null").select(F.col("a").alias("node"), F.col("n").alias("links"))
-    near = saved(near.join(classes.select("node", "rep"), "node"), files)
+    near = near.join(classes.select("node", "rep"), "node")
     least = near.groupBy("root").agg(F.min("rep").alias("class_id"))
     near = near.join(least, "root").select("node", "class_id")
     known = classes.select("node", "set_key", "rep", "n_texts").join(near, "node", "left").join(counts, "node", "left")
