@@ -7,6 +7,7 @@ Rows with a null among coordinates or variables are dropped, or count as 0 with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -121,7 +122,7 @@ def blocks(n: int, against: int) -> Iterator[slice]:
 
 
 def over_foci(focus: DataFrame, held, f: Callable[[pd.DataFrame, object], pd.DataFrame], schema: str, points_held: int) -> DataFrame:
-    """Map foci (``fid, x, y`` and more) in blocks against what is broadcast; foci are dealt over all cores."""
+    """Map foci (``fid, x, y`` and more) in blocks against what is broadcast; foci are dealt over all cores. Eager callers ``free`` the result's broadcast."""
     sc = focus.sparkSession.sparkContext
     shared = sc.broadcast(held)
 
@@ -130,28 +131,37 @@ def over_foci(focus: DataFrame, held, f: Callable[[pd.DataFrame, object], pd.Dat
             for s in blocks(len(pdf), points_held):
                 yield f(pdf.iloc[s], shared.value)
 
-    return focus.repartition(max(1, sc.defaultParallelism)).mapInPandas(run, schema)
+    out = focus.repartition(max(1, sc.defaultParallelism)).mapInPandas(run, schema)
+    out.held_by_tasks = shared
+    return out
+
+
+def free(rows: DataFrame) -> None:
+    """Drop what ``over_foci`` broadcast for rows that have been read."""
+    rows.held_by_tasks.destroy()
 
 
 FIT = "fid bigint, beta array<double>, raw array<double>, s_ii double, ss double, cv double, ok boolean"
 
 
 def fit_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
-    """Coefficients of each focus; where a focus is a data point also hat-matrix sums and the leave-one-out residual."""
-    spec, p, extra = held
+    """``fit_rows`` of each focus by its kernel weights; ``extra`` multiplies the points' weights, ``noise`` their variances."""
+    spec, p, extra, noise = held
     t = pdf.t.to_numpy(float) if "t" in pdf else None
     W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float), t)
-    if extra is not None:
-        W = W * extra[None, :]
+    return fit_rows(W if extra is None else W * extra[None, :], p, pdf.fid.to_numpy(np.int64), noise)
+
+
+def fit_rows(W: np.ndarray, p: Points, fid: np.ndarray, noise: np.ndarray | None = None) -> pd.DataFrame:
+    """Coefficients of each focus from its weights; where a focus is a data point also hat-matrix sums and the leave-one-out residual."""
     X, y = p.X, p.y
     A = np.einsum("mn,np,nq->mpq", W, X, X, optimize=True)
     b = (W * y) @ X
     beta, ok = solve(A, b)
-    B = np.einsum("mn,np,nq->mpq", W * W, X, X, optimize=True)
     inv = np.linalg.inv(np.where(ok[:, None, None], A, np.eye(A.shape[1])))
+    B = np.einsum("mn,np,nq->mpq", W * W, X, X, optimize=True)
     C = inv @ B @ inv
-    raw = np.einsum("mpp->mp", C)
-    fid = pdf.fid.to_numpy(np.int64)
+    raw = np.einsum("mpp->mp", C if noise is None else inv @ np.einsum("mn,np,nq->mpq", W * W * noise, X, X, optimize=True) @ inv)
     at = np.minimum(np.searchsorted(p.fid, fid), len(p.fid) - 1)
     own = p.fid[at] == fid
     x, w = X[at], W[np.arange(len(at)), at]
@@ -167,42 +177,51 @@ def foci(p: Points, df: DataFrame, t: str | None = None) -> DataFrame:
     return df.select(*cols, *([F.col(t).cast("double").alias("t")] if t else [])).dropna()
 
 
-def local_fit(focus: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None) -> DataFrame:
-    """FIT rows for each focus; ``extra`` multiplies the points' weights."""
-    return over_foci(foci(p, focus, t), (spec, p, extra), fit_block, FIT, len(p.fid))
+def local_fit(focus: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None, noise: np.ndarray | None = None) -> DataFrame:
+    """FIT rows for each focus; ``extra`` multiplies the points' weights, ``noise`` their variances."""
+    return over_foci(foci(p, focus, t), (spec, p, extra, noise), fit_block, FIT, len(p.fid))
+
+
+#: How an adaptive probe becomes a whole number, for the first pair and for those after it.
+FIRST_PROBE = {"upper": np.floor, "lower": np.round}
+LATER_PROBE = {"upper": np.round, "lower": np.floor}
+#: The search stops when the probes' distance from the bracket's ends, or the difference of their scores, is this small, or after so many steps.
+STOP, MOST_STEPS = 1e-4, 100
+
+
+def golden(score: Callable[[float], float], low: float, high: float, adaptive: bool, eps: float = STOP, most: int = MOST_STEPS) -> tuple[float, list[tuple[float, float]]]:
+    """Golden-section minimum of a score over bandwidths and the trace of (bandwidth, score); adaptive bandwidths are whole numbers.
 
+    A bracket holds two probes, each a golden share of its width from the far end. The end beyond the worse probe is
+    given up, the better probe stays and a new one takes the other side.
+    """
+    share = 2 / (1 + math.sqrt(5))
+    seen: dict[float, float] = {}
 
-def golden(score: Callable[[float], float], low: float, high: float, adaptive: bool, eps: float = 1e-4, most: int = 100) -> tuple[float, list[tuple[float, float]]]:
-    """Golden-section minimum of a score over bandwidths and the trace of (bandwidth, score); adaptive bandwidths are whole numbers."""
-    ratio = (5**0.5 - 1) / 2
-    trace: dict[float, float] = {}
+    def measured(b: float) -> float:
+        if b not in seen:
+            seen[b] = score(b)
+        return seen[b]
 
-    def at(b: float) -> float:
-        if b not in trace:
-            trace[b] = score(b)
-        return trace[b]
+    def probe(side: str, rounding: dict) -> float:
+        b = low + reach if side == "upper" else high - reach
+        return float(rounding[side](b)) if adaptive else b
 
-    span = ratio * (high - low)
-    place = lambda v, up: (float(np.floor(v)) if not up else float(np.round(v))) if adaptive else v
-    x1, x2 = place(low + span, False), place(high - span, True)
-    f1, f2 = at(x1), at(x2)
-    d1 = f2 - f1
-    best = x1 if f1 < f2 else x2
-    for _ in range(most):
-        if abs(span) <= eps or abs(d1) <= eps:
+    reach = share * (high - low)
+    probes = {side: probe(side, FIRST_PROBE) for side in ("upper", "lower")}
+    for step in range(most + 1):
+        values = {side: measured(b) for side, b in probes.items()}
+        better = "upper" if values["upper"] < values["lower"] else "lower"
+        if step == most or abs(reach) <= eps or abs(values["upper"] - values["lower"]) <= eps:
             break
-        span *= ratio
-        if f1 < f2:
-            low, x2, f2 = x2, x1, f1
-            x1 = place(low + span, True)
-            f1 = at(x1)
+        reach *= share
+        if better == "upper":
+            low = probes["lower"]
+            probes = {"lower": probes["upper"], "upper": probe("upper", LATER_PROBE)}
         else:
-            high, x1, f1 = x1, x2, f2
-            x2 = place(high - span, False)
-            f2 = at(x2)
-        best = x1 if f1 < f2 else x2
-        d1 = f2 - f1
-    return best, list(trace.items())
+            high = probes["upper"]
+            probes = {"upper": probes["lower"], "lower": probe("lower", LATER_PROBE)}
+    return probes[better], list(seen.items())
 
 
 def with_size(spec: Spec, size: float) -> Spec:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .local import BLOCK_PAIRS, Points, Spec, distances, fit_block, foci, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
+from .local import BLOCK_PAIRS, FIT, Points, Spec, distances, fit_block, fit_rows, foci, free, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
 
 
 def names_of(xs: list[str], intercept: bool = True) -> list[str]:
@@ -71,9 +71,12 @@ def r2_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
         return pd.DataFrame({"fid": pdf.fid.to_numpy(np.int64), "localR2": (tss - rss) / tss})
 
 
-def fitted(df: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None) -> pd.DataFrame:
+def fitted(df: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None, noise: np.ndarray | None = None) -> pd.DataFrame:
     """FIT rows of all data points on the driver, in the points' order (bounded by MOST_POINTS)."""
-    return local_fit(df, p, spec, extra, t).toPandas().sort_values("fid", kind="stable").reset_index(drop=True)
+    rows = local_fit(df, p, spec, extra, t, noise)
+    out = rows.toPandas().sort_values("fid", kind="stable").reset_index(drop=True)
+    free(rows)
+    return out
 
 
 def score(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None) -> float:
@@ -81,20 +84,39 @@ def score(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str |
     rows = local_fit(df, p, spec, t=t)
     if criterion == "CV":
         v = rows.agg(F.sum(F.col("cv") * F.col("cv")).alias("v"), F.min("ok").alias("ok")).first()
+        free(rows)
         return float(v["v"]) if v["v"] is not None and math.isfinite(v["v"]) else math.inf
     base = df.sparkSession.createDataFrame(pd.DataFrame({"fid": p.fid, "yy": p.y, "xx": list(p.X)}))
     hat = F.aggregate(F.zip_with("beta", "xx", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     v = rows.join(base, "fid").agg(F.sum((F.col("yy") - hat) ** 2).alias("rss"), F.sum("s_ii").alias("s")).first()
+    free(rows)
     return aicc_of(len(p.y), v["rss"], v["s"]) if v["rss"] and math.isfinite(v["rss"]) else math.inf
 
 
-def select_bandwidth(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None, by: Callable[[Spec], float] | None = None) -> tuple[float, list[tuple[float, float]]]:
-    """Golden-section search: 20 to n points, or 0 to the largest distance between the corners of the points' box."""
-    high = float(len(p.fid)) if spec.adaptive else float(np.hypot(*(p.xy.max(0) - p.xy.min(0)))) if spec.metric != "geographic" else 20037.5
-    low = 20.0 if spec.adaptive else 0.0
+def bandwidth_limits(p: Points, spec: Spec) -> tuple[float, float]:
+    """The search's default limits: 20 to n points, or 0 to the largest distance between the corners of the points' box."""
+    if spec.adaptive:
+        return 20.0, float(len(p.fid))
+    return 0.0, float(np.hypot(*(p.xy.max(0) - p.xy.min(0)))) if spec.metric != "geographic" else 20037.5
+
+
+def select_bandwidth(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None, by: Callable[[Spec], float] | None = None, limits: tuple[float, float] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    """Golden-section search between ``limits``; ``by`` scores a model of another kind."""
+    low, high = limits or bandwidth_limits(p, spec)
     return golden(lambda b: by(with_size(spec, b)) if by else score(df, p, with_size(spec, b), criterion, t), low, high, spec.adaptive)
 
 
+def bandwidth_scores(df: DataFrame, y: str, xs: list[str], spec: Spec, sizes: list[float], t: str | None = None) -> list[tuple[float, float, float]]:
+    """(bandwidth, CV, AICc) of given bandwidths: the curve that the search walks on."""
+    p = points(df, y, xs, t)
+    out = []
+    for b in sizes:
+        f = fitted(df, p, with_size(spec, b), t=t)
+        rss = float(((p.y - (np.stack(f.beta) * p.X).sum(1)) ** 2).sum())
+        out.append((float(b), float((f.cv**2).sum(skipna=False)), aicc_of(len(p.y), rss, float(f.s_ii.sum()))))
+    return out
+
+
 def forward_selection(df: DataFrame, y: str, xs: list[str], threshold: float = 3.0) -> tuple[list[str], list[tuple[list[str], float]]]:
     """Add the variable with the lowest global AICc at each level; all models come from one Gram matrix, aggregated once. Returns the pick and all models."""
     cols = [F.lit(1.0), *(F.col(v).cast("double") for v in (*xs, y))]
@@ -145,7 +167,9 @@ def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None,
     diag = diagnostics(p, rss, s, ss) | {"bandwidth": spec.size}
     sigma2 = rss / (len(p.y) - 2 * s + ss)
     where = foci(p, df, t)
-    q = over_foci(where, (spec, p, extra), q_block, "fid bigint, q double", len(p.fid)).groupBy("fid").agg(F.sum("q").alias("q")).toPandas().sort_values("fid").q.to_numpy()
+    parts = over_foci(where, (spec, p, extra), q_block, "fid bigint, q double", len(p.fid))
+    q = parts.groupBy("fid").agg(F.sum("q").alias("q")).toPandas().sort_values("fid").q.to_numpy()
+    free(parts)
     names = names_of(xs)
     se = np.sqrt(sigma2 * raw)
     out = {"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names)}, "y": p.y, "yhat": yhat, "residual": res, "Stud_residual": res / np.sqrt(sigma2 * q), **{f"{n}_SE": se[:, k] for k, n in enumerate(names)}, **{f"{n}_TV": beta[:, k] / se[:, k] for k, n in enumerate(names)}}
@@ -175,16 +199,16 @@ def robust_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, method: str = "
         r = first.select("fid", "Stud_residual").toPandas().sort_values("fid").Stud_residual.to_numpy()
         return gwr(df, y, xs, spec, extra=(np.abs(r) <= 3).astype(float))
     extra, mse = np.ones(len(p.y)), None
-    for _ in range(most):
-        f = fitted(df, p, spec, extra)
+    for _ in range(most + 1):
+        used = extra
+        f = fitted(df, p, spec, used)
         res = p.y - (np.stack(f.beta) * p.X).sum(1)
-        now = float((res**2).sum() / (len(p.y) - 2 * f.s_ii.sum() + f.ss.sum()))
-        if mse is not None and abs(now - mse) / mse <= tol:
-            break
-        mse = now
-        r = np.abs(res) / math.sqrt(now)
+        last, mse = mse, float((res**2).mean())
+        r = np.abs(res) / math.sqrt(mse) if mse > 0 else np.zeros(len(res))
         extra = np.where(r <= 2, 1.0, np.where(r < 3, (1 - (r - 2) ** 2) ** 2, 0.0))
-    return gwr(df, y, xs, spec, extra=extra)
+        if mse == 0 or (last is not None and abs(last - mse) / mse <= tol):
+            break
+    return gwr(df, y, xs, spec, extra=used)
 
 
 def ridge_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
@@ -243,27 +267,53 @@ def glm(p: Points, family: str, most: int = 25, eps: float = 1e-8) -> dict:
         if abs(ll - last) / (abs(ll) + 0.1) < eps:
             break
         last = ll
-    return {"beta": beta, "log_likelihood": ll, "aic": 2 * len(beta) - 2 * ll}
+    mu, _, v = family_step(family, p.y, nu)
+    n, k = p.X.shape
+    se = np.sqrt(np.diag(np.linalg.inv((p.X * v[:, None]).T @ p.X)))
+    dev, null = deviance(family, p.y, mu), deviance(family, p.y, np.full(n, p.y.mean()))
+    return {"beta": beta, "se": se, "log_likelihood": ll, "deviance": dev, "null_deviance": null, "pseudo_r2": 1 - dev / null, "aic": dev + 2 * k, "aicc": dev + 2 * k + 2 * k * (k + 1) / (n - k - 1)}
 
 
-def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: str = "poisson", tol: float = 1e-5, most: int = 20) -> tuple[DataFrame, dict]:
-    """Local Poisson or binomial regression: every iteration is one pass of weighted local fits."""
+def deviance(family: str, y: np.ndarray, mu: np.ndarray) -> float:
+    """Poisson deviance; for binomial data the sum of -2 log of each row's chance of what it is."""
+    if family == "poisson":
+        with np.errstate(all="ignore"):
+            return float(np.where(y != 0, 2 * (y * (np.log(y / mu) - 1) + mu), 2 * mu).sum())
+    return float((-2 * np.log(np.maximum(np.abs(y - 1 + mu), 1e-300))).sum())
+
+
+def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: str = "poisson", tol: float = 1e-5, most: int = 20, select_bw: bool = False) -> tuple[DataFrame, dict]:
+    """Local Poisson or binomial regression: every iteration is one pass of weighted local fits, the first with even working weights.
+
+    Rows have coefficients, y, yhat, residual, SE and t values; diagnostics the deviance with AIC, AICc and pseudo R2. ``select_bw`` takes the bandwidth of the least AICc.
+    """
     p = points(df, y, xs)
-    nu, last = None, math.inf
+    if select_bw:
+        spec = with_size(spec, select_bandwidth(df, p, spec, by=lambda s: generalized_fit(df, p, s, family, tol, most)[2]["aicc"])[0])
+    f, mu, diag = generalized_fit(df, p, spec, family, tol, most)
+    beta, se = np.stack(f.beta), np.sqrt(np.stack(f.raw))
+    names = names_of(xs)
+    out = pd.DataFrame({"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names)}, "y": p.y, "yhat": mu, "residual": p.y - mu, **{f"{n}_SE": se[:, k] for k, n in enumerate(names)}, **{f"{n}_TV": beta[:, k] / se[:, k] for k, n in enumerate(names)}})
+    return df.sparkSession.createDataFrame(out), diag | {"bandwidth": spec.size}
+
+
+def generalized_fit(df: DataFrame, p: Points, spec: Spec, family: str, tol: float, most: int) -> tuple[pd.DataFrame, np.ndarray, dict]:
+    """The last local fits, the means, and diagnostics."""
+    nu, last, v = None, 0.0, np.ones(len(p.y))
     for _ in range(most):
-        _, z, v = family_step(family, p.y, nu)
-        f = fitted(df, Points(p.fid, p.xy, p.X, z), spec, v)
-        beta = np.stack(f.beta)
-        nu = (beta * p.X).sum(1)
-        ll = log_likelihood(family, p.y, family_step(family, p.y, nu)[0])
-        if abs(ll - last) / (abs(ll) + 1e-12) < tol:
+        _, z, working = family_step(family, p.y, nu)
+        f = fitted(df, Points(p.fid, p.xy, p.X, z), spec, v, noise=1 / v)
+        nu = (np.stack(f.beta) * p.X).sum(1)
+        mu, _, working = family_step(family, p.y, nu)
+        ll = log_likelihood(family, p.y, mu)
+        if not math.isfinite(ll) or abs((last - ll) / ll) < tol:
             break
-        last = ll
-    mu = family_step(family, p.y, nu)[0]
-    trace = float(f.s_ii.sum())
-    out = pd.DataFrame({"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names_of(xs))}, "y": p.y, "yhat": mu, "residual": p.y - mu})
-    n = len(p.y)
-    return df.sparkSession.createDataFrame(out), {"log_likelihood": ll, "tr_s": trace, "aic": -2 * ll + 2 * trace, "aicc": -2 * ll + 2 * trace + 2 * trace * (trace + 1) / (n - trace - 1)}
+        last, v = ll, working
+    n, trace, dev = len(p.y), float(f.s_ii.sum()), deviance(family, p.y, mu)
+    null = deviance(family, p.y, np.full(n, p.y.mean()))
+    aic = dev + 2 * trace
+    aicc = aic + 2 * trace * (trace + 1) / (n - trace - 1) if n - trace - 1 > 0 and math.isfinite(aic) else math.inf
+    return f, mu, {"log_likelihood": ll, "deviance": dev, "null_deviance": null, "pseudo_r2": 1 - dev / null, "tr_s": trace, "tr_sts": float(f.ss.sum()), "aic": aic, "aicc": aicc}
 
 
 def product_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
@@ -285,15 +335,17 @@ def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
     return rows.select("fid", *spread_out(rows, "beta", names_of(xs)), "ok")
 
 
-def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6) -> tuple[DataFrame, dict]:
-    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds."""
+def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean."""
     xs = [v for v in specs if v != "Intercept"]
     p = points(df, y, xs)
+    for v in centre:
+        p.X[:, 1 + xs.index(v)] -= p.X[:, 1 + xs.index(v)].mean()
     own = [specs.get(n, next(iter(specs.values()))) for n in names_of(xs)]
     small = len(p.y) ** 2 <= BLOCK_PAIRS  # one block: fitted here, alike, without a job for each of many fits
 
     def fit(q: Points, spec: Spec) -> pd.DataFrame:
-        return fit_block(pd.DataFrame({"fid": q.fid, "x": q.xy[:, 0], "y": q.xy[:, 1]}), (spec, q, None)) if small else fitted(df, q, spec)
+        return fit_block(pd.DataFrame({"fid": q.fid, "x": q.xy[:, 0], "y": q.xy[:, 1]}), (spec, q, None, None)) if small else fitted(df, q, spec)
 
     def cv(q: Points, spec: Spec) -> float:
         v = float((fit(q, spec).cv ** 2).sum(skipna=False)) if small else score(df, q, spec)
@@ -350,63 +402,100 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0
     return pts[int(np.argmin(val))]
 
 
+#: By what the median neighbour distance is divided for the base bandwidth of each kernel.
+BASE_SHARE = {"gaussian": math.sqrt(3), "exponential": 3.0}
+
+
+def base_weights(p: Points, foci_at: np.ndarray, k: int, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest points of data points, themselves first, and the base kernel there."""
+    d = distances(Spec(0), p.xy[foci_at], p.xy)
+    d[np.arange(len(foci_at)), foci_at] = -1
+    near = np.argsort(d, 1, kind="stable")[:, :k]
+    return near, np.exp(-((np.maximum(np.take_along_axis(d, near, 1), 0) / band) ** 2))
+
+
 def moments_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
-    """Polynomial kernel moments of the k nearest points of each focus, itself left out."""
+    """Kernel moments of the nearest points of each focus, itself left out, for each power of the base kernel."""
     p, k, band, powers = held
     i = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
-    d = distances(Spec(0), p.xy[i], p.xy)
-    d[np.arange(len(i)), i] = -1
-    near = np.argsort(d, 1, kind="stable")[:, 1 : k + 1]
-    g = np.exp(-((np.take_along_axis(d, near, 1) / band) ** 2) / 2)
-    X, y = p.X[near], p.y[near]
+    near, g = base_weights(p, i, k, band)
+    X, y = p.X[near[:, 1:]], p.y[near[:, 1:]]
     M, m = [], []
     for q in powers:
-        w = g**q
+        w = g[:, 1:] ** q
         M.append(np.einsum("mk,mkp,mkq->mpq", w, X, X))
         m.append(np.einsum("mk,mkp,mk->mp", w, X, y))
     return pd.DataFrame({"fid": p.fid[i], "M": [x.ravel() for x in np.stack(M, 1)], "m": [x.ravel() for x in np.stack(m, 1)]})
 
 
 def neighbour_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
-    """Distance of each focus to its k-th nearest other point."""
+    """Distance of each focus to its k-th nearest point, itself counted."""
     p, k = held
     i = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
-    d = distances(Spec(0), p.xy[i], p.xy)
-    d[np.arange(len(i)), i] = -1
-    return pd.DataFrame({"fid": p.fid[i], "d": np.partition(d, k, 1)[:, k]})
+    return pd.DataFrame({"fid": p.fid[i], "d": np.partition(distances(Spec(0), p.xy[i], p.xy), k - 1, 1)[:, k - 1]})
 
 
-def scalable_gwr(df: DataFrame, y: str, xs: list[str], k: int = 50, polynomial: int = 4) -> tuple[DataFrame, dict]:
-    """Kernel as a polynomial of a fixed gaussian base kernel (its bandwidth is the median neighbour distance of all points over the root of 3) over k neighbours plus a global share; the two scales minimise the leave-one-out error."""
+def scalable_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
+    p, k, band, powers, shares, penalty = held
+    fid = pdf.fid.to_numpy(np.int64)
+    i = np.searchsorted(p.fid, fid)
+    near, g = base_weights(p, i, k, band)
+    W = np.full((len(i), len(p.fid)), penalty)
+    np.put_along_axis(W, near, penalty + sum(r * g**q for r, q in zip(shares, powers)), 1)
+    return fit_rows(W, p, fid)
+
+
+def scalable_gwr(df: DataFrame, y: str, xs: list[str], k: int = 50, polynomial: int = 4, kernel: str = "gaussian", criterion: str = "CV") -> tuple[DataFrame, dict]:
+    """Kernel as a polynomial of a fixed base kernel over the ``k`` nearest points, plus a global share for all points.
+
+    The base bandwidth is the median distance to the k-th (50th at most) nearest point, of all points, over a fixed share
+    of the ``kernel``. The polynomial's terms have powers 0 and 2**(P/2)/2**p; their shares are powers of one scale,
+    normalised. Scale and global share minimise the leave-one-out error, a point left out of both parts, or with
+    ``criterion`` AICc that of the fit. Rows have coefficients, y, yhat, residual, SE and t values.
+    """
     p = points(df, y, xs)
     n, c = p.X.shape
     k = min(k, n - 1)
-    near = over_foci(foci(p, df), (p, min(50, k)), neighbour_block, "fid bigint, d double", n).select("d").toPandas().d
-    band = float(np.median(near)) / math.sqrt(3) or 1.0
-    powers = [2 ** (polynomial / 2) / 2 ** (q + 1) for q in range(polynomial)]
-    rows = over_foci(foci(p, df), (p, k, band, powers), moments_block, "fid bigint, M array<double>, m array<double>", n).toPandas().sort_values("fid")
-    M, m = np.stack(rows.M).reshape(n, polynomial, c, c), np.stack(rows.m).reshape(n, polynomial, c)
+    near = over_foci(foci(p, df), (p, min(50, k)), neighbour_block, "fid bigint, d double", n)
+    band = float(np.median(near.select("d").toPandas().d)) / BASE_SHARE[kernel] or 1.0
+    free(near)
+    powers = [0.0, *(2 ** (polynomial / 2) / 2 ** (q + 1) for q in range(polynomial))]
+    rows = over_foci(foci(p, df), (p, k, band, powers), moments_block, "fid bigint, M array<double>, m array<double>", n)
+    got = rows.toPandas().sort_values("fid")
+    free(rows)
+    M, m = np.stack(got.M).reshape(n, len(powers), c, c), np.stack(got.m).reshape(n, len(powers), c)
     A0, b0 = p.X.T @ p.X, p.X.T @ p.y
+    own, own_y = p.X[:, :, None] * p.X[:, None, :], p.X * p.y[:, None]
 
-    def betas(par: np.ndarray, loo: bool) -> np.ndarray:
-        b, a = par[0] ** 2, par[1] ** 2
-        r = np.array([b ** (q + 1) for q in range(polynomial)])
-        own = p.X[:, :, None] * p.X[:, None, :]
-        A = np.einsum("q,nqij->nij", r, M) + a * (A0 - own)
-        v = np.einsum("q,nqi->ni", r, m) + a * (b0 - p.X * p.y[:, None])
-        if not loo:
-            A, v = A + (r.sum() + a) * own, v + (r.sum() + a) * p.X * p.y[:, None]
-        return solve(A, v)[0]
-
-    def cv(par: np.ndarray) -> float:
-        e = p.y - (betas(par, True) * p.X).sum(1)
-        return float((e**2).sum()) if np.isfinite(e).all() else math.inf
+    def shares_of(par: np.ndarray) -> tuple[np.ndarray, float]:
+        r = np.array([(par[0] ** 2) ** (q + 1) for q in range(len(powers))])
+        return r / r.sum() if r.sum() > 0 else r, float(par[1] ** 2)
 
-    par = simplex(cv, np.array([1.0, 0.1]))
-    beta = betas(par, False)
-    yhat = (beta * p.X).sum(1)
-    out = pd.DataFrame({"fid": p.fid, **{v: beta[:, j] for j, v in enumerate(names_of(xs))}, "y": p.y, "yhat": yhat, "residual": p.y - yhat})
-    return df.sparkSession.createDataFrame(out), {"scale": float(par[0] ** 2), "penalty": float(par[1] ** 2), "cv": cv(par), "band": band}
+    def objective(par: np.ndarray) -> float:
+        r, a = shares_of(par)
+        A = np.einsum("q,nqij->nij", r, M) + a * (A0 - own)
+        v = np.einsum("q,nqi->ni", r, m) + a * (b0 - own_y)
+        if criterion == "CV":
+            e = p.y - (solve(A, v)[0] * p.X).sum(1)
+            return float((e**2).sum()) if np.isfinite(e).all() else math.inf
+        A, v = A + (r.sum() + a) * own, v + (r.sum() + a) * own_y
+        both, ok = solve(A, np.stack([v, p.X], 2))
+        e = p.y - (both[:, :, 0] * p.X).sum(1)
+        out = aicc_of(n, float((e**2).sum()), float((r.sum() + a) * (both[:, :, 1] * p.X).sum()))
+        return out if ok.all() and math.isfinite(out) else math.inf
+
+    par = simplex(objective, np.array([1.0, 0.01]))
+    r, a = shares_of(par)
+    fits = over_foci(foci(p, df), (p, k, band, powers, r, a), scalable_block, FIT, n)
+    f = fits.toPandas().sort_values("fid", kind="stable")
+    free(fits)
+    beta = np.stack(f.beta)
+    res = p.y - (beta * p.X).sum(1)
+    s, ss, rss = float(f.s_ii.sum()), float(f.ss.sum()), float((res**2).sum())
+    se = np.sqrt(rss / (n - 2 * s + ss) * np.stack(f.raw))
+    names = names_of(xs)
+    out = pd.DataFrame({"fid": p.fid, **{v: beta[:, j] for j, v in enumerate(names)}, "y": p.y, "yhat": p.y - res, "residual": res, **{f"{v}_SE": se[:, j] for j, v in enumerate(names)}, **{f"{v}_TV": beta[:, j] / se[:, j] for j, v in enumerate(names)}})
+    return df.sparkSession.createDataFrame(out), diagnostics(p, rss, s, ss) | {"scale": float(par[0] ** 2), "penalty": a, "score": objective(par), "band": band}
 
 
 def pca_block(pdf: pd.DataFrame, held) -> pd.DataFrame:

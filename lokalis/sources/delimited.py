@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Degrees-minutes-seconds and the prefixes that WKT may carry.
-DMS = r"^\s*([-+NSEWnsew])?\s*(\d{1,3})(?:[^0-9.]+([0-5]?\d))?(?:[^0-9.]+([0-5]?\d(?:\.\d+)?))?[^0-9.A-Za-z+-]*([-+NSEWnsew])?\s*$"
-WKT_PREFIX = r"^\s*(?:SRID=\d+;|\d+\s+)?\s*"
+#: Signs and hemispheres that degrees may carry at one end, those that are negative, and the types that sidecar files name.
+SIGNS, NEGATIVE = "+-NSEW", "-SW"
 SIDECAR = {"integer": "int", "int": "int", "integer64": "bigint", "longlong": "bigint", "long": "bigint", "int8": "bigint", "real": "double", "double": "double", "float": "double", "string": "string", "text": "string", "date": "date", "time": "string", "datetime": "timestamp"}
 
 
@@ -33,46 +32,92 @@ def header_names(raw: list[str | None], most: int = 64) -> list[str]:
     return out
 
 
+def file_order() -> list[Column]:
+    """Where a record stands: its file, the split's start and the order inside the split."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__seq")]
+
+
+def widest(spark: SparkSession, path: str, delimiter: str, encoding: str) -> int:
+    """The most cells that a line can hold, by its delimiters."""
+    n = spark.read.option("encoding", encoding).text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit(""))))).first()[0]
+    return (n or 0) + 1
+
+
+def split_cells(delimiters: str, quote: str) -> Column:
+    """A line's cells by any of several delimiters, which count as text inside quotes; doubled quotes inside are one."""
+    d, q = re.escape(delimiters).replace("^", "\\^").replace("]", "\\]"), re.escape(quote)
+    if not quote:
+        return F.split("line", f"[{d}]", -1)
+    quoted = f"{q}(?:[^{q}]|{q}{q})*{q}[^{d}]*"
+    # each cell with the delimiter before it; a delimiter put before the line gives the first one too
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiters[0]), F.col("line")), F.lit(f"[{d}]({quoted}|[^{d}]*)"), 1)
+    return F.transform(cells, lambda c: F.when(c.rlike(f"^{q}.*{q}\\s*$") & (F.length(c) > 1), F.regexp_replace(F.regexp_replace(c, f"^{q}|{q}\\s*$", ""), q + q, quote)).otherwise(c))
+
+
 def read(spark: SparkSession, path: str, delimiters: str = ",", quote: str = '"', escape: str = '"', header: bool = True, skip_lines: int = 0, trim: bool = False, skip_empty: bool = False, max_fields: int = 0, encoding: str = "UTF-8", pattern: str | None = None, types: str = "detect", decimal_point: str = ".", names: list[str] | None = None) -> DataFrame:
-    """A table of the file's records with ``fid`` (their order) first. Blank records are left out, short ones padded with null.
+    """A table of the files' records with ``fid`` first. Blank records are left out, short ones padded with null; cells beyond the header's get fields of their own.
 
+    Each file has its own header and its own ``skip_lines`` before it; the names are those of the first file. Line breaks
+    inside quotes need a single delimiter and no ``skip_lines``. ``whitespace`` as ``delimiters`` cuts at runs of blanks and tabs.
     ``pattern``: a regular expression that delimits fields; one that starts with ``^`` keeps only lines that it matches and gives its groups.
+    ``types``: ``detect`` (by a ``.csvt`` file beside the data where there is one, else by the cells), ``text``, or a sidecar line.
     """
+    if delimiters == "whitespace":
+        pattern, trim = r"[ \t]+", True
     if pattern is None and len(delimiters) == 1 and not skip_lines:
-        rows = spark.read.option("sep", delimiters).option("quote", quote).option("escape", escape).option("multiLine", True).option("encoding", encoding).option("header", False).csv(path)
+        n = widest(spark, path, delimiters, encoding)
+        reader = spark.read.option("sep", delimiters).option("quote", quote).option("escape", escape).option("multiLine", True).option("encoding", encoding).option("header", False)
+        rows = reader.schema(", ".join(f"c{k} string" for k in range(n))).csv(path)
         cells = F.array(*rows.columns)
-        rows = rows.select(F.monotonically_increasing_id().alias("fid"), cells.alias("cells"))
+        last = F.array_max(F.transform(F.sequence(F.lit(1), F.size("cells")), lambda k: F.when(F.element_at("cells", k).isNotNull(), k).otherwise(0)))
+        rows = rows.select(*file_order(), cells.alias("cells")).withColumn("cells", F.slice("cells", 1, last))
     else:
-        text = spark.read.text(path).select(F.monotonically_increasing_id().alias("fid"), F.regexp_replace("value", "\r$", "").alias("line"))
+        text = spark.read.option("encoding", encoding).text(path).select(*file_order(), F.regexp_replace("value", "\r$", "").alias("line"))
         if skip_lines:
-            text = text.filter(F.col("fid") >= skip_lines) if text.rdd.getNumPartitions() == 1 else text.join(text.orderBy("fid").limit(skip_lines).select("fid"), "fid", "left_anti")
+            place = F.row_number().over(Window.partitionBy("__file").orderBy("__block", "__seq"))
+            first = text.filter("__block = 0").select("__file", "__block", "__seq").withColumn("__place", place).filter(F.col("__place") <= skip_lines)
+            text = text.join(first, ["__file", "__block", "__seq"], "left_anti")
         if pattern and pattern.startswith("^"):
             groups = re.compile(pattern).groups
             cells = F.array(*(F.regexp_extract("line", pattern, k + 1) for k in range(groups)))
-            rows = text.filter(F.col("line").rlike(pattern)).select("fid", cells.alias("cells"))
+            rows = text.filter(F.col("line").rlike(pattern)).withColumn("cells", cells).drop("line")
         else:
-            cut = pattern or "[" + "".join(map(re.escape, delimiters)) + "]"
-            rows = text.select("fid", F.split("line", cut, -1).alias("cells"))
-            if quote:
-                rows = rows.withColumn("cells", F.transform("cells", lambda c: F.regexp_replace(c, f"^{re.escape(quote)}(.*){re.escape(quote)}$", "$1")))
+            line = F.trim("line") if delimiters == "whitespace" else F.col("line")
+            rows = text.withColumn("line", line).withColumn("cells", F.split("line", pattern, -1) if pattern else split_cells(delimiters, quote)).drop("line")
     if trim:
         rows = rows.withColumn("cells", F.transform("cells", F.trim))
     if skip_empty:
         rows = rows.withColumn("cells", F.filter("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
     rows = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
     if header and names is None:
-        top = rows.orderBy("fid").first()
-        names = header_names(list(top["cells"])) if top else []
-        rows = rows.filter(F.col("fid") > (top["fid"] if top else -1))
-    if names is None:
-        width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
-        names = header_names([None] * width)
+        place = F.struct("__block", "__seq")
+        heads = rows.groupBy("__file").agg(F.min_by("cells", place).alias("head"), F.min(place).alias("at"))
+        top = heads.orderBy("__file").first()
+        names = header_names(list(top["head"])) if top else []
+        heads = heads.select("__file", "at.*")  # a row for each file
+        rows = rows.join(heads, ["__file", "__block", "__seq"], "left_anti")
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    names = names or []
+    if width > len(names):
+        names = header_names([*names, *[None] * (width - len(names))])
     names = names[:max_fields] if max_fields else names
     cols = [F.when(F.try_element_at("cells", F.lit(k + 1)) != "", F.try_element_at("cells", F.lit(k + 1))).alias(n) for k, n in enumerate(names)]
-    out = rows.select("fid", *cols)
+    out = rows.select(F.col("__seq").alias("fid"), *cols)
+    if types == "detect":
+        types = sidecar_line(spark, path) or types
     return detected(out, names, decimal_point) if types == "detect" else out if types == "text" else typed(out, sidecar_types(types, len(names)), names, decimal_point)
 
 
+def sidecar_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of the ``.csvt`` file beside a data file, through the same file system; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(re.sub(r"\.\w+$", "", path) + ".csvt")
+    if not beside.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(beside):
+        return None
+    row = spark.read.text(beside.toString()).first()
+    return row["value"] if row else None
+
+
 def number(c: Column, decimal_point: str = ".") -> Column:
     return F.regexp_replace(c, re.escape(decimal_point), ".") if decimal_point != "." else c
 
@@ -101,13 +146,34 @@ def sidecar_types(line: str, width: int) -> list[str]:
 
 
 def degrees(c: Column) -> Column:
-    """Decimal degrees of a number or of degrees, minutes and seconds with a sign or letter at one end; null for both ends or neither form."""
-    g = [F.regexp_extract(c, DMS, k) for k in range(1, 6)]
-    part = lambda x: F.coalesce(F.when(x != "", x).try_cast("double"), F.lit(0.0))
-    size = part(g[1]) + part(g[2]) / 60 + part(g[3]) / 3600
-    sign = F.when(F.upper(F.concat(g[0], g[4])).isin("-", "S", "W"), -1.0).otherwise(1.0)
-    dms = F.when(c.rlike(DMS) & ~((g[0] != "") & (g[4] != "")), sign * size)
-    return F.coalesce(c.try_cast("double"), dms)
+    """Decimal degrees of a number or of degrees, minutes and seconds with a sign or letter at one end; null for both ends or neither form.
+
+    The sign is taken off, the numbers are taken out of the rest and each is checked for its range; of what stands
+    between them only separators are allowed.
+    """
+    t = F.upper(F.trim(c))
+    ends = [F.substring(t, 1, 1), F.substring(t, -1, 1)]
+    signed = [F.lit(SIGNS).contains(e) & (e != "") for e in ends]
+    body = F.when(signed[0], F.substr(t, F.lit(2))).otherwise(t)
+    body = F.trim(F.when(signed[1], F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body))
+    found = F.regexp_extract_all(body, F.lit("[0-9.]+"), 0)
+    rest = F.regexp_replace(body, "[0-9.]+", "")
+    value = lambda k: F.try_element_at(found, F.lit(k)).try_cast("double")
+    whole = lambda k: ~F.coalesce(F.try_element_at(found, F.lit(k)), F.lit("")).contains(".")
+    n = F.size(found)
+    fine = n.between(1, 3) & body.rlike("^[0-9]") & ~F.upper(rest).rlike("[A-Z+-]") & whole(1) & whole(2)
+    fine = fine & (F.length(F.try_element_at(found, F.lit(1))) <= 3) & F.coalesce(value(2) < 60, F.lit(True)) & F.coalesce(value(3) < 60, F.lit(True))
+    size = value(1) + F.coalesce(value(2), F.lit(0.0)) / 60 + F.coalesce(value(3), F.lit(0.0)) / 3600
+    sign = F.when((signed[0] & F.lit(NEGATIVE).contains(ends[0])) | (signed[1] & F.lit(NEGATIVE).contains(ends[1])), -1.0).otherwise(1.0)
+    return F.coalesce(c.try_cast("double"), F.when(fine & ~(signed[0] & signed[1]), sign * size))
+
+
+def bare_wkt(c: Column) -> Column:
+    """Well-known text without what stands before it: ``SRID=...;`` or a number."""
+    t = F.trim(c)
+    t = F.when(F.upper(t).startswith("SRID="), F.trim(F.substring_index(t, ";", -1))).otherwise(t)
+    first = F.substring_index(t, " ", 1)
+    return F.when(first.try_cast("long").isNotNull(), F.trim(F.substr(t, F.length(first) + 1))).otherwise(t)
 
 
 def with_xy(df: DataFrame, x: str, y: str, dms: bool = False, decimal_point: str = ".") -> DataFrame:
@@ -121,37 +187,36 @@ def with_xy(df: DataFrame, x: str, y: str, dms: bool = False, decimal_point: str
 
 
 def with_wkt(df: DataFrame, column: str) -> DataFrame:
-    """``wkt, kind, x, y`` from WKT: prefixes removed; x and y are the point, the length-weighted middle of a line, or the centroid of a polygon's outer ring."""
-    wkt = F.trim(F.regexp_replace(F.col(f"`{column}`"), WKT_PREFIX, ""))
+    """``wkt, kind, x, y`` from WKT: prefixes removed; x and y are the centroid over all parts: the mean of points, the length-weighted middle of lines, the area-weighted centroid of polygons, whose holes count against them."""
+    wkt = bare_wkt(F.col(f"`{column}`"))
     kind = F.upper(F.regexp_extract(wkt, r"^([A-Za-z]+)", 1))
-    ring = F.regexp_extract(wkt, r"\(+\s*([^()]*)\)", 1)
-    pts = F.transform(F.split(ring, ","), lambda p: F.transform(F.slice(F.split(F.trim(p), r"\s+"), 1, 2), lambda v: v.try_cast("double")))
-    out = df.withColumn("wkt", wkt).withColumn("kind", kind).withColumn("__p", pts)
-    n = F.size("__p")
-    step = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at("__p", i).alias("a"), F.element_at("__p", F.least(i + 1, n)).alias("b")))
-    total = lambda f: F.aggregate(F.col("__s"), F.lit(0.0), lambda acc, s: acc + f(s["a"], s["b"]))
-    out = out.withColumn("__s", step)
-    cross = lambda a, b: a[0] * b[1] - b[0] * a[1]
-    length = lambda a, b: F.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
-    area = total(cross)
+    spelled = F.regexp_extract_all(F.regexp_replace(wkt, r"^[A-Za-z ]+", ""), F.lit(r"\(*\s*([^()]+)"), 0)
+    part = lambda s: F.transform(F.split(F.regexp_replace(s, "[()]", " "), ","), lambda p: F.transform(F.slice(F.split(F.trim(p), r"\s+"), 1, 2), lambda v: v.try_cast("double")))
+    # a ring that opens with two brackets or more is an outer one, others are holes
+    parts = F.transform(F.filter(spelled, lambda s: s.rlike("[0-9]")), lambda s: F.struct(part(s).alias("p"), s.startswith("((").alias("outer")))
+    out = df.withColumn("wkt", wkt).withColumn("kind", kind).withColumn("__parts", parts)
+    pieces = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r["p"]) - 1, F.lit(1))), lambda i: F.struct(F.element_at(r["p"], i).alias("a"), F.element_at(r["p"], F.least(i + 1, F.size(r["p"]))).alias("b")))
+    length = lambda e: F.sqrt(F.pow(e["a"][0] - e["b"][0], F.lit(2.0)) + F.pow(e["a"][1] - e["b"][1], F.lit(2.0)))
+    cross = lambda e: e["a"][0] * e["b"][1] - e["b"][0] * e["a"][1]
+    added = lambda items, f: F.aggregate(items, F.lit(0.0), lambda acc, e: acc + f(e))
+
+    def over_rings(f) -> Column:
+        """Sums over outer rings less those over holes, whichever way the rings turn."""
+        turned = lambda r: F.when(added(pieces(r), cross) < 0, -1.0).otherwise(1.0) * F.when(r["outer"], 1.0).otherwise(-1.0)
+        return F.aggregate("__parts", F.lit(0.0), lambda acc, r: acc + turned(r) * added(pieces(r), f))
+
+    over_lines = lambda f: F.aggregate("__parts", F.lit(0.0), lambda acc, r: acc + added(pieces(r), f))
+    every = F.flatten(F.transform("__parts", lambda r: r["p"]))
     where = []
     for k in (0, 1):
-        point = F.element_at("__p", 1)[k]
-        line = F.try_divide(F.aggregate(F.col("__s"), F.lit(0.0), mid_sum(length, k)), total(length))
-        poly = F.try_divide(F.aggregate(F.col("__s"), F.lit(0.0), cross_sum(cross, k)), 3 * area)
+        point = F.try_divide(added(every, lambda p: p[k]), F.size(every).cast("double"))  # noqa: B023
+        line = F.try_divide(over_lines(lambda e: length(e) * (e["a"][k] + e["b"][k]) / 2), over_lines(length))  # noqa: B023
+        poly = F.try_divide(over_rings(lambda e: cross(e) * (e["a"][k] + e["b"][k])), 3 * over_rings(cross))  # noqa: B023
         where.append(F.when(kind.contains("POLYGON"), F.coalesce(poly, point)).when(kind.contains("LINE"), F.coalesce(line, point)).otherwise(point))
     keep = [c for c in df.columns if c not in ("x", "y", "wkt", "kind")]
     return out.select(*(F.col(f"`{c}`") for c in keep), "wkt", "kind", where[0].alias("x"), where[1].alias("y"))
 
 
-def mid_sum(length, k: int):
-    return lambda acc, s: acc + length(s["a"], s["b"]) * (s["a"][k] + s["b"][k]) / 2
-
-
-def cross_sum(cross, k: int):
-    return lambda acc, s: acc + cross(s["a"], s["b"]) * (s["a"][k] + s["b"][k])
-
-
 def xy_fields(df: DataFrame) -> tuple[str, str] | None:
     """Two numeric columns whose names differ by x and y."""
     numeric = {n.lower(): n for n, t in df.dtypes if t in ("int", "bigint", "double", "float")}

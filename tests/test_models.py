@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
 from lokalis.functions import kernels
-from lokalis.operators import local, models, pairs, rows, summary
+from lokalis.operators import dense, local, models, pairs, rows, summary
 
 
 @pytest.fixture(scope="module")
@@ -107,7 +107,7 @@ def test_families(grid, spark):
 def test_other_models_run(grid):
     df, pdf = grid
     assert models.robust_gwr(df, "z", ["a"], local.Spec(3.0))[0].count() == 25
-    assert models.scalable_gwr(df, "exact", ["a"], k=10)[1]["cv"] < 1e-6
+    assert models.scalable_gwr(df, "exact", ["a"], k=10)[1]["score"] < 1e-6
     assert models.multiscale_gwr(df, "exact", {"Intercept": local.Spec(100.0, "boxcar"), "a": local.Spec(100.0, "boxcar")})[1]["rss"] < 1e-6
     assert models.gtdr(df, "exact", ["a"], [local.Spec(5.0)]).filter("abs(a - 2) < 1e-8").count() == 25
     ridge = models.ridge_gwr(df, "exact", ["a"], local.Spec(100.0, "boxcar")).toPandas()
@@ -119,13 +119,95 @@ def test_other_models_run(grid):
     assert np.allclose(pca["Comp.1_PV"], 100 * v[1] / v.sum())
 
 
+@pytest.mark.parametrize("spec", [local.Spec(2.5, "bisquare"), local.Spec(3.0), local.Spec(8, "tricube", True), local.Spec(2.0, "boxcar", metric="manhattan")])
+def test_dense_summaries_equal_the_pair_plans(grid, monkeypatch, spec):
+    df, pdf = grid
+    queries = [lambda: dense.means(df, df, ["a", "z"], spec), lambda: dense.quantiles(df, df, "z", spec), lambda: dense.nearest(df, df, 4)]
+    if spec.kernel == "gaussian":
+        queries.append(lambda: dense.spearman(df, df, "a", "z", spec))
+    for q in queries:
+        blocked = q().toPandas()
+        with monkeypatch.context() as m:
+            m.setattr(dense, "small", lambda data: False)
+            plan = q().toPandas()
+        key = ["fid", "rank"] if "rank" in blocked else ["fid"]
+        a, b = (x.sort_values(key).to_numpy(float) for x in (blocked, plan))
+        assert np.allclose(a, b, equal_nan=True)
+
+
+def test_robust_weights_follow_the_mean_squared_residual(grid):
+    df, pdf = grid
+    p, spec = local.points(df, "z", ["a"]), local.Spec(3.0)
+    W = local.weights_of(spec, p, p.xy)
+    mask, mse = np.ones(25), None
+    for _ in range(21):
+        beta = np.stack([np.linalg.solve((p.X * (w * mask)[:, None]).T @ p.X, (p.X * (w * mask)[:, None]).T @ p.y) for w in W])
+        res = p.y - (beta * p.X).sum(1)
+        old, mse = mse, (res**2).mean()
+        r = np.abs(res) / np.sqrt(mse)
+        mask = np.where(r <= 2, 1, np.where(r < 3, (1 - (r - 2) ** 2) ** 2, 0))
+        if old is not None and abs(old - mse) / mse <= 1e-5:
+            break
+    got = models.robust_gwr(df, "z", ["a"], spec, "iterative")[0].toPandas().sort_values("fid")
+    assert np.allclose(got[["Intercept", "a"]], beta)
+
+
+@pytest.mark.parametrize("family", ["poisson", "binomial"])
+def test_generalized_errors_and_deviance_against_dense(grid, family):
+    df, pdf = grid
+    data = df.withColumn("n", (F.floor(F.exp(F.lit(1.0) + 0.3 * F.col("a"))) if family == "poisson" else (F.col("a") + F.col("b") > 0)).cast("double"))
+    spec = local.Spec(4.0)
+    out, diag = models.generalized_gwr(data, "n", ["a"], spec, family)
+    p = local.points(data, "n", ["a"])
+    W, mu, eta, v, last = local.weights_of(spec, p, p.xy), None, None, np.ones(25), 0.0
+    for _ in range(20):
+        mu, z, _ = models.family_step(family, p.y, eta)
+        C = np.stack([np.linalg.inv((p.X * (w * v)[:, None]).T @ p.X) @ (p.X * (w * v)[:, None]).T for w in W])
+        used, eta = v, np.einsum("np,npm,m->n", p.X, C, z)
+        mu, _, v = models.family_step(family, p.y, eta)
+        ll = models.log_likelihood(family, p.y, mu)
+        if abs((last - ll) / ll) < 1e-5:
+            break
+        last = ll
+    se = np.sqrt(np.einsum("npm,m,npm->np", C, 1 / used, C))
+    got = out.toPandas().sort_values("fid")
+    assert np.allclose(got[["Intercept_SE", "a_SE"]], se) and np.allclose(got.yhat, mu)
+    dev = sum(2 * (y * (math.log(y / m) - 1) + m) if y else 2 * m for y, m in zip(p.y, mu)) if family == "poisson" else sum(-2 * math.log(m if y else 1 - m) for y, m in zip(p.y, mu))
+    trace = np.einsum("np,npn->", p.X, C)
+    assert math.isclose(diag["deviance"], dev) and math.isclose(diag["aic"], dev + 2 * trace) and math.isclose(diag["tr_s"], trace)
+
+
+@pytest.mark.parametrize("kernel", ["gaussian", "exponential"])
+@pytest.mark.parametrize("criterion", ["CV", "AICc"])
+def test_scalable_against_dense(grid, kernel, criterion):
+    df, pdf = grid
+    out, diag = models.scalable_gwr(df, "z", ["a"], k=10, kernel=kernel, criterion=criterion)
+    p = local.points(df, "z", ["a"])
+    d = np.hypot(*(p.xy[:, None, k] - p.xy[None, :, k] for k in (0, 1)))
+    band = np.median(np.sort(d, 1)[:, 9]) / {"gaussian": math.sqrt(3), "exponential": 3.0}[kernel]
+    r = np.array([diag["scale"] ** (q + 1) for q in range(5)])
+    r = r / r.sum()
+    W = np.full((25, 25), diag["penalty"])
+    for i in range(25):
+        near = np.lexsort((np.arange(25), np.where(np.arange(25) == i, -1, d[i])))[:10]
+        g = np.exp(-((d[i, near] / band) ** 2))
+        W[i, near] += sum(x * g**e for x, e in zip(r, (0, 2, 1, 0.5, 0.25)))
+    C = np.stack([np.linalg.inv((p.X * w[:, None]).T @ p.X) @ (p.X * w[:, None]).T for w in W])
+    S = np.einsum("np,npm->nm", p.X, C)
+    res = p.y - S @ p.y
+    got = out.toPandas().sort_values("fid")
+    assert np.allclose(got[["Intercept", "a"]], C @ p.y) and math.isclose(diag["tr_s"], np.trace(S)) and math.isclose(diag["rss"], (res**2).sum())
+    sigma = (res**2).sum() / (25 - 2 * np.trace(S) + (S * S).sum())
+    assert np.allclose(got[["Intercept_SE", "a_SE"]], np.sqrt(sigma * (C * C).sum(2)))
+
+
 def test_scalable_bandwidth_is_of_all_points(spark):
     r = np.random.default_rng(3)
     pdf = pd.DataFrame({"fid": range(2600), "x": np.r_[r.uniform(0, 1, 1250), r.uniform(0, 90, 1350)], "y": r.uniform(0, 1, 2600), "a": r.normal(size=2600)})
     pdf["z"] = 1 + 2 * pdf.a + r.normal(size=2600)
     d = np.hypot(*(pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None, :] for c in "xy"))
     band = models.scalable_gwr(spark.createDataFrame(pdf), "z", ["a"], k=50)[1]["band"]
-    assert math.isclose(band, np.median(np.sort(d, 1)[:, 50]) / math.sqrt(3))
+    assert math.isclose(band, np.median(np.sort(d, 1)[:, 49]) / math.sqrt(3))
 
 
 def test_multiscale_tells_whether_it_converged(grid):

@@ -47,6 +47,34 @@ def test_geometry(spark):
     assert delimited.xy_fields(spark.createDataFrame([(1.0, 2.0)], "px double, py double")) == ("px", "py")
 
 
+def test_long_records_and_quoted_delimiters(spark, tmp_path):
+    df = delimited.read(spark, write(tmp_path / "l.csv", "a,b\n1,2,3,4\n5\n"))
+    assert df.columns == ["fid", "a", "b", "field_3", "field_4"] and sorted(tuple(r)[1:] for r in df.collect() if r["b"]) == [(1, 2, 3, 4)]
+    df = delimited.read(spark, write(tmp_path / "q.txt", 'a;b|c\n"x;y";2|3\n"say ""hi""";|\n'), delimiters=";|")
+    assert [tuple(r)[1:] for r in df.collect()] == [("x;y", 2, 3), ('say "hi"', None, None)]
+    df = delimited.read(spark, write(tmp_path / "w.txt", "a  b\tc\n 1 2   3 \n"), delimiters="whitespace")
+    assert tuple(df.first())[1:] == (1, 2, 3)
+
+
+def test_several_files_skipped_lines_and_sidecar(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        write(tmp_path / "many" / f"{k}.csv", f"note\na;b\n{k};x\n")
+    df = delimited.read(spark, str(tmp_path / "many"), delimiters=";", skip_lines=1)
+    assert sorted(tuple(r)[1:] for r in df.collect()) == [(0, "x"), (1, "x"), (2, "x")]
+    write(tmp_path / "s.csvt", '"String","Real(10.2)"\n')
+    df = delimited.read(spark, write(tmp_path / "s.csv", "a,b\n01,2\n"))
+    assert dict(df.dtypes) == {"fid": "bigint", "a": "string", "b": "double"} and df.first()["a"] == "01"
+
+
+def test_centroids_take_all_parts(spark):
+    shapes = ["MULTIPOINT((0 0),(2 4))", "MULTILINESTRING((0 0, 2 0),(0 2, 2 2))", "MULTIPOLYGON(((0 0, 2 0, 2 2, 0 2, 0 0)),((4 0, 6 0, 6 2, 4 2, 4 0)))", "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0),(2 0, 4 0, 4 4, 2 4, 2 0))", "4326 POINT(1 2)", None]
+    got = [(r["x"], r["y"]) for r in delimited.with_wkt(spark.createDataFrame([(s,) for s in shapes], "g string"), "g").collect()]
+    assert got == [(1, 2), (1, 1), (3, 1), (1, 2), (1, 2), (None, None)]
+    d = spark.createDataFrame([("10\u00b030'36\"W",), ("W 10 30",), ("10 75",), ("1 2 3 4",), ("x10",), (None,), ("",), ("1000 0 0",)], "c string")
+    assert [r[0] for r in d.select(delimited.degrees(F.col("c"))).collect()] == [-10.51, -10.5, None, None, None, None, None, None]
+
+
 def test_geojson_round_trip(spark, tmp_path):
     (tmp_path / "g.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[1.5,2]},"properties":{"n":3}}]}')
     r = layers.read_geojson(spark, str(tmp_path / "g.geojson")).first()
