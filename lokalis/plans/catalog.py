@@ -5,6 +5,7 @@ The tables have no coordinates: points are derived from keys in the same way her
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lokalis.functions import distance as dist
 from lokalis.functions import kernels
 from lokalis.operators import dense, local, models, pairs, rows, summary
+from lokalis.plans import model_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,20 +186,145 @@ put("gwr_coefficients", coefficients, weighted_sql("gaussian", 30, LINES) + MOME
 put("gwr_diagnostics", model(lambda df, s: rounded(one_row(s, models.gwr(df, "dep", ["a"], LINE_SPEC)[1]).select((F.col("rss") / 1000).alias("rss"), "tr_s", "tr_sts", "aicc"), 3)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(res*res)/1000,3) AS rss, round(sum(sii),3) AS tr_s, round(sum(ss),3) AS tr_sts, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(sii))/(count(*)-2-sum(sii)),3) AS aicc FROM e")
 put("gwr_cv_score", model(lambda df, s: rounded(one_row(s, {"cv": models.score(df, local.points(df, "dep", ["a"]), LINE_SPEC)}), 2)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(cv*cv),2) AS cv FROM e")
 put("ols", model(lambda df, s: (lambda o: rounded(s.createDataFrame([(float(o["beta"][0]), float(o["beta"][1]), float(o["r2"]))], "intercept double, slope double, r2 double"), 4))(models.ols(local.points(df, "dep", ["a"])))), f"SELECT round(regr_intercept(dep,a),4) AS intercept, round(regr_slope(dep,a),4) AS slope, round(regr_r2(dep,a),4) AS r2 FROM ({LINES})")
-put("gwr_basic", model(lambda df, s: models.gwr(df, "dep", ["a", "b"], local.Spec(60, "bisquare", True))[0]))
+XS3, ONE = ["1.0", "a", "b"], ["1.0", "a"]
+NAMES3, NAMES2 = ["Intercept", "a", "b"], ["Intercept", "a"]
+
+
+def result_digits(names: list[str], beta: int, local_r2: bool = True) -> dict[str, int]:
+    """Digits that summation in another order leaves alone, by result column."""
+    out = {n: beta for n in names} | {"y": 3, "yhat": 3, "residual": 3, "Stud_residual": 5} | {f"{n}_SE": beta - 1 for n in names} | {f"{n}_TV": 5 for n in names}
+    return out | {"localR2": 6} if local_r2 else out
+
+
+def digits_of(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.select("fid", *(F.round(F.col(f"`{c}`"), d).alias(c) for c, d in digits.items()))
+
+
+def after(text: str, ctes: list[str], select: str) -> str:
+    return f"{text}, {', '.join(ctes)} {select}"
+
+
+def timed_sql(size: float, scale: float) -> str:
+    """Gaussian weights over space-time distances; the time is the id's remainder."""
+    return weighted_sql("gaussian", size, f"SELECT *, CAST(fid%12 AS DOUBLE) AS t FROM ({LINES})").replace(f"sqrt{D2} AS d", f"sqrt({D2}+{scale}*(f.t-d.t)*(f.t-d.t)) AS d")
+
+
+BASIC = result_digits(NAMES3, 1)
+LINE = result_digits(NAMES2, 3)
+put("gwr_basic", model(lambda df, s: digits_of(models.gwr(df, "dep", ["a", "b"], local.Spec(60, "bisquare", True))[0], BASIC)), after(weighted_sql("bisquare", 60, LINES, True), model_sql.full("w", XS3, "dep", "o", NAMES3), model_sql.rounded("o", BASIC)))
+put("gwr_line", model(lambda df, s: digits_of(models.gwr(df, "dep", ["a"], LINE_SPEC)[0], LINE)), after(weighted_sql("gaussian", 30, LINES), model_sql.full("w", ONE, "dep", "o", NAMES2), model_sql.rounded("o", LINE)))
+put("gtwr", model(lambda df, s: digits_of(models.gwr(df.withColumn("t", F.col("fid") % 12), "dep", ["a"], local.Spec(30, time_scale=0.05), t="t")[0], LINE)), after(timed_sql(30, 0.05), model_sql.full("w", ONE, "dep", "o", NAMES2), model_sql.rounded("o", LINE)))
+
+
+def score_rows(df: DataFrame, spark: SparkSession) -> DataFrame:
+    rows = models.bandwidth_scores(df, "dep", ["a"], local.Spec(0, "bisquare", True), list(range(30, 101, 10)))
+    return spark.createDataFrame([(b, round(cv / 1000, 3), round(a, 4)) for b, cv, a in rows], "bandwidth double, cv double, aicc double")
+
+
+SCORE_SQL = " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(weighted_sql('bisquare', b, LINES, True), model_sql.fit('w', ONE, 'dep', 'o'), 'SELECT round(sum(cv*cv)/1000,3) AS cv, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(s_ii))/(count(*)-2-sum(s_ii)),4) AS aicc FROM o')})" for b in range(30, 101, 10))
+put("gwr_bandwidth_scores", model(score_rows), SCORE_SQL)
 put("gwr_bandwidth_search", model(lambda df, s: s.createDataFrame(models.select_bandwidth(df, local.points(df, "dep", ["a"]), local.Spec(0, "bisquare", True))[1], "bandwidth double, score double")))
-put("gwr_variable_selection", model(lambda df, s: s.createDataFrame([(",".join(m), float(a)) for m, a in models.forward_selection(df, "dep", ["a", "b", "n"])[1]], "model string, aicc double")))
-put("gwr_robust_filter", model(lambda df, s: models.robust_gwr(df, "dep", ["a"], LINE_SPEC)[0]))
-put("gwr_robust_iterative", model(lambda df, s: models.robust_gwr(df, "dep", ["a"], LINE_SPEC, "iterative")[0]))
-put("gwr_scalable", model(lambda df, s: models.scalable_gwr(df, "dep", ["a"])[0]))
+
+
+def subset_sql(names: list[str]) -> str:
+    """AICc of the global model of these variables."""
+    xs = ["1.0", *names]
+    k = len(xs)
+    hat = model_sql.added(f"beta{i}*({x})" for i, x in enumerate(xs))
+    ctes = [f"p AS ({LINES})", "w AS (SELECT 0 AS fid, 1.0::DOUBLE AS w, p.* EXCLUDE (fid) FROM p)", model_sql.moments("w", xs, "dep", "m", False), *model_sql.inverse("m", k, "i"), f"r AS (SELECT count(*) AS c, sum(pow(dep-{hat},2)) AS rss FROM p CROSS JOIN (SELECT {', '.join(model_sql.betas(k))} FROM i))"]
+    return f"SELECT '{','.join(sorted(names))}' AS s, aicc FROM (WITH {', '.join(ctes)} SELECT c*ln(rss/c)+c*ln(2*pi())+c*(c+{k})/(c-2-{k}) AS aicc FROM r)"
+
+
+SELECTION_SQL = "WITH z AS MATERIALIZED (" + " UNION ALL ".join(subset_sql(list(c)) for n in (1, 2, 3) for c in itertools.combinations(["a", "b", "n"], n)) + """),
+l1 AS (SELECT s AS f FROM z WHERE length(s)=1 ORDER BY aicc LIMIT 1), l2 AS (SELECT f, replace(replace(s, f, ''), ',', '') AS g FROM z, l1 WHERE length(s)=3 AND contains(s, f) ORDER BY aicc LIMIT 1)
+SELECT s AS model, round(aicc,4) AS aicc FROM z WHERE length(s)=1 UNION ALL SELECT f || ',' || replace(replace(s, f, ''), ',', ''), round(aicc,4) FROM z, l1 WHERE length(s)=3 AND contains(s, f)
+UNION ALL SELECT f || ',' || g || ',' || replace(replace(replace(s, f, ''), g, ''), ',', ''), round(aicc,4) FROM z, l2 WHERE length(s)=5"""
+put("gwr_variable_selection", model(lambda df, s: s.createDataFrame([(",".join(m), round(float(a), 4)) for m, a in models.forward_selection(df, "dep", ["a", "b", "n"])[1]], "model string, aicc double")), SELECTION_SQL)
+MASKED = ["rw AS MATERIALIZED (SELECT e.* REPLACE (e.w*CASE WHEN abs(\"Stud_residual\") <= 3 THEN 1.0 ELSE 0.0 END AS w) FROM w e JOIN o ON e.d_fid = o.fid)"]
+put("gwr_robust_filter", model(lambda df, s: digits_of(models.robust_gwr(df, "dep", ["a"], LINE_SPEC)[0].drop("localR2"), result_digits(NAMES2, 3, False))), after(weighted_sql("gaussian", 30, LINES), [*model_sql.full("w", ONE, "dep", "o", NAMES2), *MASKED, *model_sql.full("rw", ONE, "dep", "o2", NAMES2)], model_sql.rounded("o2", result_digits(NAMES2, 3, False))))
+put("gwr_robust_iterative", model(lambda df, s: digits_of(models.robust_gwr(df, "dep", ["a"], LINE_SPEC, "iterative")[0], {"Intercept": 3, "a": 3, "yhat": 3, "residual": 3, "Intercept_SE": 2, "a_SE": 2})), after(weighted_sql("gaussian", 30, LINES), [*model_sql.robust("w", ONE, "dep", "p"), *model_sql.full("rw", ONE, "dep", "o", NAMES2)], model_sql.rounded("o", {"Intercept": 3, "a": 3, "yhat": 3, "residual": 3, "Intercept_SE": 2, "a_SE": 2})))
+RIDGE_SQL = [
+    "sd AS MATERIALIZED (SELECT stddev_samp(a) AS sda, stddev_samp(b) AS sdb FROM p)",
+    "nm AS MATERIALIZED (SELECT fid, sum(w*w) AS n0, sum(w*w*a*a) AS n1, sum(w*w*b*b) AS n2, sum(w*w*a) AS c01, sum(w*w*b) AS c02, sum(w*w*a*b) AS c12 FROM w GROUP BY fid)",
+    "cm AS MATERIALIZED (SELECT fid, 1.0::DOUBLE AS m0_0, 1.0::DOUBLE AS m1_1, 1.0::DOUBLE AS m2_2, c01/sqrt(n0*n1) AS m0_1, c02/sqrt(n0*n2) AS m0_2, c12/sqrt(n1*n2) AS m1_2 FROM nm)",
+    *model_sql.eigen3("cm", "ce"),
+    "lm AS MATERIALIZED (SELECT fid AS l_fid, sqrt(e1/e3) AS condition, CASE WHEN sqrt(e1/e3) > 30 THEN (sqrt(e1)-30*sqrt(e3))/29 ELSE 0.0 END AS lam FROM ce)",
+    "ws AS MATERIALIZED (SELECT fid, w, dep, a/sda AS a, b/sdb AS b FROM w CROSS JOIN sd)",
+    model_sql.moments("ws", XS3, "dep", "rm", False),
+    "rl AS MATERIALIZED (SELECT * REPLACE (m0_0+lam AS m0_0, m1_1+lam AS m1_1, m2_2+lam AS m2_2) FROM rm JOIN lm ON fid = l_fid)",
+    *model_sql.inverse("rl", 3, "ri"),
+    f"ro AS MATERIALIZED (SELECT fid, condition, lam, {', '.join(model_sql.betas(3))}, sda, sdb FROM ri CROSS JOIN sd)",
+]
+put("gwr_ridge", model(lambda df, s: digits_of(models.ridge_gwr(df, "dep", ["a", "b"], LINE_SPEC, adjust=True), {"Intercept": 2, "a": 2, "b": 2, "lambda": 6, "condition": 3})), after(weighted_sql("gaussian", 30, LINES), RIDGE_SQL, 'SELECT fid, round(beta0,2) AS "Intercept", round(beta1/sda,2) AS a, round(beta2/sdb,2) AS b, round(lam,6) AS "lambda", round(condition,3) AS condition FROM ro'))
+COUNTS = {"Intercept": 5, "a": 6, "yhat": 4, "residual": 4}
+FLAGS = f"SELECT *, CAST(v > 4500 AS DOUBLE) AS z, x/100.0 AS u FROM ({SUPPLIERS})"
+put("gwr_poisson", model(lambda df, s: digits_of(models.generalized_gwr(df, "n", ["a"], LINE_SPEC)[0], COUNTS)), after(weighted_sql("gaussian", 30, LINES), model_sql.generalized("w", ONE, "n", "p", "poisson", 20, 1e-5), 'SELECT fid, round(beta0,5) AS "Intercept", round(beta1,6) AS a, round(mu,4) AS yhat, round(yy-mu,4) AS residual FROM gl'))
+put("gwr_binomial", model(lambda df, s: digits_of(models.generalized_gwr(df.withColumn("z", (F.col("v") > 4500).cast("double")).withColumn("u", F.col("x") / 100), "z", ["u"], local.Spec(40), "binomial")[0], {"Intercept": 5, "u": 5, "yhat": 6, "residual": 6}), "supplier"), after(weighted_sql("gaussian", 40, FLAGS), model_sql.generalized("w", ["1.0", "u"], "z", "p", "binomial", 20, 1e-5), 'SELECT fid, round(beta0,5) AS "Intercept", round(beta1,5) AS u, round(mu,6) AS yhat, round(yy-mu,6) AS residual FROM gl'))
+GTDR_SQL = f"WITH p AS ({LINES}), w AS MATERIALIZED (SELECT f.fid AS fid, d.* EXCLUDE (fid), d.fid AS d_fid, exp(-pow(f.a-d.a,2)/2)*exp(-pow((f.b-d.b)/0.01,2)/2) AS w FROM p f CROSS JOIN p d)"
+put("gtdr", model(lambda df, s: digits_of(models.gtdr(df, "dep", ["a", "b"], [local.Spec(1.0), local.Spec(0.01)]), {"Intercept": 1, "a": 2, "b": 0})), after(GTDR_SQL, model_sql.fit("w", XS3, "dep", "o"), 'SELECT fid, round(beta0,1) AS "Intercept", round(beta1,2) AS a, round(beta2,0) AS b FROM o'))
+VARIABLES = ["dep", "a", "b"]
+PCA = {"Comp.1_PV": 6, "Comp.2_PV": 8, "local_CP": 6}
+
+
+def pca_sql(robust: bool) -> list[str]:
+    """Covariances of the weighted variables, their eigenvalues, and the first component by its dominating variable."""
+    v = enumerate(VARIABLES)
+    if robust:
+        centre = ["ct AS MATERIALIZED (SELECT fid AS c_fid, " + ", ".join(f"arg_min({x}, struct_pack(d := abs(w-0.5), f := d_fid)) AS z{i}" for i, x in v) + " FROM w GROUP BY fid)"]
+        rows = ["zz AS MATERIALIZED (SELECT fid, " + ", ".join(f"({x}-z{i})*w AS y{i}" for i, x in enumerate(VARIABLES)) + " FROM w JOIN ct ON fid = c_fid)", "zm AS MATERIALIZED (SELECT fid AS g_fid, " + ", ".join(f"avg(y{i}) AS g{i}" for i in range(3)) + " FROM zz GROUP BY fid)"]
+        cov = ["pm AS MATERIALIZED (SELECT fid, " + ", ".join(f"sum((y{i}-g{i})*(y{j}-g{j})) AS m{i}_{j}" for i in range(3) for j in range(3)) + " FROM zz JOIN zm ON fid = g_fid GROUP BY fid)"]
+        return [*centre, *rows, *cov, *model_sql.eigen3("pm", "pe")]
+    centre = ["ct AS MATERIALIZED (SELECT fid AS c_fid, sum(w) AS sw, " + ", ".join(f"sum(w*{x})/sum(w) AS z{i}" for i, x in v) + " FROM w GROUP BY fid)"]
+    cov = ["pm AS MATERIALIZED (SELECT fid, " + ", ".join(f"sum(w*({VARIABLES[i]}-z{i})*({VARIABLES[j]}-z{j}))/max(sw) AS m{i}_{j}" for i in range(3) for j in range(3)) + " FROM w JOIN ct ON fid = c_fid GROUP BY fid)"]
+    return [*centre, *cov, *model_sql.eigen3("pm", "pe")]
+
+
+# the first component is an eigenvector: two of its elements over the one of the variable that dominates all others
+LOADINGS = ["ld AS MATERIALIZED (SELECT *, ((e1-m2_2)*m0_1+m0_2*m1_2)/((e1-m1_1)*(e1-m2_2)-m1_2*m1_2) AS t1, ((e1-m1_1)*m0_2+m0_1*m1_2)/((e1-m1_1)*(e1-m2_2)-m1_2*m1_2) AS t2 FROM pe)", "ln AS MATERIALIZED (SELECT fid, 1/sqrt(1+t1*t1+t2*t2) AS l0, t1/sqrt(1+t1*t1+t2*t2) AS l1, t2/sqrt(1+t1*t1+t2*t2) AS l2 FROM ld)"]
+PCA_SELECT = "SELECT fid, round(100*e1/(3*eq),6) AS \"Comp.1_PV\", round(100*e2/(3*eq),8) AS \"Comp.2_PV\", round(100*(e1+e2)/(3*eq),6) AS \"local_CP\", 'dep' AS \"win_var_PC1\" FROM pe"
+
+
+def components(robust: bool):
+    return model(lambda df, s: (lambda out: digits_of(out, PCA).join(out.select("fid", "win_var_PC1"), "fid"))(models.gwpca(df, VARIABLES, 2, LINE_SPEC, robust=robust)))
+
+
+put("gwpca", components(False), after(weighted_sql("gaussian", 30, LINES), pca_sql(False), PCA_SELECT))
+put("gwpca_robust", components(True), after(weighted_sql("gaussian", 30, LINES), pca_sql(True), PCA_SELECT))
+put("gwpca_glyphs", model(lambda df, s: rounded(models.glyphs(models.gwpca(df, VARIABLES, 2, LINE_SPEC), df, VARIABLES), 5)), after(weighted_sql("gaussian", 30, LINES), [*pca_sql(False), *LOADINGS], "SELECT p.fid, variable, p.x, p.y, round(p.x+10*abs(l)*sin(k*2*pi()/3),5) AS to_x, round(p.y+10*abs(l)*cos(k*2*pi()/3),5) AS to_y FROM (SELECT fid, 0 AS k, 'dep' AS variable, l0 AS l FROM ln UNION ALL SELECT fid, 1, 'a', l1 FROM ln UNION ALL SELECT fid, 2, 'b', l2 FROM ln) JOIN p USING (fid)"))
+TESTS_SQL = [
+    *model_sql.fit("w", ONE, "dep", "o"),
+    "tt AS MATERIALIZED (SELECT fid, d_fid, CASE WHEN fid=d_fid THEN 1.0 ELSE 0.0 END - w*(g0+g1*a) AS t, w*(a0_2+a0_3*a) AS c0, w*(a1_2+a1_3*a) AS c1, dep FROM w JOIN o USING (fid))",
+    "rr AS MATERIALIZED (SELECT u.d_fid AS i, v.d_fid AS j, sum(u.t*v.t) AS r, sum(u.c0*v.c0) AS q0, sum(u.c1*v.c1) AS q1 FROM tt u JOIN tt v USING (fid) GROUP BY u.d_fid, v.d_fid)",
+    "gg AS (SELECT sum(CASE WHEN i=j THEN r END) AS g1, sum(r*r) AS g2 FROM rr)",
+    "ol AS MATERIALIZED (SELECT count(*) AS cnt, avg(a) AS ma, sum(pow(a,2))-count(*)*pow(avg(a),2) AS sa, regr_slope(dep,a) AS s1, regr_intercept(dep,a) AS s0 FROM p)",
+    "ors AS (SELECT sum(pow(dep-s0-s1*a,2)) AS rss0 FROM p CROSS JOIN ol)",
+    "lrs AS (SELECT sum(res*res) AS rss FROM o)",
+    "vv AS (SELECT sum(CASE WHEN i=j THEN h END) AS v1, sum(h*h) AS v2 FROM (SELECT i, j, CASE WHEN i=j THEN 1.0 ELSE 0.0 END - 1.0/cnt - (pi_.a-ma)*(pj.a-ma)/sa - r AS h FROM rr JOIN p pi_ ON pi_.fid=i JOIN p pj ON pj.fid=j CROSS JOIN ol))",
+    "cc AS MATERIALIZED (SELECT d_fid, avg(c0) AS k0, avg(c1) AS k1 FROM tt GROUP BY d_fid)",
+    "qq AS MATERIALIZED (SELECT i, j, (q0-cnt*x.k0*y.k0)/cnt AS q0, (q1-cnt*x.k1*y.k1)/cnt AS q1 FROM rr JOIN cc x ON x.d_fid=i JOIN cc y ON y.d_fid=j CROSS JOIN ol)",
+    "tq AS (SELECT sum(CASE WHEN i=j THEN q0 END) AS t0, sum(q0*q0) AS u0, sum(CASE WHEN i=j THEN q1 END) AS t1, sum(q1*q1) AS u1 FROM qq)",
+    "bv AS (SELECT var_pop(beta0) AS v0, var_pop(beta1) AS vb FROM o)",
+    "al AS (SELECT * FROM gg, ol, ors, lrs, vv, tq, bv)",
+]
+TESTS_SELECT = """SELECT test, round(f,6) AS f, round(df1,5) AS df1, round(df2,5) AS df2 FROM (
+SELECT 'F1' AS test, rss/g1/(rss0/(cnt-2)) AS f, g1*g1/g2 AS df1, CAST(cnt-2 AS DOUBLE) AS df2 FROM al UNION ALL SELECT 'F2', (rss0-rss)/v1/(rss0/(cnt-2)), v1*v1/v2, cnt-2 FROM al
+UNION ALL SELECT 'F3_Intercept', v0/t0/(rss/g1), t0*t0/u0, g1*g1/g2 FROM al UNION ALL SELECT 'F3_a', vb/t1/(rss/g1), t1*t1/u1, g1*g1/g2 FROM al UNION ALL SELECT 'F4', rss/rss0, g1, cnt-2 FROM al)"""
+
+
+def test_rows(df: DataFrame, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in models.f_tests(df, "dep", ["a"], LINE_SPEC).items()], "test string, f double, df1 double, df2 double, p double")
+
+
+put("f_tests", model(test_rows))
+put("f_test_statistics", model(lambda df, s: test_rows(df, s).select("test", F.round("f", 6).alias("f"), F.round("df1", 5).alias("df1"), F.round("df2", 5).alias("df2"))), after(weighted_sql("gaussian", 30, LINES), TESTS_SQL, TESTS_SELECT))
+
+
+def glm_row(df: DataFrame, spark: SparkSession) -> DataFrame:
+    g = models.glm(local.points(df, "n", ["a"]), "poisson")
+    return spark.createDataFrame([(round(float(g["beta"][0]), 6), round(float(g["beta"][1]), 7), round(g["deviance"], 4), round(g["null_deviance"], 4), round(g["aic"], 4))], "intercept double, a double, deviance double, null_deviance double, aic double")
+
+
+DEVIANCE = "sum(CASE WHEN yy <> 0 THEN 2*(yy*(ln(yy/mu)-1)+mu) ELSE 2*mu END)"
+put("glm_poisson", model(glm_row), f"WITH p AS ({LINES}), {', '.join(model_sql.generalized(None, ONE, 'n', 'p', 'poisson', 25, 1e-8, 0.1))} SELECT round(min(beta0),6) AS intercept, round(min(beta1),7) AS a, round({DEVIANCE},4) AS deviance, (SELECT round({DEVIANCE.replace('mu', '(SELECT avg(n) FROM p)')},4) FROM gl) AS null_deviance, round({DEVIANCE}+4,4) AS aic FROM gl")
 put("gwr_multiscale", model(multiscale))
-put("gwr_ridge", model(lambda df, s: models.ridge_gwr(df, "dep", ["a", "b"], LINE_SPEC, adjust=True)))
-put("gwr_poisson", model(lambda df, s: models.generalized_gwr(df, "n", ["a"], LINE_SPEC)[0]))
-put("gwr_binomial", model(lambda df, s: models.generalized_gwr(df.withColumn("z", (F.col("v") > 4500).cast("double")).withColumn("u", F.col("x") / 100), "z", ["u"], local.Spec(40), "binomial")[0], "supplier"))
-put("gtwr", model(lambda df, s: models.gwr(df.withColumn("t", F.col("fid") % 12), "dep", ["a"], local.Spec(30, time_scale=0.05), t="t")[0]))
-put("gtdr", model(lambda df, s: models.gtdr(df, "dep", ["a", "b"], [local.Spec(1.0), local.Spec(0.01)])))
-put("gwpca", model(lambda df, s: models.gwpca(df, ["dep", "a", "b"], 2, LINE_SPEC).drop("loadings")))
-put("gwpca_robust", model(lambda df, s: models.gwpca(df, ["dep", "a", "b"], 2, LINE_SPEC, robust=True).drop("loadings")))
-put("gwpca_glyphs", model(lambda df, s: models.glyphs(models.gwpca(df, ["dep", "a", "b"], 2, LINE_SPEC), df, ["dep", "a", "b"])))
-put("f_tests", model(lambda df, s: s.createDataFrame([(k, *map(float, v)) for k, v in models.f_tests(df, "dep", ["a"], LINE_SPEC).items()], "test string, f double, df1 double, df2 double, p double")))
-put("glm_poisson", model(lambda df, s: one_row(s, {k: v for k, v in models.glm(local.points(df, "n", ["a"]), "poisson").items() if k != "beta"})))
+put("gwr_scalable", model(lambda df, s: models.scalable_gwr(df, "dep", ["a"])[0]))
