@@ -99,7 +99,12 @@ _forget: dict[str, Callable[[], None]] = {}
 
 
 def worker_memory(owner: str, forget: Callable[[], None]) -> None:
-    """Called where an operator starts in a worker: what other operators remember in this process is dropped and given back."""
+    """Called where an operator starts in a worker: what other operators remember in this process is dropped and given back, and large blocks go back to the system as soon as they are free."""
+    if not _forget:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # glibc's mapping and trimming thresholds, number of arenas
+            libc.mallopt(option, value)
+        pa.set_memory_pool(pa.system_memory_pool())
     others = [k for k in _forget if k != owner]
     for k in others:
         _forget.pop(k)()

@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """``doc_id, class_id, copy_of, n_links`` of every document."""
     bands, rows = bands_for(threshold, recall)
     files = file_count(docs)
-    sketch = saved(sketched(docs, bands, rows), files)
+    sketch = saved(sketched(docs, bands, rows))  # as many tasks as the input has
     some = sketch.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key", "text_key", F.struct("n", "bands", "sig").alias("look"))
     first = some.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("rep"), F.first("look").alias("look"))
     classes = first.groupBy("set_key").agg(F.min("rep").alias("rep"), F.count("*").alias("n_texts"), F.first("look").alias("look"))
@@ -401,7 +401,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     known = saved(known.select(F.col("set_key").alias("key"), F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), files)
     discard(classes, edges, groups, links)
     out = sketch.select("doc_id", "set_key").join(known, F.col("set_key") == F.col("key"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.coalesce(files)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

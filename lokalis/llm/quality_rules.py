@@ -33,6 +33,8 @@ GRAMS = (3, 4)
 #: A text with a lower probability of being good is rejected.
 GOOD = 0.5
 REMEMBERED = 200_000
+#: New words whose features are made at once.
+LEARNT_AT_ONCE = 16_384
 
 BASE = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,13 +116,13 @@ class Vocabulary:
 
         if len(self.number) > REMEMBERED:
             self.__init__(self.weights)
-        new = list(words.difference(self.number))
-        if not new:
-            return
-        at, feature, share = features(new)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.worth = np.append(self.worth, np.bincount(at, share * self.weights[feature], minlength=len(new)))
-        self.hashes = np.append(self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in new), np.uint64, len(new)))
+        unknown = list(words.difference(self.number))
+        for lo in range(0, len(unknown), LEARNT_AT_ONCE):
+            new = unknown[lo : lo + LEARNT_AT_ONCE]
+            at, feature, share = features(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.worth = np.append(self.worth, np.bincount(at, share * self.weights[feature], minlength=len(new)))
+            self.hashes = np.append(self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in new), np.uint64, len(new)))
 
 
 class QualityModel:
@@ -194,7 +196,7 @@ def scored(docs: DataFrame, model: QualityModel, threshold: float = GOOD) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = local_model(key, shared)
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             out = []
             whole = texts(batch)
             words = [WORD.findall(t) for t in whole]
@@ -234,7 +236,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = local_model(key, shared)
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             whole = texts(batch)
             words = [WORD.findall(t) for t in whole]
             verdict = [not base_row(t, ws, own.words.hashes[k])[-1] and own.probability(k) >= threshold for t, ws, k in zip(whole, words, own.read(words))]

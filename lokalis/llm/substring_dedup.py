@@ -461,7 +461,7 @@ def removed(docs: DataFrame, covered: DataFrame, step: Callable, schema: str) ->
         for batch in slices(batches, "body"):
             yield step(batch, [byte_spans(at) for at in batch.column("at").to_pylist()])
 
-    return docs.join(spans, "rid", "left").mapInArrow(run, schema)
+    return docs.join(spans, "rid", "left").mapInArrow(run, schema).coalesce(file_count(docs))
 
 
 def whole(parts: list[DataFrame]) -> DataFrame:
