@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokalis.llm import bpe, decontaminate, near_duplicates, quality_rules, substring_dedup
-from lokalis.llm.common import saved, table
+from lokalis.llm.common import discard, file_count, saved, table
 from lokalis.llm.queries import vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trained model keep."""
-    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels")).coalesce(file_count(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate group."""
-    return near_duplicates.one_of_each(docs)
+    return near_duplicates.one_of_each(docs).coalesce(file_count(docs))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).coalesce(file_count(docs))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in a row over ``documents``, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
