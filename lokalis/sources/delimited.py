@@ -122,7 +122,7 @@ def number(c: Column, decimal_point: str = ".") -> Column:
     return F.regexp_replace(c, re.escape(decimal_point), ".") if decimal_point != "." else c
 
 
-def detected(df: DataFrame, names: list[str], decimal_point: str = ".") -> DataFrame:
+def detected(df: DataFrame, names: list[str], decimal_point: str = ".", keep: tuple[str, ...] = ()) -> DataFrame:
     """int, then bigint, then double, then text; empty cells don't count and a column without any value stays text."""
     if not names:
         return df
@@ -131,12 +131,12 @@ def detected(df: DataFrame, names: list[str], decimal_point: str = ".") -> DataF
     whole, real = r"^\s*[-+]?\d+\s*$", r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
     row = df.agg(*(F.struct(F.count(n).alias("n"), fits(n, "int", whole).alias("i"), fits(n, "bigint", whole).alias("l"), fits(n, "double", real).alias("d")).alias(f"t{k}") for k, n in enumerate(q))).first()
     kinds = ["string" if not t["n"] else "int" if t["i"] else "bigint" if t["l"] else "double" if t["d"] else "string" for t in row]
-    return typed(df, kinds, names, decimal_point)
+    return typed(df, kinds, names, decimal_point, keep)
 
 
-def typed(df: DataFrame, kinds: list[str], names: list[str], decimal_point: str = ".") -> DataFrame:
+def typed(df: DataFrame, kinds: list[str], names: list[str], decimal_point: str = ".", keep: tuple[str, ...] = ()) -> DataFrame:
     kinds = kinds + ["string"] * (len(names) - len(kinds))
-    return df.select("fid", *((F.col(f"`{n}`") if k == "string" else F.trim(number(F.col(f"`{n}`"), decimal_point)).try_cast(k)).alias(n) for n, k in zip(names, kinds)))
+    return df.select("fid", *keep, *((F.col(f"`{n}`") if k == "string" else F.trim(number(F.col(f"`{n}`"), decimal_point)).try_cast(k)).alias(n) for n, k in zip(names, kinds)))
 
 
 def sidecar_types(line: str, width: int) -> list[str]:

@@ -1,4 +1,4 @@
-"""Other layer sources and all sinks: GeoJSON, GeoPackage, shapefile points, distance matrices, exports, projects."""
+"""Other layer sources and all sinks: GeoJSON, GeoPackage, shapefiles, distance matrices, exports, projects."""
 
 from __future__ import annotations
 
@@ -6,89 +6,134 @@ import io
 import json
 import sqlite3
 import struct
-import tempfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lokalis.sources import shapes
+from lokalis.sources.delimited import detected
+
+
+def geojson_parts(geometry: dict | None) -> tuple[int, shapes.Parts]:
+    kind, at = (geometry or {}).get("type", ""), (geometry or {}).get("coordinates")
+    xy = lambda a: np.array([p[:2] for p in a], float).reshape(-1, 2)
+    if kind == "GeometryCollection":
+        own = [geojson_parts(g) for g in geometry["geometries"]]
+        top = max((k for k, _ in own), default=0)
+        return top, [p for k, parts in own if k == top for p in parts]
+    if not at:
+        return 0, []
+    if kind in ("Point", "MultiPoint"):
+        return 1, [(1.0, xy([at] if kind == "Point" else at))]
+    if kind in ("LineString", "MultiLineString"):
+        return 2, [(1.0, xy(a)) for a in ([at] if kind == "LineString" else at)]
+    return 3, [(1.0 if k == 0 else -1.0, xy(r)) for rings in ([at] if kind == "Polygon" else at) for k, r in enumerate(rings)]
+
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features' properties with ``fid, x, y``; polygons and lines give the mean of their outer coordinates."""
+    """Features' properties with ``fid`` (their place), ``kind`` and the centroid ``x, y``."""
     raw = spark.read.option("multiLine", True).schema("features array<struct<properties:string,geometry:string>>").json(path)
     rows = raw.select(F.posexplode("features").alias("fid", "f")).select(F.col("fid").cast("long").alias("fid"), F.col("f.properties").alias("p"), F.col("f.geometry").alias("g"))
-    kind = F.get_json_object("g", "$.type")
-    pairs = F.regexp_extract_all(F.get_json_object("g", "$.coordinates"), F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), 0)
-    one = lambda k: F.transform(pairs, lambda s: F.regexp_extract(s, r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)", k).cast("double"))
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), F.size(a).cast("double"))
-    rows = rows.select("fid", "p", kind.alias("kind"), mean(one(1)).alias("x"), mean(one(2)).alias("y"))
+
+    @F.pandas_udf("kind string, x double, y double")
+    def located(g: pd.Series) -> pd.DataFrame:
+        known = [json.loads(v) if v else None for v in g]
+        xy = [shapes.centroid(*geojson_parts(v)) for v in known]
+        return pd.DataFrame({"kind": [v.get("type") if v else None for v in known], "x": pd.array([p[0] for p in xy], "Float64"), "y": pd.array([p[1] for p in xy], "Float64")})
+
+    rows = rows.select("fid", "p", located("g").alias("at")).select("fid", "p", "at.*")
     keys = [r[0] for r in rows.select(F.explode(F.json_object_keys("p"))).distinct().collect()]  # column names
-    cols = [F.get_json_object("p", f"$['{k}']").alias(k) for k in sorted(keys) if k not in ("fid", "kind", "x", "y")]
-    from lokalis.sources.delimited import detected
+    names = [k for k in sorted(keys) if k not in ("fid", "kind", "x", "y")]
+    out = rows.select("fid", "kind", "x", "y", *(F.get_json_object("p", f"$['{k}']").alias(k) for k in names))
+    return detected(out, names, keep=("kind", "x", "y"))
+
+
+#: How SQLite's declared types become column types; others are text.
+PACKAGE_TYPES = {"INT": "bigint", "BOOL": "bigint", "REAL": "double", "DOUB": "double", "FLOA": "double"}
 
-    out = rows.select("fid", "kind", "x", "y", *cols)
-    names = [c for c in out.columns if c not in ("fid", "kind", "x", "y")]
-    return detected(out, names).join(out.select("fid", "kind", "x", "y"), "fid") if names else out
 
+def opened(blob: bytes) -> sqlite3.Connection:
+    """A database of bytes, in memory."""
+    con = sqlite3.connect(":memory:")
+    con.deserialize(blob)
+    return con
 
-def files(spark: SparkSession, path: str) -> list[tuple[str, bytes]]:
-    """Whole small files through Spark's own reader, so that any store works."""
-    return [(r["path"], bytes(r["content"])) for r in spark.read.format("binaryFile").load(path).select("path", "content").collect()]
+
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """A GeoPackage's feature table; point geometry becomes x and y."""
-    _, blob = files(spark, path)[0]
-    with tempfile.NamedTemporaryFile(suffix=".gpkg") as f:
-        f.write(blob)
-        f.flush()
-        con = sqlite3.connect(f.name)
-        layer = layer or con.execute("select table_name from gpkg_contents where data_type = 'features' order by 1").fetchone()[0]
-        geom = con.execute("select column_name from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()[0]
-        pdf = pd.read_sql_query('select * from "{}"'.format(layer.replace('"', '""')), con)
-        con.close()
-    pts = [package_point(g) for g in pdf.pop(geom)]
-    pdf.insert(0, "x", [p[0] for p in pts])
-    pdf.insert(1, "y", [p[1] for p in pts])
-    if "fid" not in pdf:
-        pdf.insert(0, "fid", np.arange(len(pdf), dtype=np.int64))
-    return spark.createDataFrame(pdf)
-
-
-def package_point(g: bytes | None) -> tuple[float | None, float | None]:
-    if not g or g[:2] != b"GP":
-        return None, None
-    skip = 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(g[3] >> 1) & 7]
-    order = "<" if g[skip] == 1 else ">"
-    kind = struct.unpack_from(order + "I", g, skip + 1)[0] % 1000
-    return struct.unpack_from(order + "dd", g, skip + 5) if kind == 1 else (None, None)
+    """A GeoPackage's feature table; geometries become their centroids x and y. Files are read in tasks, each whole; only the columns' names reach the driver."""
+
+    def describe(batches):
+        for pdf in batches:
+            for blob in pdf.content:
+                con = opened(blob)
+                name = layer or con.execute("select table_name from gpkg_contents where data_type = 'features' order by 1").fetchone()[0]
+                geometry = con.execute("select column_name from gpkg_geometry_columns where table_name = ?", (name,)).fetchone()[0]
+                columns = [(r[1], PACKAGE_TYPES.get((r[2] or "").upper()[:4], PACKAGE_TYPES.get((r[2] or "").upper()[:3], "string"))) for r in con.execute(f"pragma table_info({quoted(name)})")]
+                yield pd.DataFrame({"spec": [json.dumps([name, geometry, columns])]})
+
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    name, geometry, columns = json.loads(raw.limit(1).mapInPandas(describe, "spec string").first()[0])
+    own = [(c, t) for c, t in columns if c != geometry and c.lower() not in ("x", "y", "fid")]
+    key = next((c for c, _ in columns if c.lower() == "fid"), "rowid")
+
+    def run(batches):
+        for pdf in batches:
+            for blob in pdf.content:
+                at = opened(blob).execute(f"select {quoted(key)}, {quoted(geometry)}{''.join(f', {quoted(c)}' for c, _ in own)} from {quoted(name)}")
+                while rows := at.fetchmany(10_000):
+                    fid, shape, *rest = zip(*rows)
+                    x, y = zip(*(shapes.centroid(*shapes.from_package(g)) for g in shape))
+                    values = [list(map(str_or_none, v)) if t == "string" else list(v) for v, (_, t) in zip(rest, own)]
+                    out = {"x": pd.array(x, "Float64"), "y": pd.array(y, "Float64"), "fid": fid} | {c: pd.array(v, {"bigint": "Int64", "double": "Float64"}.get(t, "object")) for v, (c, t) in zip(values, own)}
+                    yield pd.DataFrame(out)
+
+    return raw.mapInPandas(run, "x double, y double, fid bigint" + "".join(f", `{c}` {t}" for c, t in own))
+
+
+def str_or_none(v) -> str | None:
+    return None if v is None else str(v)
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Points (or the middle of other shapes' boxes) with the attributes of the ``.dbf`` beside the ``.shp``."""
-    shp, dbf = files(spark, path)[0][1], files(spark, path[:-4] + ".dbf")[0][1]
-    xs, at = [], 100
-    while at < len(shp):
-        size = struct.unpack_from(">i", shp, at + 4)[0] * 2
-        kind = struct.unpack_from("<i", shp, at + 8)[0]
-        if kind == 0:
-            xs.append((None, None))
-        elif kind in (1, 11, 21):
-            xs.append(struct.unpack_from("<dd", shp, at + 12))
-        else:
-            x0, y0, x1, y1 = struct.unpack_from("<dddd", shp, at + 12)
-            xs.append(((x0 + x1) / 2, (y0 + y1) / 2))
-        at += 8 + size
-    n, head, width = struct.unpack_from("<IHH", dbf, 4)
-    fields = [(dbf[k : k + 11].split(b"\0")[0].decode("latin-1"), chr(dbf[k + 11]), dbf[k + 16]) for k in range(32, head - 1, 32)]
-    cols: dict[str, list] = {"fid": list(range(n)), "x": [p[0] for p in xs], "y": [p[1] for p in xs]}
-    place = 1
-    for name, kind, size in fields:
-        raw = [dbf[head + k * width + place : head + k * width + place + size].decode("utf-8", "replace").strip() for k in range(n)]
-        cols[name] = [float(v) if v else None for v in raw] if kind in "NF" else [v or None for v in raw]
-        place += size
-    return spark.createDataFrame(pd.DataFrame(cols))
+    """Shapes' centroids with the attributes of the ``.dbf`` beside the ``.shp``; the pair is read in one task, only the attributes' names reach the driver."""
+    raw = spark.read.format("binaryFile").load([path, path[:-4] + ".dbf"]).select("path", "content")
+    pair = raw.groupBy(F.regexp_replace("path", r"\.\w+$", "").alias("base")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
+
+    def head(dbf: bytes) -> tuple[int, int, int, list[tuple[str, str, int]]]:
+        n, start, width = struct.unpack_from("<IHH", dbf, 4)
+        return n, start, width, [(dbf[k : k + 11].split(b"\0")[0].decode("latin-1"), chr(dbf[k + 11]), dbf[k + 16]) for k in range(32, start - 1, 32)]
+
+    def describe(batches):
+        for pdf in batches:
+            for dbf in pdf.dbf:
+                yield pd.DataFrame({"spec": [json.dumps(head(dbf)[3])]})
+
+    fields = json.loads(pair.limit(1).mapInPandas(describe, "spec string").first()[0])
+
+    def run(batches):
+        for pdf in batches:
+            for shp, dbf in zip(pdf.shp, pdf.dbf):
+                n, start, width, own = head(dbf)
+                xy, at = [], 100
+                while at < len(shp):
+                    size = struct.unpack_from(">i", shp, at + 4)[0] * 2
+                    xy.append(shapes.centroid(*shapes.from_shape(shp[at + 8 : at + 8 + size])))
+                    at += 8 + size
+                out = {"fid": range(n), "x": pd.array([p[0] for p in xy], "Float64"), "y": pd.array([p[1] for p in xy], "Float64")}
+                place = 1
+                for name, kind, size in own:
+                    cells = [dbf[start + k * width + place : start + k * width + place + size].decode("utf-8", "replace").strip() for k in range(n)]
+                    out[name] = pd.array([float(v) if v.strip("*") else None for v in cells], "Float64") if kind in "NF" else [v or None for v in cells]
+                    place += size
+                yield pd.DataFrame(out)
+
+    return pair.mapInPandas(run, "fid bigint, x double, y double" + "".join(f", `{name}` {'double' if kind in 'NF' else 'string'}" for name, kind, _ in fields))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:

@@ -102,6 +102,23 @@ def test_matrix_package_and_shapefile(spark, tmp_path):
     assert (r["x"], r["y"], r["N"]) == (5.0, 6.0, 42.0)
 
 
+def test_centroids_of_geometry_bytes():
+    from lokalis.sources import shapes
+
+    ring = lambda *p: struct.pack("<I", len(p)) + b"".join(struct.pack("<dd", *q) for q in p)
+    square = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))
+    hole = ring((2, 0), (4, 0), (4, 4), (2, 4), (2, 0))
+    polygon = b"\1" + struct.pack("<II", 3, 2) + square + hole
+    assert shapes.centroid(*shapes.from_wkb(polygon)[:2]) == (1, 2)
+    other = b"\1" + struct.pack("<II", 3, 1) + ring((10, 0), (12, 0), (12, 4), (10, 4), (10, 0))
+    assert shapes.centroid(*shapes.from_wkb(b"\1" + struct.pack("<II", 6, 2) + polygon + other)[:2]) == (6, 2)
+    line = b"\1" + struct.pack("<II", 2, 3) + b"".join(struct.pack("<dd", *q) for q in ((0, 0), (4, 0), (4, 2)))
+    assert np.allclose(shapes.centroid(*shapes.from_package(b"GP\0\1" + bytes(4) + line)), ((4 * 2 + 2 * 4) / 6, 2 / 6))
+    shape = struct.pack("<i4d", 5, 0, 0, 4, 4) + struct.pack("<iiii", 2, 10, 0, 5) + b"".join(struct.pack("<dd", *q) for q in [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0), (2, 0), (4, 0), (4, 4), (2, 4), (2, 0)])
+    assert shapes.centroid(*shapes.from_shape(shape)) == (1, 2)
+    assert shapes.centroid(0, []) == (None, None) and shapes.from_package(None) == (0, [])
+
+
 def test_project_and_watch(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0)], "fid long, v double")
     layers.save_project(spark, str(tmp_path / "p"), {"a": df}, {"k": 1})
