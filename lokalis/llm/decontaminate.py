@@ -10,7 +10,7 @@ units is found, and a chance likeness of templates is not.
 A pair is reported if its alignment is consistent and its windows cover ``SHARE`` of the item's words or
 ``RUN`` words. Windows with fewer than half plain words find no pair by their template: there the words
 themselves must be equal, or plainer windows must have found the same alignment. Items with fewer than ``WINDOW`` words are matched whole. Texts that are null, empty or
-without words match nothing; repeated rows give one row for each pair of ids. Other columns are ignored.
+without words match nothing; repeated rows give one row for each pair of ids, and so do different texts of one id, which are matched apart. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from .common import file_count, saved
 WINDOW = 8
 SHARE = 0.5
 RUN = 13
-#: Windows and rows up to these numbers are broadcast (about 100 bytes each), else they are shuffled.
+#: Item windows (about 100 bytes each) and document ids up to these numbers, and items' words up to so many characters, are broadcast, else they are shuffled.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_DOCUMENTS = 100_000
+BROADCAST_CHARACTERS = 10_000_000
 
 #: Units that may follow a number, lower case.
 UNITS = "mm cm m km mg g kg t ml l s sec min h hr hrs ms ft in yd mi lb lbs oz mph kmh pct percent usd eur gbp dollars dollar euros euro cents cent meters meter metres metre kilometers kilometres miles mile inches inch feet foot grams gram kilograms kilogram pounds pound liters litres liter litre seconds second minutes minute hours hour days day weeks week months month years year degrees degree"
@@ -71,10 +72,10 @@ def n_words(value: Column) -> Column:
 
 
 def hashed(df: DataFrame, key: str, literal: bool = False) -> DataFrame:
-    """``key, hs``: a 64-bit hash of each template word, and ``ls`` of each lower-cased word if asked. No row is filtered by its template, which would compute it twice."""
+    """``key, text_key, hs``: a hash of the text and of each template word, and ``ls`` of each lower-cased word if asked. No row is filtered by its template, which would compute it twice."""
     text = F.col("text").cast("string")
     own = [F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)).alias("ls")] if literal else []
-    return df.select(F.col(key).cast("long").alias(key), F.transform(template(text), lambda w: F.xxhash64(w)).alias("hs"), *own)
+    return df.select(F.col(key).cast("long").alias(key), F.xxhash64(text).alias("text_key"), F.transform(template(text), lambda w: F.xxhash64(w)).alias("hs"), *own)
 
 
 def plain_enough(v: Column, window: int) -> Column:
@@ -103,7 +104,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, item_id, k, item_words, literal, wide, pos, item_pos`` of equal windows; one pass over the texts for all window lengths."""
+    """``doc_id, text_key, item_id, k, item_words, literal, wide, pos, item_pos`` of equal windows; one pass over the texts for all window lengths."""
     kinds = sorted((r["literal"], r["k"]) for r in items.select("literal", "k").distinct().collect())  # at most twice ``window`` rows
     literal = any(own for own, _ in kinds)
     small = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
@@ -111,13 +112,13 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     hs = hashed(docs, "doc_id", literal).select("*", F.inline(each))
     hs = hs.withColumn("hs", F.when(F.col("own"), F.col("ls")).otherwise(F.col("hs"))) if literal else hs
     places = F.when(F.size("hs") >= F.col("n"), F.sequence(F.lit(1), F.size("hs") - F.col("n") + 1))
-    windows = hs.select("doc_id", "n", "own", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("hs", i, F.col("n"))))).alias("pos", "h"))
-    return windows.join(small, "h").filter("k = n and literal = own").select("doc_id", "item_id", "k", "item_words", "literal", "wide", "pos", "item_pos")
+    windows = hs.select("doc_id", "text_key", "n", "own", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("hs", i, F.col("n"))))).alias("pos", "h"))
+    return windows.join(small, "h").filter("k = n and literal = own").select("doc_id", "text_key", "item_id", "k", "item_words", "literal", "wide", "pos", "item_pos")
 
 
 def slots(texts: DataFrame, key: str) -> DataFrame:
-    """``key, v, t``: the places with their values beside the template's."""
-    return texts.select(F.col(key).cast("long").alias(key), values(F.col("text").cast("string")).alias("v"), template(F.col("text").cast("string")).alias("t"))
+    """``key, text_key, v, t``: the places with their values beside the template's."""
+    return texts.select(F.col(key).cast("long").alias(key), F.xxhash64(F.col("text").cast("string")).alias("text_key"), values(F.col("text").cast("string")).alias("v"), template(F.col("text").cast("string")).alias("t"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
@@ -125,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     items = saved(item_windows(benchmark, window), file_count(benchmark))
     found = matches(docs, items, window).withColumn("shift", F.col("pos") - F.col("item_pos")).filter("doc_id is not null")
     # a diagonal holds each item place once, so this group is bounded by the item's length
-    diagonals = found.groupBy("doc_id", "item_id", "shift", "k", "item_words", "literal", "wide").agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
+    diagonals = found.groupBy("doc_id", "text_key", "item_id", "shift", "k", "item_words", "literal", "wide").agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
     steps = F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.when(i == F.size("at"), F.col("k")).otherwise(F.least(F.col("k"), F.element_at("at", F.least(i + 1, F.size("at"))) - F.element_at("at", i))))
     diagonals = diagonals.withColumn("covered_words", F.aggregate(steps, F.lit(0), lambda a, x: a + x))
     enough = (F.col("covered_words") >= run) | (F.col("covered_words") >= share * F.col("item_words"))
@@ -134,9 +135,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     n = diagonals.count()
     ids = diagonals.select(F.col("doc_id").alias("own_id")).distinct()
     own = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_DOCUMENTS else ids, F.col("doc_id").cast("long") == F.col("own_id"), "left_semi")
-    doc_words = slots(own, "doc_id").distinct().select("doc_id", F.col("v").alias("dv"), F.col("t").alias("dt"))
+    doc_words = slots(own, "doc_id").distinct().select("doc_id", "text_key", F.col("v").alias("dv"), F.col("t").alias("dt"))
     item_words = slots(benchmark, "item_id").distinct().select("item_id", F.col("v").alias("iv"), F.col("t").alias("it"))
-    pairs = diagonals.join(doc_words, "doc_id").join(F.broadcast(item_words) if items.count() <= BROADCAST_WINDOWS else item_words, "item_id")
+    spelled_out = benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    pairs = diagonals.join(doc_words, ["doc_id", "text_key"]).join(F.broadcast(item_words) if spelled_out <= BROADCAST_CHARACTERS else item_words, "item_id")
     here = lambda i: (i + F.col("shift") >= 0) & (F.slice("it", i + 1, F.col("k")) == F.slice("dt", F.greatest(i + F.col("shift") + 1, F.lit(1)), F.col("k")))
     pairs = pairs.withColumn("at", F.when(F.col("wide") & ~F.col("literal"), F.filter(F.sequence(F.lit(0), F.greatest(F.size("it") - F.col("k"), F.lit(0))), here)).otherwise(F.col("at")))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("k") - 1))))
@@ -156,10 +158,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     before = lambda p: F.when(F.col("literal"), p).otherwise(F.aggregate(F.slice("dv", 1, F.greatest(p, F.lit(0))), F.lit(0), lambda a, w: a + n_words(w)))
     lo = F.when(F.col("wide"), before(F.array_min("at") + F.col("shift")))
     hi = F.when(F.col("wide"), before(F.array_max("at") + F.col("k") + F.col("shift")))
-    pairs = pairs.select("doc_id", "item_id", "consistent", F.struct(best.alias("best"), "literal", lo.alias("lo"), hi.alias("hi")).alias("o"))
-    both = pairs.groupBy("doc_id", "item_id").agg(F.collect_list(F.when(F.col("consistent"), F.col("o"))).alias("ok"), F.collect_list(F.when(~F.col("consistent"), F.col("o"))).alias("bad"))
+    pairs = pairs.select("doc_id", "text_key", "item_id", "consistent", F.struct(best.alias("best"), "literal", lo.alias("lo"), hi.alias("hi")).alias("o"))
+    both = pairs.groupBy("doc_id", "text_key", "item_id").agg(F.collect_list(F.when(F.col("consistent"), F.col("o"))).alias("ok"), F.collect_list(F.when(~F.col("consistent"), F.col("o"))).alias("bad"))
     inside = lambda o: o["literal"] & F.exists("bad", lambda x: (x["lo"] < o["hi"]) & (o["lo"] < x["hi"]))
     out = both.select("doc_id", "item_id", F.array_max(F.transform(F.filter("ok", lambda o: ~inside(o)), lambda o: o["best"])).alias("best")).filter("best is not null")
+    out = out.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))  # an id may have several texts
     return out.select("doc_id", "item_id", *(F.col(f"best.{c}").alias(c) for c in ("n_windows", "covered_words", "item_words", "exact")))
 
 
