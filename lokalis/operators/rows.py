@@ -59,10 +59,11 @@ def drop_fields(df: DataFrame, *names: str) -> DataFrame:
 
 
 def to_mercator(df: DataFrame) -> DataFrame:
-    """Longitude and latitude degrees to spherical Mercator metres; rows beyond its latitudes are dropped."""
+    """Longitude and latitude degrees to spherical Mercator metres; null where a coordinate is null or the latitude is beyond the projection."""
     r = 6378137.0
-    ok = df.filter((F.abs("y") < 90) & F.col("x").isNotNull())
-    return ok.withColumn("y", F.lit(r) * F.log(F.tan(F.lit(0.7853981633974483) + F.radians("y") / 2))).withColumn("x", F.lit(r) * F.radians("x"))
+    inside = F.col("x").isNotNull() & (F.abs("y") < 90)
+    x, y = F.lit(r) * F.radians("x"), F.lit(r) * F.log(F.tan(F.lit(0.7853981633974483) + F.radians("y") / 2))
+    return df.withColumns({"x": F.when(inside, x), "y": F.when(inside, y)})
 
 
 def from_mercator(df: DataFrame) -> DataFrame:

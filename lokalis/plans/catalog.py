@@ -16,9 +16,7 @@ from lokalis.functions import distance as dist
 from lokalis.functions import kernels
 from lokalis.operators import dense, local, models, pairs, rows, summary
 from lokalis.plans import model_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lokalis.plans.registry import ORACLES, QUERIES, put  # noqa: F401
 
 CUSTOMERS = "SELECT c_custkey AS fid, CAST((c_custkey*37)%101 AS DOUBLE) AS x, CAST((c_custkey*53)%97 AS DOUBLE) AS y, c_acctbal AS v FROM customer"
 SUPPLIERS = "SELECT s_suppkey AS fid, CAST((s_suppkey*37)%101 AS DOUBLE) AS x, CAST((s_suppkey*53)%97 AS DOUBLE) AS y, s_acctbal AS v FROM supplier"
@@ -27,12 +25,6 @@ PARTS = "SELECT p_partkey AS fid, CAST((p_partkey*37)%101 AS DOUBLE) AS x, CAST(
 D2 = "((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))"
 
 
-def put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = run
-    if sql is not None:
-        ORACLES[name] = sql
-
-
 def points_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     key = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_suppkey"}[table]
@@ -328,3 +320,5 @@ DEVIANCE = "sum(CASE WHEN yy <> 0 THEN 2*(yy*(ln(yy/mu)-1)+mu) ELSE 2*mu END)"
 put("glm_poisson", model(glm_row), f"WITH p AS ({LINES}), {', '.join(model_sql.generalized(None, ONE, 'n', 'p', 'poisson', 25, 1e-8, 0.1))} SELECT round(min(beta0),6) AS intercept, round(min(beta1),7) AS a, round({DEVIANCE},4) AS deviance, (SELECT round({DEVIANCE.replace('mu', '(SELECT avg(n) FROM p)')},4) FROM gl) AS null_deviance, round({DEVIANCE}+4,4) AS aic FROM gl")
 put("gwr_multiscale", model(multiscale))
 put("gwr_scalable", model(lambda df, s: models.scalable_gwr(df, "dep", ["a"])[0]))
+
+from lokalis.plans import source_queries  # noqa: E402, F401
