@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .local import BLOCK_PAIRS, FIT, Points, Spec, distances, fit_block, fit_rows, foci, free, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
 
 
+#: Points of a model that carries dense hat matrices.
+MOST_DENSE = 2000
+
+
 def names_of(xs: list[str], intercept: bool = True) -> list[str]:
     return (["Intercept"] if intercept else []) + list(xs)
 
@@ -86,7 +90,7 @@ def score(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str |
         v = rows.agg(F.sum(F.col("cv") * F.col("cv")).alias("v"), F.min("ok").alias("ok")).first()
         free(rows)
         return float(v["v"]) if v["v"] is not None and math.isfinite(v["v"]) else math.inf
-    base = df.sparkSession.createDataFrame(pd.DataFrame({"fid": p.fid, "yy": p.y, "xx": list(p.X)}))
+    base = df.sparkSession.createDataFrame(pd.DataFrame({"fid": p.fid, "yy": p.y, "xx": [list(map(float, r)) for r in p.X]}))
     hat = F.aggregate(F.zip_with("beta", "xx", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     v = rows.join(base, "fid").agg(F.sum((F.col("yy") - hat) ** 2).alias("rss"), F.sum("s_ii").alias("s")).first()
     free(rows)
@@ -106,9 +110,9 @@ def select_bandwidth(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV"
     return golden(lambda b: by(with_size(spec, b)) if by else score(df, p, with_size(spec, b), criterion, t), low, high, spec.adaptive)
 
 
-def bandwidth_scores(df: DataFrame, y: str, xs: list[str], spec: Spec, sizes: list[float], t: str | None = None) -> list[tuple[float, float, float]]:
+def bandwidth_scores(df: DataFrame, y: str, xs: list[str], spec: Spec, sizes: list[float], t: str | None = None, intercept: bool = True) -> list[tuple[float, float, float]]:
     """(bandwidth, CV, AICc) of given bandwidths: the curve that the search walks on."""
-    p = points(df, y, xs, t)
+    p = points(df, y, xs, t, intercept)
     out = []
     for b in sizes:
         f = fitted(df, p, with_size(spec, b), t=t)
@@ -211,33 +215,73 @@ def robust_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, method: str = "
     return gwr(df, y, xs, spec, extra=used)
 
 
+RIDGE = "fid bigint, beta array<double>, lambda double, condition double, raw array<double>, s_ii double, ss double"
+
+
 def ridge_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
-    spec, p, lam, adjust, limit = held
+    """Ridge solutions by scaled, weighted data; ``leave``: each focus is left out of its own fit."""
+    spec, p, lam, adjust, limit, leave = held
     W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float))
+    at = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
+    if leave:
+        W[np.arange(len(at)), at] = 0
     sd = p.X.std(0, ddof=1)
     sd[0] = 1
-    out = []
-    for fid, w in zip(pdf.fid, W):
-        wx = p.X * w[:, None]
-        norm = wx / np.maximum(np.linalg.norm(wx, axis=0), 1e-300)
-        sv = np.linalg.svd(norm, compute_uv=False)
-        cn = sv[0] / sv[-1] if sv[-1] > 0 else math.inf
-        own = (sv[0] - limit * sv[-1]) / (limit - 1) if adjust and cn > limit else lam
-        r = np.sqrt(w)
-        Xs, ys = p.X * r[:, None] / sd, p.y * r
-        yd = ys.std(ddof=1) or 1.0
-        b, _ = solve((Xs.T @ Xs + own * np.eye(Xs.shape[1]))[None], (Xs.T @ (ys / yd))[None])
-        out.append((fid, list(b[0] * yd / sd), own, cn))
-    return pd.DataFrame(out, columns=["fid", "beta", "lambda", "condition"])
+    X = p.X / sd
+    wx = W[:, :, None] * p.X[None]
+    norm = wx / np.maximum(np.linalg.norm(wx, axis=1, keepdims=True), 1e-300)
+    sv = np.linalg.svd(norm, compute_uv=False)
+    with np.errstate(all="ignore"):
+        cn = np.where(sv[:, -1] > 0, sv[:, 0] / sv[:, -1], np.inf)
+    own = np.where(adjust & (cn > limit), (sv[:, 0] - limit * sv[:, -1]) / (limit - 1), lam)
+    A = np.einsum("mn,np,nq->mpq", W, X, X, optimize=True) + own[:, None, None] * np.eye(X.shape[1])
+    beta, ok = solve(A, (W * p.y) @ X)
+    inv = np.linalg.inv(np.where(ok[:, None, None], A, np.eye(A.shape[1])))
+    C = inv @ np.einsum("mn,np,nq->mpq", W * W, X, X, optimize=True) @ inv
+    x = X[at]
+    s_ii = W[np.arange(len(at)), at] * np.einsum("mp,mpq,mq->m", x, inv, x)
+    return pd.DataFrame({"fid": p.fid[at], "beta": list(beta / sd), "lambda": own, "condition": cn, "raw": list(np.einsum("mpp->mp", C) / sd**2), "s_ii": s_ii, "ss": np.einsum("mp,mpq,mq->m", x, C, x)})
+
+
+def ridge_rows(df: DataFrame, p: Points, spec: Spec, lam: float, adjust: bool, limit: float, leave: bool = False) -> DataFrame:
+    return over_foci(foci(p, df), (spec, p, lam, adjust, limit, leave), ridge_block, RIDGE, len(p.fid) * p.X.shape[1])
 
 
 def ridge_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> DataFrame:
     """Local ridge regression with local condition numbers and, if asked, the ridge that brings them to ``limit``."""
     p = points(df, y, xs)
-    rows = over_foci(foci(p, df), (spec, p, lam, adjust, limit), ridge_block, "fid bigint, beta array<double>, lambda double, condition double", len(p.fid))
+    rows = ridge_rows(df, p, spec, lam, adjust, limit)
     return rows.select("fid", *spread_out(rows, "beta", names_of(xs)), "lambda", "condition")
 
 
+def ridge_diagnostics(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> dict:
+    """Residual sum, hat-matrix sums of the ridge solution and the scores made of them."""
+    p = points(df, y, xs)
+    rows = ridge_rows(df, p, spec, lam, adjust, limit)
+    f = rows.toPandas().sort_values("fid")
+    free(rows)
+    return diagnostics(p, float(((p.y - (np.stack(f.beta) * p.X).sum(1)) ** 2).sum()), float(f.s_ii.sum()), float(f.ss.sum()))
+
+
+def ridge_cv(df: DataFrame, p: Points, spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> float:
+    rows = ridge_rows(df, p, spec, lam, adjust, limit, leave=True)
+    f = rows.toPandas().sort_values("fid")
+    free(rows)
+    out = float(((p.y - (np.stack(f.beta) * p.X).sum(1)) ** 2).sum())
+    return out if math.isfinite(out) else math.inf
+
+
+def ridge_bandwidth(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0, limits: tuple[float, float] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    """The bandwidth of the least leave-one-out error of the ridge solution."""
+    p = points(df, y, xs)
+    return select_bandwidth(df, p, spec, by=lambda s: ridge_cv(df, p, s, lam, adjust, limit), limits=limits)
+
+
+def correlation_bandwidth(df: DataFrame, x: str, y: str, spec: Spec, criterion: str = "CV", limits: tuple[float, float] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    """The bandwidth of a pair of variables: that of the local regression of y on x through the origin."""
+    return select_bandwidth(df, points(df, y, [x], intercept=False), spec, criterion, limits=limits)
+
+
 def family_step(family: str, y: np.ndarray, nu: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mu, working response, working weights) of a Poisson or binomial model."""
     if family == "poisson":
@@ -324,19 +368,24 @@ def product_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
     for k, s in enumerate(specs):
         v = p.X[:, k + 1]
         W *= weigh(s, np.abs(v[i][:, None] - v[None, :]))
-    beta, ok = solve(np.einsum("mn,np,nq->mpq", W, p.X, p.X, optimize=True), (W * p.y) @ p.X)
-    return pd.DataFrame({"fid": p.fid[i], "beta": list(beta), "ok": ok})
+    return fit_rows(W, p, p.fid[i])
 
 
 def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
-    """Density regression: one bandwidth for each variable's own distance."""
+    """Density regression: one bandwidth for each variable's own distance. Coefficients, y, yhat, residual and SE."""
     p = points(df, y, xs)
-    rows = over_foci(foci(p, df), (p, specs, None), product_block, "fid bigint, beta array<double>, ok boolean", len(p.fid))
-    return rows.select("fid", *spread_out(rows, "beta", names_of(xs)), "ok")
+    rows = over_foci(foci(p, df), (p, specs, None), product_block, FIT, len(p.fid))
+    f = rows.toPandas().sort_values("fid", kind="stable")
+    free(rows)
+    beta, names = np.stack(f.beta), names_of(xs)
+    res = p.y - (beta * p.X).sum(1)
+    se = np.sqrt((res**2).sum() / (len(p.y) - 2 * f.s_ii.sum() + f.ss.sum()) * np.stack(f.raw))
+    out = {"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names)}, "y": p.y, "yhat": p.y - res, "residual": res, **{f"{n}_SE": se[:, k] for k, n in enumerate(names)}, "ok": f.ok.to_numpy()}
+    return df.sparkSession.createDataFrame(pd.DataFrame(out))
 
 
-def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
-    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean."""
+def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = (), hat: bool = False) -> tuple[DataFrame, dict]:
+    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds (dense, MOST_DENSE points at most) and gives SE, t values and diagnostics."""
     xs = [v for v in specs if v != "Intercept"]
     p = points(df, y, xs)
     for v in centre:
@@ -352,6 +401,13 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
         return v if math.isfinite(v) else math.inf
 
     beta = np.stack(fit(p, own[0]).beta)
+    S: list[np.ndarray] = []
+    if hat:
+        if len(p.y) > MOST_DENSE:
+            raise ValueError(f"the hat matrices take {MOST_DENSE} points at most")
+        W = weights_of(own[0], p, p.xy)
+        first = np.linalg.solve(np.einsum("mn,np,nq->mpq", W, p.X, p.X, optimize=True), p.X.T[None] * W[:, None, :])
+        S = [p.X[:, [k]] * first[:, k, :] for k in range(len(own))]
     rss, stable, rounds = float(((p.y - (beta * p.X).sum(1)) ** 2).sum()), [0] * len(own), 0
     change = math.inf
     for rounds in range(1, most + 1):
@@ -363,6 +419,10 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
                 stable[k] = stable[k] + 1 if abs(b - spec.size) <= near else 0
                 own[k] = spec = with_size(spec, b)
             beta[:, k] = np.stack(fit(one, spec).beta)[:, 0]
+            if hat:
+                W = weights_of(spec, p, p.xy) * p.X[:, k]
+                alone = p.X[:, [k]] * W / (W @ p.X[:, k])[:, None]
+                S[k] = alone @ (S[k] + np.eye(len(p.y)) - sum(S))
         new = float(((p.y - (beta * p.X).sum(1)) ** 2).sum())
         change = abs(new - rss) if criterion == "CVR" else math.sqrt(abs(new - rss) / max(new, 1e-300))
         rss = new
@@ -370,7 +430,16 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
             break
     yhat = (beta * p.X).sum(1)
     out = pd.DataFrame({"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names_of(xs))}, "y": p.y, "yhat": yhat, "residual": p.y - yhat})
-    return df.sparkSession.createDataFrame(out), {"rss": rss, "rounds": rounds, "change": change, "converged": change <= tol, "bandwidths": {n: s.size for n, s in zip(names_of(xs), own)}}
+    more = {}
+    if hat:
+        whole = sum(S)
+        s, ss = float(np.trace(whole)), float((whole**2).sum())
+        more = diagnostics(p, rss, s, ss)
+        with np.errstate(all="ignore"):
+            for k, n in enumerate(names_of(xs)):
+                out[f"{n}_SE"] = np.sqrt(rss / (len(p.y) - 2 * s + ss) * ((S[k] / p.X[:, [k]]) ** 2).sum(1))
+                out[f"{n}_TV"] = beta[:, k] / out[f"{n}_SE"]
+    return df.sparkSession.createDataFrame(out), more | {"rss": rss, "rounds": rounds, "change": change, "converged": change <= tol, "bandwidths": {n: s.size for n, s in zip(names_of(xs), own)}}
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.01, size: float = 1e-6, most: int = 500) -> np.ndarray:
@@ -529,6 +598,59 @@ def gwpca(df: DataFrame, variables: list[str], k: int, spec: Spec, robust: bool
     return rows.select("fid", *(F.col("pv")[j].alias(f"Comp.{j + 1}_PV") for j in range(k)), "local_CP", F.when(F.col("win").isNotNull(), F.try_element_at(names, F.col("win") + 1)).alias("win_var_PC1"), "loadings")
 
 
+def components_of(X: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """The first k local components as columns."""
+    Z = (X - (w @ X) / w.sum()) * np.sqrt(w / w.sum())[:, None]
+    vec = np.linalg.eigh(Z.T @ Z)[1][:, ::-1][:, :k]
+    return vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])])
+
+
+def score_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
+    spec, p, k = held
+    out = []
+    for fid, w in zip(pdf.fid, weights_of(spec, p, pdf[["x", "y"]].to_numpy(float))):
+        on = w > 0
+        if on.sum() > 5:
+            out.append(pd.DataFrame({"fid": fid, "d_fid": p.fid[on], "scores": list(p.X[on] @ components_of(p.X[on], w[on], k))}))
+    return pd.concat(out) if out else pd.DataFrame({"fid": [], "d_fid": [], "scores": []})
+
+
+def gwpca_scores(df: DataFrame, variables: list[str], k: int, spec: Spec) -> DataFrame:
+    """``fid, d_fid, Comp.1 ...``: what each point in a focus's reach scores on the focus's components. A row for each pair with weight."""
+    p = points(df, None, variables, intercept=False)
+    rows = over_foci(foci(p, df), (spec, p, k), score_block, "fid bigint, d_fid bigint, scores array<double>", len(p.fid))
+    return rows.select("fid", "d_fid", *(F.col("scores")[j].alias(f"Comp.{j + 1}") for j in range(k)))
+
+
+def pca_cv_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
+    spec, p, k = held
+    at = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
+    W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float))
+    W[np.arange(len(at)), at] = 0
+    out = []
+    for i, w in zip(at, W):
+        on = w > 0
+        if on.sum() <= 1:
+            out.append(math.inf)
+            continue
+        V = components_of(p.X[on], w[on], k)
+        out.append(float((p.X[i] - p.X[i] @ V @ V.T).sum() ** 2))
+    return pd.DataFrame({"fid": p.fid[at], "cv": out})
+
+
+def gwpca_cv(df: DataFrame, p: Points, spec: Spec, k: int) -> float:
+    """Squared sums of what the first k components of the others leave over of each point."""
+    rows = over_foci(foci(p, df), (spec, p, k), pca_cv_block, "fid bigint, cv double", len(p.fid))
+    out = rows.agg(F.sum("cv")).first()[0]
+    free(rows)
+    return float(out) if out is not None and math.isfinite(out) else math.inf
+
+
+def gwpca_bandwidth(df: DataFrame, variables: list[str], k: int, spec: Spec, limits: tuple[float, float] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    p = points(df, None, variables, intercept=False)
+    return select_bandwidth(df, p, spec, by=lambda s: gwpca_cv(df, p, s, k), limits=limits)
+
+
 def glyphs(pca: DataFrame, df: DataFrame, variables: list[str], length: float = 10.0) -> DataFrame:
     """Glyph lines: for each focus and variable a segment at its share of the circle, as long as the first loading."""
     n = len(variables)

@@ -170,7 +170,7 @@ def model(f: Callable[[DataFrame, SparkSession], DataFrame], table: str = "linei
 
 
 def multiscale(df: DataFrame, spark: SparkSession) -> DataFrame:
-    out, diag = models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, select=True)
+    out, diag = models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, select=True, hat=len(df.take(2001)) <= models.MOST_DENSE)
     return out.withColumn("rounds", F.lit(diag["rounds"])).withColumn("converged", F.lit(diag["converged"]))
 
 
@@ -253,7 +253,8 @@ FLAGS = f"SELECT *, CAST(v > 4500 AS DOUBLE) AS z, x/100.0 AS u FROM ({SUPPLIERS
 put("gwr_poisson", model(lambda df, s: digits_of(models.generalized_gwr(df, "n", ["a"], LINE_SPEC)[0], COUNTS)), after(weighted_sql("gaussian", 30, LINES), model_sql.generalized("w", ONE, "n", "p", "poisson", 20, 1e-5), 'SELECT fid, round(beta0,5) AS "Intercept", round(beta1,6) AS a, round(mu,4) AS yhat, round(yy-mu,4) AS residual FROM gl'))
 put("gwr_binomial", model(lambda df, s: digits_of(models.generalized_gwr(df.withColumn("z", (F.col("v") > 4500).cast("double")).withColumn("u", F.col("x") / 100), "z", ["u"], local.Spec(40), "binomial")[0], {"Intercept": 5, "u": 5, "yhat": 6, "residual": 6}), "supplier"), after(weighted_sql("gaussian", 40, FLAGS), model_sql.generalized("w", ["1.0", "u"], "z", "p", "binomial", 20, 1e-5), 'SELECT fid, round(beta0,5) AS "Intercept", round(beta1,5) AS u, round(mu,6) AS yhat, round(yy-mu,6) AS residual FROM gl'))
 GTDR_SQL = f"WITH p AS ({LINES}), w AS MATERIALIZED (SELECT f.fid AS fid, d.* EXCLUDE (fid), d.fid AS d_fid, exp(-pow(f.a-d.a,2)/2)*exp(-pow((f.b-d.b)/0.01,2)/2) AS w FROM p f CROSS JOIN p d)"
-put("gtdr", model(lambda df, s: digits_of(models.gtdr(df, "dep", ["a", "b"], [local.Spec(1.0), local.Spec(0.01)]), {"Intercept": 1, "a": 2, "b": 0})), after(GTDR_SQL, model_sql.fit("w", XS3, "dep", "o"), 'SELECT fid, round(beta0,1) AS "Intercept", round(beta1,2) AS a, round(beta2,0) AS b FROM o'))
+GTDR = {"Intercept": 1, "a": 2, "b": 0, "yhat": 2, "residual": 2}
+put("gtdr", model(lambda df, s: digits_of(models.gtdr(df, "dep", ["a", "b"], [local.Spec(1.0), local.Spec(0.01)]), GTDR)), after(GTDR_SQL, model_sql.fit("w", XS3, "dep", "o"), 'SELECT fid, round(beta0,1) AS "Intercept", round(beta1,2) AS a, round(beta2,0) AS b, round(yhat,2) AS yhat, round(res,2) AS residual FROM o'))
 VARIABLES = ["dep", "a", "b"]
 PCA = {"Comp.1_PV": 6, "Comp.2_PV": 8, "local_CP": 6}
 
@@ -283,6 +284,45 @@ def components(robust: bool):
 put("gwpca", components(False), after(weighted_sql("gaussian", 30, LINES), pca_sql(False), PCA_SELECT))
 put("gwpca_robust", components(True), after(weighted_sql("gaussian", 30, LINES), pca_sql(True), PCA_SELECT))
 put("gwpca_glyphs", model(lambda df, s: rounded(models.glyphs(models.gwpca(df, VARIABLES, 2, LINE_SPEC), df, VARIABLES), 5)), after(weighted_sql("gaussian", 30, LINES), [*pca_sql(False), *LOADINGS], "SELECT p.fid, variable, p.x, p.y, round(p.x+10*abs(l)*sin(k*2*pi()/3),5) AS to_x, round(p.y+10*abs(l)*cos(k*2*pi()/3),5) AS to_y FROM (SELECT fid, 0 AS k, 'dep' AS variable, l0 AS l FROM ln UNION ALL SELECT fid, 1, 'a', l1 FROM ln UNION ALL SELECT fid, 2, 'b', l2 FROM ln) JOIN p USING (fid)"))
+put("gwpca_scores", model(lambda df, s: rounded(models.gwpca_scores(df, VARIABLES, 1, LINE_SPEC).withColumnRenamed("Comp.1", "score"), 3)), after(weighted_sql("gaussian", 30, LINES), [*pca_sql(False), *LOADINGS], "SELECT w.fid, w.d_fid, round(dep*l0+a*l1+b*l2,3) AS score FROM w JOIN ln ON ln.fid = w.fid"))
+put("gwpca_bandwidth", model(lambda df, s: s.createDataFrame(models.gwpca_bandwidth(df, VARIABLES, 2, local.Spec(0, "bisquare", True))[1], "bandwidth double, score double")))
+
+
+def pair_scores(df: DataFrame, spark: SparkSession) -> DataFrame:
+    rows = models.bandwidth_scores(df, "dep", ["a"], local.Spec(0), [15, 25, 40], intercept=False)
+    return spark.createDataFrame([(b, round(cv / 1000, 3), round(a, 4)) for b, cv, a in rows], "bandwidth double, cv double, aicc double")
+
+
+SCORES = "SELECT round(sum(cv*cv)/1000,3) AS cv, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(s_ii))/(count(*)-2-sum(s_ii)),4) AS aicc FROM o"
+put("gw_correlation_bandwidth_scores", model(pair_scores), " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(weighted_sql('gaussian', b, LINES), model_sql.fit('w', ['a'], 'dep', 'o'), SCORES)})" for b in (15, 25, 40)))
+put("gw_correlation_bandwidth", model(lambda df, s: s.createDataFrame(models.correlation_bandwidth(df, "a", "dep", local.Spec(0, "bisquare", True))[1], "bandwidth double, score double")))
+
+
+def ridge_scores(df: DataFrame, spark: SparkSession) -> DataFrame:
+    p = local.points(df, "dep", ["a", "b"])
+    return spark.createDataFrame([(float(b), round(models.ridge_cv(df, p, local.Spec(b), 0.5) / 1000, 3)) for b in (20, 30, 45)], "bandwidth double, cv double")
+
+
+LEFT_OUT = [
+    "sd AS MATERIALIZED (SELECT stddev_samp(a) AS sda, stddev_samp(b) AS sdb FROM p)",
+    "ws AS MATERIALIZED (SELECT fid, w, dep, a/sda AS a, b/sdb AS b FROM w CROSS JOIN sd WHERE fid <> d_fid)",
+    model_sql.moments("ws", XS3, "dep", "rm", False),
+    "rl AS MATERIALIZED (SELECT * REPLACE (m0_0+0.5 AS m0_0, m1_1+0.5 AS m1_1, m2_2+0.5 AS m2_2) FROM rm)",
+    *model_sql.inverse("rl", 3, "ri"),
+    f"ro AS MATERIALIZED (SELECT fid, {', '.join(model_sql.betas(3))} FROM ri)",
+]
+put("gwr_ridge_scores", model(ridge_scores), " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(weighted_sql('gaussian', b, LINES), LEFT_OUT, 'SELECT round(sum(pow(dep-beta0-beta1*a/sda-beta2*b/sdb,2))/1000,3) AS cv FROM ro JOIN p USING (fid) CROSS JOIN sd')})" for b in (20, 30, 45)))
+RIDGE_DIAGNOSTICS = [x.replace("WHERE fid <> d_fid", "") for x in LEFT_OUT[:2]] + [model_sql.moments("ws", XS3, "dep", "rm"), *LEFT_OUT[3:-1]] + [f"ro AS MATERIALIZED (SELECT q.*, dep, {', '.join(model_sql.betas(3))}, CAST(1.0 AS DOUBLE) AS x0, p.a/sda AS x1, p.b/sdb AS x2 FROM ri q JOIN p USING (fid) CROSS JOIN sd)", f"rg AS MATERIALIZED (SELECT *, {', '.join(model_sql.added(f'a{i}_{3 + j}*x{j}' for j in range(3)) + f' AS g{i}' for i in range(3))} FROM ro)"]
+put("gwr_ridge_diagnostics", model(lambda df, s: rounded(one_row(s, models.ridge_diagnostics(df, "dep", ["a", "b"], local.Spec(30), 0.5)).select((F.col("rss") / 1000).alias("rss"), "tr_s", "tr_sts"), 3)), after(weighted_sql("gaussian", 30, LINES), RIDGE_DIAGNOSTICS, "SELECT round(sum(pow(dep-beta0-beta1*x1-beta2*x2,2))/1000,3) AS rss, round(sum(" + model_sql.added(f"x{i}*g{i}" for i in range(3)) + "),3) AS tr_s, round(sum(" + model_sql.added(f"g{p}*b{p}_{q}*g{q}" for p in range(3) for q in range(3)) + "),3) AS tr_sts FROM rg"))
+
+
+def generalized_diagnostics(df: DataFrame, spark: SparkSession) -> DataFrame:
+    g = models.generalized_gwr(df, "n", ["a"], LINE_SPEC)[1]
+    return spark.createDataFrame([(round(g["log_likelihood"], 4), round(g["deviance"], 4), round(g["null_deviance"], 4), round(g["pseudo_r2"], 6))], "log_likelihood double, deviance double, null_deviance double, pseudo_r2 double")
+
+
+POISSON_DEVIANCE = "sum(CASE WHEN yy <> 0 THEN 2*(yy*(ln(yy/{0})-1)+{0}) ELSE 2*{0} END)"
+put("gwr_poisson_diagnostics", model(generalized_diagnostics), after(weighted_sql("gaussian", 30, LINES), [*model_sql.generalized("w", ONE, "n", "p", "poisson", 20, 1e-5), f"dv AS (SELECT sum(yy*ln(mu)-mu-lgamma(yy+1)) AS ll, {POISSON_DEVIANCE.format('mu')} AS dev, {POISSON_DEVIANCE.format('my')} AS nul FROM gl CROSS JOIN (SELECT avg(n) AS my FROM p))"], "SELECT round(ll,4) AS log_likelihood, round(dev,4) AS deviance, round(nul,4) AS null_deviance, round(1-dev/nul,6) AS pseudo_r2 FROM dv"))
 TESTS_SQL = [
     *model_sql.fit("w", ONE, "dep", "o"),
     "tt AS MATERIALIZED (SELECT fid, d_fid, CASE WHEN fid=d_fid THEN 1.0 ELSE 0.0 END - w*(g0+g1*a) AS t, w*(a0_2+a0_3*a) AS c0, w*(a1_2+a1_3*a) AS c1, dep FROM w JOIN o USING (fid))",

@@ -201,6 +201,48 @@ def test_scalable_against_dense(grid, kernel, criterion):
     assert np.allclose(got[["Intercept_SE", "a_SE"]], np.sqrt(sigma * (C * C).sum(2)))
 
 
+def test_ridge_hat_and_cv_against_dense(grid):
+    df, pdf = grid
+    p, spec, lam = local.points(df, "z", ["a", "b"]), local.Spec(3.0), 0.4
+    W, sd = local.weights_of(spec, p, p.xy), np.r_[1.0, p.X[:, 1:].std(0, ddof=1)]
+    X = p.X / sd
+    solved = lambda w: np.linalg.solve((X * w[:, None]).T @ X + lam * np.eye(3), (X * w[:, None]).T)
+    S = np.stack([x @ solved(w) for x, w in zip(X, W)])
+    d = models.ridge_diagnostics(df, "z", ["a", "b"], spec, lam)
+    assert math.isclose(d["tr_s"], np.trace(S)) and math.isclose(d["tr_sts"], (S * S).sum()) and math.isclose(d["rss"], ((p.y - S @ p.y) ** 2).sum())
+    out = [p.y[i] - X[i] @ solved(np.where(np.arange(25) == i, 0, W[i])) @ p.y for i in range(25)]
+    assert math.isclose(models.ridge_cv(df, p, spec, lam), np.square(out).sum())
+    assert 1.0 <= models.ridge_bandwidth(df, "z", ["a", "b"], spec, lam, limits=(1.0, 6.0))[0] <= 6.0
+    assert 1.0 <= models.correlation_bandwidth(df, "a", "z", spec, "AICc", (1.0, 6.0))[0] <= 6.0
+
+
+def test_component_scores_and_cv_against_dense(grid):
+    df, pdf = grid
+    p, spec = local.points(df, None, ["a", "b", "z"], intercept=False), local.Spec(3.0)
+    W = local.weights_of(spec, p, p.xy)
+    got = models.gwpca_scores(df, ["a", "b", "z"], 2, spec).toPandas()
+    one = got[got.fid == 7].sort_values("d_fid")[["Comp.1", "Comp.2"]].to_numpy()
+    assert len(got) == 625 and np.allclose(np.abs(one), np.abs(p.X @ models.components_of(p.X, W[7], 2)))
+    total = 0.0
+    for i in range(25):
+        w = np.where(np.arange(25) == i, 0, W[i])
+        c = np.cov(p.X.T, aweights=w, ddof=0)
+        v = np.linalg.eigh(c)[1][:, ::-1][:, :2]
+        total += (p.X[i] - p.X[i] @ v @ v.T).sum() ** 2
+    assert math.isclose(models.gwpca_cv(df, p, spec, 2), total, rel_tol=1e-9)
+
+
+def test_multiscale_hat_matrix_gives_the_fit(grid):
+    df, pdf = grid
+    specs = {"Intercept": local.Spec(3.0), "a": local.Spec(2.0)}
+    out, diag = models.multiscale_gwr(df, "z", specs, most=40, hat=True)
+    again, other = models.multiscale_gwr(df.withColumn("z", F.col("z") * 3), "z", specs, most=40, hat=True)
+    assert math.isclose(diag["tr_s"], other["tr_s"], rel_tol=1e-6) and 2 < diag["tr_s"] < 25 and (out.toPandas()[["Intercept_SE", "a_SE"]] > 0).all().all()
+    # one bandwidth for all and everything in reach: the global fit
+    whole = models.multiscale_gwr(df, "z", {"Intercept": local.Spec(100.0, "boxcar"), "a": local.Spec(100.0, "boxcar")}, hat=True)[1]
+    assert math.isclose(whole["tr_s"], 2, abs_tol=1e-4)
+
+
 def test_scalable_bandwidth_is_of_all_points(spark):
     r = np.random.default_rng(3)
     pdf = pd.DataFrame({"fid": range(2600), "x": np.r_[r.uniform(0, 1, 1250), r.uniform(0, 90, 1350)], "y": r.uniform(0, 1, 2600), "a": r.normal(size=2600)})
