@@ -6,23 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, allowed=None, each: bool = False, with_lang: bool = False) -> list[tuple]:
-    """At most ``most`` whole texts with their 0/1 label (of each label, if ``each``), those with the smallest hash of the id; with their language if ``with_lang``.
+#: Characters of all sampled texts together, at most: what the driver takes of very long ones.
+MOST_CHARACTERS = 40_000_000
 
-    ``allowed``: a condition on doc_id that sample rows meet. Rows with a null id or label are no examples; a null text counts as empty.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, allowed=None, each: bool = False, with_lang: bool = False, most_characters: int = MOST_CHARACTERS) -> list[tuple]:
+    """At most ``most`` whole texts with their 0/1 label (of each label, if ``each``), those with the smallest hash of the id, as long as they have ``most_characters`` together; with their language if ``with_lang``.
+
+    ``allowed``: a condition on doc_id that sample rows meet. Rows with a null id or label are no examples; a null text counts as empty; of several texts or labels of an id the smallest is taken.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     if allowed is not None:
         rows = rows.filter(allowed)
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
     parts = [rows.filter(f"label = {k}") for k in (0, 1)] if each else [rows]
-    keys = sorted(r for p in parts for r in p.orderBy("h", "doc_id").limit(most).collect())
-    label_of = {r["doc_id"]: r["label"] for r in keys}
+    keys = sorted((r["h"], r["doc_id"], r["label"]) for p in parts for r in p.orderBy("h", "doc_id").limit(most).collect())
+    label_of = {k: v for _, k, v in keys}
     spark = docs.sparkSession
-    picked = spark.createDataFrame([(k,) for k in label_of], "doc_id long")  # bounded by ``most``
     named = ["text", "lang"] if with_lang else ["text"]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in named))
-    found = text.join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
+
+    def wanted(ids: list[int]) -> DataFrame:
+        picked = spark.createDataFrame([(k,) for k in ids], "doc_id long")  # bounded by ``most``
+        return text.join(F.broadcast(picked), "doc_id", "left_semi")
+
+    size = {r["doc_id"]: r["n"] for r in wanted(list(label_of)).groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).collect()}
+    taken, total = [], 0
+    for _, k, _ in keys:
+        if k in size and total + size[k] <= most_characters:
+            total += size[k]
+            taken.append(k)
+    found = wanted(taken).groupBy("doc_id").agg(F.min(F.struct(*named)).alias("own")).select("doc_id", "own.*").collect()
     return [(t, label_of[k], *rest) for k, t, *rest in sorted((r["doc_id"], *(r[c] for c in named)) for r in found)]
 
 

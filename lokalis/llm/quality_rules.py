@@ -84,19 +84,19 @@ def base_row(text: str, words: list[str], hashes: np.ndarray) -> tuple[int, int,
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of words as (place of the word, feature, share): the word with share 1, the character n-grams of the padded word with shares that add up to 1."""
-    raw = [f"<{w}>".encode() for w in words]
+    padded = [f"<{w}>" for w in words]
     half, n = 1 << BITS, len(words)
-    a = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    size = np.array([len(b) for b in raw], np.int64)
+    a = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)  # a number for each character
+    size = np.array([len(w) for w in padded], np.int64)
     ends = np.cumsum(size)
     owner = np.repeat(np.arange(n), size)
-    left = np.repeat(ends, size) - np.arange(len(a))  # bytes from here to the word's end
-    at, feature = [np.arange(n)], [np.array([zlib.crc32(b) % half for b in raw], np.int64)]
+    left = np.repeat(ends, size) - np.arange(len(a))  # characters from here to the word's end
+    at, feature = [np.arange(n)], [np.array([zlib.crc32(w.encode()) % half for w in padded], np.int64)]
     for g in GRAMS:
         start = np.flatnonzero(left >= g)
         h = np.full(len(start), g, np.uint64)
         for i in range(g):
-            h = (h << np.uint64(8)) | a[start + i]
+            h = h * ODD + a[start + i]
         at.append(owner[start])
         feature.append(half + (mixed(h) % np.uint64(half)).astype(np.int64))
     grams = np.bincount(np.concatenate(at[1:]), minlength=n)
