@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("lokalis.llm")
-from lokalis.llm import bpe, decontaminate, html_text, license_scan, near_duplicates, quality_rules, substring_dedup, token_counts, toxicity, warc  # noqa: E402
+from lokalis.llm import bpe, components, decontaminate, html_text, labelled, license_scan, near_duplicates, quality_rules, substring_dedup, token_counts, toxicity, warc  # noqa: E402
 from lokalis.llm.queries import vocabulary_path  # noqa: E402
 
 WORDS = [a + b + c for a in ("th", "er", "on", "wh", "st") for b in ("a", "e", "i", "o") for c in ("nd", "t", "s", "", "ly")]
@@ -583,3 +583,44 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     ids = {k for k, _ in rows}
     assert left == [ids - {23}, ids - {23, 20}, ids - {23, 20}, ids - {23, 20, 24}, ids - {23, 20, 24}]
     assert corpus_pipeline.run(spark, sf).count() == len(left[-1])
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 180)] + [(300, 300), (401, 400), (400, 402)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 61)} | {k: 100 for k in range(100, 180)} | {400: 400, 401: 400, 402: 400}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_labelled_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "b", "x"), (1, "a", "y"), (2, None, "x"), (3, "c" * 500, "x"), (4, "d", "x"), (None, "e", "x")], "doc_id long, text string, lang string")
+    labels = labels_of(spark, [(1, 1, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1), (4, None, 1), (None, 1, 1), (9, 1, 1)])
+    got = labelled.labelled_sample(docs, labels, "quality", 10)
+    assert got == [("a", 0), ("", 1), ("c" * 500, 1)]
+    assert labelled.labelled_sample(docs, labels, "quality", 10, most_characters=100) == [("a", 0), ("", 1)]
+    assert labelled.labelled_sample(docs, labels, "toxic", 1, each=True, allowed=F.col("doc_id") > 1, with_lang=True) != []
+    assert labelled.labelled_sample(docs.limit(0), labels, "quality", 10) == [] and labelled.labelled_sample(docs, labels.limit(0), "quality", 10) == []
+
+
+def test_character_grams_are_of_characters():
+    at, feature, share = quality_rules.features(["\u00e9\u4e2d\U0001f600", "ab"])
+    assert np.bincount(at).tolist() == [1 + 3 + 2, 1 + 2 + 1] and np.isclose(share[at == 0].sum(), 2) and len(feature) == len(at)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_pipeline_stages_take_nulls_ties_and_clashing_columns(spark, tmp_path, stage):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    labels_of(spark, [(7, 1, 0)]).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    good = prose(60, 5)
+    rows = [(1, None), (2, ""), (7, good), (7, good), (8, good), (None, prose(70, 6)), (9, "x" * 300_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 2, 3, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rid long, node long, set_key string")
+    run = corpus_pipeline.STAGES[stage][1]
+    out = run(spark, docs, sf)
+    kept = out.count()
+    if stage < 4:
+        assert out.columns == docs.columns
+    assert kept == [3, 6, 7, 7, 7][stage] or (stage == 0 and kept == 4)
+    assert run(spark, docs.limit(0), sf).count() == 0
