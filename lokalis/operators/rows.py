@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,15 +39,60 @@ def selected_first(df: DataFrame, key: str = "fid") -> DataFrame:
     return df.orderBy(F.desc("selected"), key)
 
 
+def numbered(df: DataFrame, name: str, order: str) -> DataFrame:
+    """The row's place by ``order``, from 1: ranges are sorted apart, and only their sizes reach the driver."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p] = total
+        total += sizes[p]
+    if not before:
+        return ranged.withColumn(name, F.col("__at")).drop("__at")
+    start = F.create_map(*(F.lit(v) for pair in before.items() for v in pair))
+    return ranged.withColumn(name, start[part] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at")
+
+
 def calculated(df: DataFrame, field: str, expression: str, only: str | None = None, order: str = "fid") -> DataFrame:
     """Add or update ``field``; with ``only`` just where it holds. ``row_number`` stands for the row's place by ``order``."""
-    rows = df.withColumn("row_number", F.row_number().over(Window.orderBy(order))) if "row_number" in expression else df
+    rows = numbered(df, "row_number", order) if "row_number" in expression else df
     value = F.expr(expression)
     if only:
         value = F.when(F.expr(only), value.cast(df.schema[field].dataType) if field in df.columns else value).otherwise(F.col(field) if field in df.columns else F.lit(None))
     return rows.withColumn(field, value).drop(*(["row_number"] if "row_number" not in df.columns else []))
 
 
+def cleared(df: DataFrame) -> DataFrame:
+    """Nothing selected."""
+    return df.withColumn("selected", F.lit(False))
+
+
+def edited(df: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows that differ from the row of the same ``fid`` in an earlier state of the table, or are new."""
+    same = F.lit(True)
+    for c in df.columns:
+        if c in before.columns:
+            same = same & F.col(f"now.`{c}`").eqNullSafe(F.col(f"was.`{c}`"))
+    return df.alias("now").join(before.alias("was"), same & (F.col("now.fid") == F.col("was.fid")), "left_anti")
+
+
+class StoredFilters:
+    """Named filter expressions, kept as JSON text."""
+
+    def __init__(self, text: str = "{}"):
+        self.named: dict[str, str] = json.loads(text)
+
+    def store(self, name: str, expression: str) -> None:
+        self.named[name] = expression
+
+    def apply(self, df: DataFrame, name: str) -> DataFrame:
+        return where(df, self.named[name])
+
+    def text(self) -> str:
+        return json.dumps(self.named, sort_keys=True)
+
+
 def without_selected(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("selected"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
+from lokalis.functions import sql
 from lokalis.operators import pairs, rows
 from lokalis.plans.registry import put
 from lokalis.sources import delimited, layers
@@ -35,15 +36,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def put_file(spark: SparkSession, path: str, data: bytes) -> str:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    out.write(data)
-    out.close()
+    layers.write_file(spark, path, data)
     return path
 
 
-def text_query(name: str, content: str, how: dict, sql: str, file: str = "t.csv", beside: dict[str, str] | None = None) -> None:
+def text_query(name: str, content: str, how: dict, oracle: str, file: str = "t.csv", beside: dict[str, str] | None = None) -> None:
     """A query that reads a delimited text of this content, without ``fid``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +49,7 @@ def text_query(name: str, content: str, how: dict, sql: str, file: str = "t.csv"
             put_file(spark, f"{where}/{other}", text.encode())
         return delimited.read(spark, put_file(spark, f"{where}/{file}", content.encode()), **how).drop("fid")
 
-    put(name, run, sql)
+    put(name, run, oracle)
 
 
 def values(columns: str, *lines: str) -> str:
@@ -209,3 +206,43 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 put("streaming_windows", streamed, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value),2) AS total FROM events GROUP BY ALL")
+
+
+def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{folder(spark)}/points.gpkg"
+    layers.export(written_points(spark, sf_dir), where, "gpkg")
+    return layers.read_geopackage(spark, where).select("fid", "x", "y", "v")
+
+
+def shape_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{folder(spark)}/points.shp"
+    layers.export(written_points(spark, sf_dir).withColumnRenamed("fid", "id").withColumn("fid", F.col("id")), where, "shp")
+    return layers.read_shapefile(spark, where).select(F.col("id").cast("long").alias("fid"), "x", "y", "v")
+
+
+def saved_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer is edited and saved over itself; the rows that changed."""
+    where = f"{folder(spark)}/layer"
+    before = written_points(spark, sf_dir)
+    before.write.parquet(where)
+    now = layers.save_edits(rows.calculated(spark.read.parquet(where), "v", "v * 2", "x < 20"), where)
+    return rows.edited(now, before).select("fid", "x", "y", F.round("v", 4).alias("v"))
+
+
+def stored_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = rows.StoredFilters()
+    filters.store("rich", "v > 8000")
+    return rows.StoredFilters(filters.text()).apply(written_points(spark, sf_dir), "rich")
+
+
+def in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("SELECT f.fid, round(sum(gw_bisquare(gw_euclidean(f.x, f.y, d.x, d.y), 25) * d.v) / sum(gw_bisquare(gw_euclidean(f.x, f.y, d.x, d.y), 25)), 5) AS lm FROM {p} f CROSS JOIN {p} d GROUP BY f.fid", p=written_points(spark, sf_dir))
+
+
+put("geopackage_export_import", package_round_trip, SUPPLIERS)
+put("shapefile_export_import", shape_round_trip, SUPPLIERS)
+put("save_edits", saved_edits, f"SELECT fid, x, y, round(v*2,4) AS v FROM ({SUPPLIERS}) WHERE x < 20 AND v <> 0")
+put("stored_filter", stored_filter, f"SELECT * FROM ({SUPPLIERS}) WHERE v > 8000")
+put("select_clear", lambda s, d: rows.cleared(rows.select_rows(written_points(s, d), "v > 0")), f"SELECT *, false AS selected FROM ({SUPPLIERS})")
+put("sql_functions", in_sql, f"WITH p AS ({SUPPLIERS}), w AS (SELECT f.fid, d.v, CASE WHEN sqrt{D2} > 25 THEN 0.0 ELSE pow(1-{D2}/625.0,2) END AS w FROM p f CROSS JOIN p d) SELECT fid, round(sum(w*v)/sum(w),5) AS lm FROM w GROUP BY fid")

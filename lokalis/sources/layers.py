@@ -165,18 +165,91 @@ def matrix_bytes(rows: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+#: Rows of a layer that is written as one file.
+MOST_FILE_ROWS = 1_000_000
+
+
+def gathered(df: DataFrame) -> pd.DataFrame:
+    """A layer for a format of one file: brought to the driver behind a count."""
+    if (n := df.count()) > MOST_FILE_ROWS:
+        raise ValueError(f"{n} rows: formats of one file take {MOST_FILE_ROWS} at most")
+    return df.toPandas()
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Bytes through Spark's file systems; what is there is replaced."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(data)
+    out.close()
+
+
+def package_bytes(df: DataFrame, layer: str) -> bytes:
+    """A GeoPackage with one layer of points and their attributes."""
+    pdf = gathered(df)
+    names = [c for c in df.columns if c not in ("fid", "x", "y")]
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN"}
+    con = sqlite3.connect(":memory:")
+    con.execute("pragma application_id = 1196444487")  # "GPKG"
+    con.executescript("create table gpkg_contents(table_name text primary key, data_type text, identifier text, srs_id integer); create table gpkg_geometry_columns(table_name text, column_name text, geometry_type_name text, srs_id integer, z integer, m integer)")
+    con.execute(f"create table {quoted(layer)}(fid integer primary key, geom blob{''.join(f', {quoted(c)} {kinds.get(t, "TEXT")}' for c, t in df.dtypes if c in names)})")
+    con.execute("insert into gpkg_contents values(?, 'features', ?, 4326)", (layer, layer))
+    con.execute("insert into gpkg_geometry_columns values(?, 'geom', 'POINT', 4326, 0, 0)", (layer,))
+    point = lambda x, y: None if pd.isna(x) or pd.isna(y) else b"GP\0\1" + struct.pack("<iBIdd", 4326, 1, 1, x, y)
+    plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+    rows = zip(pdf.fid, pdf.x, pdf.y, *(pdf[c] for c in names))
+    con.executemany(f"insert into {quoted(layer)} values({', '.join('?' * (2 + len(names)))})", ([int(fid), point(x, y), *map(plain, rest)] for fid, x, y, *rest in rows))
+    con.commit()
+    return con.serialize()
+
+
+def shape_bytes(df: DataFrame) -> tuple[bytes, bytes]:
+    """The ``.shp`` and ``.dbf`` of a layer of points: numbers with 18 digits, other attributes as text."""
+    pdf = gathered(df).sort_values("fid")
+    names = [c for c in df.columns if c not in ("fid", "x", "y")]
+    numeric = {c for c, t in df.dtypes if t in ("bigint", "int", "double", "float")}
+    bodies = [struct.pack("<i", 0) if pd.isna(x) or pd.isna(y) else struct.pack("<idd", 1, x, y) for x, y in zip(pdf.x, pdf.y)]
+    records = b"".join(struct.pack(">ii", k, len(b) // 2) + b for k, b in enumerate(bodies, 1))
+    x, y = pdf.x.dropna(), pdf.y.dropna()
+    box = [x.min(), y.min(), x.max(), y.max()] if len(x) and len(y) else [0.0] * 4
+    shp = struct.pack(">i20xi", 9994, (100 + len(records)) // 2) + struct.pack("<ii4d32x", 1000, 1, *box) + records
+    cells = {c: [("" if pd.isna(v) else repr(float(v)) if c in numeric else str(v)).encode()[:254] for v in pdf[c]] for c in names}
+    width = {c: max([1, *map(len, cells[c])]) for c in names}
+    fields = b"".join(c.encode()[:10].ljust(11, b"\0") + (b"N" if c in numeric else b"C") + bytes(4) + bytes([width[c]]) + bytes(15) for c in names)
+    rows = b"".join(b" " + b"".join(cells[c][k].rjust(width[c]) if c in numeric else cells[c][k].ljust(width[c]) for c in names) for k in range(len(pdf)))
+    return shp, b"\3" + bytes(3) + struct.pack("<IHH", len(pdf), 33 + 32 * len(names), 1 + sum(width.values())) + bytes(20) + fields + b"\r" + rows + b"\x1a"
+
+
 def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Parquet, CSV with x and y, or GeoJSON feature lines; an existing target is replaced."""
+    """Parquet, CSV with x and y, GeoJSON feature lines, or one file as ``gpkg`` or ``shp`` (points); an existing target is replaced."""
     if kind == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     elif kind == "geojson":
         rest = [c for c in df.columns if c not in ("x", "y")]
         feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"), F.struct(*rest).alias("properties"))
         df.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+    elif kind == "gpkg":
+        write_file(df.sparkSession, path, package_bytes(df, "layer"))
+    elif kind == "shp":
+        shp, dbf = shape_bytes(df)
+        write_file(df.sparkSession, path, shp)
+        write_file(df.sparkSession, path[:-4] + ".dbf", dbf)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
+def save_edits(df: DataFrame, path: str) -> DataFrame:
+    """An edited layer written over the table that it may have been read from: beside it first, then in its place."""
+    context = df.sparkSession.sparkContext
+    target, fresh = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.saving"))
+    df.write.mode("overwrite").parquet(fresh.toString())
+    store = target.getFileSystem(context._jsc.hadoopConfiguration())
+    store.delete(target, True)
+    if not store.rename(fresh, target):
+        raise OSError(f"the saved layer stays at {fresh.toString()}")
+    return df.sparkSession.read.parquet(path)
+
+
 def report(title: str, diagnostics: dict) -> str:
     """A plain text report of a model's diagnostics."""
     width = max([len(k) for k in diagnostics] + [1])
