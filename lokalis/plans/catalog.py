@@ -215,7 +215,13 @@ def score_rows(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 SCORE_SQL = " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(weighted_sql('bisquare', b, LINES, True), model_sql.fit('w', ONE, 'dep', 'o'), 'SELECT round(sum(cv*cv)/1000,3) AS cv, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(s_ii))/(count(*)-2-sum(s_ii)),4) AS aicc FROM o')})" for b in range(30, 101, 10))
 put("gwr_bandwidth_scores", model(score_rows), SCORE_SQL)
-put("gwr_bandwidth_search", model(lambda df, s: s.createDataFrame(models.select_bandwidth(df, local.points(df, "dep", ["a"]), local.Spec(0, "bisquare", True))[1], "bandwidth double, score double")))
+
+
+def search_rows(spark: SparkSession, trace: list[tuple[float, float]]) -> DataFrame:
+    return spark.createDataFrame([(b, round(v / 1000, 3)) for b, v in trace], "bandwidth double, score double")
+
+
+put("gwr_bandwidth_search", model(lambda df, s: search_rows(s, models.select_bandwidth(df, local.points(df, "dep", ["a"]), local.Spec(0, "bisquare", True))[1])), model_sql.golden(LINES, ONE, "dep", 20, "count(*)"))
 
 
 def subset_sql(names: list[str]) -> str:
@@ -295,7 +301,7 @@ def pair_scores(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 SCORES = "SELECT round(sum(cv*cv)/1000,3) AS cv, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(s_ii))/(count(*)-2-sum(s_ii)),4) AS aicc FROM o"
 put("gw_correlation_bandwidth_scores", model(pair_scores), " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(weighted_sql('gaussian', b, LINES), model_sql.fit('w', ['a'], 'dep', 'o'), SCORES)})" for b in (15, 25, 40)))
-put("gw_correlation_bandwidth", model(lambda df, s: s.createDataFrame(models.correlation_bandwidth(df, "a", "dep", local.Spec(0, "bisquare", True))[1], "bandwidth double, score double")))
+put("gw_correlation_bandwidth", model(lambda df, s: search_rows(s, models.correlation_bandwidth(df, "a", "dep", local.Spec(0, "bisquare", True))[1])), model_sql.golden(LINES, ["a"], "dep", 20, "count(*)"))
 
 
 def ridge_scores(df: DataFrame, spark: SparkSession) -> DataFrame:

@@ -132,3 +132,23 @@ def eigen3(source: str, name: str) -> list[str]:
         f"{name}_c AS MATERIALIZED (SELECT *, (total+sqrt(greatest(total*total-4*product,0)))/2 AS e2 FROM {name}_b)",
         f"{name} AS MATERIALIZED (SELECT *, product/e2 AS e3 FROM {name}_c)",
     ]
+
+
+def golden(points: str, xs: list[str], y: str, low: int, high: str) -> str:
+    """The probes of a golden-section search over whole bisquare bandwidths with their CV scores: all scores are made, then the search is walked through by recursion."""
+    share = (5**0.5 - 1) / 2
+    ctes = [
+        f"p0 AS MATERIALIZED ({points})",
+        f"lim AS MATERIALIZED (SELECT {low}::DOUBLE AS lo, CAST({high} AS DOUBLE) AS hi FROM p0)",
+        "sizes AS MATERIALIZED (SELECT unnest(generate_series(CAST(lo AS BIGINT), CAST(hi AS BIGINT))) AS bw FROM lim)",
+        "p AS MATERIALIZED (SELECT p0.* REPLACE (bw*1000000+fid AS fid) FROM p0 CROSS JOIN sizes)",
+        "pq AS MATERIALIZED (SELECT f.fid AS ffid, d.fid AS dfid, sqrt((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y)) AS d FROM p0 f CROSS JOIN p0 d)",
+        "rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ffid ORDER BY d, dfid) AS rk FROM pq)",
+        "reach AS MATERIALIZED (SELECT ffid, rk AS bw, d AS b FROM rk)",
+        "w AS MATERIALIZED (SELECT reach.bw*1000000+pq.ffid AS fid, reach.bw*1000000+pq.dfid AS d_fid, CASE WHEN pq.d > reach.b THEN 0.0 ELSE (1.0-(pq.d/reach.b)*(pq.d/reach.b))*(1.0-(pq.d/reach.b)*(pq.d/reach.b)) END AS w, p0.* EXCLUDE (fid) FROM pq JOIN reach ON pq.ffid = reach.ffid JOIN sizes ON sizes.bw = reach.bw JOIN p0 ON p0.fid = pq.dfid)",
+        *fit("w", xs, y, "o"),
+        "z AS MATERIALIZED (SELECT CAST(fid//1000000 AS DOUBLE) AS bandwidth, sum(cv*cv) AS score FROM o GROUP BY fid//1000000)",
+        f"RECURSIVE_WALK(step, low, high, reach, u, l) AS (SELECT 0, lo, hi, {share!r}::DOUBLE*(hi-lo), floor(lo+{share!r}::DOUBLE*(hi-lo)), round(hi-{share!r}::DOUBLE*(hi-lo)) FROM lim UNION ALL SELECT step+1, CASE WHEN a.score < b.score THEN l ELSE low END, CASE WHEN a.score < b.score THEN high ELSE u END, reach*{share!r}::DOUBLE, CASE WHEN a.score < b.score THEN round(l+reach*{share!r}::DOUBLE) ELSE l END, CASE WHEN a.score < b.score THEN u ELSE floor(u-reach*{share!r}::DOUBLE) END FROM RECURSIVE_WALK JOIN z a ON a.bandwidth = u JOIN z b ON b.bandwidth = l WHERE step < 100 AND reach > 1e-4 AND abs(a.score-b.score) > 1e-4)",
+    ]
+    text = ", ".join(ctes).replace("RECURSIVE_WALK", "walk")
+    return f"WITH RECURSIVE {text} SELECT bandwidth, round(score/1000,3) AS score FROM z WHERE bandwidth IN (SELECT u FROM walk UNION SELECT l FROM walk)"
