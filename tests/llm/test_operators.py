@@ -48,6 +48,20 @@ def test_bpe_equals_the_library(spark, edge_docs):
     assert bpe.round_trip(edge_docs.limit(0), vocabulary_path()).count() == 0
 
 
+def test_bpe_digests_of_a_table_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    r = random.Random(7)
+    alphabet = ["a", "the ", "  ", "\n", "\t", "'s", "12", "\u00e9", "e\u0301", "\u4e2d", "\u0661", "\U0001f600", "\u200d", "<|endoftext|>", "-", "_", "\u00a0", "\x00", "Zz", " x", "\u2028"]
+    rows = [(k, None if k % 50 == 0 else "".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) + prose(r.randint(0, 30), k)) for k in range(400)]
+    got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary_path()).collect()}
+    for k, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        assert got[k] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts_add_up(spark, edge_docs, rule):
     docs = spark.createDataFrame([(1, "one two\n\nthree\n"), (2, None), (3, prose(50, 3))], "doc_id long, text string")
