@@ -66,13 +66,15 @@ def q_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
     return pd.DataFrame({"fid": p.fid, "q": np.nansum(S * S, 0)})
 
 
-def r2_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
+def second_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
+    """What needs all fitted values: the local R2 of a block's foci, and in its first row the block's share of every point's q."""
     spec, p, extra, yhat = held
     t = pdf.t.to_numpy(float) if "t" in pdf else None
     W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float), t)
     tss, rss = W @ (p.y - p.y.mean()) ** 2, W @ (p.y - yhat) ** 2
+    q = [q_block(pdf, (spec, p, extra)).q.to_numpy(), *[None] * (len(pdf) - 1)]
     with np.errstate(all="ignore"):
-        return pd.DataFrame({"fid": pdf.fid.to_numpy(np.int64), "localR2": (tss - rss) / tss})
+        return pd.DataFrame({"fid": pdf.fid.to_numpy(np.int64), "localR2": (tss - rss) / tss, "q": q})
 
 
 def fitted(df: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None, noise: np.ndarray | None = None) -> pd.DataFrame:
@@ -170,16 +172,14 @@ def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None,
     s, ss, rss = f.s_ii.sum(), f.ss.sum(), float((res**2).sum())
     diag = diagnostics(p, rss, s, ss) | {"bandwidth": spec.size}
     sigma2 = rss / (len(p.y) - 2 * s + ss)
-    where = foci(p, df, t)
-    parts = over_foci(where, (spec, p, extra), q_block, "fid bigint, q double", len(p.fid))
-    q = parts.groupBy("fid").agg(F.sum("q").alias("q")).toPandas().sort_values("fid").q.to_numpy()
-    free(parts)
+    again = over_foci(foci(p, df, t), (spec, p, extra, yhat), second_block, "fid bigint, localR2 double, q array<double>", len(p.fid))
+    more = again.toPandas().sort_values("fid", kind="stable")
+    free(again)
+    q = np.sum([x for x in more.q if x is not None], 0)
     names = names_of(xs)
     se = np.sqrt(sigma2 * raw)
-    out = {"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names)}, "y": p.y, "yhat": yhat, "residual": res, "Stud_residual": res / np.sqrt(sigma2 * q), **{f"{n}_SE": se[:, k] for k, n in enumerate(names)}, **{f"{n}_TV": beta[:, k] / se[:, k] for k, n in enumerate(names)}}
-    rows = df.sparkSession.createDataFrame(pd.DataFrame(out))
-    local = over_foci(where, (spec, p, extra, yhat), r2_block, "fid bigint, localR2 double", len(p.fid))
-    return rows.join(local, "fid"), diag
+    out = {"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names)}, "y": p.y, "yhat": yhat, "residual": res, "Stud_residual": res / np.sqrt(sigma2 * q), **{f"{n}_SE": se[:, k] for k, n in enumerate(names)}, **{f"{n}_TV": beta[:, k] / se[:, k] for k, n in enumerate(names)}, "localR2": more.localR2.to_numpy()}
+    return df.sparkSession.createDataFrame(pd.DataFrame(out)), diag
 
 
 def gwr_predict(df: DataFrame, focus: DataFrame, y: str, xs: list[str], spec: Spec) -> DataFrame:
