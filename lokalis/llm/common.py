@@ -34,9 +34,9 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lokalis-{uuid.uuid4().hex}"
 
 
-def file_count(rows: DataFrame) -> int:
-    """In how many files to write tables made of these rows: one for each 32 MB that their sources take, 8 at least. Each file costs its writer some processes (permissions are set by a shell)."""
-    return min(max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 25), 1 << 30)
+def file_count(rows: DataFrame, mb: int = 32) -> int:
+    """In how many files to write tables made of these rows: one for each ``mb`` MB that their sources take, 8 at least. Each file costs its writer some processes (permissions are set by a shell). Small tables take the default, what is made in heavy tasks 8."""
+    return min(max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (mb << 20)), 1 << 30)
 
 
 def saved(df: DataFrame, files: int | None = None) -> DataFrame:

@@ -440,7 +440,7 @@ def suffix_sort(units: DataFrame, found: DataFrame, gram: int, files: int) -> Da
 def repeated(docs: DataFrame) -> list[DataFrame]:
     """``rid, pos``: all ranges of suffixes that repeat, of the bodies of ``docs``; a written table of each sort."""
     units = bodies(docs).select(F.col("rid").alias("uid"), "rid", F.lit(0).cast("long").alias("lo"), "body").filter(F.octet_length("body") >= LENGTH)
-    files = file_count(docs)
+    files = file_count(docs, 8)
     out = []
     for gram in GRAMS:
         found = candidates(units, gram, files)
@@ -461,7 +461,7 @@ def removed(docs: DataFrame, covered: DataFrame, step: Callable, schema: str) ->
         for batch in slices(batches, "body"):
             yield step(batch, [byte_spans(at) for at in batch.column("at").to_pylist()])
 
-    return docs.join(spans, "rid", "left").mapInArrow(run, schema).coalesce(file_count(docs))
+    return docs.join(spans, "rid", "left").mapInArrow(run, schema).coalesce(file_count(docs, 8))
 
 
 def whole(parts: list[DataFrame]) -> DataFrame:
