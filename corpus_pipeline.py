@@ -12,12 +12,12 @@ from lokalis.llm.queries import vocabulary_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trained model keep."""
-    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels")).coalesce(file_count(docs))
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels")).coalesce(file_count(docs, 8))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate group."""
-    return near_duplicates.one_of_each(docs).coalesce(file_count(docs))
+    return near_duplicates.one_of_each(docs).coalesce(file_count(docs, 8))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).coalesce(file_count(docs))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).coalesce(file_count(docs, 8))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
