@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lokalis.sources.store import written
+
 
 def combined(old: str | None, new: str, how: str = "replace") -> str:
     """A filter replaced by, and-ed or or-ed with a new one."""
@@ -40,8 +42,8 @@ def selected_first(df: DataFrame, key: str = "fid") -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, order: str) -> DataFrame:
-    """The row's place by ``order``, from 1: ranges are sorted apart, and only their sizes reach the driver."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    """The row's place by ``order``, from 1: ranges are sorted apart and written, and only their sizes reach the driver."""
+    ranged = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0

@@ -7,11 +7,8 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import sqlite3
 import struct
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +19,10 @@ from lokalis.functions import sql
 from lokalis.operators import pairs, rows
 from lokalis.plans.registry import put
 from lokalis.sources import delimited, layers
+from lokalis.sources.store import folder
 from lokalis.streaming import windows
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local default only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/lokalis-files"
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def put_file(spark: SparkSession, path: str, data: bytes) -> str:
     layers.write_file(spark, path, data)
     return path
