@@ -143,3 +143,33 @@ def nearest(focus: DataFrame, data: DataFrame, k: int, spec: Spec = Spec(0)) ->
         return pd.concat(out) if out else pd.DataFrame({"fid": [], "d_fid": [], "rank": [], "d": []})
 
     return over_foci(places(focus), held(data, []), run, "fid bigint, d_fid bigint, rank int, d double", 1)
+
+
+def correlations(focus: DataFrame, data: DataFrame, xs: list[str], ys: list[str], specs: dict[tuple[str, str], Spec] | Spec) -> DataFrame:
+    """Local covariance and correlation of each x with each y, each pair by its own bandwidth: ``Cov_x.y`` and ``Corr_x.y``."""
+    chosen = {(x, y): specs[x, y] if isinstance(specs, dict) else specs for x in xs for y in ys}
+    if not small(data):
+        parts = [summary.correlation(weighted(focus, data, s), x, y) for (x, y), s in chosen.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.join(p, "fid")
+        return out
+    names = list(dict.fromkeys([*xs, *ys]))
+    columns = [f"{kind}_{x}.{y}" for x, y in chosen for kind in ("Cov", "Corr")]
+
+    def run(pdf: pd.DataFrame, p: Points) -> pd.DataFrame:
+        pdf = pdf.sort_values("x", kind="stable")
+        out: dict[str, list] = {"fid": pdf.fid.to_numpy(np.int64), **{c: [] for c in columns}}
+        for (x, y), spec in chosen.items():
+            for _, near, W in strips(pdf, p, spec):
+                a, b = p.X[near, names.index(x)], p.X[near, names.index(y)]
+                with np.errstate(all="ignore"):
+                    w = W / W.sum(1, keepdims=True)
+                    scale = 1 - (w * w).sum(1)
+                    cov = lambda u, v: (w @ (u * v) - (w @ u) * (w @ v)) / scale  # noqa: E731, B023
+                    ab = cov(a, b)
+                    out[f"Cov_{x}.{y}"].append(ab)
+                    out[f"Corr_{x}.{y}"].append(ab / np.sqrt(cov(a, a) * cov(b, b)))
+        return pd.DataFrame({k: np.concatenate(v) if isinstance(v, list) else v for k, v in out.items()}) if len(pdf) and len(p.fid) else pd.DataFrame({c: [] for c in out})
+
+    return over_foci(places(focus), held(data, names), run, "fid bigint, " + ", ".join(f"`{c}` double" for c in columns), len(xs) * len(ys))

@@ -143,6 +143,11 @@ def forward_selection(df: DataFrame, y: str, xs: list[str], threshold: float = 3
             return math.inf
         return aicc_of(int(n), rss, float(len(own)))
 
+    return forward(xs, aicc, threshold)
+
+
+def forward(xs: list[str], aicc: Callable[[list[int]], float], threshold: float) -> tuple[list[str], list[tuple[list[str], float]]]:
+    """Add the variable with the lowest score at each level; the pick ends with the last level that lowers the score by the threshold."""
     left, taken, models = list(range(len(xs))), [], []
     best_by_level = []
     while left:
@@ -160,6 +165,17 @@ def forward_selection(df: DataFrame, y: str, xs: list[str], threshold: float = 3
     return [xs[j] for j in taken[:pick]], models
 
 
+def local_selection(df: DataFrame, y: str, xs: list[str], spec: Spec, threshold: float = 3.0) -> tuple[list[str], list[tuple[list[str], float]]]:
+    """``forward_selection`` by the AICc of the local models of one bandwidth."""
+    whole = points(df, y, xs)
+
+    def aicc(pick: list[int]) -> float:
+        p = Points(whole.fid, whole.xy, whole.X[:, [0, *(i + 1 for i in pick)]], whole.y)
+        return score(df, p, spec, "AICc")
+
+    return forward(xs, aicc, threshold)
+
+
 def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None, extra: np.ndarray | None = None, select_bw: str | None = None) -> tuple[DataFrame, dict]:
     """Basic (with ``t`` space-time) regression at the data points: coefficients, y, yhat, residual, studentised residual, SE, t values and local R2; diagnostics."""
     p = points(df, y, xs, t)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
 from lokalis.functions import kernels
+from lokalis.sources.store import written
 
 #: Data points up to this number are broadcast in an all-pairs join (some 40 bytes each); more are shuffled by grid cell or, for kernels without an edge, joined nested.
 BROADCAST_POINTS = 500_000
@@ -49,10 +52,44 @@ def within(focus: DataFrame, data: DataFrame, radius: float) -> DataFrame:
     return out.withColumn("d", dist.euclidean(F.col("x"), F.col("y"), F.col("d_x"), F.col("d_y"))).filter(F.col("d") <= F.lit(float(radius)))
 
 
-def nearest(focus: DataFrame, data: DataFrame, k: int, distance: dist.Distance = dist.euclidean) -> DataFrame:
-    """The ``k`` nearest data rows of each focus, ties by data id, with their ``rank`` from 1."""
-    w = Window.partitionBy("fid").orderBy("d", "d_fid")
-    return all_pairs(focus, data, distance).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def ringed(focus: DataFrame, data: DataFrame, step: float, r: int) -> DataFrame:
+    """Pairs of foci with the data in the cells up to ``r`` beyond their own, by equi-joins; nothing is broadcast."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(step))
+    ring = F.sequence(F.lit(-r), F.lit(r))
+    f = focus.withColumn("__i", F.explode(ring)).withColumn("__j", F.explode(ring)).withColumn("gx", cell("x") + F.col("__i")).withColumn("gy", cell("y") + F.col("__j")).drop("__i", "__j")
+    d = data.select(cell("x").alias("gx"), cell("y").alias("gy"), *(F.col(c).alias(f"d_{c}") for c in data.columns))
+    out = f.join(d, ["gx", "gy"]).drop("gx", "gy")
+    return out.withColumn("d", dist.euclidean(F.col("x"), F.col("y"), F.col("d_x"), F.col("d_y")))
+
+
+def nearest(focus: DataFrame, data: DataFrame, k: int, distance: dist.Distance = dist.euclidean, ties: bool = False) -> DataFrame:
+    """The ``k`` nearest data rows of each focus, ties by data id, with their ``rank`` from 1; with ``ties`` all rows as near as the k-th.
+
+    Euclidean neighbours are looked for in growing rings of grid cells: a focus is done when its k-th distance lies
+    inside the rings seen, and only the others look further. Other metrics meet all rows.
+    """
+    w = Window.partitionBy("fid").orderBy("d", "d_fid") if not ties else Window.partitionBy("fid").orderBy("d")
+    place = (F.rank() if ties else F.row_number()).over(w)
+    if distance is not dist.euclidean:
+        return all_pairs(focus, data, distance).withColumn("rank", place).filter(F.col("rank") <= k)
+    box = data.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
+    own = focus.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
+    if not box["n"] or own["min_x"] is None:
+        return all_pairs(focus.limit(0), data.limit(0), distance).withColumn("rank", place)
+    wide, high = box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]
+    far = math.hypot(max(box["max_x"], own["max_x"]) - min(box["min_x"], own["min_x"]), max(box["max_y"], own["max_y"]) - min(box["min_y"], own["min_y"]))
+    step = max(math.sqrt(max(wide * high, 1e-12) * k / box["n"]), max(wide, high) * k / box["n"], far * 1e-6, 1e-9)
+    wanted, left, found, r = min(k, box["n"]), focus, [], 1
+    while True:
+        ranked = written(ringed(left, data, step, r).withColumn("rank", place).filter(F.col("rank") <= k))
+        if r * step >= far:  # every row has been seen
+            return reduce(DataFrame.unionByName, [*found, ranked])
+        done = ranked.groupBy("fid").agg(F.count("*").alias("n"), F.max("d").alias("reach")).filter((F.col("n") >= wanted) & (F.col("reach") < r * step)).select("fid")
+        found.append(ranked.join(done, "fid", "left_semi"))
+        left = written(left.join(done, "fid", "left_anti"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        r *= 2
 
 
 def reach(pairs: DataFrame, count: float, n: int) -> DataFrame:
@@ -64,9 +101,13 @@ def reach(pairs: DataFrame, count: float, n: int) -> DataFrame:
 
 
 def weighted(focus: DataFrame, data: DataFrame, bw: Bandwidth) -> DataFrame:
-    """Pairs with weight ``w``. Compact kernels of a fixed euclidean bandwidth meet by grid cells, so far pairs are never made."""
+    """Pairs with weight ``w``. Compact kernels of a fixed euclidean bandwidth meet by grid cells, and adaptive ones beyond BROADCAST_POINTS rows by rings of cells, so far pairs are never made."""
     if not bw.adaptive and bw.kernel in kernels.COMPACT and bw.distance is dist.euclidean and bw.size > 0:
         return within(focus, data, bw.size).withColumn("w", kernels.weight(bw.kernel, F.col("d"), F.lit(float(bw.size))))
+    if bw.adaptive and bw.kernel in kernels.COMPACT and bw.distance is dist.euclidean and bw.size <= (n := data.count()) and n > BROADCAST_POINTS:
+        near = written(nearest(focus, data, max(1, int(bw.size)), ties=True).drop("rank"))  # rows beyond have no weight
+        b = near.groupBy("fid").agg(F.max("d").alias("b"))
+        return near.join(b, "fid").withColumn("w", kernels.weight(bw.kernel, F.col("d"), F.col("b")))
     pairs = all_pairs(focus, data, bw.distance)
     if not bw.adaptive:
         return pairs.withColumn("w", kernels.weight(bw.kernel, F.col("d"), F.lit(float(bw.size))))

@@ -367,4 +367,23 @@ put("glm_poisson", model(glm_row), f"WITH p AS ({LINES}), {', '.join(model_sql.g
 put("gwr_multiscale", model(multiscale))
 put("gwr_scalable", model(lambda df, s: models.scalable_gwr(df, "dep", ["a"])[0]))
 
+
+def local_subset_sql(names: list[str]) -> str:
+    """AICc of the local model of these variables."""
+    return f"SELECT '{','.join(sorted(names))}' AS s, aicc FROM ({after(weighted_sql('gaussian', 30, LINES), model_sql.fit('w', ['1.0', *names], 'dep', 'o'), 'SELECT count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(s_ii))/(count(*)-2-sum(s_ii)) AS aicc FROM o')})"
+
+
+put("gwr_local_variable_selection", model(lambda df, s: s.createDataFrame([(",".join(m), round(float(a), 3)) for m, a in models.local_selection(df, "dep", ["a", "b", "n"], LINE_SPEC)[1]], "model string, aicc double")), ("WITH z AS MATERIALIZED (" + " UNION ALL ".join(local_subset_sql(list(c)) for n in (1, 2, 3) for c in itertools.combinations(["a", "b", "n"], n)) + SELECTION_SQL[SELECTION_SQL.index("),\nl1 AS"):]).replace("round(aicc,4)", "round(aicc,3)"))
+
+
+def timed_scores(df: DataFrame, spark: SparkSession) -> DataFrame:
+    rows = models.bandwidth_scores(df.withColumn("t", F.col("fid") % 12), "dep", ["a"], local.Spec(0, time_scale=0.05), [20, 30, 45], t="t")
+    return spark.createDataFrame([(b, round(cv / 1000, 3), round(a, 4)) for b, cv, a in rows], "bandwidth double, cv double, aicc double")
+
+
+put("gtwr_bandwidth_scores", model(timed_scores), " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(timed_sql(b, 0.05), model_sql.fit('w', ONE, 'dep', 'o'), SCORES)})" for b in (20, 30, 45)))
+PAIR_SIZES = {("dep", "a"): 20, ("dep", "b"): 35}
+put("gw_correlations", model(lambda df, s: rounded(dense.correlations(df, df, ["dep"], ["a", "b"], {k: local.Spec(v) for k, v in PAIR_SIZES.items()}).toDF("fid", "cov_a", "corr_a", "cov_b", "corr_b"), 4)), "SELECT * FROM (" + ") JOIN (".join(weighted_sql("gaussian", v, LINES) + CORRELATION_SQL.format(x=x, y=y) + f"SELECT fid, round(ab/k,4) AS cov_{y}, round(ab/sqrt(aa*bb),4) AS corr_{y} FROM t" for (x, y), v in PAIR_SIZES.items()) + ") USING (fid)")
+put("nearest_by_rings", lambda s, d: rounded(pairs.nearest(points_of(s, d, "customer").select("fid", "x", "y"), points_of(s, d, "customer"), 4).select("fid", "d_fid", "rank", "d")), f"WITH p AS ({CUSTOMERS}), q AS (SELECT f.fid, d.fid AS d_fid, sqrt{D2} AS d FROM p f CROSS JOIN p d), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, d_fid) AS rank FROM q) SELECT fid, d_fid, rank, round(d,6) AS d FROM r WHERE rank <= 4")
+
 from lokalis.plans import source_queries  # noqa: E402, F401

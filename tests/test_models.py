@@ -135,6 +135,24 @@ def test_dense_summaries_equal_the_pair_plans(grid, monkeypatch, spec):
         assert np.allclose(a, b, equal_nan=True)
 
 
+def test_rings_find_the_nearest(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame({"fid": range(400), "x": np.r_[r.normal(0, 1, 380), r.uniform(-300, 300, 20)], "y": np.r_[r.normal(0, 1, 380), r.uniform(-300, 300, 20)], "v": r.normal(size=400)})
+    pdf.loc[50:59, ["x", "y"]] = pdf.loc[40, ["x", "y"]].to_numpy()  # equal places
+    df = spark.createDataFrame(pdf)
+    d = np.hypot(*(pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None, :] for c in "xy"))
+    got = pairs.nearest(df.select("fid", "x", "y"), df, 7).toPandas().sort_values(["fid", "rank"])
+    assert got.d_fid.tolist() == np.lexsort((np.broadcast_to(np.arange(400), d.shape), d))[:, :7].ravel().tolist()
+    assert pairs.nearest(df.limit(3).select("fid", "x", "y"), df.limit(2), 5).count() == 6 and pairs.nearest(df, df.limit(0), 5).count() == 0
+    for kernel in ("bisquare", "boxcar"):
+        bw = pairs.Bandwidth(9, kernel, True)
+        whole = pairs.weighted(df.select("fid", "x", "y"), df, bw).groupBy("fid").agg(F.sum(F.col("w") * F.col("d_v")).alias("s"), F.sum("w").alias("w")).toPandas().sort_values("fid")
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "BROADCAST_POINTS", 10)
+            ringed = pairs.weighted(df.select("fid", "x", "y"), df, bw).groupBy("fid").agg(F.sum(F.col("w") * F.col("d_v")).alias("s"), F.sum("w").alias("w")).toPandas().sort_values("fid")
+        assert np.allclose(whole.to_numpy(float), ringed.to_numpy(float))
+
+
 def test_robust_weights_follow_the_mean_squared_residual(grid):
     df, pdf = grid
     p, spec = local.points(df, "z", ["a"]), local.Spec(3.0)
