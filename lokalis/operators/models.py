@@ -7,14 +7,15 @@ give NaN coefficients with ``ok`` false, and an infinite score.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .local import BLOCK_PAIRS, FIT, Points, Spec, distances, fit_block, fit_rows, foci, free, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
+from . import dense, pairs
+from .local import BLOCK_PAIRS, FIT, MOST_POINTS, Points, Spec, distances, fit_block, fit_rows, foci, free, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
 
 
 #: Points of a model that carries dense hat matrices.
@@ -198,10 +199,32 @@ def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None,
     return df.sparkSession.createDataFrame(pd.DataFrame(out)), diag
 
 
+def coefficients_by_pairs(df: DataFrame, focus: DataFrame, y: str, xs: list[str], bw: pairs.Bandwidth, intercept: bool = True) -> DataFrame:
+    """``fid``, the coefficients and ``ok`` without a bound on the points: moments are sums over weighted pairs, partly summed before they are shuffled, and each focus's small system is solved by itself."""
+    cols = ["fid", "x", "y"]
+    own = [F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate([*xs, y])]
+    data = df.select(F.col("fid").cast("long").alias("fid"), *(F.col(c).cast("double").alias(c) for c in cols[1:]), *own).dropna()
+    w = pairs.weighted(focus.select(F.col("fid").cast("long").alias("fid"), *(F.col(c).cast("double").alias(c) for c in cols[1:])).dropna(), data, bw)
+    terms = ([F.lit(1.0)] if intercept else []) + [F.col(f"d_v{k}") for k in range(len(xs))]
+    k, response = len(terms), F.col(f"d_v{len(xs)}")
+    sums = [F.sum(F.col("w") * terms[i] * terms[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(F.col("w") * t * response).alias(f"r{i}") for i, t in enumerate(terms)]
+    names = names_of(xs, intercept)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            A = np.stack([np.stack([pdf[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)], 1) for i in range(k)], 1)
+            beta, ok = solve(A, np.stack([pdf[f"r{i}"] for i in range(k)], 1))
+            yield pd.DataFrame({"fid": pdf.fid, **{n: beta[:, i] for i, n in enumerate(names)}, "ok": ok})
+
+    return w.groupBy("fid").agg(*sums).mapInPandas(run, "fid bigint, " + ", ".join(f"`{n}` double" for n in names) + ", ok boolean")
+
+
 def gwr_predict(df: DataFrame, focus: DataFrame, y: str, xs: list[str], spec: Spec) -> DataFrame:
-    """Coefficients at other points, and yhat where these hold all variables."""
-    p = points(df, y, xs)
-    rows = local_fit(focus, p, spec).select("fid", *spread_out(df, "beta", names_of(xs)), "ok")
+    """Coefficients at other points, and yhat where these hold all variables. Beyond MOST_POINTS rows the moments are sums over pairs."""
+    if df.count() > MOST_POINTS:
+        rows = coefficients_by_pairs(df, focus, y, xs, pairs.Bandwidth(spec.size, spec.kernel, spec.adaptive, dense.metric_of(spec)))
+    else:
+        rows = local_fit(focus, points(df, y, xs), spec).select("fid", *spread_out(df, "beta", names_of(xs)), "ok")
     if not set(xs) <= set(focus.columns):
         return rows
     own = focus.select(F.col("fid").cast("long").alias("fid"), *(F.col(v).cast("double").alias(f"own_{v}") for v in xs))

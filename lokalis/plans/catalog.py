@@ -161,6 +161,11 @@ def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.gwr_predict(df, df.select("fid", "x", "y"), "dep", ["a"], LINE_SPEC).select("fid", F.col("Intercept").alias("beta0"), F.col("a").alias("beta1")), 4)
 
 
+def pair_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = points_of(spark, sf_dir, "lineitem")
+    return rounded(models.coefficients_by_pairs(df, df, "dep", ["a"], pairs.Bandwidth(30)).select("fid", F.col("Intercept").alias("beta0"), F.col("a").alias("beta1")), 4)
+
+
 def one_row(spark: SparkSession, values: dict) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame([{k: float(v) for k, v in values.items() if isinstance(v, (int, float))}]))
 
@@ -175,6 +180,7 @@ def multiscale(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 put("gwr_coefficients", coefficients, weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT fid, round(beta0,4) AS beta0, round(beta1,4) AS beta1 FROM e")
+put("gwr_coefficients_pair_plan", pair_coefficients, ORACLES["gwr_coefficients"])
 put("gwr_diagnostics", model(lambda df, s: rounded(one_row(s, models.gwr(df, "dep", ["a"], LINE_SPEC)[1]).select((F.col("rss") / 1000).alias("rss"), "tr_s", "tr_sts", "aicc"), 3)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(res*res)/1000,3) AS rss, round(sum(sii),3) AS tr_s, round(sum(ss),3) AS tr_sts, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(sii))/(count(*)-2-sum(sii)),3) AS aicc FROM e")
 put("gwr_cv_score", model(lambda df, s: rounded(one_row(s, {"cv": models.score(df, local.points(df, "dep", ["a"]), LINE_SPEC)}), 2)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(cv*cv),2) AS cv FROM e")
 put("ols", model(lambda df, s: (lambda o: rounded(s.createDataFrame([(float(o["beta"][0]), float(o["beta"][1]), float(o["r2"]))], "intercept double, slope double, r2 double"), 4))(models.ols(local.points(df, "dep", ["a"])))), f"SELECT round(regr_intercept(dep,a),4) AS intercept, round(regr_slope(dep,a),4) AS slope, round(regr_r2(dep,a),4) AS r2 FROM ({LINES})")

@@ -153,6 +153,16 @@ def test_rings_find_the_nearest(spark, monkeypatch):
         assert np.allclose(whole.to_numpy(float), ringed.to_numpy(float))
 
 
+def test_coefficients_beyond_the_dense_bound(grid, monkeypatch):
+    df, pdf = grid
+    for spec in (local.Spec(3.0), local.Spec(2.5, "bisquare"), local.Spec(12, "tricube", True)):
+        a = models.gwr_predict(df, df, "z", ["a", "b"], spec).toPandas().sort_values("fid")
+        with monkeypatch.context() as m:
+            m.setattr(models, "MOST_POINTS", 10)
+            b = models.gwr_predict(df, df, "z", ["a", "b"], spec).toPandas().sort_values("fid")
+        assert a.columns.tolist() == b.columns.tolist() and np.allclose(a.drop(columns="ok").to_numpy(float), b.drop(columns="ok").to_numpy(float))
+
+
 def test_robust_weights_follow_the_mean_squared_residual(grid):
     df, pdf = grid
     p, spec = local.points(df, "z", ["a"]), local.Spec(3.0)
