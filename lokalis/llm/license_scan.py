@@ -12,13 +12,14 @@ template's trigrams that the paragraph holds (of a template's words, if it has f
 
 A wrapped notice that is confirmed as a whole is one row (``n_lines`` over 1); otherwise its lines are rows by themselves.
 Texts that are null, empty or without words give no rows. Repeated rows give one row for each
-paragraph. Other columns are ignored.
+paragraph; different texts of one id are scanned apart. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -213,6 +214,8 @@ def fit(steps: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> LicenceMod
     return LicenceModel(features, [*families, ""], W, b, slope, offset)
 
 
+#: Words of a piece of a long paragraph, and those that it shares with the next one: more than any template has.
+LONGEST, OVERLAP = 2000, 200
 #: What comments put before a line.
 LEADER = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|\"\"\"|rem\s)\s*"
 
@@ -223,19 +226,21 @@ def line_words(line: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``doc_id, block, paragraph, n_lines, words``: runs of lines with a word of the vocabulary, as wholes and, where they have several lines, line by line; no shuffle and no group but a text's own."""
+    """``doc_id, text_key, block, paragraph, n_lines, words``: runs of lines with a word of the vocabulary, as wholes and, where they have several lines, line by line; no shuffle and no group but a text's own. Paragraphs of more than LONGEST words come in pieces that overlap."""
     marked = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(":"), line_words(x)))
     known = F.array(*map(F.lit, vocabulary))
     marked = F.transform(marked, lambda x: F.when(F.arrays_overlap(F.split(F.substring_index(x, ":", -1), " "), known), x).otherwise(F.lit("")))
     runs = F.filter(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda r: r != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(runs).alias("run"))
-    rows = rows.select("doc_id", F.filter(F.split("run", "\n"), lambda x: x != "").alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.explode(runs).alias("run"))
+    rows = rows.select("doc_id", "text_key", F.filter(F.split("run", "\n"), lambda x: x != "").alias("lines"))
     place = lambda x: F.substring_index(x, ":", 1).cast("int")
     text = lambda x: F.split(F.substring_index(x, ":", -1), " ")
     whole = F.struct(place(F.col("lines")[0]).alias("paragraph"), F.size("lines").alias("n_lines"), F.flatten(F.transform("lines", text)).alias("words"))
     single = F.transform("lines", lambda x: F.struct(place(x).alias("paragraph"), F.lit(1).alias("n_lines"), text(x).alias("words")))
     units = F.when(F.size("lines") > 1, F.concat(F.array(whole), single)).otherwise(single)
-    return rows.select("doc_id", place(F.col("lines")[0]).alias("block"), F.inline(units))
+    rows = rows.select("doc_id", "text_key", place(F.col("lines")[0]).alias("block"), F.inline(units))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - OVERLAP, F.lit(1)), F.lit(LONGEST - OVERLAP)), lambda i: F.slice("words", i, LONGEST))
+    return rows.withColumn("words", F.explode(F.when(F.size("words") > LONGEST, pieces).otherwise(F.array("words"))))
 
 
 def paragraph_grams(words: Column, sizes=GRAMS) -> Column:
@@ -265,7 +270,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     templates = spark.createDataFrame([(n, g, 1.0 / sizes[n]) for n, g in held], "template string, gram string, part double")
 
     # every feature of more than one word holds a single-word feature: a line without one scores as an empty line
-    key = ["doc_id", "block", "paragraph", "n_lines", "words"]
+    key = ["doc_id", "text_key", "block", "paragraph", "n_lines", "words"]
     units = paragraphs(docs, single).distinct()
     found = units.select(*key, F.explode(paragraph_grams(F.col("words"))).alias("gram"))
     total = found.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.names))))
@@ -279,12 +284,15 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     like = like.groupBy(*key).agg(F.max(F.struct("containment", "template")).alias("like"))
     like = like.select(*(F.col(k).alias(f"like_{k}") for k in key), "like")
     same = [F.col(k).eqNullSafe(F.col(f"like_{k}")) for k in key]
-    out = total.join(like, same[0] & same[1] & same[2] & same[3] & same[4], "left")
+    out = total.join(like, reduce(Column.__and__, same), "left")
     out = out.select(*key, "family", "probability", "licence_probability", F.col("like.template").alias("template"), F.coalesce("like.containment", F.lit(0.0)).alias("containment"))
     out = out.withColumn("family", F.when(F.col("containment") >= BORNE_OUT, F.col("family")).otherwise("unknown")).filter((F.col("licence_probability") >= LICENCE) | (F.col("family") != "unknown"))
     out = out.withColumn("confirmed", F.col("containment") >= CONFIRMED)
+    # of several pieces of a paragraph, the one that is most like a template stands for all
+    shown = ["confirmed", "containment", "probability", "licence_probability", "family", "template"]
+    out = out.groupBy("doc_id", "text_key", "block", "paragraph", "n_lines").agg(F.max(F.struct(*shown)).alias("o")).select("doc_id", "text_key", "block", "paragraph", "n_lines", "o.*")
     # of a run of several lines: the whole if only it is confirmed, or if no line of it is a notice by itself
-    run = Window.partitionBy("doc_id", "block")
+    run = Window.partitionBy("doc_id", "text_key", "block")
     line = F.col("n_lines") == 1
     by_line, whole = F.max((line & F.col("confirmed")).cast("int")).over(run) == 1, F.max((~line & F.col("confirmed")).cast("int")).over(run) == 1
     any_line = F.max(line.cast("int")).over(run) == 1
