@@ -365,6 +365,13 @@ def test_licences_wrapped_over_lines(spark):
     assert all(r["n_lines"] == list(WRAPPED.values())[r["doc_id"]].count("\n") + 1 and r["paragraph"] == 2 for r in got)
 
 
+def test_licences_in_very_long_lines(spark):
+    notice = license_scan.MIT_GRANT
+    rows = [(1, prose(30_000, 1) + " " + notice + " " + prose(9_000, 2)), (2, prose(1_950, 3) + " " + notice), (3, prose(50_000, 4)), (4, notice), (4, "All rights reserved.")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["family"], r["confirmed"], r["paragraph"]) for r in got) == [(1, "MIT", True, 0), (2, "MIT", True, 0), (4, "MIT", True, 0), (4, "Proprietary", True, 0)]
+
+
 def brute_scan(rows, model):
     """The same rules in plain Python."""
     import re
