@@ -365,14 +365,22 @@ def deviance(family: str, y: np.ndarray, mu: np.ndarray) -> float:
     return float((-2 * np.log(np.maximum(np.abs(y - 1 + mu), 1e-300))).sum())
 
 
-def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: str = "poisson", tol: float = 1e-5, most: int = 20, select_bw: bool = False) -> tuple[DataFrame, dict]:
+def generalized_cv(df: DataFrame, p: Points, spec: Spec, family: str = "poisson", tol: float = 1e-5, most: int = 20) -> float:
+    """Squared errors of the means predicted without the point itself."""
+    _, mu, _ = generalized_fit(df, p, spec, family, tol, most, leave=True)
+    out = float(((p.y - mu) ** 2).sum())
+    return out if math.isfinite(out) else math.inf
+
+
+def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: str = "poisson", tol: float = 1e-5, most: int = 20, select_bw: str | None = None) -> tuple[DataFrame, dict]:
     """Local Poisson or binomial regression: every iteration is one pass of weighted local fits, the first with even working weights.
 
-    Rows have coefficients, y, yhat, residual, SE and t values; diagnostics the deviance with AIC, AICc and pseudo R2. ``select_bw`` takes the bandwidth of the least AICc.
+    Rows have coefficients, y, yhat, residual, SE and t values; diagnostics the deviance with AIC, AICc and pseudo R2. ``select_bw`` takes the bandwidth of the least AICc or CV.
     """
     p = points(df, y, xs)
     if select_bw:
-        spec = with_size(spec, select_bandwidth(df, p, spec, by=lambda s: generalized_fit(df, p, s, family, tol, most)[2]["aicc"])[0])
+        by = {"AICc": lambda s: generalized_fit(df, p, s, family, tol, most)[2]["aicc"], "CV": lambda s: generalized_cv(df, p, s, family, tol, most)}[select_bw]
+        spec = with_size(spec, select_bandwidth(df, p, spec, by=by)[0])
     f, mu, diag = generalized_fit(df, p, spec, family, tol, most)
     beta, se = np.stack(f.beta), np.sqrt(np.stack(f.raw))
     names = names_of(xs)
@@ -380,13 +388,13 @@ def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: st
     return df.sparkSession.createDataFrame(out), diag | {"bandwidth": spec.size}
 
 
-def generalized_fit(df: DataFrame, p: Points, spec: Spec, family: str, tol: float, most: int) -> tuple[pd.DataFrame, np.ndarray, dict]:
-    """The last local fits, the means, and diagnostics."""
+def generalized_fit(df: DataFrame, p: Points, spec: Spec, family: str, tol: float, most: int, leave: bool = False) -> tuple[pd.DataFrame, np.ndarray, dict]:
+    """The last local fits, the means, and diagnostics. ``leave``: each point is left out of its own fits, so that the means are predictions."""
     nu, last, v = None, 0.0, np.ones(len(p.y))
     for _ in range(most):
         _, z, working = family_step(family, p.y, nu)
         f = fitted(df, Points(p.fid, p.xy, p.X, z), spec, v, noise=1 / v)
-        nu = (np.stack(f.beta) * p.X).sum(1)
+        nu = z - f.cv.to_numpy() if leave else (np.stack(f.beta) * p.X).sum(1)
         mu, _, working = family_step(family, p.y, nu)
         ll = log_likelihood(family, p.y, mu)
         if not math.isfinite(ll) or abs((last - ll) / ll) < tol:
@@ -423,6 +431,31 @@ def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
     return df.sparkSession.createDataFrame(pd.DataFrame(out))
 
 
+def gtdr_cv(df: DataFrame, p: Points, specs: list[Spec]) -> float:
+    rows = over_foci(foci(p, df), (p, specs, None), product_block, FIT, len(p.fid))
+    v = rows.agg(F.sum(F.col("cv") * F.col("cv"))).first()[0]
+    free(rows)
+    return float(v) if v is not None and math.isfinite(v) else math.inf
+
+
+def gtdr_bandwidths(df: DataFrame, y: str, xs: list[str], specs: list[Spec], rounds: int = 5, limits: list[tuple[float, float]] | None = None) -> tuple[list[Spec], float]:
+    """Bandwidths of the least leave-one-out error, searched one variable after the other until a round changes none."""
+    p, specs = points(df, y, xs), list(specs)
+    best = gtdr_cv(df, p, specs)
+    for _ in range(rounds):
+        before = best
+        for k, s in enumerate(specs):
+            v = p.X[:, k + 1]
+            low, high = limits[k] if limits else (20.0, float(len(p.fid))) if s.adaptive else (0.0, float(v.max() - v.min()))
+            tried = golden(lambda b: gtdr_cv(df, p, [with_size(x, b) if j == k else x for j, x in enumerate(specs)]), low, high, s.adaptive)  # noqa: B023
+            at = dict(tried[1])[tried[0]]
+            if at < best:
+                best, specs[k] = at, with_size(s, tried[0])
+        if best >= before:
+            break
+    return specs, best
+
+
 def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = (), hat: bool = False) -> tuple[DataFrame, dict]:
     """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds (dense, MOST_DENSE points at most) and gives SE, t values and diagnostics."""
     xs = [v for v in specs if v != "Intercept"]

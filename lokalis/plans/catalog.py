@@ -335,6 +335,14 @@ def generalized_diagnostics(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 POISSON_DEVIANCE = "sum(CASE WHEN yy <> 0 THEN 2*(yy*(ln(yy/{0})-1)+{0}) ELSE 2*{0} END)"
 put("gwr_poisson_diagnostics", model(generalized_diagnostics), after(weighted_sql("gaussian", 30, LINES), [*model_sql.generalized("w", ONE, "n", "p", "poisson", 20, 1e-5), f"dv AS (SELECT sum(yy*ln(mu)-mu-lgamma(yy+1)) AS ll, {POISSON_DEVIANCE.format('mu')} AS dev, {POISSON_DEVIANCE.format('my')} AS nul FROM gl CROSS JOIN (SELECT avg(n) AS my FROM p))"], "SELECT round(ll,4) AS log_likelihood, round(dev,4) AS deviance, round(nul,4) AS null_deviance, round(1-dev/nul,6) AS pseudo_r2 FROM dv"))
+
+
+def poisson_scores(df: DataFrame, spark: SparkSession) -> DataFrame:
+    p = local.points(df, "n", ["a"])
+    return spark.createDataFrame([(float(b), round(models.generalized_cv(df, p, local.Spec(b)), 3)) for b in (20, 30, 45)], "bandwidth double, cv double")
+
+
+put("gwr_poisson_scores", model(poisson_scores), " UNION ALL ".join(f"SELECT {b}.0::DOUBLE AS bandwidth, * FROM ({after(weighted_sql('gaussian', b, LINES), ['wl AS MATERIALIZED (SELECT * FROM w WHERE fid <> d_fid)', *model_sql.generalized('wl', ONE, 'n', 'p', 'poisson', 20, 1e-5)], 'SELECT round(sum(pow(yy-mu,2)),3) AS cv FROM gl')})" for b in (20, 30, 45)))
 TESTS_SQL = [
     *model_sql.fit("w", ONE, "dep", "o"),
     "tt AS MATERIALIZED (SELECT fid, d_fid, CASE WHEN fid=d_fid THEN 1.0 ELSE 0.0 END - w*(g0+g1*a) AS t, w*(a0_2+a0_3*a) AS c0, w*(a1_2+a1_3*a) AS c1, dep FROM w JOIN o USING (fid))",

@@ -271,6 +271,17 @@ def test_multiscale_hat_matrix_gives_the_fit(grid):
     assert math.isclose(whole["tr_s"], 2, abs_tol=1e-4)
 
 
+def test_density_bandwidths_lower_the_error(grid):
+    df, _ = grid
+    p = local.points(df, "z", ["a", "b"])
+    start = [local.Spec(0.4), local.Spec(0.4)]
+    found, cv = models.gtdr_bandwidths(df, "z", ["a", "b"], start, rounds=2, limits=[(0.3, 4.0), (0.3, 4.0)])
+    assert cv < models.gtdr_cv(df, p, start) and math.isclose(cv, models.gtdr_cv(df, p, found))
+    W = np.exp(-((p.X[:, None, 1] - p.X[None, :, 1]) ** 2) / 2 / 0.16) * np.exp(-((p.X[:, None, 2] - p.X[None, :, 2]) ** 2) / 2 / 0.16)
+    loo = [p.y[i] - p.X[i] @ np.linalg.solve((p.X * w[:, None]).T @ p.X, (p.X * w[:, None]).T @ p.y) for i, w in enumerate(W * (1 - np.eye(25)))]
+    assert math.isclose(models.gtdr_cv(df, p, start), np.square(loo).sum(), rel_tol=1e-6)
+
+
 def test_scalable_bandwidth_is_of_all_points(spark):
     r = np.random.default_rng(3)
     pdf = pd.DataFrame({"fid": range(2600), "x": np.r_[r.uniform(0, 1, 1250), r.uniform(0, 90, 1350)], "y": r.uniform(0, 1, 2600), "a": r.normal(size=2600)})
