@@ -35,14 +35,25 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def file_count(rows: DataFrame, mb: int = 32) -> int:
-    """In how many files to write tables made of these rows: one for each ``mb`` MB that their sources take, 8 at least. Each file costs its writer some processes (permissions are set by a shell). Small tables take the default, what is made in heavy tasks 8."""
-    return min(max(8, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (mb << 20)), 1 << 30)
+    """In how many files to write tables made of these rows: one for each ``mb`` MB that their sources take, 8 at least. Each file costs its writer some processes (permissions are set by a shell). What heavy tasks make without a shuffle behind them takes 8."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known
+        return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, size // (mb << 20))
 
 
-def saved(df: DataFrame, files: int | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors. ``files``: at most so many, where there would be more small ones."""
+#: How work tables are written: no success markers, and no checksum files beside local files.
+PLAIN = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def saved(df: DataFrame, files: int | None = None, spread: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    ``files``: at most so many, where there would be more small ones; with ``spread`` the rows, few beside what they are made of, are shuffled for that, so that the tasks that make them stay as many.
+    """
     spark, path = df.sparkSession, work_dir(df.sparkSession)
-    (df.coalesce(files) if files else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    rows = df if not files else df.repartition(files) if spread else df.coalesce(files)
+    rows.write.options(**PLAIN).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

@@ -366,7 +366,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, files: int) -
 
     shingled = text.select("text", "set_key", *passed).mapInArrow(sets, "node bigint, n_texts bigint, root bigint, cls int, sub int, single boolean, shingles binary")
     block = ["root", "cls", "sub"]
-    packed = saved(shingled.repartition(*block).sortWithinPartitions(*block).mapInArrow(own_links, PACKED), file_count(docs, 8))
+    packed = saved(shingled.repartition(*block).sortWithinPartitions(*block).mapInArrow(own_links, PACKED), files, spread=True)
     several = packed.filter("sets is not null")
     left = several.join(pairs.select("root", F.col("c1").alias("cls"), F.col("s1").alias("sub"), "c2", "s2"), block)
     right = several.select(*(F.col(c).alias(f"to_{c}") for c in NAMES))
@@ -402,7 +402,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     discard(classes, edges, groups, links)
     out = sketch.select("doc_id", "set_key").join(known, F.col("set_key") == F.col("key"), "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.coalesce(file_count(docs, 8))
+    return out.repartition(files)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

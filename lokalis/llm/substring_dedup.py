@@ -434,13 +434,13 @@ def suffix_sort(units: DataFrame, found: DataFrame, gram: int, files: int) -> Da
     cut = rows.mapInArrow(runs, "slice int, part bigint, lcp binary, size binary, n_raw bigint, rests binary, rid binary, pos binary")
     # pieces of known repeats go anywhere; a slice's pieces go to one task
     home = F.when(F.col("slice") < 0, F.xxhash64("rid")).otherwise(F.xxhash64("slice", "part"))
-    return saved(cut.repartition(home).sortWithinPartitions("slice", "part").mapInArrow(merge, TOLD), files)
+    return saved(cut.repartition(home).sortWithinPartitions("slice", "part").mapInArrow(merge, TOLD), files, spread=True)
 
 
 def repeated(docs: DataFrame) -> list[DataFrame]:
     """``rid, pos``: all ranges of suffixes that repeat, of the bodies of ``docs``; a written table of each sort."""
     units = bodies(docs).select(F.col("rid").alias("uid"), "rid", F.lit(0).cast("long").alias("lo"), "body").filter(F.octet_length("body") >= LENGTH)
-    files = file_count(docs, 8)
+    files = file_count(docs)
     out = []
     for gram in GRAMS:
         found = candidates(units, gram, files)
@@ -461,7 +461,7 @@ def removed(docs: DataFrame, covered: DataFrame, step: Callable, schema: str) ->
         for batch in slices(batches, "body"):
             yield step(batch, [byte_spans(at) for at in batch.column("at").to_pylist()])
 
-    return docs.join(spans, "rid", "left").mapInArrow(run, schema).coalesce(file_count(docs, 8))
+    return docs.join(spans, "rid", "left").mapInArrow(run, schema)
 
 
 def whole(parts: list[DataFrame]) -> DataFrame:
@@ -506,7 +506,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
         sha = [hashlib.sha256(kept_bytes(b, s)).hexdigest() for b, s in zip(all_bodies, spans)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(bodies(docs), whole(repeated(docs)), step, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = removed(bodies(docs), whole(repeated(docs)), step, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return out.repartition(file_count(docs))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -523,4 +524,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = removed(rows, whole(repeated(docs)), step, "doc_id bigint, text string" + (f", {kinds}" if kinds else ""))
     back = dict(zip(others, names)) | {"doc_id": "doc_id", "text": "text"}
-    return out.select(*(F.col(back[c]).alias(c) for c in docs.columns))
+    return out.select(*(F.col(back[c]).alias(c) for c in docs.columns)).coalesce(file_count(docs, 8))
