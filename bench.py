@@ -10,7 +10,7 @@ from lokalis.plans import catalog
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["gw_mean_gaussian_fixed", "gw_mean_bisquare_fixed", "grid_range_join", "gw_average", "gw_correlation", "gw_quantiles", "gwr_coefficients", "gwr_basic", "gwpca", "gtwr", "z_scores", "filter_expression"]
+HEADLINE = ["gw_mean_gaussian_fixed", "gw_mean_bisquare_fixed", "gw_mean_orders", "nearest_by_rings", "grid_range_join", "gw_average", "gw_correlation", "gw_quantiles", "gwr_coefficients", "gwr_basic", "gwpca", "gtwr", "z_scores", "filter_expression"]
 
 
 def main() -> None:

@@ -20,6 +20,9 @@ from lokalis.functions import kernels
 from lokalis.operators import pairs, summary
 from lokalis.operators.local import Points, Spec, blocks, distances, over_foci, weigh
 
+#: Pairs of a strip: few enough to stay in a core's cache.
+STRIP_PAIRS = 200_000
+
 
 def small(data: DataFrame) -> bool:
     return data.count() <= pairs.BROADCAST_POINTS
@@ -42,7 +45,8 @@ def strips(pdf: pd.DataFrame, p: Points, spec: Spec) -> Iterator[tuple[np.ndarra
     pdf = pdf.sort_values("x", kind="stable")
     fid, xy = pdf.fid.to_numpy(np.int64), pdf[["x", "y"]].to_numpy(float)
     compact = not spec.adaptive and spec.kernel in kernels.COMPACT and spec.metric in ("euclidean", "manhattan", "chebyshev") and not spec.theta
-    for s in blocks(len(fid), max(1, len(p.fid) // 8) if compact else len(p.fid)):
+    step = max(1, (8 if compact else 1) * STRIP_PAIRS // max(1, len(p.fid)))
+    for s in (slice(lo, min(lo + step, len(fid))) for lo in range(0, len(fid), step)):
         near = slice(np.searchsorted(p.xy[:, 0], xy[s, 0].min() - spec.size), np.searchsorted(p.xy[:, 0], xy[s, 0].max() + spec.size, "right")) if compact else slice(0, len(p.fid))
         if near.start < near.stop:
             yield fid[s], near, weigh(spec, distances(spec, xy[s], p.xy[near]))

@@ -20,7 +20,7 @@ from lokalis.functions import kernels
 
 MOST_POINTS = 200_000
 #: Focus-point pairs that a task works on at once.
-BLOCK_PAIRS = 4_000_000
+BLOCK_PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)

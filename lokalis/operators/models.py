@@ -463,7 +463,7 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
     for v in centre:
         p.X[:, 1 + xs.index(v)] -= p.X[:, 1 + xs.index(v)].mean()
     own = [specs.get(n, next(iter(specs.values()))) for n in names_of(xs)]
-    small = len(p.y) ** 2 <= BLOCK_PAIRS  # one block: fitted here, alike, without a job for each of many fits
+    small = len(p.y) ** 2 <= 4 * BLOCK_PAIRS  # one block: fitted here, alike, without a job for each of many fits
 
     def fit(q: Points, spec: Spec) -> pd.DataFrame:
         return fit_block(pd.DataFrame({"fid": q.fid, "x": q.xy[:, 0], "y": q.xy[:, 1]}), (spec, q, None, None)) if small else fitted(df, q, spec)

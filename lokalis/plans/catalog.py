@@ -27,10 +27,12 @@ D2 = "((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))"
 
 def points_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    key = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_suppkey"}[table]
+    key = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_suppkey", "orders": "o_orderkey"}[table]
     if table == "lineitem":
         df = df.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("dep"), F.avg("l_quantity").alias("a"), F.avg("l_discount").alias("b"), F.count("*").cast("double").alias("n"))
         values = ["dep", "a", "b", "n"]
+    elif table == "orders":
+        values = [F.col("o_totalprice").alias("v")]
     elif table == "part":
         values = [F.col("p_retailprice").alias("dep"), F.col("p_size").cast("double").alias("a")]
     else:
@@ -60,17 +62,34 @@ def weighted_sql(kernel: str, size: float, points: str, adaptive: bool = False)
     return f"WITH {p}, " + (b if adaptive else f"w AS (SELECT *, {w} AS w FROM (SELECT *, CAST({float(size)} AS DOUBLE) AS bw FROM pq))")
 
 
+MEAN_SQL = " SELECT fid, round(sum(w*v)/sum(w) + 1e-9, 6) AS lm FROM w GROUP BY fid"
+
+
+def off_ties(c: str):
+    """Rounded to 6 digits; means of cents lie on ties, which the order of summation would round either way."""
+    return F.round(F.col(c) + 1e-9, 6)
+
+
 def gw_mean(kernel: str, size: float, adaptive: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = points_of(spark, sf_dir, "customer")
-        return rounded(dense.means(p, p, ["v"], local.Spec(size, kernel, adaptive)).withColumnRenamed("v_LM", "lm"))
+        return dense.means(p, p, ["v"], local.Spec(size, kernel, adaptive)).select("fid", off_ties("v_LM").alias("lm"))
 
     return run
 
 
 for _kernel in kernels.NAMES:
-    put(f"gw_mean_{_kernel}_fixed", gw_mean(_kernel, 15, False), weighted_sql(_kernel, 15, CUSTOMERS) + " SELECT fid, round(sum(w*v)/sum(w), 6) AS lm FROM w GROUP BY fid")
-    put(f"gw_mean_{_kernel}_adaptive", gw_mean(_kernel, 60, True), weighted_sql(_kernel, 60, CUSTOMERS, True) + " SELECT fid, round(sum(w*v)/sum(w), 6) AS lm FROM w GROUP BY fid")
+    put(f"gw_mean_{_kernel}_fixed", gw_mean(_kernel, 15, False), weighted_sql(_kernel, 15, CUSTOMERS) + MEAN_SQL)
+    put(f"gw_mean_{_kernel}_adaptive", gw_mean(_kernel, 60, True), weighted_sql(_kernel, 60, CUSTOMERS, True) + MEAN_SQL)
+
+
+def order_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest table of points: compact weights, so that a block of foci sees a strip of the points."""
+    p = points_of(spark, sf_dir, "orders")
+    return rounded(dense.means(p, p, ["v"], local.Spec(3, "bisquare")), 4)
+
+
+put("gw_mean_orders", order_means, "WITH p AS (SELECT o_orderkey AS fid, CAST((o_orderkey*37)%101 AS DOUBLE) AS x, CAST((o_orderkey*53)%97 AS DOUBLE) AS y, o_totalprice AS v FROM orders), g AS (SELECT x, y, count(*) AS n, sum(v) AS s FROM p GROUP BY x, y), w AS (SELECT f.x, f.y, sum(n*pow(1-((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))/9.0,2)) AS sw, sum(s*pow(1-((f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y))/9.0,2)) AS sv FROM (SELECT DISTINCT x, y FROM p) f JOIN g d ON (f.x-d.x)*(f.x-d.x)+(f.y-d.y)*(f.y-d.y) <= 9.0 GROUP BY f.x, f.y) SELECT fid, round(sv/sw,4) AS \"v_LM\" FROM p JOIN w USING (x, y)")
 
 
 def pair_mean(kernel: str, size: float, adaptive: bool):
@@ -79,13 +98,13 @@ def pair_mean(kernel: str, size: float, adaptive: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = points_of(spark, sf_dir, "supplier")
         w = pairs.weighted(p.select("fid", "x", "y"), p, pairs.Bandwidth(size, kernel, adaptive))
-        return rounded(w.groupBy("fid").agg((F.sum(F.col("w") * F.col("d_v")) / F.sum("w")).alias("lm")))
+        return w.groupBy("fid").agg((F.sum(F.col("w") * F.col("d_v")) / F.sum("w")).alias("m")).select("fid", off_ties("m").alias("lm"))
 
     return run
 
 
 for _kernel, _size, _adaptive in (("gaussian", 15, False), ("bisquare", 15, False), ("tricube", 20, True)):
-    put(f"gw_mean_pair_plan_{_kernel}", pair_mean(_kernel, _size, _adaptive), weighted_sql(_kernel, _size, SUPPLIERS, _adaptive) + " SELECT fid, round(sum(w*v)/sum(w), 6) AS lm FROM w GROUP BY fid")
+    put(f"gw_mean_pair_plan_{_kernel}", pair_mean(_kernel, _size, _adaptive), weighted_sql(_kernel, _size, SUPPLIERS, _adaptive) + MEAN_SQL)
 
 
 def distance_query(metric: dist.Distance, lonlat: bool = False):
