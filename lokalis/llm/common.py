@@ -7,6 +7,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,9 +69,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let go of finished shuffles' files now: Spark deletes them when the driver's collector finds them unused."""
+    """Let go of finished shuffles' files before new ones are written: Spark's cleaner deletes them, beside the driver, once the driver's collector finds them unused."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def bounded_batches(spark: SparkSession) -> None:
