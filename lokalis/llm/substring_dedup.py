@@ -360,15 +360,31 @@ def pieces(run: list[tuple[bytes, int, int]], limits: list[bytes], parts: int) -
     return out
 
 
+#: An open range with its text, or many repeated ranges packed in one row, without rid and pos.
 TOLD = "kind tinyint, rid bigint, pos bigint, text binary"
 
 
-def told_batch(kind: list[int], rid, pos, text: list[bytes | None]) -> pa.RecordBatch:
+def told_batch(kind: list[int], rid: list, pos: list, text: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(rid, pa.int64()), pa.array(pos, pa.int64()), pa.array(text, pa.binary())], ["kind", "rid", "pos", "text"])
 
 
+def covered_batch(rid: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Repeated ranges as one row: ids and places in order, the places as steps from one to the next, compressed."""
+    order = np.lexsort((pos, rid))
+    raw = rid[order].tobytes() + np.diff(pos[order], prepend=0).tobytes()
+    return told_batch([COVERED], [None], [None], [len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)])
+
+
+def covered_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed_rows in batch.column("text").to_pylist():
+            raw = np.frombuffer(pa.decompress(packed_rows[8:], int.from_bytes(packed_rows[:8], "little"), "zstd", asbytes=True), np.int64)
+            n = len(raw) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(raw[:n]), pa.array(np.cumsum(raw[n:]))], ["rid", "pos"])
+
+
 def suffix_sort(units: DataFrame, found: DataFrame, gram: int, files: int) -> DataFrame:
-    """``kind, rid, pos, text`` of the candidates ``found`` of ``units``, by runs, exchange and merge: repeats, and what stays open with its text; written."""
+    """TOLD rows of the candidates ``found`` of ``units``, by runs, exchange and merge: repeats, and what stays open with its text; written."""
     total = found.count()
     n = max(1, min(MOST_LIMITS, -(-total // SLICE)))
     parts = max(1, -(-total // (SLICE * n)))
@@ -408,8 +424,7 @@ def suffix_sort(units: DataFrame, found: DataFrame, gram: int, files: int) -> Da
         for batch in batches:
             for *at, lcp, size, n_raw, rests, rid, pos in zip(*(batch.column(c).to_pylist() for c in PIECE)):
                 if at[0] < 0:
-                    r, p = np.frombuffer(rid, np.int64), np.frombuffer(pos, np.int64)
-                    yield told_batch([COVERED] * len(r), r, p, [None] * len(r))
+                    yield covered_batch(np.frombuffer(rid, np.int64), np.frombuffer(pos, np.int64))
                     continue
                 if held and at != where:
                     yield from merged(held)
@@ -420,15 +435,20 @@ def suffix_sort(units: DataFrame, found: DataFrame, gram: int, files: int) -> Da
             yield from merged(held)
 
     def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for x in told(iter(LoserTree([decoded(*p) for p in held])), gram):
-            if x[0] == COVERED or gram < LENGTH:  # whole suffixes leave nothing open
-                out.append(x if x[0] == COVERED else (*x[:3], range_text(x[3])))
-            if len(out) >= 10_000:
-                yield told_batch(*zip(*out))
-                out = []
-        if out:
-            yield told_batch(*zip(*out))
+        covered: list[tuple[int, int]] = []
+        opened: list[tuple] = []
+        for kind, rid, pos, s in told(iter(LoserTree([decoded(*p) for p in held])), gram):
+            if kind == COVERED:
+                covered.append((rid, pos))
+            elif gram < LENGTH:  # whole suffixes leave nothing open
+                opened.append((OPEN, rid, pos, range_text(s)))
+            if len(opened) >= 10_000:
+                yield told_batch(*zip(*opened))
+                opened = []
+        if opened:
+            yield told_batch(*zip(*opened))
+        if covered:
+            yield covered_batch(*(np.array(c, np.int64) for c in zip(*covered)))
 
     rows = units.join(found.groupBy("uid").agg(F.collect_set("pos").alias("at")), "uid")  # bounded by the unit's length
     cut = rows.mapInArrow(runs, "slice int, part bigint, lcp binary, size binary, n_raw bigint, rests binary, rid binary, pos binary")
@@ -448,7 +468,7 @@ def repeated(docs: DataFrame) -> list[DataFrame]:
         done = suffix_sort(units, found, gram, files)
         discard(found)
         drop_shuffles(docs.sparkSession)
-        out.append(done.filter(f"kind = {COVERED}").select("rid", "pos"))
+        out.append(done.filter(f"kind = {COVERED}").select("text").mapInArrow(covered_ranges, "rid bigint, pos bigint"))
         lo = F.shiftright("pos", 16)
         units = done.filter(f"kind = {OPEN}").select(F.xxhash64("rid", "pos").alias("uid"), "rid", lo.alias("lo"), F.col("text").alias("body"))
     return out
