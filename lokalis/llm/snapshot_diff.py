@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import discard, saved
 
 EARLIER, LATER = 0, 1
+#: Sort keys that each partition of a sort by ranges gives to the driver for the ranges' limits, about three times over.
+SAMPLED = 40
 
 
 def counted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +41,7 @@ def counted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def ranked(rows: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``rank`` of each row, from 1 by ``order``, among those of its ``gid`` (a string, never null) and ``side``; also the saved table it reads.
+    """``rank`` of each row, from 1 by ``order``, among those of its ``gid`` (binary, never null) and ``side``; also the saved table it reads.
 
     Sort keys end with ``salt``, so even equal rows are dealt over several partitions. Each partition numbers its own
     rows. A group that a partition begins with may have rows in partitions before: these are counted by partition,
@@ -50,11 +52,17 @@ def ranked(rows: DataFrame, order: list[str], partitions: int | None = None) ->
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["gid", "side", *order, "salt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", run bigint, part int, at bigint"
-    local = saved(rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(counted_runs, schema))
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(SAMPLED))
+    try:
+        local = saved(rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(counted_runs, schema))
+    finally:
+        spark.conf.set(setting, before)
     cut = local.filter("at = 0").select("gid", "side").distinct()
     counts = local.join(F.broadcast(cut), ["gid", "side"]).groupBy("gid", "side", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("gid", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    carried = counts.withColumn("before", before).filter("before > 0").drop("n")
+    earlier = F.sum("n").over(Window.partitionBy("gid", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = counts.withColumn("before", earlier).filter("before > 0").drop("n")
     out = local.join(F.broadcast(carried), ["gid", "side", "part"], "left")
     return out.withColumn("rank", F.col("run") + F.coalesce("before", F.lit(0))).drop("run", "part", "at", "before"), local
 
@@ -71,8 +79,8 @@ def digest(c: Column) -> Column:
 
 
 def row_digest(columns: list[str]) -> Column:
-    """SHA-256 of a row's columns, joined by line feeds, null as ``~``."""
-    return F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns)), 256)
+    """SHA-256 of a row's columns, joined by line feeds, null as ``~``; 32 bytes."""
+    return F.unhex(F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns)), 256))
 
 
 def difference(earlier: DataFrame, later: DataFrame, key: str, content: str, columns: list[str]) -> DataFrame:
@@ -93,19 +101,19 @@ def difference(earlier: DataFrame, later: DataFrame, key: str, content: str, col
         return df.select(F.col(f"`{key}`").cast("long").alias("key"), *cols, row_digest(columns).alias("sha"), F.lit(side).alias("side"), F.monotonically_increasing_id().alias("salt"))
 
     rows = saved(narrow(earlier, EARLIER).union(narrow(later, LATER)))
-    by_key, kept = ranked(rows.withColumn("gid", F.coalesce(F.col("key").cast("string"), F.lit(""))), ["sha"])
+    by_key, kept = ranked(rows.withColumn("gid", F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), ["sha"])
     first = saved(matched(by_key, [*payload, "salt"]))
     discard(rows, kept)
     same = {c: F.col(f"old.{v}").eqNullSafe(F.col(f"new.{v}")) for c, v in zip(columns, values)}
     changed = F.concat_ws(",", *(F.when(~s, F.lit(c)) for c, s in same.items()))
     head = [F.col("new.key").alias("key"), F.col("old.key").alias("old_key")]
-    pairs = first.filter("old is not null and new is not null").select(*head, F.when(changed == "", "same").otherwise("update").alias("op"), changed.alias("changed"), F.col("new.sha").alias("row_sha256"))
+    pairs = first.filter("old is not null and new is not null").select(*head, F.when(changed == "", "same").otherwise("update").alias("op"), changed.alias("changed"), F.lower(F.hex("new.sha")).alias("row_sha256"))
     alone = first.filter("old is null or new is null").select(F.coalesce("new", "old").alias("r"), F.when(F.col("new").isNull(), EARLIER).otherwise(LATER).alias("side")).select("r.*", "side")
     inner = values[columns.index(content)]
-    by_content, _ = ranked(alone.withColumn("gid", F.coalesce(F.hex(inner), F.lit(""))), ["key"])
+    by_content, _ = ranked(alone.withColumn("gid", F.coalesce(inner, F.lit(b""))), ["key"])
     second = matched(by_content, payload)
     op = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("rekey")
-    rest = second.select(F.when(F.col("new").isNotNull(), F.col("new.key")).otherwise(F.col("old.key")).alias("key"), F.col("old.key").alias("old_key"), op.alias("op"), F.when(op == "rekey", changed).otherwise("").alias("changed"), F.col("new.sha").alias("row_sha256"))
+    rest = second.select(F.when(F.col("new").isNotNull(), F.col("new.key")).otherwise(F.col("old.key")).alias("key"), F.col("old.key").alias("old_key"), op.alias("op"), F.when(op == "rekey", changed).otherwise("").alias("changed"), F.lower(F.hex("new.sha")).alias("row_sha256"))
     return pairs.unionByName(rest)
 
 
