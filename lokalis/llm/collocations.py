@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, saved, slices, worker_memory
 
 #: Words of a shard, about; a piece is never cut.
-SHARD = 400_000
+SHARD = 1_500_000
+#: Words that are coded at once.
+CODED = 50_000
 #: A bitmap with a bit in so many positions is packed.
 PACKED = 32
 #: Sparse positions that are extended at once.
@@ -28,7 +30,7 @@ BLOCK = 200_000
 #: What ends a piece, and the byte that stands for it (no text in UTF-8 has it).
 ENDS, END = b".,;:!?\n\x0b\x0c\r", 0xFF
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + bytes([END]) * len(ENDS) + b" ")
-SCHEMA = "lang string, phrase string, k int, f bigint"
+SCHEMA = "lang string, phrase string, f bigint"
 
 
 @dataclass
@@ -61,7 +63,7 @@ class Shard:
 
     def __init__(self, word: np.ndarray, words: int):
         self.word, self.length = word, len(word)
-        order = np.argsort(word, kind="stable")
+        order = np.argsort(word, kind="stable").astype(np.int32)
         order = order[np.searchsorted(word[order], 0) :]
         self.counts = np.bincount(word[order], minlength=words)
         dense = np.flatnonzero(self.counts * PACKED >= max(self.length, 1))
@@ -104,7 +106,7 @@ class Shard:
         """Popcounts of what stands at positions behind phrases, and then what extends these. A phrase may come in several blocks."""
         if not len(at):
             return
-        key = owner * np.int64(len(self.counts)) + self.word[at]
+        key = owner.astype(np.int64) * len(self.counts) + self.word[at]
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -133,50 +135,70 @@ def words_of(text: bytes, most: int) -> Iterator[list[bytes]]:
         start = end
 
 
-def phrase_rows(lang: str, tokens: list[bytes], longest: int) -> Iterator[pa.RecordBatch]:
-    """SCHEMA rows of a shard; ``k`` 0 has the number of all words."""
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    names = coded.dictionary
-    word = coded.indices.to_numpy().astype(np.int64)
-    gap = names.index(pa.scalar(bytes([END]), pa.binary())).as_py()
-    if gap >= 0:
-        word = np.where(word == gap, -1, word)
-    strings = np.array([b"" if k == gap else x for k, x in enumerate(names.to_pylist())], object)
-    shard = Shard(word, len(names))
-    total = int(shard.counts.sum())
-    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([total], pa.int64())], ["lang", "phrase", "k", "f"])
-    blank = np.array([b" "], object)
-    for ids, n in shard.found(longest):
-        for lo in range(0, len(n), 50_000):
-            part = ids[lo : lo + 50_000]
-            joined = strings[part[:, 0]]
-            for c in range(1, part.shape[1]):
-                joined = joined + blank + strings[part[:, c]]
-            phrases = pa.array(joined, pa.binary()).cast(pa.string())
-            size = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), phrases, pa.array(np.full(size, part.shape[1], np.int32)), pa.array(n[lo : lo + size].astype(np.int64))], ["lang", "phrase", "k", "f"])
+class Words:
+    """A shard's words as numbers, -1 between pieces."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.coded: list[np.ndarray] = []
+        self.open: list[bytes] = []
+        self.n = 0
+
+    def add(self, words: list[bytes]) -> None:
+        self.open += [w for w in words if w]
+        self.open.append(bytes([END]))
+        if len(self.open) >= CODED:
+            self.code()
+
+    def code(self) -> None:
+        if self.open:
+            part = pa.array(self.open, pa.binary()).dictionary_encode()
+            own = [-1 if w[0] == END else self.known.setdefault(w, len(self.known)) for w in part.dictionary.to_pylist()]
+            self.coded.append(np.array(own, np.int32)[part.indices.to_numpy()])
+            self.n += len(self.open)
+            self.open = []
+
+    def rows(self, lang: str, longest: int) -> Iterator[pa.RecordBatch]:
+        """SCHEMA rows of the shard; the empty phrase has the number of all words."""
+        self.code()
+        word = np.concatenate(self.coded or [np.zeros(0, np.int32)])
+        strings = np.array([*self.known, b""], object)[:-1]
+        self.known, self.coded = {}, []
+        shard = Shard(word, len(strings))
+        yield batch_of(lang, pa.array([""]), np.array([shard.counts.sum()]))
+        blank = np.array([b" "], object)
+        for ids, n in shard.found(longest):
+            for lo in range(0, len(n), CODED):
+                part = ids[lo : lo + CODED]
+                joined = strings[part[:, 0]]
+                for c in range(1, part.shape[1]):
+                    joined = joined + blank + strings[part[:, c]]
+                yield batch_of(lang, pa.array(joined, pa.binary()).cast(pa.string()), n[lo : lo + CODED])
+
+
+def batch_of(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
 
 
 def phrase_counts(docs: DataFrame, longest: int) -> DataFrame:
-    """``lang, phrase, k, f``: counts of all phrases of 1 to ``longest`` words in each shard, words joined by blanks; ``k`` 0 has the shard's number of words."""
+    """``lang, phrase, f``: counts of all phrases of 1 to ``longest`` words in each shard, words joined by blanks; the empty phrase has the shard's number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("collocations", lambda: None)
-        open_shards: dict[str, list[bytes]] = {}
+        shards: dict[str, Words] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                tokens = open_shards.setdefault(lang, [])
-                for run_of in words_of((text or "").encode(), 8 * SHARD):
-                    tokens += [w for w in run_of if w]
-                    tokens.append(bytes([END]))
-                    if len(tokens) >= SHARD:
-                        yield from phrase_rows(lang, tokens, longest)
-                        tokens.clear()
-                if sum(map(len, open_shards.values())) >= 4 * SHARD:  # many languages: those in hand go
-                    for k in list(open_shards):
-                        yield from phrase_rows(k, open_shards.pop(k), longest)
-        for k in list(open_shards):
-            yield from phrase_rows(k, open_shards.pop(k), longest)
+                own = shards.setdefault(lang, Words())
+                for part in words_of((text or "").encode(), 8 * CODED):
+                    own.add(part)
+                    if own.n >= SHARD:
+                        yield from shards.pop(lang).rows(lang, longest)
+                        own = shards.setdefault(lang, Words())
+            if sum(s.n + len(s.open) for s in shards.values()) >= 2 * SHARD:  # several languages: the largest in hand goes
+                most = max(shards, key=lambda k: shards[k].n + len(shards[k].open))
+                yield from shards.pop(most).rows(most, longest)
+        for lang in list(shards):
+            yield from shards.pop(lang).rows(lang, longest)
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -194,8 +216,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     Candidates that stand in a longer one with ``share`` percent of their occurrences or more are dropped. Empty
     tables and texts without words give no rows.
     """
-    counts = phrase_counts(docs, longest).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
-    counts = saved(counts)
+    # shards have summed up what they hold, so their rows are dealt by phrase before Spark sums them
+    counts = phrase_counts(docs, longest).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
+    counts = saved(counts.withColumn("k", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))))
     words = F.split("phrase", " ", -1)
     part = lambda lo, n: F.array_join(F.slice(words, lo, n), " ")
     phrases = counts.filter("k > 1")
