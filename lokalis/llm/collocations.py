@@ -3,7 +3,8 @@
 Texts are cut into shards of one language. In a shard each word has a bitmap of its positions; pieces are kept apart
 by a position without a word. A phrase's bitmap has the positions of its last words: shifted by one and AND-ed with a
 word's bitmap it becomes that of the phrase and the word, and its popcount is the phrase's count. Phrases are extended
-depth-first, and the shards' popcounts are summed by Spark. Bitmaps are compressed: those with a bit in 32 positions
+depth-first, and the shards' popcounts are summed: each shard packs its phrases by hash into parts, Spark deals the
+parts over its partitions, and a task adds up one part at a time. Bitmaps are compressed: those with a bit in 32 positions
 or more are packed words of bits, of which a shard has few at each length; sparser ones are sorted arrays of positions.
 """
 
@@ -14,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, slices, worker_memory
+from .common import bounded_batches, mixed, saved, slices, worker_memory
 
 #: Words of a shard, about; a piece is never cut.
 SHARD = 1_500_000
@@ -31,6 +34,9 @@ BLOCK = 200_000
 ENDS, END = b".,;:!?\n\x0b\x0c\r", 0xFF
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + bytes([END]) * len(ENDS) + b" ")
 SCHEMA = "lang string, phrase string, f bigint"
+PACKED_SCHEMA = "part int, lang string, packed binary"
+#: Parts for each of Spark's shuffle partitions.
+PARTS = 4
 
 
 @dataclass
@@ -158,50 +164,91 @@ class Words:
             self.n += len(self.open)
             self.open = []
 
-    def rows(self, lang: str, longest: int) -> Iterator[pa.RecordBatch]:
-        """SCHEMA rows of the shard; the empty phrase has the number of all words."""
+    def parts(self, lang: str, longest: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """PACKED_SCHEMA rows of the shard, one for each part that has phrases; the empty phrase has the number of all words."""
         self.code()
         word = np.concatenate(self.coded or [np.zeros(0, np.int32)])
-        strings = np.array([*self.known, b""], object)[:-1]
+        strings = pa.array(list(self.known), pa.binary()).cast(pa.string())
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.known], np.uint64)
         self.known, self.coded = {}, []
         shard = Shard(word, len(strings))
-        yield batch_of(lang, pa.array([""]), np.array([shard.counts.sum()]))
-        blank = np.array([b" "], object)
+        phrases, counts, keys = [pa.array([""])], [np.array([shard.counts.sum()])], [np.zeros(1, np.uint64)]
+        by_length: dict[int, list] = {}
         for ids, n in shard.found(longest):
-            for lo in range(0, len(n), CODED):
-                part = ids[lo : lo + CODED]
-                joined = strings[part[:, 0]]
-                for c in range(1, part.shape[1]):
-                    joined = joined + blank + strings[part[:, c]]
-                yield batch_of(lang, pa.array(joined, pa.binary()).cast(pa.string()), n[lo : lo + CODED])
-
-
-def batch_of(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
-
-
-def phrase_counts(docs: DataFrame, longest: int) -> DataFrame:
-    """``lang, phrase, f``: counts of all phrases of 1 to ``longest`` words in each shard, words joined by blanks; the empty phrase has the shard's number of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_length.setdefault(ids.shape[1], []).append((ids.astype(np.int32), n.astype(np.int64)))
+        for found in by_length.values():
+            ids, n = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            key = np.zeros(len(ids), np.uint64)
+            for c in range(ids.shape[1]):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[:, c]])
+            words = [strings.take(pa.array(ids[:, c])) for c in range(ids.shape[1])]
+            phrases.append(pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0])
+            counts.append(n)
+            keys.append(key)
+        part = (np.concatenate(keys) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        rows = pa.RecordBatch.from_arrays([pa.concat_arrays(phrases).take(pa.array(order)), pa.array(np.concatenate(counts)[order])], ["phrase", "f"])
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+            yield pa.RecordBatch.from_arrays([pa.array(part[lo : lo + 1]), pa.array([lang]), pa.array([packed_rows(rows.slice(lo, hi - lo))], pa.binary())], ["part", "lang", "packed"])
+
+
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def summed_part(blobs: list[tuple[str, bytes]], least: int) -> Iterator[pa.RecordBatch]:
+    """SCHEMA rows of a part's phrases with their counts over all shards, from ``least`` on; the empty phrase always."""
+    tables: dict[str, list[pa.Table]] = {}
+    for lang, blob in blobs:
+        tables.setdefault(lang, []).append(pa.ipc.open_stream(blob).read_all())
+    for lang, own in tables.items():
+        sums = pa.concat_tables(own).group_by("phrase").aggregate([("f", "sum")])
+        sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], least), pc.equal(sums["phrase"], "")))
+        for batch in sums.to_batches(max_chunksize=CODED):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * batch.num_rows, pa.string()), batch.column("phrase"), batch.column("f_sum")], ["lang", "phrase", "f"])
+
+
+def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
+    """``lang, phrase, f``: phrases of 1 to ``longest`` words, joined by blanks, that occur ``least`` times or more; the empty phrase has a language's number of words."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("collocations", lambda: None)
         shards: dict[str, Words] = {}
+        done = lambda lang: shards.pop(lang).parts(lang, longest, partitions * PARTS)
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                own = shards.setdefault(lang, Words())
                 for part in words_of((text or "").encode(), 8 * CODED):
+                    own = shards.setdefault(lang, Words())
                     own.add(part)
                     if own.n >= SHARD:
-                        yield from shards.pop(lang).rows(lang, longest)
-                        own = shards.setdefault(lang, Words())
+                        yield from done(lang)
             if sum(s.n + len(s.open) for s in shards.values()) >= 2 * SHARD:  # several languages: the largest in hand goes
-                most = max(shards, key=lambda k: shards[k].n + len(shards[k].open))
-                yield from shards.pop(most).rows(most, longest)
+                yield from done(max(shards, key=lambda k: shards[k].n + len(shards[k].open)))
         for lang in list(shards):
-            yield from shards.pop(lang).rows(lang, longest)
+            yield from done(lang)
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("collocations", lambda: None)
+        now, blobs = None, []
+        for batch in batches:
+            for part, lang, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    yield from summed_part(blobs, least)
+                    now, blobs = part, []
+                blobs.append((lang, blob))
+        yield from summed_part(blobs, least)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    dealt = texts.mapInArrow(shards_of, PACKED_SCHEMA).repartition(partitions, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(sums_of, SCHEMA)
 
 
 #: floor(1000000 a a / (l r)) in 38 digits: exact for counts below 10 to the 15th.
@@ -216,8 +263,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     Candidates that stand in a longer one with ``share`` percent of their occurrences or more are dropped. Empty
     tables and texts without words give no rows.
     """
-    # shards have summed up what they hold, so their rows are dealt by phrase before Spark sums them
-    counts = phrase_counts(docs, longest).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
+    counts = phrase_counts(docs, longest, least)
     counts = saved(counts.withColumn("k", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))))
     words = F.split("phrase", " ", -1)
     part = lambda lo, n: F.array_join(F.slice(words, lo, n), " ")
