@@ -39,9 +39,16 @@ def minkowski(p: float, theta: float = 0.0) -> Distance:
     return of
 
 
+def turned(metric: Distance, theta: float) -> Distance:
+    """A metric after the axes are turned by ``theta`` radians."""
+    c, s = F.lit(math.cos(theta)), F.lit(math.sin(theta))
+    return lambda fx, fy, dx, dy: metric(fx * c - fy * s, fx * s + fy * c, dx * c - dy * s, dx * s + dy * c)
+
+
 def by_power(p: float, theta: float = 0.0) -> Distance:
     """The metric that a settings file's power stands for: 2 euclidean, 1 Chebyshev, -1 Manhattan, else Minkowski."""
-    return {2: euclidean, 1: chebyshev, -1: manhattan}.get(p) or minkowski(p, theta)
+    known = {2: euclidean, 1: chebyshev, -1: manhattan}.get(p)
+    return minkowski(p, theta) if not known else turned(known, theta) if theta and p != 2 else known
 
 
 def great_circle(fx, fy, dx, dy) -> Column:

@@ -2,8 +2,9 @@
 
 A task holds a block of foci against all points at a time. For compact kernels of a fixed bandwidth the points are
 sorted by x and a block sees only the strip that its foci reach. Tables of more than ``pairs.BROADCAST_POINTS``
-points go through the pair plans of ``pairs`` and ``summary``, which shuffle and give the same rows.
-Rows with a null among coordinates or variables are left out of the data; foci without coordinates give no rows.
+points go through the grid join of ``pairs`` where the kernel has an edge, else through ``tiles``; these shuffle and
+give the same rows. Rows with a null among coordinates or variables are left out of the data; foci without
+coordinates give no rows; a focus on which no data row has weight has one row of nulls, in every plan.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
 from lokalis.functions import kernels
-from lokalis.operators import pairs, summary
+from lokalis.operators import pairs, summary, tiles
 from lokalis.operators.local import Points, Spec, blocks, distances, over_foci, weigh
+from lokalis.operators.rows import numbered
 
 #: Pairs of a strip: few enough to stay in a core's cache.
 STRIP_PAIRS = 200_000
@@ -48,13 +50,19 @@ def strips(pdf: pd.DataFrame, p: Points, spec: Spec) -> Iterator[tuple[np.ndarra
     step = max(1, (8 if compact else 1) * STRIP_PAIRS // max(1, len(p.fid)))
     for s in (slice(lo, min(lo + step, len(fid))) for lo in range(0, len(fid), step)):
         near = slice(np.searchsorted(p.xy[:, 0], xy[s, 0].min() - spec.size), np.searchsorted(p.xy[:, 0], xy[s, 0].max() + spec.size, "right")) if compact else slice(0, len(p.fid))
-        if near.start < near.stop:
-            yield fid[s], near, weigh(spec, distances(spec, xy[s], p.xy[near]))
+        reach = distances(spec, xy[s], p.xy[near])
+        yield fid[s], near, weigh(spec, reach) if reach.shape[1] else reach
 
 
 def metric_of(spec: Spec) -> dist.Distance:
     known = {"euclidean": dist.euclidean, "geographic": dist.great_circle, "chebyshev": dist.by_power(1), "manhattan": dist.by_power(-1)}
-    return known[spec.metric] if spec.metric in known else dist.minkowski(float(spec.metric))
+    own = known[spec.metric] if spec.metric in known else dist.minkowski(float(spec.metric))
+    return dist.turned(own, spec.theta) if spec.theta and spec.metric not in ("euclidean", "geographic") else own
+
+
+def near_only(spec: Spec) -> bool:
+    """Whether a grid join finds all pairs with weight."""
+    return not spec.adaptive and spec.kernel in kernels.COMPACT and spec.metric == "euclidean" and spec.size > 0
 
 
 def weighted(focus: DataFrame, data: DataFrame, spec: Spec) -> DataFrame:
@@ -62,11 +70,23 @@ def weighted(focus: DataFrame, data: DataFrame, spec: Spec) -> DataFrame:
     return pairs.weighted(focus.select("fid", "x", "y"), data, pairs.Bandwidth(spec.size, spec.kernel, spec.adaptive, metric_of(spec)))
 
 
+def whole(data: DataFrame, names: list[str]) -> DataFrame:
+    """The rows that ``held`` keeps, for the plans that shuffle."""
+    return data.select(F.col("fid").cast("long").alias("fid"), *(F.col(f"`{c}`").cast("double").alias(c) for c in ["x", "y", *names])).dropna()
+
+
+def every(focus: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row for each focus with coordinates."""
+    return places(focus).select("fid").join(rows, "fid", "left")
+
+
 def means(focus: DataFrame, data: DataFrame, names: list[str], spec: Spec) -> DataFrame:
     """``fid`` and the local weighted mean of each variable (``<name>_LM``); null where all weights are 0."""
     if not small(data):
-        rows = weighted(focus, data, spec).groupBy("fid")
-        return rows.agg(*(F.try_divide(F.sum(F.col("w") * F.col(f"d_{v}")), F.sum("w")).alias(f"{v}_LM") for v in names))
+        if not near_only(spec):
+            return tiles.means(focus, data, names, spec)
+        rows = weighted(places(focus), whole(data, names), spec).groupBy("fid")
+        return every(focus, rows.agg(*(F.try_divide(F.sum(F.col("w") * F.col(f"d_{v}")), F.sum("w")).alias(f"{v}_LM") for v in names)))
 
     def run(pdf: pd.DataFrame, p: Points) -> pd.DataFrame:
         out = []
@@ -83,7 +103,7 @@ def means(focus: DataFrame, data: DataFrame, names: list[str], spec: Spec) -> Da
 def quantiles(focus: DataFrame, data: DataFrame, name: str, spec: Spec) -> DataFrame:
     """Weighted local median, interquartile range and quantile imbalance: the value just before the cumulated weight exceeds the share."""
     if not small(data):
-        return summary.quantiles(weighted(focus, data, spec), name)
+        return every(focus, summary.quantiles(weighted(places(focus), whole(data, [name]), spec), name)) if near_only(spec) else tiles.quantiles(focus, data, name, spec)
 
     def run(pdf: pd.DataFrame, p: Points) -> pd.DataFrame:
         out = []
@@ -91,31 +111,41 @@ def quantiles(focus: DataFrame, data: DataFrame, name: str, spec: Spec) -> DataF
             order = np.lexsort((p.fid[near], p.X[near, 0]))
             v, W = p.X[near, 0][order], W[:, order]
             total = np.cumsum(W, 1)
-            share = total / total[:, -1:]
+            none = ~(W > 0).any(1)
+            if none.all():
+                out.append(pd.DataFrame({"fid": fid, f"{name}_Median": np.nan, f"{name}_IQR": np.nan, f"{name}_QI": np.nan}))
+                continue
+            with np.errstate(all="ignore"):
+                share = total / total[:, -1:]
             first = v[np.argmax(W > 0, 1)]
             q = []
             for k in (0.25, 0.5, 0.75):
                 at = np.where((share <= k) & (W > 0), np.arange(len(v)), -1).max(1)
-                q.append(np.where(at >= 0, v[at], first))
+                q.append(np.where(none, np.nan, np.where(at >= 0, v[at], first)))
             with np.errstate(all="ignore"):
                 iqr = q[2] - q[0]
                 out.append(pd.DataFrame({"fid": fid, f"{name}_Median": q[1], f"{name}_IQR": iqr, f"{name}_QI": np.where(iqr != 0, (2 * q[1] - q[2] - q[0]) / iqr, np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"fid": [], f"{name}_Median": [], f"{name}_IQR": [], f"{name}_QI": []})
 
     rows = over_foci(places(focus), held(data, [name]), run, f"fid bigint, `{name}_Median` double, `{name}_IQR` double, `{name}_QI` double", 1)
-    return rows.withColumn(f"{name}_QI", F.nanvl(F.col(f"{name}_QI"), F.lit(None).cast("double")))
+    return rows.select("fid", *(F.nanvl(F.col(f"`{name}_{k}`"), F.lit(None).cast("double")).alias(f"{name}_{k}") for k in ("Median", "IQR", "QI")))
 
 
 def spearman(focus: DataFrame, data: DataFrame, x: str, y: str, spec: Spec) -> DataFrame:
-    """Local rank correlation: ranks are places in the order of (value, id), ties not averaged. Kernels without an edge rank all points alike at every focus."""
+    """Local rank correlation: ranks are places in the order of (value, id) among all data rows, ties not averaged; so a focus's value does not depend on other foci."""
     name = f"Spearman_rho_{x}.{y}"
     if not small(data):
-        return summary.spearman(weighted(focus, data, spec), x, y)
+        rows = whole(data, [x, y])
+        ranks = numbered(numbered(rows, "rx", [x, "fid"]), "ry", [y, "fid"]).select("fid", "x", "y", F.col("rx").cast("double").alias("rx"), F.col("ry").cast("double").alias("ry"))
+        found = summary.correlation(weighted(places(focus), ranks, spec), "rx", "ry") if near_only(spec) else tiles.correlation(focus, ranks, "rx", "ry", spec)
+        return every(focus, found.select("fid", F.col("`Corr_rx.ry`").alias(name)))
+    known = held(data, [x, y])
+    known.X = np.column_stack([np.argsort(np.lexsort((known.fid, known.X[:, k]))).astype(float) for k in (0, 1)])
 
     def run(pdf: pd.DataFrame, p: Points) -> pd.DataFrame:
         out = []
         for fid, near, W in strips(pdf, p, spec):
-            a, b = (np.argsort(np.lexsort((p.fid[near], p.X[near, k]))).astype(float) for k in (0, 1))
+            a, b = p.X[near, 0], p.X[near, 1]
             s = W.sum(1)
             with np.errstate(all="ignore"):
                 ma, mb = W @ a / s, W @ b / s
@@ -123,7 +153,7 @@ def spearman(focus: DataFrame, data: DataFrame, x: str, y: str, spec: Spec) -> D
             out.append(pd.DataFrame({"fid": fid, name: r}))
         return pd.concat(out) if out else pd.DataFrame({"fid": [], name: []})
 
-    return over_foci(places(focus), held(data, [x, y]), run, f"fid bigint, `{name}` double", 1)
+    return over_foci(places(focus), known, run, f"fid bigint, `{name}` double", 1)
 
 
 def nearest(focus: DataFrame, data: DataFrame, k: int, spec: Spec = Spec(0)) -> DataFrame:
@@ -153,10 +183,10 @@ def correlations(focus: DataFrame, data: DataFrame, xs: list[str], ys: list[str]
     """Local covariance and correlation of each x with each y, each pair by its own bandwidth: ``Cov_x.y`` and ``Corr_x.y``."""
     chosen = {(x, y): specs[x, y] if isinstance(specs, dict) else specs for x in xs for y in ys}
     if not small(data):
-        parts = [summary.correlation(weighted(focus, data, s), x, y) for (x, y), s in chosen.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.join(p, "fid")
+        out = places(focus).select("fid")
+        for (x, y), s in chosen.items():
+            found = summary.correlation(weighted(places(focus), whole(data, list(dict.fromkeys([x, y]))), s), x, y) if near_only(s) else tiles.correlation(focus, data, x, y, s)
+            out = out.join(found, "fid", "left")
         return out
     names = list(dict.fromkeys([*xs, *ys]))
     columns = [f"{kind}_{x}.{y}" for x, y in chosen for kind in ("Cov", "Corr")]
@@ -174,6 +204,6 @@ def correlations(focus: DataFrame, data: DataFrame, xs: list[str], ys: list[str]
                     ab = cov(a, b)
                     out[f"Cov_{x}.{y}"].append(ab)
                     out[f"Corr_{x}.{y}"].append(ab / np.sqrt(cov(a, a) * cov(b, b)))
-        return pd.DataFrame({k: np.concatenate(v) if isinstance(v, list) else v for k, v in out.items()}) if len(pdf) and len(p.fid) else pd.DataFrame({c: [] for c in out})
+        return pd.DataFrame({k: np.concatenate(v) if isinstance(v, list) else v for k, v in out.items()}) if len(pdf) else pd.DataFrame({c: [] for c in out})
 
     return over_foci(places(focus), held(data, names), run, "fid bigint, " + ", ".join(f"`{c}` double" for c in columns), len(xs) * len(ys))

@@ -48,7 +48,7 @@ class Points:
 
 
 def points(df: DataFrame, y: str | None, xs: list[str], t: str | None = None, intercept: bool = True, null_policy: str = "drop") -> Points:
-    """Collect a table of at most MOST_POINTS rows."""
+    """Collect a table of at most MOST_POINTS rows. Repeated ids are an error."""
     names = ["x", "y", *([y] if y else []), *xs, *([t] if t else [])]
     cols = [F.col(c).try_cast("double") for c in names]
     cols = [F.coalesce(c, F.lit(0.0)) for c in cols] if null_policy == "zero" else cols
@@ -56,6 +56,8 @@ def points(df: DataFrame, y: str | None, xs: list[str], t: str | None = None, in
     if (n := rows.count()) > MOST_POINTS:
         raise ValueError(f"{n} points: more than {MOST_POINTS} need the pair plans")
     a = rows.toPandas().sort_values("fid", kind="stable")
+    if a.fid.duplicated().any():
+        raise ValueError("fid must be unique")
     v = a.drop(columns="fid").to_numpy(float)
     k = 2 + bool(y)
     X = v[:, k : k + len(xs)]
@@ -121,15 +123,24 @@ def blocks(n: int, against: int) -> Iterator[slice]:
         yield slice(lo, min(n, lo + step))
 
 
-def over_foci(focus: DataFrame, held, f: Callable[[pd.DataFrame, object], pd.DataFrame], schema: str, points_held: int) -> DataFrame:
-    """Map foci (``fid, x, y`` and more) in blocks against what is broadcast; foci are dealt over all cores. Eager callers ``free`` the result's broadcast."""
+def points_at(held, i: np.ndarray) -> pd.DataFrame:
+    """Rows ``fid, x, y`` and perhaps ``t`` of the points in ``held`` at these places."""
+    p = held if isinstance(held, Points) else next(v for v in held if isinstance(v, Points))
+    return pd.DataFrame({"fid": p.fid[i], "x": p.xy[i, 0], "y": p.xy[i, 1]} | ({"t": p.t[i]} if p.t is not None else {}))
+
+
+def over_foci(focus: DataFrame, held, f: Callable[[pd.DataFrame, object], pd.DataFrame], schema: str, points_held: int, ended: Callable[[], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """Map foci (``fid, x, y`` and more, or ``own_foci``) in blocks against what is broadcast; foci are dealt over all cores. ``ended`` gives rows at a task's end. Eager callers ``free`` the result's broadcast."""
     sc = focus.sparkSession.sparkContext
     shared = sc.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = points_at(shared.value, pdf.i.to_numpy()) if "i" in pdf else pdf
             for s in blocks(len(pdf), points_held):
                 yield f(pdf.iloc[s], shared.value)
+        if ended:
+            yield from ended()
 
     out = focus.repartition(max(1, sc.defaultParallelism)).mapInPandas(run, schema)
     out.held_by_tasks = shared
@@ -155,6 +166,9 @@ def fit_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
 def fit_rows(W: np.ndarray, p: Points, fid: np.ndarray, noise: np.ndarray | None = None) -> pd.DataFrame:
     """Coefficients of each focus from its weights; where a focus is a data point also hat-matrix sums and the leave-one-out residual."""
     X, y = p.X, p.y
+    if not len(p.fid):
+        nothing = [[math.nan] * X.shape[1]] * len(fid)
+        return pd.DataFrame({"fid": fid, "beta": nothing, "raw": nothing, "s_ii": math.nan, "ss": math.nan, "cv": math.nan, "ok": False})
     A = np.einsum("mn,np,nq->mpq", W, X, X, optimize=True)
     b = (W * y) @ X
     beta, ok = solve(A, b)
@@ -177,9 +191,14 @@ def foci(p: Points, df: DataFrame, t: str | None = None) -> DataFrame:
     return df.select(*cols, *([F.col(t).cast("double").alias("t")] if t else [])).dropna()
 
 
+def own_foci(df: DataFrame, p: Points) -> DataFrame:
+    """The points themselves as foci, so that rows which ``points`` leaves out are none."""
+    return df.sparkSession.range(len(p.fid)).withColumnRenamed("id", "i")
+
+
 def local_fit(focus: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None, noise: np.ndarray | None = None) -> DataFrame:
-    """FIT rows for each focus; ``extra`` multiplies the points' weights, ``noise`` their variances."""
-    return over_foci(foci(p, focus, t), (spec, p, extra, noise), fit_block, FIT, len(p.fid))
+    """FIT rows for each focus; ``extra`` multiplies the points' weights, ``noise`` their variances. Foci are other places or ``own_foci``."""
+    return over_foci(focus if focus.columns == ["i"] else foci(p, focus, t), (spec, p, extra, noise), fit_block, FIT, len(p.fid))
 
 
 #: How an adaptive probe becomes a whole number, for the first pair and for those after it.

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import dense, pairs
-from .local import BLOCK_PAIRS, FIT, MOST_POINTS, Points, Spec, distances, fit_block, fit_rows, foci, free, golden, local_fit, over_foci, points, solve, weigh, weights_of, with_size
+from . import dense, pairs, tiles
+from .local import BLOCK_PAIRS, FIT, MOST_POINTS, Points, Spec, distances, fit_block, fit_rows, free, golden, local_fit, over_foci, own_foci, points, solve, weigh, weights_of, with_size
 
 
 #: Points of a model that carries dense hat matrices.
@@ -30,6 +30,11 @@ def spread_out(df: DataFrame, column: str, names: list[str]) -> list:
     return [F.col(column)[k].alias(n) for k, n in enumerate(names)]
 
 
+def nothing(df: DataFrame, names: list[str]) -> DataFrame:
+    """No rows of a model's columns."""
+    return df.sparkSession.createDataFrame([], "fid bigint, " + ", ".join(f"`{n}` double" for n in names))
+
+
 def ols(p: Points) -> dict:
     """Global least squares: coefficients, standard errors, t values, R2, AIC and AICc."""
     n, k = p.X.shape
@@ -42,6 +47,66 @@ def ols(p: Points) -> dict:
     return {"beta": beta, "se": se, "t": beta / se, "rss": rss, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k), "aic": aic, "aicc": aic + 2 * (k + 1) * (k + 2) / (n - k - 2)}
 
 
+def gram(df: DataFrame, columns: list, weight=None) -> np.ndarray:
+    """Sums of products of all pairs of columns, by weight: one row reaches the driver."""
+    w = F.lit(1.0) if weight is None else weight
+    k = len(columns)
+    which = [(i, j) for i in range(k) for j in range(i, k)]
+    row = df.agg(*(F.sum(w * columns[i] * columns[j]).alias(f"g{i}_{j}") for i, j in which)).first()
+    G = np.zeros((k, k))
+    for i, j in which:
+        G[i, j] = G[j, i] = row[f"g{i}_{j}"] or 0.0
+    return G
+
+
+def numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`").try_cast("double").alias(f"v{k}") for k, c in enumerate(names))).dropna()
+
+
+def ols_of(df: DataFrame, y: str, xs: list[str]) -> dict:
+    """``ols`` of a table of any size: sums about the means are aggregated by Spark, two rows reach the driver."""
+    rows = numbers(df, [*xs, y])
+    k = len(xs) + 1
+    m = rows.agg(F.count("*").alias("n"), *(F.avg(f"v{i}").alias(f"m{i}") for i in range(k))).first()
+    n, mean = m["n"], np.array([m[f"m{i}"] for i in range(k)], float)
+    if not n:
+        return {}
+    G = gram(rows, [F.col(f"v{i}") - F.lit(float(mean[i])) for i in range(k)])
+    inv = np.linalg.inv(G[:-1, :-1])
+    slope = inv @ G[:-1, -1]
+    beta = np.concatenate([[mean[-1] - slope @ mean[:-1]], slope])
+    tss = G[-1, -1]
+    rss = float(tss - slope @ G[:-1, -1])
+    var = np.concatenate([[1 / n + mean[:-1] @ inv @ mean[:-1]], np.diag(inv)])
+    se = np.sqrt(var * rss / (n - k))
+    r2 = 1 - rss / tss
+    aic = n * math.log(rss / n) + n * math.log(2 * math.pi) + n + 2 * (k + 1)
+    return {"beta": beta, "se": se, "t": beta / se, "rss": rss, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k), "aic": aic, "aicc": aic + 2 * (k + 1) * (k + 2) / (n - k - 2)}
+
+
+def glm_of(df: DataFrame, y: str, xs: list[str], family: str, most: int = 25, eps: float = 1e-8) -> dict:
+    """``glm`` of a table of any size: each round aggregates the weighted sums by Spark."""
+    rows = tiles.log_counts(numbers(df, [*xs, y]), f"v{len(xs)}", family)
+    yy, X = F.col(f"v{len(xs)}"), [F.lit(1.0), *(F.col(f"v{i}") for i in range(len(xs)))]
+    k, nu, last = len(X), None, math.inf
+    n, mean = rows.agg(F.count("*"), F.avg(yy)).first()
+    if not n:
+        return {}
+    for _ in range(most):
+        mu, z, v = tiles.family_columns(family, yy, nu)
+        G = gram(rows, [*X, z], v)
+        beta = np.linalg.solve(G[:k, :k], G[:k, k])
+        nu = sum((F.lit(float(b)) * c for b, c in zip(beta[1:], X[1:])), F.lit(float(beta[0])))
+        mu, _, v = tiles.family_columns(family, yy, nu)
+        ll = rows.agg(F.sum(tiles.likelihood_column(family, yy, mu))).first()[0]
+        if abs(ll - last) / (abs(ll) + 0.1) < eps:
+            break
+        last = ll
+    se = np.sqrt(np.diag(np.linalg.inv(gram(rows, X, v))))
+    dev, null = rows.agg(F.sum(tiles.deviance_column(family, yy, mu)), F.sum(tiles.deviance_column(family, yy, F.lit(mean)))).first()
+    return {"beta": beta, "se": se, "log_likelihood": ll, "deviance": dev, "null_deviance": null, "pseudo_r2": 1 - dev / null, "aic": dev + 2 * k, "aicc": dev + 2 * k + 2 * k * (k + 1) / (n - k - 1)}
+
+
 def aicc_of(n: int, rss: float, trace: float) -> float:
     return n * math.log(rss / n) + n * math.log(2 * math.pi) + n * (n + trace) / (n - 2 - trace) if n - 2 - trace > 0 and rss > 0 else math.inf
 
@@ -54,33 +119,35 @@ def diagnostics(p: Points, rss: float, s: float, ss: float) -> dict:
     return {"rss": rss, "aic": n * math.log(rss / n) + n * math.log(2 * math.pi) + n + s, "aicc": aicc_of(n, rss, s), "enp": enp, "edf": edf, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (edf - 1), "tr_s": s, "tr_sts": ss}
 
 
-def q_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
-    """A block's share of sum_i (delta_ij - s_ij)^2 for every data point j, and of sum_j w_ij (y - yhat)^2 for its foci."""
-    spec, p, extra = held
-    t = pdf.t.to_numpy(float) if "t" in pdf else None
-    W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float), t) * (1 if extra is None else extra[None, :])
-    at = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
-    A = np.einsum("mn,np,nq->mpq", W, p.X, p.X, optimize=True)
-    half, _ = solve(A, p.X[at])
-    S = W * (half @ p.X.T)
-    S[np.arange(len(at)), at] -= 1
-    return pd.DataFrame({"fid": p.fid, "q": np.nansum(S * S, 0)})
-
-
-def second_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
-    """What needs all fitted values: the local R2 of a block's foci, and in its first row the block's share of every point's q."""
-    spec, p, extra, yhat = held
-    t = pdf.t.to_numpy(float) if "t" in pdf else None
-    W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float), t)
-    tss, rss = W @ (p.y - p.y.mean()) ** 2, W @ (p.y - yhat) ** 2
-    q = [q_block(pdf, (spec, p, extra)).q.to_numpy(), *[None] * (len(pdf) - 1)]
-    with np.errstate(all="ignore"):
-        return pd.DataFrame({"fid": pdf.fid.to_numpy(np.int64), "localR2": (tss - rss) / tss, "q": q})
+class SecondPass:
+    """What needs all fitted values: the local R2 of a task's foci, and at the task's end its foci's share of every data point's q = sum_i (delta_ij - s_ij)^2."""
+
+    def __init__(self):
+        self.q: np.ndarray | None = None
+        self.fid: np.ndarray | None = None
+
+    def block(self, pdf: pd.DataFrame, held) -> pd.DataFrame:
+        spec, p, extra, yhat = held
+        t = pdf.t.to_numpy(float) if "t" in pdf else None
+        W = weights_of(spec, p, pdf[["x", "y"]].to_numpy(float), t)
+        tss, rss = W @ (p.y - p.y.mean()) ** 2, W @ (p.y - yhat) ** 2
+        W = W if extra is None else W * extra[None, :]
+        at = np.searchsorted(p.fid, pdf.fid.to_numpy(np.int64))
+        half, _ = solve(np.einsum("mn,np,nq->mpq", W, p.X, p.X, optimize=True), p.X[at])
+        S = W * (half @ p.X.T)
+        S[np.arange(len(at)), at] -= 1
+        self.q, self.fid = (0 if self.q is None else self.q) + np.nansum(S * S, 0), p.fid
+        with np.errstate(all="ignore"):
+            return pd.DataFrame({"fid": pdf.fid.to_numpy(np.int64), "localR2": (tss - rss) / tss, "q": 0.0})
+
+    def ended(self) -> Iterator[pd.DataFrame]:
+        if self.q is not None:
+            yield pd.DataFrame({"fid": self.fid, "localR2": math.nan, "q": self.q})
 
 
 def fitted(df: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None, noise: np.ndarray | None = None) -> pd.DataFrame:
     """FIT rows of all data points on the driver, in the points' order (bounded by MOST_POINTS)."""
-    rows = local_fit(df, p, spec, extra, t, noise)
+    rows = local_fit(own_foci(df, p), p, spec, extra, t, noise)
     out = rows.toPandas().sort_values("fid", kind="stable").reset_index(drop=True)
     free(rows)
     return out
@@ -88,7 +155,7 @@ def fitted(df: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None
 
 def score(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None) -> float:
     """CV or AICc of a bandwidth; one job, one row to the driver."""
-    rows = local_fit(df, p, spec, t=t)
+    rows = local_fit(own_foci(df, p), p, spec, t=t)
     if criterion == "CV":
         v = rows.agg(F.sum(F.col("cv") * F.col("cv")).alias("v"), F.min("ok").alias("ok")).first()
         free(rows)
@@ -116,8 +183,8 @@ def select_bandwidth(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV"
 def bandwidth_scores(df: DataFrame, y: str, xs: list[str], spec: Spec, sizes: list[float], t: str | None = None, intercept: bool = True) -> list[tuple[float, float, float]]:
     """(bandwidth, CV, AICc) of given bandwidths: the curve that the search walks on."""
     p = points(df, y, xs, t, intercept)
-    out = []
-    for b in sizes:
+    out = [] if len(p.fid) else [(float(b), math.inf, math.inf) for b in sizes]
+    for b in sizes if len(p.fid) else []:
         f = fitted(df, p, with_size(spec, b), t=t)
         rss = float(((p.y - (np.stack(f.beta) * p.X).sum(1)) ** 2).sum())
         out.append((float(b), float((f.cv**2).sum(skipna=False)), aicc_of(len(p.y), rss, float(f.s_ii.sum()))))
@@ -177,9 +244,21 @@ def local_selection(df: DataFrame, y: str, xs: list[str], spec: Spec, threshold:
     return forward(xs, aicc, threshold)
 
 
-def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None, extra: np.ndarray | None = None, select_bw: str | None = None) -> tuple[DataFrame, dict]:
-    """Basic (with ``t`` space-time) regression at the data points: coefficients, y, yhat, residual, studentised residual, SE, t values and local R2; diagnostics."""
-    p = points(df, y, xs, t)
+def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None, extra: np.ndarray | None = None, select_bw: str | None = None, intercept: bool = True) -> tuple[DataFrame, dict]:
+    """Basic (with ``t`` space-time) regression at the data points: coefficients, y, yhat, residual, studentised residual, SE, t values and local R2; diagnostics.
+
+    Rows with a null among place, time and variables are left out; repeated ids are an error; without rows there are
+    no results and no diagnostics. Beyond MOST_POINTS rows everything is summed over tiles.
+    """
+    names = names_of(xs, intercept)
+    if large(df):
+        rows = tiles.state(df, y, xs, t, intercept)
+        if select_bw:
+            spec = with_size(spec, select_by_tiles(rows, names, spec, select_bw)[0])
+        return tiles.basic(rows, names, spec)
+    p = points(df, y, xs, t, intercept)
+    if not len(p.fid):
+        return nothing(df, result_names(names)), {}
     if select_bw:
         spec = with_size(spec, select_bandwidth(df, p, spec, select_bw, t)[0])
     f = fitted(df, p, spec, extra, t)
@@ -189,14 +268,31 @@ def gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, t: str | None = None,
     s, ss, rss = f.s_ii.sum(), f.ss.sum(), float((res**2).sum())
     diag = diagnostics(p, rss, s, ss) | {"bandwidth": spec.size}
     sigma2 = rss / (len(p.y) - 2 * s + ss)
-    again = over_foci(foci(p, df, t), (spec, p, extra, yhat), second_block, "fid bigint, localR2 double, q array<double>", len(p.fid))
-    more = again.toPandas().sort_values("fid", kind="stable")
+    work = SecondPass()
+    again = over_foci(own_foci(df, p), (spec, p, extra, yhat), work.block, "fid bigint, localR2 double, q double", len(p.fid), work.ended)
+    more = again.groupBy("fid").agg(F.max(F.nanvl("localR2", F.lit(None).cast("double"))).alias("localR2"), F.sum("q").alias("q")).toPandas().sort_values("fid", kind="stable")
     free(again)
-    q = np.sum([x for x in more.q if x is not None], 0)
-    names = names_of(xs)
     se = np.sqrt(sigma2 * raw)
-    out = {"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names)}, "y": p.y, "yhat": yhat, "residual": res, "Stud_residual": res / np.sqrt(sigma2 * q), **{f"{n}_SE": se[:, k] for k, n in enumerate(names)}, **{f"{n}_TV": beta[:, k] / se[:, k] for k, n in enumerate(names)}, "localR2": more.localR2.to_numpy()}
-    return df.sparkSession.createDataFrame(pd.DataFrame(out)), diag
+    with np.errstate(all="ignore"):
+        values = [*beta.T, p.y, yhat, res, res / np.sqrt(sigma2 * more.q.to_numpy(float)), *se.T, *(beta / se).T, more.localR2.to_numpy(float)]
+    return df.sparkSession.createDataFrame(pd.DataFrame({"fid": p.fid, **dict(zip(result_names(names), values))})), diag
+
+
+def result_names(names: list[str]) -> list[str]:
+    return [*names, "y", "yhat", "residual", "Stud_residual", *(f"{n}_SE" for n in names), *(f"{n}_TV" for n in names), "localR2"]
+
+
+def large(df: DataFrame) -> bool:
+    """More rows than what the dense engine may hold in each task."""
+    return df.count() > MOST_POINTS
+
+
+def select_by_tiles(rows: DataFrame, names: list[str], spec: Spec, criterion: str = "CV", limits: tuple[float, float] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    """Golden-section search of a bandwidth over tables of any size."""
+    if limits is None:
+        box = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
+        limits = (20.0, float(box["n"])) if spec.adaptive else (0.0, math.hypot(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) if spec.metric != "geographic" else 20037.5)
+    return golden(lambda b: tiles.score(rows, names, with_size(spec, b), criterion), *limits, spec.adaptive)
 
 
 def coefficients_by_pairs(df: DataFrame, focus: DataFrame, y: str, xs: list[str], bw: pairs.Bandwidth, intercept: bool = True) -> DataFrame:
@@ -220,9 +316,11 @@ def coefficients_by_pairs(df: DataFrame, focus: DataFrame, y: str, xs: list[str]
 
 
 def gwr_predict(df: DataFrame, focus: DataFrame, y: str, xs: list[str], spec: Spec) -> DataFrame:
-    """Coefficients at other points, and yhat where these hold all variables. Beyond MOST_POINTS rows the moments are sums over pairs."""
-    if df.count() > MOST_POINTS:
-        rows = coefficients_by_pairs(df, focus, y, xs, pairs.Bandwidth(spec.size, spec.kernel, spec.adaptive, dense.metric_of(spec)))
+    """Coefficients at other points, and yhat where these hold all variables. Foci without weight have null coefficients and ``ok`` false. Beyond MOST_POINTS rows the moments are sums over tiles."""
+    if large(df):
+        rows = tiles.state(df, y, xs)
+        at = tiles.reached(dense.places(focus), rows, spec)
+        rows = tiles.local_fits(at, rows, spec, len(xs) + 1).select("fid", *spread_out(df, "beta", names_of(xs)), "ok")
     else:
         rows = local_fit(focus, points(df, y, xs), spec).select("fid", *spread_out(df, "beta", names_of(xs)), "ok")
     if not set(xs) <= set(focus.columns):
@@ -236,7 +334,11 @@ def gwr_predict(df: DataFrame, focus: DataFrame, y: str, xs: list[str], spec: Sp
 
 def robust_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, method: str = "filter", most: int = 20, tol: float = 1e-5) -> tuple[DataFrame, dict]:
     """Robust regression: drop points whose studentised residual exceeds 3 and refit, or iterate weights that fall from 1 at 2 to 0 at 3 residual deviations."""
+    if large(df):
+        return tiles.robust(tiles.state(df, y, xs), names_of(xs), spec, method, most, tol)
     p = points(df, y, xs)
+    if not len(p.fid):
+        return gwr(df, y, xs, spec)
     if method == "filter":
         first, _ = gwr(df, y, xs, spec)
         r = first.select("fid", "Stud_residual").toPandas().sort_values("fid").Stud_residual.to_numpy()
@@ -283,7 +385,7 @@ def ridge_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
 
 
 def ridge_rows(df: DataFrame, p: Points, spec: Spec, lam: float, adjust: bool, limit: float, leave: bool = False) -> DataFrame:
-    return over_foci(foci(p, df), (spec, p, lam, adjust, limit, leave), ridge_block, RIDGE, len(p.fid) * p.X.shape[1])
+    return over_foci(own_foci(df, p), (spec, p, lam, adjust, limit, leave), ridge_block, RIDGE, len(p.fid) * p.X.shape[1])
 
 
 def ridge_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> DataFrame:
@@ -296,6 +398,8 @@ def ridge_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0
 def ridge_diagnostics(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> dict:
     """Residual sum, hat-matrix sums of the ridge solution and the scores made of them."""
     p = points(df, y, xs)
+    if not len(p.fid):
+        return {}
     rows = ridge_rows(df, p, spec, lam, adjust, limit)
     f = rows.toPandas().sort_values("fid")
     free(rows)
@@ -377,7 +481,12 @@ def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: st
 
     Rows have coefficients, y, yhat, residual, SE and t values; diagnostics the deviance with AIC, AICc and pseudo R2. ``select_bw`` takes the bandwidth of the least AICc or CV.
     """
+    if large(df) and not select_bw:
+        return tiles.generalized(tiles.state(df, y, xs), names_of(xs), spec, family, tol, most)
     p = points(df, y, xs)
+    if not len(p.fid):
+        names = names_of(xs)
+        return nothing(df, [*names, "y", "yhat", "residual", *(f"{n}_SE" for n in names), *(f"{n}_TV" for n in names)]), {}
     if select_bw:
         by = {"AICc": lambda s: generalized_fit(df, p, s, family, tol, most)[2]["aicc"], "CV": lambda s: generalized_cv(df, p, s, family, tol, most)}[select_bw]
         spec = with_size(spec, select_bandwidth(df, p, spec, by=by)[0])
@@ -421,7 +530,9 @@ def product_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
 def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
     """Density regression: one bandwidth for each variable's own distance. Coefficients, y, yhat, residual and SE."""
     p = points(df, y, xs)
-    rows = over_foci(foci(p, df), (p, specs, None), product_block, FIT, len(p.fid))
+    if not len(p.fid):
+        return nothing(df, [*names_of(xs), "y", "yhat", "residual", *(f"{n}_SE" for n in names_of(xs))]).withColumn("ok", F.lit(True))
+    rows = over_foci(own_foci(df, p), (p, specs, None), product_block, FIT, len(p.fid))
     f = rows.toPandas().sort_values("fid", kind="stable")
     free(rows)
     beta, names = np.stack(f.beta), names_of(xs)
@@ -432,7 +543,7 @@ def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
 
 
 def gtdr_cv(df: DataFrame, p: Points, specs: list[Spec]) -> float:
-    rows = over_foci(foci(p, df), (p, specs, None), product_block, FIT, len(p.fid))
+    rows = over_foci(own_foci(df, p), (p, specs, None), product_block, FIT, len(p.fid))
     v = rows.agg(F.sum(F.col("cv") * F.col("cv"))).first()[0]
     free(rows)
     return float(v) if v is not None and math.isfinite(v) else math.inf
@@ -460,6 +571,8 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
     """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds (dense, MOST_DENSE points at most) and gives SE, t values and diagnostics."""
     xs = [v for v in specs if v != "Intercept"]
     p = points(df, y, xs)
+    if not len(p.fid):
+        return nothing(df, [*names_of(xs), "y", "yhat", "residual", *(f"{n}_{k}" for n in names_of(xs) if hat for k in ("SE", "TV"))]), {}
     for v in centre:
         p.X[:, 1 + xs.index(v)] -= p.X[:, 1 + xs.index(v)].mean()
     own = [specs.get(n, next(iter(specs.values()))) for n in names_of(xs)]
@@ -596,12 +709,14 @@ def scalable_gwr(df: DataFrame, y: str, xs: list[str], k: int = 50, polynomial:
     """
     p = points(df, y, xs)
     n, c = p.X.shape
+    if not n:
+        return nothing(df, [*names_of(xs), "y", "yhat", "residual", *(f"{v}_{q}" for v in names_of(xs) for q in ("SE", "TV"))]), {}
     k = min(k, n - 1)
-    near = over_foci(foci(p, df), (p, min(50, k)), neighbour_block, "fid bigint, d double", n)
+    near = over_foci(own_foci(df, p), (p, min(50, k)), neighbour_block, "fid bigint, d double", n)
     band = float(np.median(near.select("d").toPandas().d)) / BASE_SHARE[kernel] or 1.0
     free(near)
     powers = [0.0, *(2 ** (polynomial / 2) / 2 ** (q + 1) for q in range(polynomial))]
-    rows = over_foci(foci(p, df), (p, k, band, powers), moments_block, "fid bigint, M array<double>, m array<double>", n)
+    rows = over_foci(own_foci(df, p), (p, k, band, powers), moments_block, "fid bigint, M array<double>, m array<double>", n)
     got = rows.toPandas().sort_values("fid")
     free(rows)
     M, m = np.stack(got.M).reshape(n, len(powers), c, c), np.stack(got.m).reshape(n, len(powers), c)
@@ -627,7 +742,7 @@ def scalable_gwr(df: DataFrame, y: str, xs: list[str], k: int = 50, polynomial:
 
     par = simplex(objective, np.array([1.0, 0.01]))
     r, a = shares_of(par)
-    fits = over_foci(foci(p, df), (p, k, band, powers, r, a), scalable_block, FIT, n)
+    fits = over_foci(own_foci(df, p), (p, k, band, powers, r, a), scalable_block, FIT, n)
     f = fits.toPandas().sort_values("fid", kind="stable")
     free(fits)
     beta = np.stack(f.beta)
@@ -665,7 +780,7 @@ def pca_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
 def gwpca(df: DataFrame, variables: list[str], k: int, spec: Spec, robust: bool = False) -> DataFrame:
     """Local principal components: percent of variance, its sum, the variable that leads the first component, loadings (component by component). Null below six weighted points."""
     p = points(df, None, variables, intercept=False)
-    rows = over_foci(foci(p, df), (spec, p, k, robust), pca_block, "fid bigint, pv array<double>, local_CP double, win int, loadings array<double>", len(p.fid))
+    rows = over_foci(own_foci(df, p), (spec, p, k, robust), pca_block, "fid bigint, pv array<double>, local_CP double, win int, loadings array<double>", len(p.fid))
     names = F.array(*map(F.lit, variables))
     return rows.select("fid", *(F.col("pv")[j].alias(f"Comp.{j + 1}_PV") for j in range(k)), "local_CP", F.when(F.col("win").isNotNull(), F.try_element_at(names, F.col("win") + 1)).alias("win_var_PC1"), "loadings")
 
@@ -690,7 +805,7 @@ def score_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
 def gwpca_scores(df: DataFrame, variables: list[str], k: int, spec: Spec) -> DataFrame:
     """``fid, d_fid, Comp.1 ...``: what each point in a focus's reach scores on the focus's components. A row for each pair with weight."""
     p = points(df, None, variables, intercept=False)
-    rows = over_foci(foci(p, df), (spec, p, k), score_block, "fid bigint, d_fid bigint, scores array<double>", len(p.fid))
+    rows = over_foci(own_foci(df, p), (spec, p, k), score_block, "fid bigint, d_fid bigint, scores array<double>", len(p.fid))
     return rows.select("fid", "d_fid", *(F.col("scores")[j].alias(f"Comp.{j + 1}") for j in range(k)))
 
 
@@ -712,7 +827,7 @@ def pca_cv_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
 
 def gwpca_cv(df: DataFrame, p: Points, spec: Spec, k: int) -> float:
     """Squared sums of what the first k components of the others leave over of each point."""
-    rows = over_foci(foci(p, df), (spec, p, k), pca_cv_block, "fid bigint, cv double", len(p.fid))
+    rows = over_foci(own_foci(df, p), (spec, p, k), pca_cv_block, "fid bigint, cv double", len(p.fid))
     out = rows.agg(F.sum("cv")).first()[0]
     free(rows)
     return float(out) if out is not None and math.isfinite(out) else math.inf

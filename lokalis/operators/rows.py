@@ -41,9 +41,10 @@ def selected_first(df: DataFrame, key: str = "fid") -> DataFrame:
     return df.orderBy(F.desc("selected"), key)
 
 
-def numbered(df: DataFrame, name: str, order: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, order: str | list[str]) -> DataFrame:
     """The row's place by ``order``, from 1: ranges are sorted apart and written, and only their sizes reach the driver."""
-    ranged = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    by = [order] if isinstance(order, str) else order
+    ranged = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0

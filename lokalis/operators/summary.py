@@ -44,13 +44,6 @@ def correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return s.select("fid", cov("xy", "sx", "sy").alias(f"Cov_{x}.{y}"), r.alias(f"Corr_{x}.{y}"))
 
 
-def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """Local rank correlation: ranks are places in the order of (value, id) among the focus's data rows, ties not averaged."""
-    rank = lambda v: (F.row_number().over(Window.partitionBy("fid").orderBy(f"d_{v}", "d_fid")) - 1).cast("double")
-    ranked = pairs.select("fid", "w", rank(x).alias("d_rx"), rank(y).alias("d_ry"))
-    return correlation(ranked, "rx", "ry").select("fid", F.col("`Corr_rx.ry`").alias(f"Spearman_rho_{x}.{y}"))
-
-
 def z_scores(df: DataFrame, names: list[str]) -> DataFrame:
     """(x - mean) / sample deviation of each variable; null where the deviation is 0."""
     stats = df.agg(*(f(v).alias(f"{k}_{v}") for v in names for k, f in (("m", F.avg), ("s", F.stddev_samp))))

@@ -194,7 +194,7 @@ def model(f: Callable[[DataFrame, SparkSession], DataFrame], table: str = "linei
 
 
 def multiscale(df: DataFrame, spark: SparkSession) -> DataFrame:
-    out, diag = models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, select=True, hat=len(df.take(2001)) <= models.MOST_DENSE)
+    out, diag = models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, select=True, hat=True)
     return out.withColumn("rounds", F.lit(diag["rounds"])).withColumn("converged", F.lit(diag["converged"]))
 
 
@@ -202,7 +202,7 @@ put("gwr_coefficients", coefficients, weighted_sql("gaussian", 30, LINES) + MOME
 put("gwr_coefficients_pair_plan", pair_coefficients, ORACLES["gwr_coefficients"])
 put("gwr_diagnostics", model(lambda df, s: rounded(one_row(s, models.gwr(df, "dep", ["a"], LINE_SPEC)[1]).select((F.col("rss") / 1000).alias("rss"), "tr_s", "tr_sts", "aicc"), 3)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(res*res)/1000,3) AS rss, round(sum(sii),3) AS tr_s, round(sum(ss),3) AS tr_sts, round(count(*)*ln(sum(res*res)/count(*))+count(*)*ln(2*pi())+count(*)*(count(*)+sum(sii))/(count(*)-2-sum(sii)),3) AS aicc FROM e")
 put("gwr_cv_score", model(lambda df, s: rounded(one_row(s, {"cv": models.score(df, local.points(df, "dep", ["a"]), LINE_SPEC)}), 2)), weighted_sql("gaussian", 30, LINES) + MOMENTS_SQL + "SELECT round(sum(cv*cv),2) AS cv FROM e")
-put("ols", model(lambda df, s: (lambda o: rounded(s.createDataFrame([(float(o["beta"][0]), float(o["beta"][1]), float(o["r2"]))], "intercept double, slope double, r2 double"), 4))(models.ols(local.points(df, "dep", ["a"])))), f"SELECT round(regr_intercept(dep,a),4) AS intercept, round(regr_slope(dep,a),4) AS slope, round(regr_r2(dep,a),4) AS r2 FROM ({LINES})")
+put("ols", model(lambda df, s: (lambda o: rounded(s.createDataFrame([(float(o["beta"][0]), float(o["beta"][1]), float(o["r2"]))], "intercept double, slope double, r2 double"), 4))(models.ols_of(df, "dep", ["a"]))), f"SELECT round(regr_intercept(dep,a),4) AS intercept, round(regr_slope(dep,a),4) AS slope, round(regr_r2(dep,a),4) AS r2 FROM ({LINES})")
 XS3, ONE = ["1.0", "a", "b"], ["1.0", "a"]
 NAMES3, NAMES2 = ["Intercept", "a", "b"], ["Intercept", "a"]
 
@@ -391,7 +391,7 @@ put("f_test_statistics", model(lambda df, s: test_rows(df, s).select("test", F.r
 
 
 def glm_row(df: DataFrame, spark: SparkSession) -> DataFrame:
-    g = models.glm(local.points(df, "n", ["a"]), "poisson")
+    g = models.glm_of(df, "n", ["a"], "poisson")
     return spark.createDataFrame([(round(float(g["beta"][0]), 6), round(float(g["beta"][1]), 7), round(g["deviance"], 4), round(g["null_deviance"], 4), round(g["aic"], 4))], "intercept double, a double, deviance double, null_deviance double, aic double")
 
 

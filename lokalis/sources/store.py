@@ -19,7 +19,28 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: lineage ends here. ``dropped`` deletes it."""
+    path = path or folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables, once nothing will read it."""
+    for df in tables:
+        fs, at = file_system(df.sparkSession, df.written_at)
+        fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)

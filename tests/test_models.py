@@ -46,7 +46,9 @@ def test_hat_matrix_sums_against_dense(grid, kernel, adaptive):
     W = local.weights_of(spec, p, p.xy)
     S = np.stack([x @ np.linalg.inv((p.X * w[:, None]).T @ p.X) @ (p.X * w[:, None]).T for x, w in zip(p.X, W)])
     assert np.allclose(f.s_ii, np.diag(S)) and np.allclose(f.ss, (S * S).sum(1))
-    q = models.q_block(pd.DataFrame({"fid": p.fid, "x": p.xy[:, 0], "y": p.xy[:, 1]}), (spec, p, None)).q
+    work = models.SecondPass()
+    work.block(pd.DataFrame({"fid": p.fid, "x": p.xy[:, 0], "y": p.xy[:, 1]}), (spec, p, None, p.y))
+    q = next(work.ended()).q
     assert np.allclose(q, ((np.eye(25) - S) ** 2).sum(0))
     loo = []
     for i in range(25):
