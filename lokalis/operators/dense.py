@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
 from lokalis.functions import kernels
-from lokalis.operators import pairs, summary, tiles
+from lokalis.operators import neighbours, pairs, summary, tiles
 from lokalis.operators.local import Points, Spec, blocks, distances, over_foci, weigh
 from lokalis.operators.rows import numbered
 
@@ -159,7 +159,9 @@ def spearman(focus: DataFrame, data: DataFrame, x: str, y: str, spec: Spec) -> D
 def nearest(focus: DataFrame, data: DataFrame, k: int, spec: Spec = Spec(0)) -> DataFrame:
     """``fid, d_fid, rank, d``: the ``k`` nearest data rows of each focus, ties by data id; only candidates up to the k-th distance are sorted."""
     if not small(data):
-        return pairs.nearest(focus.select("fid", "x", "y"), data, k, metric_of(spec)).select("fid", "d_fid", "rank", "d")
+        if spec.metric == "euclidean":
+            return neighbours.nearest(focus, data, k)
+        return pairs.nearest(places(focus), whole(data, []), k, metric_of(spec)).select("fid", "d_fid", "rank", "d")
 
     def run(pdf: pd.DataFrame, p: Points) -> pd.DataFrame:
         out = []

@@ -8,7 +8,7 @@ import pytest
 from lokalis.plans import catalog
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events sales clicks".split()
 
 
 @pytest.fixture(scope="module")
