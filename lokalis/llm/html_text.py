@@ -9,7 +9,12 @@ as wide as their widest cell, spans over columns and rows are kept, a cell of se
 
 Invisible are elements without a box, the hidden attribute, ``display: none`` and ``visibility`` (which a
 descendant may turn back) of inline styles, and those of page styles for a single class, id or tag outside of
-at-rules; other selectors are not followed. Scanning and building take time in proportion to the page.
+at-rules; other selectors are not followed. Of closed ``details`` only the summary is seen.
+
+Time and output are in proportion to the page, whatever its tables and lists: lines are indented by MOST_INDENT
+blanks at most, a table's row is padded by MOST_PAD characters a line at most and all of them by 20 times the table's text and
+TABLE_PAD (further cells follow each other), and
+tables in more than MOST_NESTED others are laid out as blocks. No text is left out for that.
 
 Null and empty pages give an empty text; unclosed and stray tags are repaired, never an error; a tag that never
 ends is text. Repeated rows give equal rows; other columns are ignored. Deep nesting is laid out without recursion.
@@ -18,9 +23,11 @@ ends is text. Repeated rows give equal rows; other columns are ignored. Deep nes
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,18 +64,20 @@ FENCES = frozenset("table td th caption html template object button".split())
 TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption".split())
 #: The most columns and rows that a cell may span.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Limits of what layout adds to the text: blanks before a line, characters that align the cells of a line, and of a table besides 20 times its text, tables around one that is drawn as a grid.
+MOST_INDENT, MOST_PAD, TABLE_PAD, MOST_NESTED = 80, 2000, 20_000, 20
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: The rest of a tag: quotes count only behind an equals sign. Possessive, so that no text is tried twice.
 REST = re.compile(r"((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)(\s*!\s*important)?", re.I)
 SIMPLE = re.compile(r"[.#]?-?[a-zA-Z_][\w-]*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start", "foreign", "para", "ghost", "names", "spans", "lines")
+    __slots__ = ("tag", "kids", "hidden", "start", "foreign", "para", "ghost", "names", "spans", "lines", "flat")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1, parent: Node | None = None):
         self.tag, self.kids, self.hidden, self.start = tag, [], hidden, start
@@ -80,6 +89,8 @@ class Node:
         self.names: tuple[str, ...] = ()
         self.spans = (1, 1)
         self.lines: list[str] | None = None
+        #: A table that is laid out as a block, or closed details.
+        self.flat = False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -90,8 +101,15 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def declared(style: str) -> tuple[bool, bool | None]:
-    """(not displayed, invisible or None if that isn't said) of declarations; the last one counts."""
-    said = {m[1].lower(): m[2].lower() for m in DECLARED.finditer(style)}
+    """(not displayed, invisible or None if that isn't said) of declarations; the last important one counts, else the last."""
+    said: dict[str, str] = {}
+    firm: set[str] = set()
+    for m in DECLARED.finditer(style):
+        name = m[1].lower()
+        if m[3] or name not in firm:
+            said[name] = m[2].lower()
+        if m[3]:
+            firm.add(name)
     return said.get("display") == "none", said["visibility"] in ("hidden", "collapse") if "visibility" in said else None
 
 
@@ -177,7 +195,11 @@ class Builder:
         if tag in CELL and ("colspan" in attrs or "rowspan" in attrs):
             node.spans = number(attrs.get("colspan", ""), MOST_COLUMNS), number(attrs.get("rowspan", ""), MOST_ROWS, 0)
         if tag == "table":
-            self.tables.append(node)
+            node.flat = len(self.places.get("table", ())) > MOST_NESTED
+            if not node.flat:
+                self.tables.append(node)
+        elif tag == "details":
+            node.flat = "open" not in attrs
         if tag == "img" and attrs.get("alt"):  # inside the image's node, so that its visibility holds
             node.kids.append(attrs["alt"].replace("&", "&amp;"))
         above.kids.append(node)
@@ -256,7 +278,7 @@ class Page:
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.gap = False
-        self.indent = ""
+        self.indent = 0
         self.marker = ""
 
     def flush(self) -> None:
@@ -276,19 +298,103 @@ class Page:
             self.lines.append("")
         self.gap = False
         mark, self.marker = self.marker, " " * len(self.marker) if self.marker else ""
-        self.lines.append(f"{self.indent}{mark}{line}".rstrip())
+        self.lines.append(f"{' ' * min(self.indent, MOST_INDENT)}{mark}{line}".rstrip())
 
     def block(self, spaced: bool) -> None:
         self.flush()
         self.gap |= spaced
 
 
+class Covered:
+    """Columns that cells of rows above still cover: disjoint intervals, each until a row, and the runs that they make together."""
+
+    def __init__(self) -> None:
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        self.until: list[int] = []
+        self.runs: tuple[list[int], list[int]] = ([], [])
+        self.queue: list[tuple[int, int]] = []
+
+    def free(self, at: int) -> int:
+        """The first column from ``at`` on that is not covered."""
+        begin, end = self.runs
+        k = bisect_right(begin, at) - 1
+        return end[k] if k >= 0 and end[k] > at else at
+
+    def cover(self, lo: int, hi: int, until: int) -> None:
+        a, b = bisect_right(self.end, lo), bisect_left(self.begin, hi)
+        new, at = [], lo
+        for x, y, u in zip(self.begin[a:b], self.end[a:b], self.until[a:b]):  # what is there stays covered at least as long
+            new += [(x, lo, u)] if x < lo else [(at, x, until)] if at < x else []
+            new.append((max(x, lo), min(y, hi), max(u, until)))
+            new += [(hi, y, u)] if y > hi else []
+            at = min(y, hi)
+        new += [(at, hi, until)] if at < hi else []
+        self.begin[a:b], self.end[a:b], self.until[a:b] = map(list, zip(*new))
+        for x, _, u in new:
+            heappush(self.queue, (u, x))
+        begin, end = self.runs
+        a, b = bisect_left(end, lo), bisect_right(begin, hi)
+        if a < b:
+            lo, hi = min(lo, begin[a]), max(hi, end[b - 1])
+        begin[a:b], end[a:b] = [lo], [hi]
+
+    def row(self, number: int) -> None:
+        """Let go of what ends before this row."""
+        while self.queue and self.queue[0][0] <= number:
+            until, lo = heappop(self.queue)
+            k = bisect_left(self.begin, lo)
+            if k == len(self.begin) or self.begin[k] != lo or self.until[k] != until:
+                continue  # covered anew since
+            hi = self.end[k]
+            del self.begin[k], self.end[k], self.until[k]
+            begin, end = self.runs
+            k = bisect_right(begin, lo) - 1
+            left = [(x, y) for x, y in ((begin[k], lo), (hi, end[k])) if x < y]
+            begin[k : k + 1], end[k : k + 1] = [x for x, _ in left], [y for _, y in left]
+
+
+def row_lines(cells: list[tuple[int, int, list[str]]], at: list[int], purse: list[int]) -> list[str]:
+    """A row's lines: cells (first column, column behind, lines) padded to where columns begin (``at``), by MOST_PAD characters a line and by ``purse`` in the table at most."""
+    here: list[list[int]] = [[] for _ in range(max((len(c[2]) for c in cells), default=0))]
+    for i, (_, _, lines) in enumerate(cells):
+        for k in range(len(lines)):
+            here[k].append(i)
+    out = []
+    blank = lambda lo, hi: [" " * (at[c + 1] - at[c] - 3) + " | " for c in range(lo, hi)]
+    for k, present in enumerate(here):
+        most = left = min(MOST_PAD, purse[0])
+        parts, column, i = [], 0, 0
+        for j in [*present, len(cells)]:
+            while i < j and left > 0:  # cells without this line
+                first, behind, _ = cells[i]
+                left -= at[behind] - at[column]
+                if left > 0:
+                    parts += [*blank(column, first), " " * (at[behind] - at[first] - 3) + " | "]
+                    column = behind
+                i += 1
+            if j == len(cells):
+                break
+            first, behind, lines = cells[j]
+            if first > column:
+                left -= at[first] - at[column]
+                parts += blank(column, first) if left > 0 else ["| "]
+            pad = at[behind] - at[first] - 3 - len(lines[k])
+            left -= pad
+            parts.append(lines[k] + (" " * pad if left > 0 else "") + " | ")
+            column, i = behind, j + 1
+        purse[0] -= most - max(left, 0)
+        text = "".join(parts)[:-3].rstrip() if i == len(cells) else "".join(parts).rstrip()
+        out.append(text if text.strip(" |") else "")
+    return out
+
+
 def table_lines(table: Node, rules: dict) -> list[str]:
     """Rows of a table on a grid of columns; a cell's lines are padded to the widths of the columns that it spans."""
-    rows: list[list[tuple[int, int, int, list[str]]]] = []  # first column, columns and rows spanned, lines
+    rows: list[list[tuple[int, int, list[str]]]] = []  # first column, columns spanned, lines
     captions: list[str] = []
     todo = list(reversed(table.kids))
-    taken: dict[int, int] = {}  # column: rows that a cell from above still covers
+    covered = Covered()
     while todo:
         node = todo.pop()
         if isinstance(node, str):
@@ -298,19 +404,20 @@ def table_lines(table: Node, rules: dict) -> list[str]:
             continue
         elif node.tag == "tr":
             row, at = [], 0
-            below: dict[int, int] = {}
+            below = []
+            covered.row(len(rows))
             for c in node.kids:
                 if isinstance(c, str) and c.isspace() or isinstance(c, Node) and unseen(c, rules):
                     continue
-                while taken.get(at, 0) > 0:
-                    at += 1
+                at = covered.free(at)
                 lines = render(c, rules).split("\n") if isinstance(c, Node) else [SPACE.sub(" ", unescape(c)).strip()]
                 wide, deep = c.spans if isinstance(c, Node) else (1, 1)
-                row.append((at, wide, deep, lines))
+                row.append((at, wide, lines))
                 if deep != 1:
-                    below |= {k: (deep or MOST_ROWS) for k in range(at, at + wide)}
+                    below.append((at, at + wide, len(rows) + (deep or MOST_ROWS)))
                 at += wide
-            taken = {k: v - 1 for k, v in (taken | below).items() if v > 1}
+            for lo, hi, until in below:
+                covered.cover(lo, hi, until)
             rows.append(row)
         elif node.tag in ("thead", "tbody", "tfoot"):
             todo += reversed(node.kids)
@@ -321,7 +428,7 @@ def table_lines(table: Node, rules: dict) -> list[str]:
     width = [0] * len(starts)
     spanning = []
     for row in rows:
-        for at, wide, _, lines in row:
+        for at, wide, lines in row:
             k, to = place[at], bisect_left(starts, at + wide)
             need = max(map(len, lines))
             if to - k <= 1:
@@ -330,17 +437,10 @@ def table_lines(table: Node, rules: dict) -> list[str]:
                 spanning.append((to - k, k, to, need))
     for _, k, to, need in sorted(spanning):
         width[to - 1] += max(0, need - sum(width[k:to]) - 3 * (to - k - 1))
-    out = []
+    begins = list(accumulate((w + 3 for w in width), initial=0))
+    out, purse = [], [TABLE_PAD + 20 * sum(len(x) for row in rows for *_, lines in row for x in lines)]
     for row in rows:
-        cells = {place[at]: (bisect_left(starts, at + wide), lines) for at, wide, _, lines in row}
-        for line in range(max((len(x) for _, x in cells.values()), default=0)):
-            parts, k, end = [], 0, max(cells) + 1
-            while k < end:
-                to, lines = cells.get(k, (k + 1, ()))
-                parts.append((lines[line] if line < len(lines) else "").ljust(sum(width[k:to]) + 3 * (to - k - 1)))
-                k = to
-            text = " | ".join(parts).rstrip()
-            out.append(text if text.strip(" |") else "")
+        out += row_lines([(place[at], bisect_left(starts, at + wide), lines) for at, wide, lines in row], begins, purse)
         if out and not out[-1]:
             out.pop()
     return [c for c in captions if c] + out
@@ -350,6 +450,11 @@ def unseen(node: Node, rules: dict) -> bool:
     return node.hidden or bool(rules) and any(rules[x][0] for x in (node.tag, *node.names) if x in rules)
 
 
+def seen_of(details: Node) -> list:
+    """What is seen of details: all if they are open, else the summary."""
+    return details.kids if not details.flat else next(([k] for k in details.kids if isinstance(k, Node) and k.tag == "summary"), [])
+
+
 def ghostly(node: Node, rules: dict, around: bool) -> bool:
     """Whether the text right inside is invisible, though elements inside may be visible."""
     said = [rules[x][1] for x in (node.tag, *node.names) if x in rules] if rules else []
@@ -386,7 +491,7 @@ def render(root: Node, rules: dict) -> str:
             for line in plain(node, rules, ghost).strip("\n").split("\n"):
                 page.put(line)
             page.gap = True
-        elif tag == "table" and node is not root:
+        elif tag == "table" and node is not root and not node.flat:
             page.block(True)
             for line in [] if ghost else node.lines or []:
                 page.put(line)
@@ -398,10 +503,10 @@ def render(root: Node, rules: dict) -> str:
             if tag == "li":
                 page.marker = f"{counter}. " if counter is not None else "- "
             elif nested or tag in ("blockquote", "dd"):
-                page.indent += "  "
+                page.indent += 2
             inner = depth + (tag in ("ul", "ol", "menu"))
             number, kids = node.start, []
-            for k in node.kids:
+            for k in seen_of(node) if tag == "details" else node.kids:
                 if tag == "ol" and isinstance(k, Node) and k.tag == "li":
                     number = k.start if k.start >= 0 else number
                     kids.append(("open", k, inner, number, ghost))

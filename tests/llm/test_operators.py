@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -531,6 +532,84 @@ def test_html_takes_time_in_proportion(page):
     assert time.time() - began < 8 + 24 * small
 
 
+def grid_of(rows):
+    """Brute-force layout of a table's cells (text, colspan, rowspan): every column of every row is marked."""
+    taken, placed = {}, []
+    for r, row in enumerate(rows):
+        at = 0
+        own, below = [], []
+        for text, wide, deep in row:
+            while taken.get((r, at)):
+                at += 1
+            own.append((at, wide, text))
+            below += [(r + d, c) for d in range(1, (deep or 99)) for c in range(at, at + wide)]
+            at += wide
+        taken |= dict.fromkeys(below, True)
+        placed.append(own)
+    starts = sorted({at for row in placed for at, *_ in row})
+    index = {c: k for k, c in enumerate(starts)}
+    behind = lambda at, wide: sum(s < at + wide for s in starts)
+    width = [0] * len(starts)
+    spans = []
+    for row in placed:
+        for at, wide, text in row:
+            k, to = index[at], behind(at, wide)
+            if to - k == 1:
+                width[k] = max(width[k], len(text))
+            else:
+                spans.append((to - k, k, to, len(text)))
+    for _, k, to, need in sorted(spans):
+        width[to - 1] += max(0, need - sum(width[k:to]) - 3 * (to - k - 1))
+    out = []
+    for row in placed:
+        line, k = [], 0
+        for at, wide, text in row:
+            line += [" " * width[c] for c in range(k, index[at])]
+            k = behind(at, wide)
+            line.append(text.ljust(sum(width[index[at] : k]) + 3 * (k - index[at] - 1)))
+        line = " | ".join(line).rstrip()
+        if row and line.strip(" |"):
+            out.append(line)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_html_tables_equal_brute_force(seed):
+    r = random.Random(seed)
+    for _ in range(150):
+        rows = [[(r.choice(["a", "bb", "ccc", "long text"]), r.choice([1, 1, 2, 3]), r.choice([1, 1, 2, 3, 0])) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={d}>{t}" for t, w, d in row) for row in rows) + "</table>"
+        assert html_text.visible_text(page) == grid_of(rows), page
+
+
+def test_html_importance_and_details():
+    assert html_text.visible_text("<p style='display:none !important; display:block'>no<p style='display:none; display:block !important; display:none'>yes") == "yes"
+    assert html_text.visible_text("<details><summary>more</summary>no<p>no</details><details open><summary>less</summary>yes</details>") == "more\nless\nyes"
+    assert html_text.visible_text("<details>no</details>x") == "x"
+
+
+HOSTILE = {
+    "spans": "<table>" + "<tr><td rowspan=65534 colspan=1000>a" * 28_000,
+    "stairs": "<table>" + "".join(f"<tr><td rowspan={30_000 - k}>a" for k in range(30_000)),
+    "teeth": "<table>" + "".join(f"<tr><td rowspan={1 + k % 97}>a<td>b" for k in range(30_000)),
+    "lists": "<ul><li>a" * 100_000,
+    "quotes": "<blockquote>a" * 70_000,
+    "tables": "<table><tr><td>a" * 60_000,
+    "lines": "<table><tr><td>" + "a<br>" * 90_000 + "<td>a" * 90_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_seconds_and_keep_their_text(name):
+    import time
+
+    page = HOSTILE[name]
+    began = time.time()
+    text = html_text.visible_text(page)
+    assert time.time() - began < 60 and len(text) < 25 * len(page)
+    assert text.count("a") == re.sub("<[^>]*>", "", page).count("a")
+
+
 def test_html_very_long_pages(spark):
     rows = spark.createDataFrame([(1, "<p>" + "word " * 400_000), (2, "<b>" * 200_000 + "deep"), (3, "x" * 2_000_000)], "page_id long, html string")
     assert {r["page_id"]: len(r["text"]) for r in html_text.extract(rows).collect()} == {1: 1_999_999, 2: 4, 3: 2_000_000}
