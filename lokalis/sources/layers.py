@@ -185,34 +185,42 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def package_bytes(df: DataFrame, layer: str) -> bytes:
-    """A GeoPackage with one layer of points and their attributes."""
+    """A GeoPackage with one layer: points ``x, y``, or the geometries of a ``wkt`` column, and attributes."""
     pdf = gathered(df)
-    names = [c for c in df.columns if c not in ("fid", "x", "y")]
+    names = [c for c in df.columns if c not in ("fid", "x", "y", "wkt")]
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN"}
     con = sqlite3.connect(":memory:")
     con.execute("pragma application_id = 1196444487")  # "GPKG"
     con.executescript("create table gpkg_contents(table_name text primary key, data_type text, identifier text, srs_id integer); create table gpkg_geometry_columns(table_name text, column_name text, geometry_type_name text, srs_id integer, z integer, m integer)")
     con.execute(f"create table {quoted(layer)}(fid integer primary key, geom blob{''.join(f', {quoted(c)} {kinds.get(t, "TEXT")}' for c, t in df.dtypes if c in names)})")
     con.execute("insert into gpkg_contents values(?, 'features', ?, 4326)", (layer, layer))
-    con.execute("insert into gpkg_geometry_columns values(?, 'geom', 'POINT', 4326, 0, 0)", (layer,))
+    con.execute("insert into gpkg_geometry_columns values(?, 'geom', ?, 4326, 0, 0)", (layer, "GEOMETRY" if "wkt" in df.columns else "POINT"))
     point = lambda x, y: None if pd.isna(x) or pd.isna(y) else b"GP\0\1" + struct.pack("<iBIdd", 4326, 1, 1, x, y)
     plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
-    rows = zip(pdf.fid, pdf.x, pdf.y, *(pdf[c] for c in names))
-    con.executemany(f"insert into {quoted(layer)} values({', '.join('?' * (2 + len(names)))})", ([int(fid), point(x, y), *map(plain, rest)] for fid, x, y, *rest in rows))
+    blobs = [shapes.to_package(*shapes.bodies_of(w)) for w in pdf.wkt] if "wkt" in df.columns else [point(x, y) for x, y in zip(pdf.x, pdf.y)]
+    rows = zip(pdf.fid, blobs, *(pdf[c] for c in names))
+    con.executemany(f"insert into {quoted(layer)} values({', '.join('?' * (2 + len(names)))})", ([int(fid), blob, *map(plain, rest)] for fid, blob, *rest in rows))
     con.commit()
     return con.serialize()
 
 
 def shape_bytes(df: DataFrame) -> tuple[bytes, bytes]:
-    """The ``.shp`` and ``.dbf`` of a layer of points: numbers with 18 digits, other attributes as text."""
+    """The ``.shp`` and ``.dbf`` of a layer: points ``x, y``, or the geometries of a ``wkt`` column, all of the kind of the first one (others are written without geometry); numbers with 18 digits, other attributes as text."""
     pdf = gathered(df).sort_values("fid")
-    names = [c for c in df.columns if c not in ("fid", "x", "y")]
+    names = [c for c in df.columns if c not in ("fid", "x", "y", "wkt")]
     numeric = {c for c, t in df.dtypes if t in ("bigint", "int", "double", "float")}
-    bodies = [struct.pack("<i", 0) if pd.isna(x) or pd.isna(y) else struct.pack("<idd", 1, x, y) for x, y in zip(pdf.x, pdf.y)]
+    if "wkt" in df.columns:
+        known = [shapes.bodies_of(w) for w in pdf.wkt]
+        of = next((k for k, _ in known if k), 1)
+        bodies, code = [shapes.to_shape(*g, of) for g in known], {1: 8, 2: 3, 3: 5}[of]
+        every = [a for k, g in known if k == of for b in g for a in b]
+        x, y = (pd.Series(np.concatenate(every)[:, c] if every else []) for c in (0, 1))
+    else:
+        bodies, code = [struct.pack("<i", 0) if pd.isna(x) or pd.isna(y) else struct.pack("<idd", 1, x, y) for x, y in zip(pdf.x, pdf.y)], 1
+        x, y = pdf.x.dropna(), pdf.y.dropna()
     records = b"".join(struct.pack(">ii", k, len(b) // 2) + b for k, b in enumerate(bodies, 1))
-    x, y = pdf.x.dropna(), pdf.y.dropna()
     box = [x.min(), y.min(), x.max(), y.max()] if len(x) and len(y) else [0.0] * 4
-    shp = struct.pack(">i20xi", 9994, (100 + len(records)) // 2) + struct.pack("<ii4d32x", 1000, 1, *box) + records
+    shp = struct.pack(">i20xi", 9994, (100 + len(records)) // 2) + struct.pack("<ii4d32x", 1000, code, *box) + records
     cells = {c: [("" if pd.isna(v) else repr(float(v)) if c in numeric else str(v)).encode()[:254] for v in pdf[c]] for c in names}
     width = {c: max([1, *map(len, cells[c])]) for c in names}
     fields = b"".join(c.encode()[:10].ljust(11, b"\0") + (b"N" if c in numeric else b"C") + bytes(4) + bytes([width[c]]) + bytes(15) for c in names)
@@ -221,7 +229,7 @@ def shape_bytes(df: DataFrame) -> tuple[bytes, bytes]:
 
 
 def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Parquet, CSV with x and y, GeoJSON feature lines, or one file as ``gpkg`` or ``shp`` (points); an existing target is replaced."""
+    """Parquet, CSV with x and y, GeoJSON feature lines, or one file as ``gpkg`` or ``shp`` (points, or a ``wkt`` column's geometries); an existing target is replaced."""
     if kind == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     elif kind == "geojson":
@@ -239,14 +247,19 @@ def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def save_edits(df: DataFrame, path: str) -> DataFrame:
-    """An edited layer written over the table that it may have been read from: beside it first, then in its place."""
+    """An edited layer written over the table that it may have been read from. The new table is written beside it, the old one is put aside, and only when the new one is in its place is the old one deleted: at any moment one of both is whole, under ``path``, ``.saving`` or ``.before``."""
     context = df.sparkSession.sparkContext
-    target, fresh = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.saving"))
+    target, fresh, aside = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.saving", f"{path}.before"))
     df.write.mode("overwrite").parquet(fresh.toString())
     store = target.getFileSystem(context._jsc.hadoopConfiguration())
-    store.delete(target, True)
+    if store.exists(target):
+        store.delete(aside, True)
+        if not store.rename(target, aside):
+            raise OSError(f"the saved layer stays at {fresh.toString()}")
     if not store.rename(fresh, target):
+        store.rename(aside, target)
         raise OSError(f"the saved layer stays at {fresh.toString()}")
+    store.delete(aside, True)
     return df.sparkSession.read.parquet(path)
 
 

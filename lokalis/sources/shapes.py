@@ -6,6 +6,8 @@ a sign: rings of polygons that are holes count against the others.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 
 import numpy as np
@@ -102,3 +104,54 @@ def centroid(kind: int, parts: Parts) -> tuple[float | None, float | None]:
             return float(x), float(y)
     x, y = every.mean(0)
     return float(x), float(y)
+
+
+Bodies = list[list[np.ndarray]]
+PAIR = re.compile(r"(-?[\d.]+(?:[eE][-+]?\d+)?)\s+(-?[\d.]+(?:[eE][-+]?\d+)?)(?:\s+-?[\d.]+(?:[eE][-+]?\d+)?)*")
+
+
+def bodies_of(wkt: str | None) -> tuple[int, Bodies]:
+    """Kind and bodies of a well-known text: a body is a point, a line, or a polygon's rings, the outer one first. Empty or other texts have kind 0."""
+    m = re.match(r"\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(?:ZM|Z|M)?\s*(\(.*\))\s*$", wkt or "", re.I | re.S)
+    if not m:
+        return 0, []
+    nested = json.loads(PAIR.sub(r"[\1,\2]", m[3]).replace("(", "[").replace(")", "]"))
+    kind = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3}[m[2].upper()]
+    ring = lambda a: np.array(a, float).reshape(-1, 2)
+    if kind == 1:
+        return 1, [[ring(p)] for p in nested]
+    return kind, [[ring(x) for x in (g if kind == 3 else [g])] for g in (nested if m[1] else [nested])]
+
+
+def to_package(kind: int, bodies: Bodies, reference: int = 4326) -> bytes | None:
+    """A GeoPackage geometry: a header without a box, then well-known binary; several bodies are one multi-geometry."""
+    if not kind:
+        return None
+    points = lambda a: struct.pack("<I", len(a)) + np.ascontiguousarray(a, "<f8").tobytes()
+
+    def one(rings: list[np.ndarray]) -> bytes:
+        head = struct.pack("<BI", 1, kind)
+        if kind == 1:
+            return head + np.ascontiguousarray(rings[0], "<f8").tobytes()
+        return head + (points(rings[0]) if kind == 2 else struct.pack("<I", len(rings)) + b"".join(map(points, rings)))
+
+    body = one(bodies[0]) if len(bodies) == 1 else struct.pack("<BII", 1, kind + 3, len(bodies)) + b"".join(map(one, bodies))
+    return b"GP\0\1" + struct.pack("<i", reference) + body
+
+
+def turned(a: np.ndarray, clockwise: bool) -> np.ndarray:
+    area = (a[:-1, 0] * a[1:, 1] - a[1:, 0] * a[:-1, 1]).sum()
+    return a if (area < 0) == clockwise or not area else a[::-1]
+
+
+def to_shape(kind: int, bodies: Bodies, of: int) -> bytes:
+    """A shapefile record's content in a file of kind ``of``; another kind is written as no geometry. Outer rings turn clockwise, holes the other way."""
+    if kind != of or not bodies:
+        return struct.pack("<i", 0)
+    if kind == 1:
+        a = np.concatenate([b[0] for b in bodies])
+        return struct.pack("<i4di", 8, *a.min(0), *a.max(0), len(a)) + np.ascontiguousarray(a, "<f8").tobytes()
+    rings = [turned(a, k == 0) if kind == 3 else a for b in bodies for k, a in enumerate(b)]
+    a = np.concatenate(rings)
+    starts = np.cumsum([0, *(len(r) for r in rings[:-1])])
+    return struct.pack("<i4dii", 3 if kind == 2 else 5, *a.min(0), *a.max(0), len(rings), len(a)) + starts.astype("<i4").tobytes() + np.ascontiguousarray(a, "<f8").tobytes()
