@@ -419,4 +419,4 @@ PAIR_SIZES = {("dep", "a"): 20, ("dep", "b"): 35}
 put("gw_correlations", model(lambda df, s: rounded(dense.correlations(df, df, ["dep"], ["a", "b"], {k: local.Spec(v) for k, v in PAIR_SIZES.items()}).toDF("fid", "cov_a", "corr_a", "cov_b", "corr_b"), 4)), "SELECT * FROM (" + ") JOIN (".join(weighted_sql("gaussian", v, LINES) + CORRELATION_SQL.format(x=x, y=y) + f"SELECT fid, round(ab/k,4) AS cov_{y}, round(ab/sqrt(aa*bb),4) AS corr_{y} FROM t" for (x, y), v in PAIR_SIZES.items()) + ") USING (fid)")
 put("nearest_by_rings", lambda s, d: rounded(pairs.nearest(points_of(s, d, "customer").select("fid", "x", "y"), points_of(s, d, "customer"), 4).select("fid", "d_fid", "rank", "d")), f"WITH p AS ({CUSTOMERS}), q AS (SELECT f.fid, d.fid AS d_fid, sqrt{D2} AS d FROM p f CROSS JOIN p d), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, d_fid) AS rank FROM q) SELECT fid, d_fid, rank, round(d,6) AS d FROM r WHERE rank <= 4")
 
-from lokalis.plans import scale_queries, source_queries  # noqa: E402, F401
+from lokalis.plans import format_queries, scale_queries, source_queries  # noqa: E402, F401

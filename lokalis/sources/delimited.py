@@ -85,7 +85,7 @@ def read(spark: SparkSession, path: str, delimiters: str = ",", quote: str = '"'
             line = F.trim("line") if delimiters == "whitespace" else F.col("line")
             rows = text.withColumn("line", line).withColumn("cells", F.split("line", pattern, -1) if pattern else split_cells(delimiters, quote)).drop("line")
     if trim:
-        rows = rows.withColumn("cells", F.transform("cells", F.trim))
+        rows = rows.withColumn("cells", F.transform("cells", lambda c: F.trim(c)))
     if skip_empty:
         rows = rows.withColumn("cells", F.filter("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
     rows = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
