@@ -18,6 +18,8 @@ from . import dense, pairs, tiles
 from .local import BLOCK_PAIRS, FIT, MOST_POINTS, Points, Spec, distances, fit_block, fit_rows, free, golden, local_fit, over_foci, own_foci, points, solve, weigh, weights_of, with_size
 
 
+#: The fewest points of adaptive bandwidths that these models' searches try by default (20 for others).
+LEAST_POINTS = {"multiscale": 10, "components": 2}
 #: Points of a model that carries dense hat matrices.
 MOST_DENSE = 2000
 
@@ -389,10 +391,21 @@ def ridge_rows(df: DataFrame, p: Points, spec: Spec, lam: float, adjust: bool, l
 
 
 def ridge_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> DataFrame:
-    """Local ridge regression with local condition numbers and, if asked, the ridge that brings them to ``limit``."""
-    p = points(df, y, xs)
+    """Local ridge regression: coefficients, the ridge and condition number of each place (with ``adjust``, the ridge that brings the number to ``limit``), y, yhat, residual, SE and t values."""
+    p, names = points(df, y, xs), names_of(xs)
+    columns = [*names, "lambda", "condition", "y", "yhat", "residual", *(f"{n}_SE" for n in names), *(f"{n}_TV" for n in names)]
+    if not len(p.fid):
+        return nothing(df, columns)
     rows = ridge_rows(df, p, spec, lam, adjust, limit)
-    return rows.select("fid", *spread_out(rows, "beta", names_of(xs)), "lambda", "condition")
+    f = rows.toPandas().sort_values("fid", kind="stable")
+    free(rows)
+    beta = np.stack(f.beta)
+    yhat = (beta * p.X).sum(1)
+    rss = float(((p.y - yhat) ** 2).sum())
+    with np.errstate(all="ignore"):
+        se = np.sqrt(rss / (len(p.y) - 2 * f.s_ii.sum() + f.ss.sum()) * np.stack(f.raw))
+        values = [*beta.T, f["lambda"].to_numpy(), f.condition.to_numpy(), p.y, yhat, p.y - yhat, *se.T, *(beta / se).T]
+    return df.sparkSession.createDataFrame(pd.DataFrame({"fid": p.fid, **dict(zip(columns, values))}))
 
 
 def ridge_diagnostics(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> dict:
@@ -567,8 +580,8 @@ def gtdr_bandwidths(df: DataFrame, y: str, xs: list[str], specs: list[Spec], rou
     return specs, best
 
 
-def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = (), hat: bool = False) -> tuple[DataFrame, dict]:
-    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds (dense, MOST_DENSE points at most) and gives SE, t values and diagnostics."""
+def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = (), hat: bool = False, select_by: str = "CV", limits: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, dict]:
+    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds (dense, MOST_DENSE points at most) and gives SE, t values and diagnostics. ``select`` picks bandwidths by ``select_by`` (CV or AIC of the variable's own fit) within each variable's ``limits``, by default from LEAST_POINTS points on."""
     xs = [v for v in specs if v != "Intercept"]
     p = points(df, y, xs)
     if not len(p.fid):
@@ -582,7 +595,11 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
         return fit_block(pd.DataFrame({"fid": q.fid, "x": q.xy[:, 0], "y": q.xy[:, 1]}), (spec, q, None, None)) if small else fitted(df, q, spec)
 
     def cv(q: Points, spec: Spec) -> float:
-        v = float((fit(q, spec).cv ** 2).sum(skipna=False)) if small else score(df, q, spec)
+        if select_by == "AIC":
+            f = fit(q, spec)
+            v = aicc_of(len(q.y), float(((q.y - (np.stack(f.beta) * q.X).sum(1)) ** 2).sum()), float(f.s_ii.sum()))
+        else:
+            v = float((fit(q, spec).cv ** 2).sum(skipna=False)) if small else score(df, q, spec)
         return v if math.isfinite(v) else math.inf
 
     beta = np.stack(fit(p, own[0]).beta)
@@ -600,7 +617,8 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
             rest = p.y - (beta * p.X).sum(1) + beta[:, k] * p.X[:, k]
             one = Points(p.fid, p.xy, p.X[:, [k]], rest)
             if select and stable[k] < retries:
-                b = select_bandwidth(df, one, spec, "CV", by=lambda x: cv(one, x))[0]  # noqa: B023
+                ends = (limits or {}).get(names_of(xs)[k]) or ((float(LEAST_POINTS["multiscale"]), float(len(p.fid))) if spec.adaptive else None)
+                b = select_bandwidth(df, one, spec, "CV", by=lambda x: cv(one, x), limits=ends)[0]  # noqa: B023
                 stable[k] = stable[k] + 1 if abs(b - spec.size) <= near else 0
                 own[k] = spec = with_size(spec, b)
             beta[:, k] = np.stack(fit(one, spec).beta)[:, 0]
@@ -835,6 +853,7 @@ def gwpca_cv(df: DataFrame, p: Points, spec: Spec, k: int) -> float:
 
 def gwpca_bandwidth(df: DataFrame, variables: list[str], k: int, spec: Spec, limits: tuple[float, float] | None = None) -> tuple[float, list[tuple[float, float]]]:
     p = points(df, None, variables, intercept=False)
+    limits = limits or ((float(LEAST_POINTS["components"]), float(len(p.fid))) if spec.adaptive else None)
     return select_bandwidth(df, p, spec, by=lambda s: gwpca_cv(df, p, s, k), limits=limits)
 
 

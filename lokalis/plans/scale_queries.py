@@ -10,6 +10,9 @@ from lokalis.operators import dense, joins, local, models, neighbours, tiles
 from lokalis.plans import catalog, model_sql
 from lokalis.plans.catalog import BASIC, COUNTS, CUSTOMERS, LINE, LINE_SPEC, LINES, NAMES2, NAMES3, ONE, after, digits_of, model, off_ties, points_of, rounded, timed_sql, weighted_sql
 from lokalis.plans.registry import ORACLES, put
+from lokalis.sources import layers
+from lokalis.sources.store import folder
+from lokalis.streaming import windows
 
 #: Rows of a tile here, so that the small tables are many tiles as well.
 TILE = 512
@@ -88,3 +91,31 @@ SELECT fid, zone, y < 0 AS south, round({projection.SCALE * projection.RADIUS!r}
  round({projection.SCALE * projection.RADIUS!r}::DOUBLE*(xi{''.join(f'+{a!r}::DOUBLE*sin({2 * j}*xi)*cosh({2 * j}*eta)' for j, a in enumerate(projection.ALPHA, 1))})+CASE WHEN y < 0 THEN 10000000.0 ELSE 0.0 END,3) AS y FROM c"""
 put("project_to_zones", lambda s, d: rounded(projection.to_zones(globe(s, d)), 3), KRUEGER_SQL)
 put("project_there_and_back", lambda s, d: rounded(projection.from_zones(projection.to_zones(globe(s, d)))), f"SELECT fid, round(x,6) AS x, round(y,6) AS y FROM ({GLOBE}) WHERE abs(y) <= 84")
+
+
+RIDGE = {"y": 3, "yhat": 2, "residual": 2}
+put("gwr_ridge_rows", model(lambda df, s: digits_of(models.ridge_gwr(df, "dep", ["a", "b"], LINE_SPEC, adjust=True), RIDGE)), after(weighted_sql("gaussian", 30, LINES), catalog.RIDGE_SQL, "SELECT fid, round(dep,3) AS y, round(beta0+beta1/sda*a+beta2/sdb*b,2) AS yhat, round(dep-(beta0+beta1/sda*a+beta2/sdb*b),2) AS residual FROM ro JOIN p USING (fid)"))
+
+
+def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle of orders' places, from a layer written in the order of a curve."""
+    where = f"{folder(spark)}/places"
+    layers.write_places(points_of(spark, sf_dir, "orders"), where, 32)
+    return layers.read_places(spark, where, 20, 30, 40, 45)
+
+
+put("places_in_rectangle", pruned, "SELECT o_orderkey AS fid, CAST((o_orderkey*37)%101 AS DOUBLE) AS x, CAST((o_orderkey*53)%97 AS DOUBLE) AS y, o_totalprice AS v FROM orders WHERE (o_orderkey*37)%101 BETWEEN 20 AND 40 AND (o_orderkey*53)%97 BETWEEN 30 AND 45")
+
+
+def late_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily clicks as a stream that gets what has arrived month by month; what comes two days behind the latest click is too late."""
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "kind", "value", F.date_format("arrived_at", "yyyy-MM").alias("arrived"))
+    build = lambda s: windows.windowed(s, "ts", "1 day", ["kind"], {"n": F.count("*"), "total": F.sum("value")}, late="2 days")
+    updates, _ = windows.in_batches(spark, clicks, "arrived", build, folder(spark))
+    last = updates.groupBy("window_start", "kind").agg(F.max_by("n", "__batch").alias("n"), F.max_by("total", "__batch").alias("total"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "kind", "n", F.round("total", 2).alias("total"))
+
+
+put("streaming_late_rows", late_clicks, """WITH c AS (SELECT ts, kind, value, strftime(arrived_at, '%Y-%m') AS arrived FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL),
+m AS (SELECT arrived, max(max(ts)) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM c GROUP BY arrived)
+SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS n, round(sum(value),2) AS total FROM c JOIN m USING (arrived) WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY ALL""")

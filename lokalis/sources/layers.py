@@ -9,7 +9,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokalis.sources import shapes
@@ -246,6 +246,37 @@ def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def z_order(box: tuple[float, float, float, float]) -> Column:
+    """Rows' places along a curve that keeps what is near together: 16 bits of x and y by turns."""
+    x0, y0, x1, y1 = box
+    part = lambda c, lo, hi: F.least(F.lit(65535), F.greatest(F.lit(0), F.floor((F.col(c) - lo) / max(hi - lo, 1e-300) * 65535))).cast("long")
+    u, v = part("x", x0, x1), part("y", y0, y1)
+    bit = lambda c, k, to: F.shiftleft(F.shiftright(c, k).bitwiseAND(F.lit(1)), to)
+    out = F.lit(0).cast("long")
+    for k in range(16):
+        out = out + bit(u, k, 2 * k) + bit(v, k, 2 * k + 1)
+    return out
+
+
+def write_places(df: DataFrame, path: str, files: int = 64) -> None:
+    """A layer as Parquet files of neighbouring points, and beside it (``path.boxes``) the box of each file. Points without a place go to files of their own box, null."""
+    spark = df.sparkSession
+    box = df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    z = z_order(tuple(float(v) if v is not None else 0.0 for v in box))
+    df.withColumn("__z", z).repartitionByRange(files, F.col("__z").asc_nulls_last()).sortWithinPartitions("__z").drop("__z").write.mode("overwrite").parquet(path)
+    boxes = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")))
+    boxes.coalesce(1).write.mode("overwrite").parquet(f"{path}.boxes")
+
+
+def read_places(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Rows of ``write_places`` in a rectangle, borders included; only files whose box meets it are opened."""
+    boxes = spark.read.parquet(f"{path}.boxes")
+    met = boxes.filter((F.col("min_x") <= x1) & (F.col("max_x") >= x0) & (F.col("min_y") <= y1) & (F.col("max_y") >= y0))
+    names = [r["file"] for r in met.select("file").collect()]  # at most as many as the layer has files
+    rows = spark.read.parquet(*names) if names else spark.read.parquet(path).limit(0)
+    return rows.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+
+
 def save_edits(df: DataFrame, path: str) -> DataFrame:
     """An edited layer written over the table that it may have been read from. The new table is written beside it, the old one is put aside, and only when the new one is in its place is the old one deleted: at any moment one of both is whole, under ``path``, ``.saving`` or ``.before``."""
     context = df.sparkSession.sparkContext

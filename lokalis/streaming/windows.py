@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,3 +27,27 @@ def drained(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     query = rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def in_batches(spark: SparkSession, rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame], folder: str) -> tuple[DataFrame, int]:
+    """``rows`` fed to a stream by the ascending values of ``batch``, as they would arrive: each value's rows are one file drop and one start of the query on the same checkpoint.
+
+    ``build`` makes the streaming aggregate, whose updates are kept with their number (``__batch``). Also returns how many rows came
+    too late for the watermark and were dropped, by the state operators' own count (a row that several windows drop counts for each).
+    """
+    arrivals, out, state = f"{folder}/arrivals", f"{folder}/updates", f"{folder}/state"
+    first, late = 0, 0
+    for (value,) in sorted(rows.select(batch).filter(F.col(batch).isNotNull()).distinct().collect()):
+        rows.filter(F.col(batch) == F.lit(value)).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = build(spark.readStream.schema(rows.schema).parquet(arrivals))
+
+        def keep(part: DataFrame, number: int) -> None:
+            part.withColumn("__batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
+
+        query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        late += sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+        first += 1
+    if not first:
+        return spark.createDataFrame([], build(rows.filter("false")).schema).withColumn("__batch", F.lit(0).cast("long")), 0
+    return spark.read.parquet(out), late
