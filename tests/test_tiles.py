@@ -42,13 +42,13 @@ def plan_for_many(f, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(dense, "small", lambda data: False)
         m.setattr(models, "MOST_POINTS", 0)
-        m.setattr(tiles, "TILE", 25)
-        m.setattr(tiles, "PARTS", 4)
+        m.setattr(tiles, "TILE", 45)
+        m.setattr(tiles, "PARTS", 16)
         for g in (tiles.tiled, tiles.means, tiles.quantiles, tiles.correlation, tiles.summed, tiles.local_fits, tiles.basic, tiles.robust, tiles.generalized, tiles.second_pass, tiles.reached, tiles.kth_distance, tiles.score):
             names = g.__code__.co_varnames[: g.__code__.co_argcount]
             d = list(g.__defaults__ or ())
             if "tile" in names:
-                d[names.index("tile") - len(names) + len(d)] = 25
+                d[names.index("tile") - len(names) + len(d)] = 45
                 m.setattr(g, "__defaults__", tuple(d))
         return f()
 
