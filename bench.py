@@ -16,7 +16,8 @@ HEADLINE = ["gw_mean_gaussian_fixed", "gw_mean_bisquare_fixed", "gw_mean_orders"
 def main() -> None:
     spark = SparkSession.builder.master(f"local[{CPUS}]").config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    catalog.QUERIES["layer_statistics"](spark, SF_DIR).collect()  # start-up
+    catalog.QUERIES["layer_statistics"](spark, SF_DIR).collect()  # start-up of the JVM and, with the next one, of the Python workers
+    catalog.QUERIES["nearest_neighbours"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
         began = time.time()

@@ -28,7 +28,12 @@ def weights(name: str, d: np.ndarray, b: np.ndarray) -> np.ndarray:
     b = np.asarray(b, float)
     with np.errstate(divide="ignore", invalid="ignore"):
         r = d / b
-        out = {"gaussian": lambda: np.exp(-r * r / 2), "exponential": lambda: np.exp(-r), "bisquare": lambda: (1 - r**2) ** 2, "tricube": lambda: (1 - r**3) ** 3, "boxcar": lambda: np.ones_like(r)}[name]()
+        if name == "gaussian":
+            r *= r
+            r *= -0.5
+        out = {"gaussian": lambda: np.exp(r, out=r), "exponential": lambda: np.exp(-r), "bisquare": lambda: (1 - r**2) ** 2, "tricube": lambda: (1 - r**3) ** 3, "boxcar": lambda: np.ones_like(r)}[name]()
     if name in COMPACT:
         out = np.where(d > b, 0.0, out)
+    if b.ndim == 0 and b > 0:
+        return out
     return np.where(b > 0, out, (d == 0) * 1.0)

@@ -84,7 +84,8 @@ def distances(spec: Spec, a: np.ndarray, b: np.ndarray, at: np.ndarray | None =
         if spec.theta and spec.metric != "euclidean":
             c, s = np.cos(spec.theta), np.sin(spec.theta)
             u, v = u * c - v * s, u * s + v * c
-        u, v = np.abs(u), np.abs(v)
+        if spec.metric != "euclidean":
+            u, v = np.abs(u), np.abs(v)
         d = {"euclidean": lambda: np.sqrt(u * u + v * v), "chebyshev": lambda: np.maximum(u, v), "manhattan": lambda: u + v}.get(spec.metric, lambda: (u ** float(spec.metric) + v ** float(spec.metric)) ** (1 / float(spec.metric)))()
     if at is not None and bt is not None:
         d = np.sqrt(d * d + spec.time_scale * (at[:, None] - bt[None, :]) ** 2)
