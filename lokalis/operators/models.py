@@ -150,11 +150,19 @@ class SecondPass:
 def fitted(df: DataFrame, p: Points, spec: Spec, extra: np.ndarray | None = None, t: str | None = None, noise: np.ndarray | None = None) -> pd.DataFrame:
     """FIT rows of all data points on the driver, in the points' order (bounded by MOST_POINTS)."""
     rows = local_fit(own_foci(df, p), p, spec, extra, t, noise)
-    out = rows.toPandas().sort_values("fid", kind="stable").reset_index(drop=True)
+    out = gathered(rows)
     free(rows)
     return out
 
 
+def gathered(rows: DataFrame) -> pd.DataFrame:
+    """Fits in the order of their ids; what a singular system leaves open is NaN."""
+    out = rows.toPandas().sort_values("fid", kind="stable").reset_index(drop=True)
+    for c in ("beta", "raw"):
+        out[c] = [np.array(v, float) for v in out[c]]
+    return out
+
+
 def score(df: DataFrame, p: Points, spec: Spec, criterion: str = "CV", t: str | None = None) -> float:
     """CV or AICc of a bandwidth; one job, one row to the driver."""
     rows = local_fit(own_foci(df, p), p, spec, t=t)
@@ -397,7 +405,7 @@ def ridge_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: float = 0.0
     if not len(p.fid):
         return nothing(df, columns)
     rows = ridge_rows(df, p, spec, lam, adjust, limit)
-    f = rows.toPandas().sort_values("fid", kind="stable")
+    f = gathered(rows)
     free(rows)
     beta = np.stack(f.beta)
     yhat = (beta * p.X).sum(1)
@@ -414,14 +422,14 @@ def ridge_diagnostics(df: DataFrame, y: str, xs: list[str], spec: Spec, lam: flo
     if not len(p.fid):
         return {}
     rows = ridge_rows(df, p, spec, lam, adjust, limit)
-    f = rows.toPandas().sort_values("fid")
+    f = gathered(rows)
     free(rows)
     return diagnostics(p, float(((p.y - (np.stack(f.beta) * p.X).sum(1)) ** 2).sum()), float(f.s_ii.sum()), float(f.ss.sum()))
 
 
 def ridge_cv(df: DataFrame, p: Points, spec: Spec, lam: float = 0.0, adjust: bool = False, limit: float = 30.0) -> float:
     rows = ridge_rows(df, p, spec, lam, adjust, limit, leave=True)
-    f = rows.toPandas().sort_values("fid")
+    f = gathered(rows)
     free(rows)
     out = float(((p.y - (np.stack(f.beta) * p.X).sum(1)) ** 2).sum())
     return out if math.isfinite(out) else math.inf
@@ -546,7 +554,7 @@ def gtdr(df: DataFrame, y: str, xs: list[str], specs: list[Spec]) -> DataFrame:
     if not len(p.fid):
         return nothing(df, [*names_of(xs), "y", "yhat", "residual", *(f"{n}_SE" for n in names_of(xs))]).withColumn("ok", F.lit(True))
     rows = over_foci(own_foci(df, p), (p, specs, None), product_block, FIT, len(p.fid))
-    f = rows.toPandas().sort_values("fid", kind="stable")
+    f = gathered(rows)
     free(rows)
     beta, names = np.stack(f.beta), names_of(xs)
     res = p.y - (beta * p.X).sum(1)

@@ -24,19 +24,19 @@ def text_table(name: str, table: str, key: str, line: str, how: dict, oracle: st
     put(name, lambda spark, sf_dir: finish(delimited.read(spark, lines_of(spark, sf_dir, table, key, line, before), **how)), oracle)
 
 
-text_table("csv_quotes_table", "customer", "c_custkey", """concat(c_custkey, ',"', c_name, ' ""x, y""\n', c_mktsegment, '",', c_nationkey)""", {}, "SELECT c_custkey AS id, c_name || ' \"x, y\"' || chr(10) || c_mktsegment AS t, c_nationkey AS n FROM customer", ("id,t,n",))
-text_table("csv_headers_table", "supplier", "s_suppkey", "concat_ws(',', s_suppkey, s_suppkey + 1, s_suppkey + 2, s_suppkey + 3, s_suppkey + 4)", {}, 'SELECT s_suppkey AS a, s_suppkey+1 AS "A_1", s_suppkey+2 AS field_3, s_suppkey+3 AS field_7, s_suppkey+4 AS "a_2" FROM supplier', (" a ,A,,field_7,a",))
-text_table("csv_types_table", "customer", "c_custkey", "concat_ws(',', c_custkey, c_custkey + 5000000000L, if(c_custkey % 3 = 0, '', cast(c_acctbal as string)), '', concat('s', c_custkey))", {}, "SELECT c_custkey AS i, c_custkey+5000000000 AS l, CASE WHEN c_custkey%3 <> 0 THEN c_acctbal END AS d, CAST(NULL AS VARCHAR) AS e, 's' || c_custkey AS s FROM customer", ("i,l,d,e,s",))
-text_table("csv_decimal_comma_table", "customer", "c_custkey", "concat(replace(cast(c_acctbal as string), '.', ','), ';', c_custkey)", {"delimiters": ";", "decimal_point": ","}, "SELECT c_acctbal AS v, c_custkey AS w FROM customer", ("v;w",))
-text_table("csv_long_and_short_table", "supplier", "s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN concat(s_suppkey, ',1,2,3') WHEN 1 THEN cast(s_suppkey as string) WHEN 2 THEN ',,' ELSE concat(s_suppkey, ',7') END", {}, "SELECT s_suppkey AS a, CASE s_suppkey%4 WHEN 0 THEN 1 WHEN 3 THEN 7 END AS b, CASE s_suppkey%4 WHEN 0 THEN 2 END AS field_3, CASE s_suppkey%4 WHEN 0 THEN 3 END AS field_4 FROM supplier WHERE s_suppkey%4 <> 2", ("a,b", ""))
-text_table("csv_delimiter_set_table", "customer", "c_custkey", "concat('\"', c_mktsegment, ';x\";', c_custkey, '|\"say \"\"', c_nationkey, '\"\"\"')", {"delimiters": ";|"}, "SELECT c_mktsegment || ';x' AS a, c_custkey AS b, 'say \"' || c_nationkey || '\"' AS c FROM customer", ("a;b|c",))
-text_table("csv_whitespace_table", "supplier", "s_suppkey", "concat(' ', s_suppkey, '  ', s_nationkey, '\t ', s_acctbal, ' ')", {"delimiters": "whitespace"}, "SELECT s_suppkey AS a, s_nationkey AS b, s_acctbal AS c FROM supplier", ("a  b\tc",))
-text_table("csv_pattern_table", "supplier", "s_suppkey", "if(s_suppkey % 5 = 0, concat('bad ', s_suppkey), concat('x=', s_suppkey, ' y=', s_nationkey))", {"pattern": r"^x=(\d+) y=(\d+)$", "header": False}, "SELECT s_suppkey AS field_1, s_nationkey AS field_2 FROM supplier WHERE s_suppkey%5 <> 0")
-text_table("csv_skip_lines_table", "supplier", "s_suppkey", "concat(s_suppkey, ',', s_nationkey)", {"skip_lines": 2}, "SELECT s_suppkey AS a, s_nationkey AS b FROM supplier", ("note", "more", "a,b"))
+text_table("csv_quotes_table", "customer", "c_custkey", """concat(c_custkey, ',"', c_name, ' ""x, y""\n', c_mktsegment, '",', c_nationkey)""", {}, "SELECT CAST(c_custkey AS INT) AS id, c_name || ' \"x, y\"' || chr(10) || c_mktsegment AS t, c_nationkey AS n FROM customer", ("id,t,n",))
+text_table("csv_headers_table", "supplier", "s_suppkey", "concat_ws(',', s_suppkey, s_suppkey + 1, s_suppkey + 2, s_suppkey + 3, s_suppkey + 4)", {}, 'SELECT CAST(s_suppkey AS INT) AS a, CAST(s_suppkey+1 AS INT) AS "A_1", CAST(s_suppkey+2 AS INT) AS field_3, CAST(s_suppkey+3 AS INT) AS field_7, CAST(s_suppkey+4 AS INT) AS "a_2" FROM supplier', (" a ,A,,field_7,a",))
+text_table("csv_types_table", "customer", "c_custkey", "concat_ws(',', c_custkey, c_custkey + 5000000000L, if(c_custkey % 3 = 0, '', cast(c_acctbal as string)), '', concat('s', c_custkey))", {}, "SELECT CAST(c_custkey AS INT) AS i, c_custkey+5000000000 AS l, CASE WHEN c_custkey%3 <> 0 THEN c_acctbal END AS d, CAST(NULL AS VARCHAR) AS e, 's' || c_custkey AS s FROM customer", ("i,l,d,e,s",))
+text_table("csv_decimal_comma_table", "customer", "c_custkey", "concat(replace(cast(c_acctbal as string), '.', ','), ';', c_custkey)", {"delimiters": ";", "decimal_point": ","}, "SELECT c_acctbal AS v, CAST(c_custkey AS INT) AS w FROM customer", ("v;w",))
+text_table("csv_long_and_short_table", "supplier", "s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN concat(s_suppkey, ',1,2,3') WHEN 1 THEN cast(s_suppkey as string) WHEN 2 THEN ',,' ELSE concat(s_suppkey, ',7') END", {}, "SELECT CAST(s_suppkey AS INT) AS a, CASE s_suppkey%4 WHEN 0 THEN 1 WHEN 3 THEN 7 END AS b, CASE s_suppkey%4 WHEN 0 THEN 2 END AS field_3, CASE s_suppkey%4 WHEN 0 THEN 3 END AS field_4 FROM supplier WHERE s_suppkey%4 <> 2", ("a,b", ""))
+text_table("csv_delimiter_set_table", "customer", "c_custkey", "concat('\"', c_mktsegment, ';x\";', c_custkey, '|\"say \"\"', c_nationkey, '\"\"\"')", {"delimiters": ";|"}, "SELECT c_mktsegment || ';x' AS a, CAST(c_custkey AS INT) AS b, 'say \"' || c_nationkey || '\"' AS c FROM customer", ("a;b|c",))
+text_table("csv_whitespace_table", "supplier", "s_suppkey", "concat(' ', s_suppkey, '  ', s_nationkey, '\t ', s_acctbal, ' ')", {"delimiters": "whitespace"}, "SELECT CAST(s_suppkey AS INT) AS a, s_nationkey AS b, s_acctbal AS c FROM supplier", ("a  b\tc",))
+text_table("csv_pattern_table", "supplier", "s_suppkey", "if(s_suppkey % 5 = 0, concat('bad ', s_suppkey), concat('x=', s_suppkey, ' y=', s_nationkey))", {"pattern": r"^x=(\d+) y=(\d+)$", "header": False}, "SELECT CAST(s_suppkey AS INT) AS field_1, s_nationkey AS field_2 FROM supplier WHERE s_suppkey%5 <> 0")
+text_table("csv_skip_lines_table", "supplier", "s_suppkey", "concat(s_suppkey, ',', s_nationkey)", {"skip_lines": 2}, "SELECT CAST(s_suppkey AS INT) AS a, s_nationkey AS b FROM supplier", ("note", "more", "a,b"))
 text_table("csv_typed_table", "supplier", "s_suppkey", "concat(lpad(s_suppkey, 6, '0'), ',', s_nationkey, ',', s_suppkey)", {"types": '"String","Real(10.2)","longlong"'}, "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS a, CAST(s_nationkey AS DOUBLE) AS b, CAST(s_suppkey AS BIGINT) AS c FROM supplier", ("a,b,c",))
 
 DEGREES_LINE = "concat(s_suppkey, ';', CASE s_suppkey % 3 WHEN 0 THEN concat('N ', s_suppkey % 60, ' 30 00') WHEN 1 THEN concat(s_suppkey % 60, '°15''36\"W') ELSE concat('-', s_suppkey % 60, ' 45') END)"
-text_table("geometry_degrees_table", "supplier", "s_suppkey", DEGREES_LINE, {"delimiters": ";", "quote": ""}, "SELECT s_suppkey AS id, round(CASE s_suppkey%3 WHEN 0 THEN s_suppkey%60+0.5 WHEN 1 THEN -(s_suppkey%60+15/60.0+36/3600.0) ELSE -(s_suppkey%60+0.75) END,6) AS v FROM supplier", ("id;c",), lambda df: df.select("id", F.round(delimited.degrees(F.col("c")), 6).alias("v")))
+text_table("geometry_degrees_table", "supplier", "s_suppkey", DEGREES_LINE, {"delimiters": ";", "quote": ""}, "SELECT CAST(s_suppkey AS INT) AS id, round(CASE s_suppkey%3 WHEN 0 THEN s_suppkey%60+0.5 WHEN 1 THEN -(s_suppkey%60+15/60.0+36/3600.0) ELSE -(s_suppkey%60+0.75) END,6) AS v FROM supplier", ("id;c",), lambda df: df.select("id", F.round(delimited.degrees(F.col("c")), 6).alias("v")))
 
 #: Shapes around a point, whose centroid is the point (lines: one further to the right).
 WKT = """CASE fid % 5 WHEN 0 THEN concat('POINT(', x, ' ', y, ')') WHEN 1 THEN concat('LINESTRING(', x, ' ', y, ', ', x + 2, ' ', y, ')')

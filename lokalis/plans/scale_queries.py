@@ -50,7 +50,7 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_of(spark, sf_dir, "customer").select("fid", at("x"), at("y"))
 
 
-put("nearest_by_leaves", lambda s, d: rounded(neighbours.nearest(clustered(s, d), clustered(s, d), 4, 100)), f"WITH p AS ({CLUSTERED}), q AS (SELECT f.fid, d.fid AS d_fid, sqrt({catalog.D2}) AS d FROM p f CROSS JOIN p d), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, d_fid) AS rank FROM q) SELECT fid, d_fid, rank, round(d,6) AS d FROM r WHERE rank <= 4")
+put("nearest_by_leaves", lambda s, d: rounded(neighbours.nearest(clustered(s, d), clustered(s, d), 4, 100)), f"WITH p AS ({CLUSTERED}), q AS (SELECT f.fid, d.fid AS d_fid, sqrt({catalog.D2}) AS d FROM p f CROSS JOIN p d), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, d_fid) AS rank FROM q) SELECT fid, d_fid, CAST(rank AS INT) AS rank, round(d,6) AS d FROM r WHERE rank <= 4")
 
 
 def last_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,3 +171,11 @@ def test_no_plan_for_many_rows_is_a_cross_join(scattered, monkeypatch):
     text = plan_for_many(lambda: dense.means(scattered, scattered, ["z"], local.Spec(5.0))._jdf.queryExecution().toString(), monkeypatch)
     assert "Cartesian" not in text and "NestedLoop" not in text and "CoGroup" in text.replace("FlatMapCoGroups", "CoGroup")
     assert pairs.BROADCAST_POINTS > 0
+
+
+@pytest.mark.parametrize("spec", [local.Spec(1.2, "bisquare"), local.Spec(2, "bisquare", True)], ids=str)
+def test_singular_places_have_no_coefficients_and_stop_nothing(scattered, spec):
+    """Foci with too few points for their coefficients."""
+    got = models.gwr(scattered, "z", ["a", "b"], spec)[0].toPandas()
+    assert len(got) == 86 and got["Intercept"].isna().any()
+    assert models.ridge_gwr(scattered, "z", ["a"], spec).count() == 87 and models.gtdr(scattered, "z", ["a"], [local.Spec(1e-9, "boxcar")]).count() == 87
