@@ -14,14 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import dense, pairs, tiles
+from . import dense, hats, pairs, tiles
 from .local import BLOCK_PAIRS, FIT, MOST_POINTS, Points, Spec, distances, fit_block, fit_rows, free, golden, local_fit, over_foci, own_foci, points, solve, weigh, weights_of, with_size
 
 
 #: The fewest points of adaptive bandwidths that these models' searches try by default (20 for others).
 LEAST_POINTS = {"multiscale": 10, "components": 2}
-#: Points of a model that carries dense hat matrices.
-MOST_DENSE = 2000
 
 
 def names_of(xs: list[str], intercept: bool = True) -> list[str]:
@@ -589,7 +587,7 @@ def gtdr_bandwidths(df: DataFrame, y: str, xs: list[str], specs: list[Spec], rou
 
 
 def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str = "dCVR", tol: float = 1e-6, most: int = 500, retries: int = 5, select: bool = False, near: float = 1e-6, centre: tuple[str, ...] = (), hat: bool = False, select_by: str = "CV", limits: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, dict]:
-    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds (dense, MOST_DENSE points at most) and gives SE, t values and diagnostics. ``select`` picks bandwidths by ``select_by`` (CV or AIC of the variable's own fit) within each variable's ``limits``, by default from LEAST_POINTS points on."""
+    """Back-fitting: each variable's coefficient is fitted alone, with its own bandwidth, to what the others leave over; a bandwidth picked alike (to ``near``) ``retries`` times is frozen. ``converged`` tells whether ``tol`` was reached within ``most`` rounds. Variables in ``centre`` are taken from their mean. ``hat``: each variable's hat matrix is carried through the rounds, some columns in each task (``hats.backfitted``), and gives SE, t values and diagnostics. ``select`` picks bandwidths by ``select_by`` (CV or AIC of the variable's own fit) within each variable's ``limits``, by default from LEAST_POINTS points on."""
     xs = [v for v in specs if v != "Intercept"]
     p = points(df, y, xs)
     if not len(p.fid):
@@ -611,13 +609,7 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
         return v if math.isfinite(v) else math.inf
 
     beta = np.stack(fit(p, own[0]).beta)
-    S: list[np.ndarray] = []
-    if hat:
-        if len(p.y) > MOST_DENSE:
-            raise ValueError(f"the hat matrices take {MOST_DENSE} points at most")
-        W = weights_of(own[0], p, p.xy)
-        first = np.linalg.solve(np.einsum("mn,np,nq->mpq", W, p.X, p.X, optimize=True), p.X.T[None] * W[:, None, :])
-        S = [p.X[:, [k]] * first[:, k, :] for k in range(len(own))]
+    first, steps = own[0], []
     rss, stable, rounds = float(((p.y - (beta * p.X).sum(1)) ** 2).sum()), [0] * len(own), 0
     change = math.inf
     for rounds in range(1, most + 1):
@@ -630,10 +622,7 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
                 stable[k] = stable[k] + 1 if abs(b - spec.size) <= near else 0
                 own[k] = spec = with_size(spec, b)
             beta[:, k] = np.stack(fit(one, spec).beta)[:, 0]
-            if hat:
-                W = weights_of(spec, p, p.xy) * p.X[:, k]
-                alone = p.X[:, [k]] * W / (W @ p.X[:, k])[:, None]
-                S[k] = alone @ (S[k] + np.eye(len(p.y)) - sum(S))
+            steps.append((k, spec))
         new = float(((p.y - (beta * p.X).sum(1)) ** 2).sum())
         change = abs(new - rss) if criterion == "CVR" else math.sqrt(abs(new - rss) / max(new, 1e-300))
         rss = new
@@ -643,12 +632,11 @@ def multiscale_gwr(df: DataFrame, y: str, specs: dict[str, Spec], criterion: str
     out = pd.DataFrame({"fid": p.fid, **{n: beta[:, k] for k, n in enumerate(names_of(xs))}, "y": p.y, "yhat": yhat, "residual": p.y - yhat})
     more = {}
     if hat:
-        whole = sum(S)
-        s, ss = float(np.trace(whole)), float((whole**2).sum())
+        s, ss, squares = hats.backfitted(df.sparkSession, p, first, steps)
         more = diagnostics(p, rss, s, ss)
         with np.errstate(all="ignore"):
             for k, n in enumerate(names_of(xs)):
-                out[f"{n}_SE"] = np.sqrt(rss / (len(p.y) - 2 * s + ss) * ((S[k] / p.X[:, [k]]) ** 2).sum(1))
+                out[f"{n}_SE"] = np.sqrt(rss / (len(p.y) - 2 * s + ss) * squares[:, k])
                 out[f"{n}_TV"] = beta[:, k] / out[f"{n}_SE"]
     return df.sparkSession.createDataFrame(out), more | {"rss": rss, "rounds": rounds, "change": change, "converged": change <= tol, "bandwidths": {n: s.size for n, s in zip(names_of(xs), own)}}
 
@@ -899,32 +887,29 @@ def f_cdf(x: float, d1: float, d2: float) -> float:
     return front * beta_fraction(a, b, z) / a if z < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - z) / b
 
 
-def f_tests(df: DataFrame, y: str, xs: list[str], spec: Spec, most: int = 3000) -> dict:
-    """F1, F2 and F4 (local against global fit) and F3 for each coefficient (does it vary), from the dense hat matrix of at most ``most`` points."""
-    p = points(df, y, xs)
+def f_tests(df: DataFrame, y: str, xs: list[str], spec: Spec) -> dict:
+    """F1, F2 and F4 (local against global fit) and F3 for each coefficient (does it vary): statistic, both degrees of freedom and probability.
+
+    The traces are summed over pairs of blocks of hat rows (``hats.traces``), for MOST_POINTS points at most. A place
+    with a singular system makes all of them NaN. No rows give no tests.
+    """
+    p, spark = points(df, y, xs), df.sparkSession
     n, c = p.X.shape
-    if n > most:
-        raise ValueError(f"the dense tests take {most} points at most")
-    W = weights_of(spec, p, p.xy)
-    inv = np.linalg.inv(np.einsum("mn,np,nq->mpq", W, p.X, p.X, optimize=True))
-    C = np.einsum("mpq,nq,mn->mpn", inv, p.X, W, optimize=True)
-    S = np.einsum("mp,mpn->mn", p.X, C)
-    R = (np.eye(n) - S).T @ (np.eye(n) - S)
-    g1, g2 = float(np.trace(R)), float((R * R).sum())
-    rss, o = float(((p.y - S @ p.y) ** 2).sum()), ols(p)
+    if not n:
+        return {}
+    one, two = hats.traces(spark, p, spec)
+    beta = np.stack(fitted(df, p, spec).beta)
+    g1, g2 = float(one[0]), float(two[0])
+    rss, o = float(((p.y - (beta * p.X).sum(1)) ** 2).sum()), ols(p)
     f1 = rss / g1 / (o["rss"] / (n - c))
     d1 = g1 * g1 / g2
-    H = np.eye(n) - p.X @ np.linalg.inv(p.X.T @ p.X) @ p.X.T
-    V = H - R
-    v1, v2 = float(np.trace(V)), float((V * V).sum())
+    # the local fit leaves linear responses alone, so the product of the global projection and R is zero
+    v1, v2 = n - c - g1, n - c - 2 * g1 + g2
     f2 = (o["rss"] - rss) / v1 / (o["rss"] / (n - c))
     out = {"F1": (f1, d1, n - c, f_cdf(f1, d1, n - c)), "F2": (f2, v1 * v1 / v2, n - c, 1 - f_cdf(f2, v1 * v1 / v2, n - c))}
     for k, name in enumerate(names_of(xs)):
-        B = C[:, k, :]
-        Q = B.T @ (np.eye(n) - 1 / n) @ B / n
-        b = B @ p.y
-        t1, t2 = float(np.trace(Q)), float((Q * Q).sum())
-        f3 = float(((b - b.mean()) ** 2).mean()) / t1 / (rss / g1)
+        t1, t2 = float(one[1 + k]) / n, float(two[1 + k]) / n**2
+        f3 = float(beta[:, k].var()) / t1 / (rss / g1)
         out[f"F3_{name}"] = (f3, t1 * t1 / t2, d1, 1 - f_cdf(f3, t1 * t1 / t2, d1))
     out["F4"] = (rss / o["rss"], g1, n - c, f_cdf(rss / o["rss"], g1, n - c))
     return out
