@@ -78,6 +78,19 @@ def weighted_blocks(spec: Spec, a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tu
         yield a.iloc[s], weights(spec, a.iloc[s], b)
 
 
+def all_distances(focus: DataFrame, data: DataFrame, spec: Spec, tile: int = TILE) -> DataFrame:
+    """``focus_id, data_id, dist`` of every focus and data row, both with ``fid, x, y``; rows without a place are left out."""
+    placed = lambda df: df.select(F.col("fid").cast("long").alias("fid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for s in blocks(len(a), len(b)):
+            own = a.iloc[s]
+            d = distances(spec, own[["x", "y"]].to_numpy(float), b[["x", "y"]].to_numpy(float))
+            yield pd.DataFrame({"focus_id": np.repeat(own.fid.to_numpy(), len(b)), "data_id": np.tile(b.fid.to_numpy(), len(own)), "dist": d.ravel()})
+
+    return tiled(placed(focus), placed(data), run, "focus_id bigint, data_id bigint, dist double", min(tile, 1024))
+
+
 def kth_distance(focus: DataFrame, data: DataFrame, spec: Spec, tile: int = TILE) -> DataFrame:
     """``fid, b``: each focus's adaptive bandwidth, its distance to the ``size``-th nearest row; beyond the number n of rows, the largest times size / n.
 

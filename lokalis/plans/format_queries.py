@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lokalis.operators import local, tiles
+from lokalis.plans.catalog import CUSTOMERS, points_of
 from lokalis.plans.registry import put
 from lokalis.plans.source_queries import SUPPLIERS, put_file, written_points
-from lokalis.sources import delimited, layers
+from lokalis.sources import delimited, layers, ranged
 from lokalis.sources.store import folder
 
 
@@ -101,3 +103,29 @@ put("geopackage_shapes", geopackage_shapes, f"SELECT fid, round(x,6) AS x, round
 for _k, _name in ((1, "lines"), (2, "polygons"), (4, "multipolygons")):
     put(f"shapefile_{_name}", shapefile_shapes(_k), f"SELECT fid, round(x,6) AS x, round(y,6) AS y, v FROM ({CENTRES}) WHERE fid%5={_k}")
 put("matrix_table", matrix_file, "SELECT CAST(a.n_nationkey AS BIGINT) AS focus_id, CAST(b.n_nationkey AS BIGINT) AS data_id, CAST((a.n_nationkey+1)*(b.n_regionkey+2) AS DOUBLE) AS dist FROM nation a CROSS JOIN nation b")
+
+
+def shapefile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as one shapefile, a fourth of its records a task, with one of its attributes."""
+    where = f"{folder(spark)}/customers.shp"
+    rows = points_of(spark, sf_dir, "customer")
+    layers.export(rows.withColumn("id", F.col("fid")), where, "shp")
+    return layers.read_shapefile(spark, where, ["id"], -(-rows.count() // 4)).select(F.col("id").cast("long").alias("fid"), "x", "y")
+
+
+put("shapefile_by_ranges", shapefile_ranges, f"SELECT fid, x, y FROM ({CUSTOMERS})")
+
+
+def matrix_by_tasks(store: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All distances between suppliers, made by tiles, written by tasks as one binary file and read back by ranges."""
+        p = points_of(spark, sf_dir, "supplier").select("fid", "x", "y")
+        n, where = p.count(), f"{folder(spark)}/suppliers.dmat"
+        ranged.write_matrix_file(tiles.all_distances(p, p, local.Spec(0, metric="manhattan")).select((F.col("focus_id") - 1).alias("focus_id"), (F.col("data_id") - 1).alias("data_id"), "dist"), where, n, n, store, 3000)
+        return layers.read_matrix(spark, where, store, 5000)
+
+    return run
+
+
+for _store in ("rows", "columns"):
+    put(f"matrix_file_by_{_store}", matrix_by_tasks(_store), f"SELECT f.fid-1 AS focus_id, d.fid-1 AS data_id, abs(f.x-d.x)+abs(f.y-d.y) AS dist FROM ({SUPPLIERS}) f CROSS JOIN ({SUPPLIERS}) d")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import sqlite3
 import struct
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokalis.sources import shapes
+from lokalis.sources import ranged, shapes
 from lokalis.sources.delimited import detected
 
 
@@ -100,50 +101,52 @@ def str_or_none(v) -> str | None:
     return None if v is None else str(v)
 
 
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Shapes' centroids with the attributes of the ``.dbf`` beside the ``.shp``; the pair is read in one task, only the attributes' names reach the driver."""
+def read_shapefile(spark: SparkSession, path: str, columns: list[str] | None = None, records: int = ranged.RECORDS) -> DataFrame:
+    """Shapes' centroids with the attributes (``columns``, else all) of the ``.dbf`` beside the ``.shp``. With the index ``.shx`` beside them each ``records`` records are a task's; without it, or where files have no path, the pair is read in one task and only the attributes' names reach the driver."""
+    local = ranged.opened_by_path(spark, path)
+    if local and os.path.isfile(local) and os.path.isfile(local[:-4] + ".shx"):
+        return ranged.load(spark, ranged.ShapeSource, local, records=records, columns=",".join(columns or []))
     raw = spark.read.format("binaryFile").load([path, path[:-4] + ".dbf"]).select("path", "content")
     pair = raw.groupBy(F.regexp_replace("path", r"\.\w+$", "").alias("base")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
 
-    def head(dbf: bytes) -> tuple[int, int, int, list[tuple[str, str, int]]]:
-        n, start, width = struct.unpack_from("<IHH", dbf, 4)
-        return n, start, width, [(dbf[k : k + 11].split(b"\0")[0].decode("latin-1"), chr(dbf[k + 11]), dbf[k + 16]) for k in range(32, start - 1, 32)]
-
     def describe(batches):
         for pdf in batches:
             for dbf in pdf.dbf:
-                yield pd.DataFrame({"spec": [json.dumps(head(dbf)[3])]})
+                yield pd.DataFrame({"spec": [json.dumps(ranged.attribute_head(dbf)[3])]})
 
     fields = json.loads(pair.limit(1).mapInPandas(describe, "spec string").first()[0])
+    numeric = {name for name, kind, _ in fields if kind in "NF"}
 
     def run(batches):
         for pdf in batches:
             for shp, dbf in zip(pdf.shp, pdf.dbf):
-                n, start, width, own = head(dbf)
+                n, start, width, own = ranged.attribute_head(dbf)
                 xy, at = [], 100
                 while at < len(shp):
                     size = struct.unpack_from(">i", shp, at + 4)[0] * 2
                     xy.append(shapes.centroid(*shapes.from_shape(shp[at + 8 : at + 8 + size])))
                     at += 8 + size
                 out = {"fid": range(n), "x": pd.array([p[0] for p in xy], "Float64"), "y": pd.array([p[1] for p in xy], "Float64")}
-                place = 1
-                for name, kind, size in own:
-                    cells = [dbf[start + k * width + place : start + k * width + place + size].decode("utf-8", "replace").strip() for k in range(n)]
-                    out[name] = pd.array([float(v) if v.strip("*") else None for v in cells], "Float64") if kind in "NF" else [v or None for v in cells]
-                    place += size
+                for name, values in ranged.attribute_cells(dbf[start:], n, width, own):
+                    out[name] = pd.array(values, "Float64") if name in numeric else values
                 yield pd.DataFrame(out)
 
-    return pair.mapInPandas(run, "fid bigint, x double, y double" + "".join(f", `{name}` {'double' if kind in 'NF' else 'string'}" for name, kind, _ in fields))
+    rows = pair.mapInPandas(run, "fid bigint, x double, y double" + "".join(f", `{name}` {ranged.attribute_type(kind)}" for name, kind, _ in fields))
+    return rows.select("fid", "x", "y", *(f"`{c}`" for c in columns)) if columns else rows
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """``focus_id, data_id, dist`` of a binary matrix: int32 rows, int32 columns, row-major float64."""
+def read_matrix(spark: SparkSession, path: str, store: str = "rows", cells: int = ranged.CELLS) -> DataFrame:
+    """``focus_id, data_id, dist`` of a binary matrix: int32 rows, int32 columns, float64 by rows (``store``: or by columns). Each ``cells`` cells are a task's; files without a path are read in one task each."""
+    local = ranged.opened_by_path(spark, path)
+    if local and os.path.isfile(local):
+        return ranged.load(spark, ranged.MatrixSource, local, cells=cells, store=store)
 
     def run(batches):
         for pdf in batches:
             for blob in pdf.content:
                 rows, cols = struct.unpack_from("<ii", blob)
                 d = np.frombuffer(blob, "<f8", rows * cols, 8)
+                d = d.reshape(cols, rows).T.ravel() if store == "columns" else d
                 for lo in range(0, rows, 1000):
                     i = np.arange(lo, min(rows, lo + 1000))
                     yield pd.DataFrame({"focus_id": np.repeat(i, cols), "data_id": np.tile(np.arange(cols), len(i)), "dist": d[lo * cols : (lo + len(i)) * cols]})
@@ -228,6 +231,16 @@ def shape_bytes(df: DataFrame) -> tuple[bytes, bytes]:
     return shp, b"\3" + bytes(3) + struct.pack("<IHH", len(pdf), 33 + 32 * len(names), 1 + sum(width.values())) + bytes(20) + fields + b"\r" + rows + b"\x1a"
 
 
+def index_of(shp: bytes) -> bytes:
+    """The ``.shx`` of a ``.shp``: offset and length of each record."""
+    out, at = [], 100
+    while at < len(shp):
+        size = struct.unpack_from(">i", shp, at + 4)[0]
+        out.append(struct.pack(">ii", at // 2, size))
+        at += 8 + 2 * size
+    return shp[:24] + struct.pack(">i", 50 + 4 * len(out)) + shp[28:100] + b"".join(out)
+
+
 def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Parquet, CSV with x and y, GeoJSON feature lines, or one file as ``gpkg`` or ``shp`` (points, or a ``wkt`` column's geometries); an existing target is replaced."""
     if kind == "csv":
@@ -242,6 +255,7 @@ def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
         shp, dbf = shape_bytes(df)
         write_file(df.sparkSession, path, shp)
         write_file(df.sparkSession, path[:-4] + ".dbf", dbf)
+        write_file(df.sparkSession, path[:-4] + ".shx", index_of(shp))
     else:
         df.write.mode("overwrite").parquet(path)
 
