@@ -121,11 +121,11 @@ def matrix_by_tasks(store: str):
         """All distances between suppliers, made by tiles, written by tasks as one binary file and read back by ranges."""
         p = points_of(spark, sf_dir, "supplier").select("fid", "x", "y")
         n, where = p.count(), f"{folder(spark)}/suppliers.dmat"
-        ranged.write_matrix_file(tiles.all_distances(p, p, local.Spec(0, metric="manhattan")).select((F.col("focus_id") - 1).alias("focus_id"), (F.col("data_id") - 1).alias("data_id"), "dist"), where, n, n, store, 3000)
+        ranged.write_matrix_file(tiles.all_distances(p, p, local.Spec(0, metric="manhattan")), where, n, n, store, 3000)
         return layers.read_matrix(spark, where, store, 5000)
 
     return run
 
 
 for _store in ("rows", "columns"):
-    put(f"matrix_file_by_{_store}", matrix_by_tasks(_store), f"SELECT f.fid-1 AS focus_id, d.fid-1 AS data_id, abs(f.x-d.x)+abs(f.y-d.y) AS dist FROM ({SUPPLIERS}) f CROSS JOIN ({SUPPLIERS}) d")
+    put(f"matrix_file_by_{_store}", matrix_by_tasks(_store), f"SELECT f.fid AS focus_id, d.fid AS data_id, abs(f.x-d.x)+abs(f.y-d.y) AS dist FROM ({SUPPLIERS}) f CROSS JOIN ({SUPPLIERS}) d")

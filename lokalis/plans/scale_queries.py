@@ -119,3 +119,40 @@ def late_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 put("streaming_late_rows", late_clicks, """WITH c AS (SELECT ts, kind, value, strftime(arrived_at, '%Y-%m') AS arrived FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL),
 m AS (SELECT arrived, max(max(ts)) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM c GROUP BY arrived)
 SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS n, round(sum(value),2) AS total FROM c JOIN m USING (arrived) WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY ALL""")
+
+
+def backfitting_sql(rounds: int) -> str:
+    """Rounds of back-fitting of the intercept (bandwidth 40) and ``a`` (30) from a basic fit, with their hat matrices as rows (m, j)."""
+    steps = [
+        "w0 AS MATERIALIZED (SELECT fid, d_fid, w, CAST(1.0 AS DOUBLE) AS x FROM w)",
+        "w1 AS MATERIALIZED (SELECT fid, d_fid, exp(-d*d/1800.0) AS w, a AS x FROM pq)",
+        *model_sql.fit("w", ONE, "dep", "o"),
+        "b0 AS MATERIALIZED (SELECT fid, beta0 AS k0, beta1 AS k1, dep, a FROM o JOIN p USING (fid))",
+        "h0 AS MATERIALIZED (SELECT fid AS m, d_fid AS j, w.w*(a0_2+a0_3*w.a) AS s0, p.a*w.w*(a1_2+a1_3*w.a) AS s1 FROM w JOIN o USING (fid) JOIN p USING (fid))",
+    ]
+    for t in range(2 * rounds):
+        k, other, last, own = t % 2, "k1*b.a" if t % 2 == 0 else "k0", f"b{t}", "1.0" if t % 2 == 0 else "p.a"
+        pick = lambda name, new: ", ".join(new if i == k else f"{name}{i}" for i in range(2))  # noqa: B023, E731
+        steps += [
+            f"f{t + 1} AS MATERIALIZED (SELECT w{k}.fid, sum(w*x*(dep-{other}))/sum(w*x*x) AS nk FROM w{k} JOIN {last} b ON b.fid=d_fid GROUP BY w{k}.fid)",
+            f"b{t + 1} AS MATERIALIZED (SELECT fid, {pick('k', f'nk AS k{k}')}, dep, a FROM {last} JOIN f{t + 1} USING (fid))",
+            f"g{t + 1} AS MATERIALIZED (SELECT fid AS m, j, sum(w*x*(CASE WHEN m=j THEN 1.0 ELSE 0.0 END - s{1 - k}))/sum(w*x*x) AS ns FROM w{k} JOIN h{t} ON m=d_fid GROUP BY fid, j)",
+            f"h{t + 1} AS MATERIALIZED (SELECT m, j, {pick('s', f'ns*{own} AS s{k}')} FROM h{t} JOIN g{t + 1} USING (m, j) JOIN p ON p.fid=m)",
+        ]
+    last = 2 * rounds
+    steps += [
+        f"sq AS (SELECT m AS fid, sum(s0*s0) AS q0, sum(s1*s1)/max(p.a*p.a) AS q1 FROM h{last} JOIN p ON p.fid=m GROUP BY m)",
+        f"tr AS (SELECT sum(CASE WHEN m=j THEN s0+s1 END) AS s, sum(pow(s0+s1,2)) AS ss FROM h{last})",
+        f"rs AS (SELECT sum(pow(dep-k0-k1*a,2)) AS rss, count(*) AS cnt FROM b{last})",
+    ]
+    return after(weighted_sql("gaussian", 40, LINES), steps, f"SELECT fid, round(k0,2) AS \"Intercept\", round(k1,3) AS a, round(k0+k1*a,2) AS yhat, round(dep-k0-k1*a,2) AS residual, round(sqrt(rss/(cnt-2*s+ss)*q0),2) AS \"Intercept_SE\", round(sqrt(rss/(cnt-2*s+ss)*q1),3) AS \"a_SE\", round(s,4) AS tr_s, round(ss,4) AS tr_sts FROM b{last} JOIN sq USING (fid) CROSS JOIN tr CROSS JOIN rs")
+
+
+def backfitted(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Three rounds of back-fitting with given bandwidths, their errors and traces."""
+    out, diag = models.multiscale_gwr(df, "dep", {"Intercept": local.Spec(40), "a": local.Spec(30)}, tol=0.0, most=3, hat=True)
+    rows = digits_of(out, {"Intercept": 2, "a": 3, "yhat": 2, "residual": 2, "Intercept_SE": 2, "a_SE": 3})
+    return rows.withColumn("tr_s", F.lit(round(diag["tr_s"], 4))).withColumn("tr_sts", F.lit(round(diag["tr_sts"], 4)))
+
+
+put("gwr_multiscale_rounds", model(backfitted), backfitting_sql(3))
