@@ -12,7 +12,7 @@ from lokalis.plans.catalog import BASIC, COUNTS, CUSTOMERS, LINE, LINE_SPEC, LIN
 from lokalis.plans.registry import ORACLES, put
 from lokalis.sources import layers
 from lokalis.sources.store import folder
-from lokalis.streaming import windows
+from lokalis.streaming import watch, windows
 
 #: Rows of a tile here, so that the small tables are many tiles as well.
 TILE = 512
@@ -156,3 +156,22 @@ def backfitted(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 put("gwr_multiscale_rounds", model(backfitted), backfitting_sql(3))
+
+
+def rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second scan of a folder finds: two of three drops as they were, one written again with other prices, one new."""
+    where, at = folder(spark), folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    drop = lambda k, times: orders.filter(F.col("o_orderkey") % 4 == k).withColumn("o_totalprice", F.col("o_totalprice") * times).write.mode("overwrite").option("header", True).csv(f"{where}/drop-{k}")
+    for k in (0, 1, 2):
+        drop(k, 1)
+    schema = "o_orderkey bigint, o_totalprice double"
+    watch.scanned(spark, where, at, schema)
+    drop(1, 2)
+    drop(3, 1)
+    table, changes = watch.scanned(spark, where, at, schema)
+    return changes.unionByName(table.withColumn("op", F.lit("=")))
+
+
+put("watched_folder_changes", rescanned, """SELECT '-' AS op, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT '+', o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END * o_totalprice FROM orders WHERE o_orderkey % 4 IN (1, 3)
+UNION ALL SELECT '=', o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END * o_totalprice FROM orders""")
