@@ -516,18 +516,24 @@ def generalized_gwr(df: DataFrame, y: str, xs: list[str], spec: Spec, family: st
     return df.sparkSession.createDataFrame(out), diag | {"bandwidth": spec.size}
 
 
-def generalized_fit(df: DataFrame, p: Points, spec: Spec, family: str, tol: float, most: int, leave: bool = False) -> tuple[pd.DataFrame, np.ndarray, dict]:
-    """The last local fits, the means, and diagnostics. ``leave``: each point is left out of its own fits, so that the means are predictions."""
+def generalized_rounds(df: DataFrame, p: Points, spec: Spec, family: str, tol: float, most: int, leave: bool = False) -> tuple[pd.DataFrame, np.ndarray, float, np.ndarray, np.ndarray]:
+    """The last local fits, the means they give and their log-likelihood, and the working response and weights that they were fitted to."""
     nu, last, v = None, 0.0, np.ones(len(p.y))
-    for _ in range(most):
-        _, z, working = family_step(family, p.y, nu)
+    for step in range(most):
+        _, z, _ = family_step(family, p.y, nu)
         f = fitted(df, Points(p.fid, p.xy, p.X, z), spec, v, noise=1 / v)
         nu = z - f.cv.to_numpy() if leave else (np.stack(f.beta) * p.X).sum(1)
         mu, _, working = family_step(family, p.y, nu)
         ll = log_likelihood(family, p.y, mu)
-        if not math.isfinite(ll) or abs((last - ll) / ll) < tol:
+        if step == most - 1 or not math.isfinite(ll) or abs((last - ll) / ll) < tol:
             break
         last, v = ll, working
+    return f, mu, ll, z, v
+
+
+def generalized_fit(df: DataFrame, p: Points, spec: Spec, family: str, tol: float, most: int, leave: bool = False) -> tuple[pd.DataFrame, np.ndarray, dict]:
+    """The last local fits, the means, and diagnostics. ``leave``: each point is left out of its own fits, so that the means are predictions."""
+    f, mu, ll, _, _ = generalized_rounds(df, p, spec, family, tol, most, leave)
     n, trace, dev = len(p.y), float(f.s_ii.sum()), deviance(family, p.y, mu)
     null = deviance(family, p.y, np.full(n, p.y.mean()))
     aic = dev + 2 * trace
@@ -535,6 +541,26 @@ def generalized_fit(df: DataFrame, p: Points, spec: Spec, family: str, tol: floa
     return f, mu, {"log_likelihood": ll, "deviance": dev, "null_deviance": null, "pseudo_r2": 1 - dev / null, "tr_s": trace, "tr_sts": float(f.ss.sum()), "aic": aic, "aicc": aicc}
 
 
+def generalized_predict(df: DataFrame, focus: DataFrame, y: str, xs: list[str], spec: Spec, family: str = "poisson", tol: float = 1e-5, most: int = 20) -> DataFrame:
+    """Coefficients at other points, without the hat matrix: the rounds run at the data points (MOST_POINTS at most), and each focus is
+    fitted to their last working response with its kernel weights times the working weights. ``yhat`` is the mean where foci hold all
+    variables. Foci without weight have null coefficients and ``ok`` false; without data there are no rows.
+    """
+    p, names = points(df, y, xs), names_of(xs)
+    if not len(p.fid):
+        return nothing(df, [*names, *(["yhat"] if set(xs) <= set(focus.columns) else [])]).withColumn("ok", F.lit(True))
+    _, _, _, z, v = generalized_rounds(df, p, spec, family, tol, most)
+    rows = local_fit(focus, Points(p.fid, p.xy, p.X, z), spec, v).select("fid", *(F.nanvl(F.col("beta")[k], F.lit(None).cast("double")).alias(n) for k, n in enumerate(names)), "ok")
+    if not set(xs) <= set(focus.columns):
+        return rows
+    own = focus.select(F.col("fid").cast("long").alias("fid"), *(F.col(f"`{x}`").cast("double").alias(f"own_{x}") for x in xs))
+    nu = F.col("Intercept")
+    for x in xs:
+        nu = nu + F.col(f"`{x}`") * F.col(f"`own_{x}`")
+    mean = F.exp(nu) if family == "poisson" else 1 / (1 + F.exp(-nu))
+    return rows.join(own, "fid").select("fid", *(F.col(f"`{n}`") for n in names), mean.alias("yhat"), "ok")
+
+
 def product_block(pdf: pd.DataFrame, held) -> pd.DataFrame:
     """Fits with weights that are a product over one-dimensional distances in each independent variable."""
     p, specs, at = held

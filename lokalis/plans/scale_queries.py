@@ -175,3 +175,13 @@ def rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 put("watched_folder_changes", rescanned, """SELECT '-' AS op, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT '+', o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END * o_totalprice FROM orders WHERE o_orderkey % 4 IN (1, 3)
 UNION ALL SELECT '=', o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END * o_totalprice FROM orders""")
+
+
+def poisson_elsewhere(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Three rounds of the Poisson model at the lines' places, and its coefficients and means beside every other of them."""
+    foci = df.filter("fid % 2 = 0").select("fid", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.25).alias("y"), "a")
+    return digits_of(models.generalized_predict(df, foci, "n", ["a"], LINE_SPEC, "poisson", 0.0, 3), {"Intercept": 5, "a": 6, "yhat": 4})
+
+
+ELSEWHERE = f"WITH p AS ({LINES}), f AS (SELECT fid, x, y FROM p UNION ALL SELECT fid+1000000, x+0.5, y+0.25 FROM p WHERE fid%2=0), w AS MATERIALIZED (SELECT f.fid AS fid, d.* EXCLUDE (fid), d.fid AS d_fid, exp(-{catalog.D2}/1800.0) AS w FROM f CROSS JOIN p d)"
+put("gwr_poisson_elsewhere", model(poisson_elsewhere), after(ELSEWHERE, [*model_sql.generalized("w", ONE, "n", "p", "poisson", 3, 0.0), f"el AS (SELECT fid-1000000 AS fid, {', '.join(model_sql.betas(2))} FROM i2 WHERE fid >= 1000000)"], 'SELECT fid, round(beta0,5) AS "Intercept", round(beta1,6) AS a, round(exp(beta0+beta1*p.a),4) AS yhat FROM el JOIN p USING (fid)'))

@@ -308,10 +308,37 @@ def save_edits(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def report(title: str, diagnostics: dict) -> str:
-    """A plain text report of a model's diagnostics."""
-    width = max([len(k) for k in diagnostics] + [1])
-    return "\n".join([title, "=" * len(title), *(f"{k.ljust(width)}  {v:.6f}" if isinstance(v, float) else f"{k.ljust(width)}  {v}" for k, v in diagnostics.items())]) + "\n"
+def report(title: str, diagnostics: dict, overall: dict | None = None, names: list[str] | None = None, calibration: dict | None = None, quartiles: DataFrame | None = None) -> str:
+    """A plain text report of a model: the global regression (``models.ols_of`` with its coefficients' ``names``), how the model was calibrated, its diagnostics, and the coefficients' quartile table (``summary.quartile_table``). Parts that are not given are left out."""
+    shown = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+
+    def listed(values: dict) -> list[str]:
+        width = max([len(k) for k in values] + [1])
+        return [f"{k.ljust(width)}  {shown(v)}" for k, v in values.items()]
+
+    def table(head: list[str], rows: list[list]) -> list[str]:
+        cells = [head, *([shown(v) for v in r] for r in rows)]
+        width = [max(len(r[k]) for r in cells) for k in range(len(head))]
+        return ["  ".join([r[0].ljust(width[0]), *(v.rjust(w) for v, w in zip(r[1:], width[1:]))]) for r in cells]
+
+    lines = [title, "=" * len(title)]
+    if overall:
+        rows = [[n, *map(float, v)] for n, *v in zip(names or [], overall["beta"], overall["se"], overall["t"])]
+        lines += ["", "Global regression", "-----------------", *table(["", "Estimate", "SE", "t"], rows), *listed({k: float(overall[k]) for k in ("rss", "r2", "adj_r2", "aic", "aicc") if k in overall})]
+    if calibration:
+        lines += ["", "Calibration", "-----------", *listed(calibration)]
+    if overall or calibration or quartiles is not None:
+        lines += ["", "Diagnostics", "-----------"]
+    lines += listed(diagnostics)
+    if quartiles is not None:
+        rows = [list(r) for r in quartiles.select("name", "q0", "q1", "q2", "q3", "q4").collect()]  # a row for each coefficient
+        lines += ["", "Coefficients", "------------", *table(["", "Min", "1st Qu.", "Median", "3rd Qu.", "Max"], rows)]
+    return "\n".join(lines) + "\n"
+
+
+def save_report(spark: SparkSession, path: str, text: str) -> None:
+    """A report as one UTF-8 file; what is there is replaced."""
+    write_file(spark, path, text.encode())
 
 
 def save_project(spark: SparkSession, path: str, layers: dict[str, DataFrame], parameters: dict) -> None:

@@ -316,3 +316,33 @@ def test_row_edits(grid):
     back = rows.from_mercator(rows.to_mercator(df)).toPandas().sort_values("fid")
     assert np.allclose(back.x, [k % 5 for k in range(25)])
     assert summary.quartile_table(df, ["x"]).first()["q2"] == 2
+
+
+@pytest.mark.parametrize("family", ["poisson", "binomial"])
+def test_generalized_coefficients_elsewhere(grid, family):
+    df, pdf = grid
+    df = df.withColumn("n", F.when(F.lit(family == "poisson"), F.col("fid") % 5).otherwise(F.col("fid") % 2).cast("double"))
+    spec = local.Spec(3.0)
+    fit = models.generalized_gwr(df, "n", ["a"], spec, family)[0].toPandas().sort_values("fid")
+    same = models.generalized_predict(df, df, "n", ["a"], spec, family).toPandas().sort_values("fid")
+    for c in ("Intercept", "a", "yhat"):
+        assert np.allclose(same[c], fit[c])
+    far = df.limit(1).select("fid", F.lit(1e6).alias("x"), F.lit(0.0).alias("y"))
+    row = models.generalized_predict(df, far, "n", ["a"], spec, family).first()
+    assert row.Intercept is None and not row.ok and "yhat" not in row.asDict()
+    assert models.generalized_predict(df.filter("false"), far, "n", ["a"], spec, family).count() == 0
+
+
+def test_reports_hold_the_quartile_table(spark, grid, tmp_path):
+    from lokalis.sources import layers
+
+    df, _ = grid
+    out, diag = models.gwr(df, "z", ["a"], local.Spec(3.0))
+    text = layers.report("Local regression", diag, models.ols_of(df, "z", ["a"]), ["Intercept", "a"], {"kernel": "gaussian", "bandwidth": 3.0}, summary.quartile_table(out, ["Intercept", "a"]))
+    layers.save_report(spark, str(tmp_path / "r.txt"), text)
+    lines = (tmp_path / "r.txt").read_text().splitlines()
+    assert lines[:2] == ["Local regression", "================"] and "kernel     gaussian" in lines
+    low, high = out.agg(F.min("a"), F.max("a")).first()
+    row = next(v.split() for v in lines[lines.index("Coefficients") :] if v.startswith("a "))
+    assert row == ["a", f"{low:.6f}", *row[2:5], f"{high:.6f}"] and sorted(map(float, row[1:])) == list(map(float, row[1:]))
+    assert layers.report("T", {"n": 1}) == "T\n=\nn  1\n"
