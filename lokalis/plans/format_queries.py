@@ -129,3 +129,8 @@ def matrix_by_tasks(store: str):
 
 for _store in ("rows", "columns"):
     put(f"matrix_file_by_{_store}", matrix_by_tasks(_store), f"SELECT f.fid AS focus_id, d.fid AS data_id, abs(f.x-d.x)+abs(f.y-d.y) AS dist FROM ({SUPPLIERS}) f CROSS JOIN ({SUPPLIERS}) d")
+
+#: Lines by five kinds: text behind a closing quote, a quote inside a cell, doubled quotes and blanks, another quote, no closing quote.
+BROKEN = """CASE c_custkey % 5 WHEN 0 THEN concat(char(34), c_name, char(34), 'x') WHEN 1 THEN concat(c_name, char(34), 'q', char(34)) WHEN 2 THEN concat(' ', char(34), c_name, ', ', repeat(char(34), 2), 'a', repeat(char(34), 3), ' ')
+WHEN 3 THEN concat(char(39), c_name, ', ', char(34), 'b', char(34), char(39)) ELSE concat(char(34), c_name) END"""
+text_table("csv_strict_table", "customer", "c_custkey", f"concat({BROKEN}, ',', c_nationkey)", {"quote": "\"'", "strict": True}, """SELECT c_name || CASE c_custkey%5 WHEN 2 THEN ', "a"' ELSE ', "b"' END AS t, c_nationkey AS n FROM customer WHERE c_custkey%5 IN (2, 3)""", ("t,n",))

@@ -43,28 +43,58 @@ def widest(spark: SparkSession, path: str, delimiter: str, encoding: str) -> int
     return (n or 0) + 1
 
 
-def split_cells(delimiters: str, quote: str) -> Column:
-    """A line's cells by any of several delimiters, which count as text inside quotes; doubled quotes inside are one."""
-    d, q = re.escape(delimiters).replace("^", "\\^").replace("]", "\\]"), re.escape(quote)
-    if not quote:
-        return F.split("line", f"[{d}]", -1)
-    quoted = f"{q}(?:[^{q}]|{q}{q})*{q}[^{d}]*"
+def cell_patterns(delimiters: str, quotes: str) -> tuple[str, list[str], str]:
+    """Patterns of a delimiter, of a cell inside each of the quotes, and of a cell without any."""
+    inside = lambda chars: "".join(re.escape(c).replace("^", "\\^").replace("]", "\\]") for c in chars)
+    d = f"[{inside(delimiters)}]"
+    return d, [f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*{q}" for q in map(re.escape, quotes)], f"[^{inside(delimiters + quotes)}]*"
+
+
+def valid_line(delimiters: str, quotes: str) -> Column:
+    """Whether a line is a record: quotes open a cell, blanks aside, and close it; nothing but blanks follows, and no quote stands inside a cell that has begun without."""
+    d, quoted, plain = cell_patterns(delimiters, quotes)
+    cell = f"(?:{'|'.join([*(f'\\s*{q}\\s*' for q in quoted), plain])})"
+    return F.col("line").rlike(f"^{cell}(?:{d}{cell})*$")
+
+
+def split_cells(delimiters: str, quotes: str) -> Column:
+    """A line's cells by any of several delimiters, which count as text inside quotes (any of several, each closed by its like); doubled quotes inside are one."""
+    if not quotes:
+        return F.split("line", cell_patterns(delimiters, "")[0], -1)
+    d, quoted, _ = cell_patterns(delimiters, quotes)
+    rest = "[^" + d[1:-1] + "]*"
     # each cell with the delimiter before it; a delimiter put before the line gives the first one too
-    cells = F.regexp_extract_all(F.concat(F.lit(delimiters[0]), F.col("line")), F.lit(f"[{d}]({quoted}|[^{d}]*)"), 1)
-    return F.transform(cells, lambda c: F.when(c.rlike(f"^{q}.*{q}\\s*$") & (F.length(c) > 1), F.regexp_replace(F.regexp_replace(c, f"^{q}|{q}\\s*$", ""), q + q, quote)).otherwise(c))
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiters[0]), F.col("line")), F.lit(f"{d}({'|'.join([*(f'\\s*{q}{rest}' for q in quoted), rest])})"), 1)
 
+    def bare(c: Column) -> Column:
+        out = c
+        for q, pattern in zip(quotes, quoted):
+            e = re.escape(q)
+            out = F.when(c.rlike(f"^\\s*{pattern}\\s*$"), F.replace(F.regexp_replace(F.regexp_replace(c, f"^\\s*{e}", ""), f"{e}\\s*$", ""), F.lit(q + q), F.lit(q))).otherwise(out)
+        return out
 
-def read(spark: SparkSession, path: str, delimiters: str = ",", quote: str = '"', escape: str = '"', header: bool = True, skip_lines: int = 0, trim: bool = False, skip_empty: bool = False, max_fields: int = 0, encoding: str = "UTF-8", pattern: str | None = None, types: str = "detect", decimal_point: str = ".", names: list[str] | None = None) -> DataFrame:
+    return F.transform(cells, bare)
+
+
+def invalid_records(spark: SparkSession, path: str, delimiters: str = ",", quote: str = '"', encoding: str = "UTF-8") -> int:
+    """How many lines ``read`` with ``strict`` leaves out."""
+    lines = spark.read.option("encoding", encoding).text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
+    return lines.filter(~valid_line(delimiters, quote)).count()
+
+
+def read(spark: SparkSession, path: str, delimiters: str = ",", quote: str = '"', escape: str = '"', header: bool = True, skip_lines: int = 0, trim: bool = False, skip_empty: bool = False, max_fields: int = 0, encoding: str = "UTF-8", pattern: str | None = None, types: str = "detect", decimal_point: str = ".", names: list[str] | None = None, strict: bool = False) -> DataFrame:
     """A table of the files' records with ``fid`` first. Blank records are left out, short ones padded with null; cells beyond the header's get fields of their own.
 
     Each file has its own header and its own ``skip_lines`` before it; the names are those of the first file. Line breaks
     inside quotes need a single delimiter and no ``skip_lines``. ``whitespace`` as ``delimiters`` cuts at runs of blanks and tabs.
     ``pattern``: a regular expression that delimits fields; one that starts with ``^`` keeps only lines that it matches and gives its groups.
+    ``quote`` may hold several characters; then, and with ``strict``, a record is a line. ``strict`` leaves out records with text behind a closing
+    quote, with a quote inside a cell that began without, or with one that is not closed (``invalid_records`` counts them).
     ``types``: ``detect`` (by a ``.csvt`` file beside the data where there is one, else by the cells), ``text``, or a sidecar line.
     """
     if delimiters == "whitespace":
         pattern, trim = r"[ \t]+", True
-    if pattern is None and len(delimiters) == 1 and not skip_lines:
+    if pattern is None and len(delimiters) == 1 and len(quote) < 2 and not strict and not skip_lines:
         n = widest(spark, path, delimiters, encoding)
         reader = spark.read.option("sep", delimiters).option("quote", quote).option("escape", escape).option("multiLine", True).option("encoding", encoding).option("header", False)
         rows = reader.schema(", ".join(f"c{k} string" for k in range(n))).csv(path)
@@ -82,6 +112,7 @@ def read(spark: SparkSession, path: str, delimiters: str = ",", quote: str = '"'
             cells = F.array(*(F.regexp_extract("line", pattern, k + 1) for k in range(groups)))
             rows = text.filter(F.col("line").rlike(pattern)).withColumn("cells", cells).drop("line")
         else:
+            text = text.filter(valid_line(delimiters, quote)) if strict and not pattern else text
             line = F.trim("line") if delimiters == "whitespace" else F.col("line")
             rows = text.withColumn("line", line).withColumn("cells", F.split("line", pattern, -1) if pattern else split_cells(delimiters, quote)).drop("line")
     if trim:

@@ -129,3 +129,12 @@ def test_project_and_watch(spark, tmp_path):
     q = watch.watched(spark, str(tmp_path / "in"), "a int").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 1
+
+
+@pytest.mark.parametrize("line, cells", [('a,b', ["a", "b"]), (' "a, ""x""" ,\'it\'\'s "b"\'', ['a, "x"', 'it\'s "b"']), ('"a"b,c', None), ('a"b",c', None), ('"a,b', None), ("'a\",b", None), (',""', [None, None]), ('"a";b', ["a", "b"]), ("a ,b ", ["a ", "b "])])
+def test_strict_records(spark, tmp_path, line, cells):
+    path = tmp_path / "t.csv"
+    path.write_text(f"p,q\n1,2\n{line}\n")
+    got = delimited.read(spark, str(path), ",;", "\"'", types="text", strict=True).drop("fid").collect()
+    assert [list(r) for r in got] == [["1", "2"], *([cells] if cells and any(cells) else [])]
+    assert delimited.invalid_records(spark, str(path), ",;", "\"'") == (cells is None)
