@@ -94,3 +94,20 @@ def test_quantiles_by_tiles_ask_once_a_place(crowd, monkeypatch):
     assert max(met) == PLACES and len(got) == N
     for c in want.columns:
         assert np.allclose(got[c], want[c]), c
+
+
+@pytest.mark.parametrize("spec", [local.Spec(2.0), local.Spec(300, "bisquare", True), local.Spec(2.0, future="exclude")], ids=str)
+def test_dense_fits_meet_places(crowd, monkeypatch, spec):
+    df, pdf = crowd
+    timed = df.withColumn("t", F.col("fid") % 2)
+    t = "t" if spec.future == "exclude" else None
+    p = local.points(timed, "v", ["a"], t)
+    extra, noise = np.linspace(0.5, 2, N), np.linspace(1, 3, N)
+    whole = local.fit_block(local.points_at(p, np.arange(N)), (spec, p, extra, noise))
+    met, over = [], local.over_foci
+    monkeypatch.setattr(local, "over_foci", lambda focus, *more: met.append(focus.count()) or over(focus, *more))
+    got = local.local_fit(local.own_foci(timed, p), p, spec, extra, t, noise).toPandas().sort_values("fid")
+    assert met == [2 * PLACES if t and PLACES % 2 else PLACES]
+    for c in ("beta", "raw", "s_ii", "ss", "cv"):
+        assert np.allclose(np.stack(got[c]), np.stack(whole[c])), c
+    assert got.ok.all()
