@@ -111,3 +111,14 @@ def test_dense_fits_meet_places(crowd, monkeypatch, spec):
     for c in ("beta", "raw", "s_ii", "ss", "cv"):
         assert np.allclose(np.stack(got[c]), np.stack(whole[c])), c
     assert got.ok.all()
+
+
+def test_nearest_by_rings_looks_at_few_of_a_place(crowd, monkeypatch):
+    df, pdf = crowd
+    met, ringed = [], pairs.ringed
+    monkeypatch.setattr(pairs, "ringed", lambda f, d, *more: met.append((f.count(), d.count())) or ringed(f, d, *more))
+    got = pairs.nearest(df.select("fid", "x", "y"), df, 3).toPandas()
+    assert len(got) == 3 * N and max(f for f, _ in met) <= PLACES and max(d for _, d in met) <= 3 * PLACES
+    first = pdf.sort_values("fid").groupby(["x", "y"]).fid.apply(lambda s: list(s)[:3])
+    for (x, y), own in got.sort_values("rank").groupby(["x", "y"]):
+        assert own.groupby("fid").d_fid.apply(list).tolist() == [first[x, y]] * (N // PLACES) and (own.d == 0).all()
