@@ -1,12 +1,14 @@
 """Rows of one place are met as one: the pairs grow with the places, the results are those of all rows."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
-from lokalis.operators import dense, local, pairs, summary, tiles
+from lokalis.operators import dense, local, models, pairs, summary, tiles
 
 N, PLACES = 600, 12
 
@@ -122,3 +124,67 @@ def test_nearest_by_rings_looks_at_few_of_a_place(crowd, monkeypatch):
     first = pdf.sort_values("fid").groupby(["x", "y"]).fid.apply(lambda s: list(s)[:3])
     for (x, y), own in got.sort_values("rank").groupby(["x", "y"]):
         assert own.groupby("fid").d_fid.apply(list).tolist() == [first[x, y]] * (N // PLACES) and (own.d == 0).all()
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    """200 points at 20 places, some of them with one point only."""
+    r = np.random.default_rng(5)
+    n = 200
+    pdf = pd.DataFrame({"fid": r.permutation(n), "x": r.integers(0, 4, n).astype(float), "y": r.integers(0, 4, n).astype(float), "a": r.normal(40, 1, n), "b": r.normal(0, 0.01, n)})
+    pdf.loc[pdf.fid < 4, "x"] = 5.0 + pdf.fid[pdf.fid < 4]
+    pdf["z"] = pdf.a * (1 + pdf.x) + r.normal(size=n)
+    return spark.createDataFrame(pdf)
+
+
+def systems_met(monkeypatch) -> list[int]:
+    """The columns of the weights that are made from now on, on the driver's side of ``over_foci``."""
+    met, whole = [], models.over_foci
+    monkeypatch.setattr(models, "over_foci", lambda focus, held, f, schema, points_held, ended=None: (met.append(focus.count()), whole(focus, held, f, schema, points_held, ended))[1])
+    return met
+
+
+SPECS = [local.Spec(2.0), local.Spec(30, "bisquare", True), local.Spec(1.5, "tricube"), local.Spec(250, "gaussian", True)]
+
+
+@pytest.mark.parametrize("spec", SPECS)
+def test_component_scores_meet_places(shared, spec, monkeypatch):
+    p = local.points(shared, None, ["a", "b", "z"], intercept=False)
+    W = local.weights_of(spec, p, p.xy)
+    np.fill_diagonal(W, 0)
+    total = 0.0
+    for i, w in enumerate(W):
+        on = w > 0
+        V = models.components_of(p.X[on], w[on], 2) if on.sum() > 1 else None
+        total += math.inf if V is None else (p.X[i] - p.X[i] @ V @ V.T).sum() ** 2
+    met = systems_met(monkeypatch)
+    assert np.isclose(models.gwpca_cv(shared, p, spec, 2), total, rtol=1e-7) and max(met) < 30
+
+
+@pytest.mark.parametrize("adjust", [False, True])
+@pytest.mark.parametrize("leave", [False, True])
+@pytest.mark.parametrize("spec", SPECS)
+def test_ridge_meets_places(shared, spec, leave, adjust, monkeypatch):
+    p = local.points(shared, "z", ["a", "b"])
+    met = systems_met(monkeypatch)
+    rows = models.ridge_rows(shared, p, spec, 0.5, adjust, 30.0, leave)
+    got = models.gathered(rows)
+    sd = p.X.std(0, ddof=1)
+    sd[0] = 1
+    X, W = p.X / sd, local.weights_of(spec, p, p.xy)
+    if leave:
+        np.fill_diagonal(W, 0)
+    assert max(met) < 30 and list(got.fid) == list(p.fid)
+    for i, w in enumerate(W):
+        wx = w[:, None] * p.X
+        sv = np.linalg.svd(wx / np.maximum(np.linalg.norm(wx, axis=0), 1e-300), compute_uv=False)
+        cn = sv[0] / sv[-1] if sv[-1] > 0 else math.inf
+        lam = (sv[0] - 30 * sv[-1]) / 29 if adjust and cn > 30 else 0.5
+        A = X.T @ (w[:, None] * X) + lam * np.eye(3)
+        if np.linalg.cond(A) < 1e10:
+            inv = np.linalg.inv(A)
+            assert np.allclose(got.beta[i], inv @ X.T @ (w * p.y) / sd, rtol=1e-6) and np.isclose(got["lambda"][i], lam, rtol=1e-8)
+            C = inv @ X.T @ (w[:, None] ** 2 * X) @ inv
+            assert np.allclose(got.raw[i], np.diag(C) / sd**2, rtol=1e-5) and np.isclose(got.ss[i], X[i] @ C @ X[i], rtol=1e-5) and np.isclose(got.s_ii[i], w[i] * X[i] @ inv @ X[i], rtol=1e-6)
+        if not leave and cn < 1e10:
+            assert np.isclose(got.condition[i], cn, rtol=1e-6)
