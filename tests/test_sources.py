@@ -75,6 +75,30 @@ def test_centroids_take_all_parts(spark):
     assert [r[0] for r in d.select(delimited.degrees(F.col("c"))).collect()] == [-10.51, -10.5, None, None, None, None, None, None]
 
 
+def test_geojson_of_a_line_each_is_many_tasks_work(spark, tmp_path):
+    """Splits of one document give the rows, in their order, that the whole document gives."""
+    feature = lambda k: '{"type":"Feature","geometry":{"type":"Point","coordinates":[%d,2]},"properties":{"n":%d,"s":"a,\\n]} %d"}}' % (k, k, k)
+    some = [feature(k) for k in range(300)]
+    some[7] = "null"
+    by_line = ['{"type":"FeatureCollection","features":[\n' + ",\n".join(some) + "\n]}\n", '{"features": [\r\n' + " ,\r\n".join(some) + ',\r\nnull, {"properties":{"n":5}}], "crs": {"features": []}}', '{"features":[\n]}']
+    others = ['{"features":[' + ",\n".join(some) + "]}", '{"features":[\n' + ",\n".join(some[:3]) + "\n],\n \"b\": 1}", '{"a":{"features":[\n' + ",\n".join(some[:3]) + '\n]}}', '{"features":[\n' + "\n,".join(some) + "\n]}"]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for k, text in enumerate(by_line + others):
+            (tmp_path / f"{k}.geojson").write_bytes(text.encode())
+            found = layers.features_by_lines(spark, str(tmp_path / f"{k}.geojson"))
+            whole = spark.read.option("multiLine", True).schema(f"features array<{layers.FEATURE}>").json(str(tmp_path / f"{k}.geojson")).selectExpr("posexplode(features) as (fid, f)")
+            assert (found is None) == (k >= len(by_line))
+            if found is not None:
+                key = lambda r: r[0]
+                assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
+        spread = layers.features_by_lines(spark, str(tmp_path / "0.geojson"))
+        assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_geojson_round_trip(spark, tmp_path):
     (tmp_path / "g.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[1.5,2]},"properties":{"n":3}}]}')
     r = layers.read_geojson(spark, str(tmp_path / "g.geojson")).first()
