@@ -100,3 +100,34 @@ def test_multiscale_errors_beyond_the_former_bound(spark):
     pdf["z"] = 1 + pdf.a + r.normal(size=n)
     out, diag = models.multiscale_gwr(spark.createDataFrame(pdf), "z", {"Intercept": local.Spec(8.0), "a": local.Spec(12.0)}, hat=True, most=2)
     assert out.filter("Intercept_SE > 0 AND a_SE > 0 AND a_TV IS NOT NULL").count() == n and 2 < diag["tr_s"] < 200
+
+
+def test_backfitting_goes_by_places_and_by_factors_of_smooth_kernels(spark, monkeypatch):
+    """More points than MOST_POINTS at fewer places, hundreds of rounds: the same as back-fitting whole matrices."""
+    r = np.random.default_rng(12)
+    xy = r.uniform(0, 10, (60, 2))
+    at = np.r_[0:60, r.integers(0, 40, 60)]
+    pdf = pd.DataFrame({"fid": range(120), "x": xy[at, 0], "y": xy[at, 1], "a": 3 + r.normal(size=120)})
+    pdf["z"] = 1 + pdf.a + r.normal(size=120)
+    X, y = np.column_stack([np.ones(120), pdf.a]), pdf.z.to_numpy()
+    d = np.hypot(*(pdf[c].to_numpy()[:, None] - pdf[c].to_numpy() for c in "xy"))
+    W = [np.exp(-d * d / 2 / b**2) for b in (60.0, 40.0)]
+    S = np.stack([np.linalg.solve((X.T * w) @ X, X.T * w) for w in W[0]]).transpose(1, 0, 2)
+    for _ in range(200):
+        for k in (0, 1):
+            rest = np.eye(120) - X[:, [1 - k]] * S[1 - k]
+            S[k] = (W[k] * X[:, k]) @ rest / (W[k] @ X[:, k] ** 2)[:, None]
+    whole = np.einsum("ik,kij->ij", X, S)
+    tr, ss = np.trace(whole), (whole**2).sum()
+    monkeypatch.setattr(local, "MOST_POINTS", 100)
+    specs = {"Intercept": local.Spec(60.0), "a": local.Spec(40.0)}
+    for factors in (hats.MOST_FACTORS, 0):
+        monkeypatch.setattr(hats, "MOST_FACTORS", factors)
+        assert (hats.factor(specs["a"], local.Points(np.arange(60), xy, np.zeros((60, 0)), np.zeros(60))) is not None) == (factors > 0)
+        out, diag = models.multiscale_gwr(spark.createDataFrame(pdf), "z", specs, tol=0.0, most=200, hat=True)
+        got = out.toPandas().sort_values("fid")
+        assert diag["rounds"] == 200 and np.allclose([diag["tr_s"], diag["tr_sts"]], [tr, ss], rtol=1e-7)
+        error = np.sqrt(((y - whole @ y) ** 2).sum() / (120 - 2 * tr + ss))
+        for k, name in enumerate(specs):
+            assert np.allclose(got[name], S[k] @ y, rtol=1e-7)
+            assert np.allclose(got[f"{name}_SE"], error * np.sqrt((S[k] ** 2).sum(1)), rtol=1e-7)
