@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lokalis.operators import local
+from lokalis.plans import catalog, format_queries
 from lokalis.sources import layers, ranged
 
 
@@ -67,3 +69,27 @@ def test_wrong_cells_leave_the_old_matrix(spark, tmp_path):
     assert layers.read_matrix(spark, path).collect() == [(0, 0, 1.0)]
     ranged.write_matrix_file(cell(), path, 0, 0)
     assert layers.read_matrix(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("store", ["rows", "columns"])
+@pytest.mark.parametrize("cells", [7, 64, 1 << 20])
+def test_distances_are_written_where_they_are_made(spark, tmp_path, store, cells):
+    r = np.random.default_rng(4)
+    a, b = r.uniform(size=(23, 2)), r.uniform(size=(11, 2))
+    path = str(tmp_path / "d.dmat")
+    ranged.write_distance_file(spark, path, local.Spec(0, metric="manhattan"), a, b, store, cells)
+    back = layers.read_matrix(spark, path, store, 50).toPandas().pivot(index="focus_id", columns="data_id", values="dist").to_numpy()
+    assert np.array_equal(back, np.abs(a[:, None] - b[None]).sum(2)) and not os.path.exists(path + ".saving")
+    ranged.write_distance_file(spark, path, local.Spec(0), a[:0], b, store, cells)
+    assert layers.read_matrix(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("store", ["rows", "columns"])
+def test_the_matrix_of_suppliers_has_a_line_for_each_place(spark, tmp_path, store, monkeypatch):
+    keys = [1, 2, 1 + 101 * 97, 2 + 2 * 101 * 97]  # two places
+    spark.createDataFrame([(k, 1.0) for k in keys], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    at = str(tmp_path / "files")
+    monkeypatch.setattr(format_queries, "folder", lambda s: at)
+    got = {(r.focus_id, r.data_id): r.dist for r in catalog.QUERIES[f"matrix_file_by_{store}"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): abs(i * 37 % 101 - j * 37 % 101) + abs(i * 53 % 97 - j * 53 % 97) for i in keys for j in keys}
+    assert os.path.getsize(f"{at}/suppliers.dmat") == 8 + 8 * 2 * 2
