@@ -143,6 +143,27 @@ def test_toxicity(spark, edge_docs):
     assert toxicity.toxicity(edge_docs, labels_of(spark)).count() == edge_docs.count()
 
 
+def test_toxicity_is_calibrated_on_all_rows_that_the_network_did_not_see(spark):
+    r = np.random.default_rng(6)
+    z = np.round(r.normal(size=3000), 2)
+    y = (r.random(3000) < 1 / (1 + np.exp(3 - 4 * z))).astype(int)
+    w = np.where(y, 0.5, 2.0)
+    lang = np.where(np.arange(3000) < 15, "few", np.where(np.arange(3000) % 3 == 0, "de", "en"))
+    rows = spark.createDataFrame(list(zip(z.tolist(), y.tolist(), w.tolist(), lang.tolist())), "z double, label int, w double, lang string")
+    assert np.allclose(toxicity.calibrated(rows), labelled.platt(z, y, w), rtol=1e-6)
+    got = {x["lang"]: x["limit"] for x in toxicity.language_thresholds(rows.withColumnRenamed("z", "score").repartition(7)).collect()}
+    expected = {}
+    for g in ("de", "en"):
+        own = lang == g
+        expected[g] = min(t for t in set(z[own].tolist()) if (w * y)[own & (z >= t)].sum() / w[own & (z >= t)].sum() >= toxicity.PRECISION)
+    assert got == expected
+    docs = spark.createDataFrame([(k, f"word{k % 7} " + ("scum" if k % 3 == 0 else "fine"), "en") for k in range(90)], "doc_id long, text string, lang string")
+    score = lambda labels: {x["score"] for x in toxicity.toxicity(docs, labels, 5).collect()}
+    # rows beyond the sample count too: more of them are toxic
+    some = labels_of(spark, [(k, 1, int(k % 3 == 0)) for k in range(90)])
+    assert max(score(some)) > 0.5 > min(score(some))
+
+
 def brute_removed(texts):
     bodies = [(t or "").encode() for t in texts]
     c = Counter(b[p : p + 200] for b in bodies for p in range(len(b) - 199))
