@@ -31,9 +31,9 @@ BROADCAST_CHARACTERS = 10_000_000
 #: Units that may follow a number, lower case.
 UNITS = "mm cm m km mg g kg t ml l s sec min h hr hrs ms ft in yd mi lb lbs oz mph kmh pct percent usd eur gbp dollars dollar euros euro cents cent meters meter metres metre kilometers kilometres miles mile inches inch feet foot grams gram kilograms kilogram pounds pound liters litres liter litre seconds second minutes minute hours hour days day weeks week months month years year degrees degree"
 NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
-#: What stands between the words of one name, and a run of name words.
+#: What stands between the words of one name, and a run of name words. The run is possessive: Java matches it in a loop, else by a call for each word, which long runs end by a stack overflow.
 TIES = "[ '\u2019-]"
-NAMES = f"(?<=[\\p{{L}}\\p{{N}},] )\\p{{Lu}}\\p{{L}}*(?:{TIES}\\p{{Lu}}\\p{{L}}*)*"
+NAMES = f"(?<=[\\p{{L}}\\p{{N}},] )\\p{{Lu}}\\p{{L}}*(?:{TIES}\\p{{Lu}}\\p{{L}}*)*+"
 GAP = "[^\\p{L}\\p{N}\x01]+"
 
 

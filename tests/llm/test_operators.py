@@ -464,6 +464,16 @@ def test_a_family_that_was_not_learnt_is_not_taken_for_another(spark, monkeypatc
     assert found >= 0.6 * total and wrong <= 0.35 * total and confirmed <= 0.1 * total
 
 
+def test_decontamination_of_a_very_long_run_of_capitalised_words(spark):
+    """A table of contents or a text in capitals is one name, whose words are matched in a loop and not by a call each."""
+    asked = "what is the largest lake of the whole northern country and how deep is it"
+    bench = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see " + "Word " * 200_000 + asked), (2, "see " + "O'NEIL-SMITH " * 50_000)], "doc_id long, text string")
+    assert [(r["doc_id"], r["exact"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, True)]
+    got = docs.select("doc_id", F.size(decontaminate.template(F.col("text"))).alias("t"), F.size(decontaminate.values(F.col("text"))).alias("v")).collect()
+    assert {(r["doc_id"], r["t"], r["v"]) for r in got} == {(1, 17, 17), (2, 2, 2)}
+
+
 def brute_contaminated(docs, items, window=8):
     """Alignments by brute force, for items of plain words and slots of one word: places and values as the templates give them."""
     out = {}
