@@ -188,3 +188,19 @@ def test_ridge_meets_places(shared, spec, leave, adjust, monkeypatch):
             assert np.allclose(got.raw[i], np.diag(C) / sd**2, rtol=1e-5) and np.isclose(got.ss[i], X[i] @ C @ X[i], rtol=1e-5) and np.isclose(got.s_ii[i], w[i] * X[i] @ inv @ X[i], rtol=1e-6)
         if not leave and cn < 1e10:
             assert np.isclose(got.condition[i], cn, rtol=1e-6)
+
+
+@pytest.mark.parametrize("spec", SPECS, ids=str)
+def test_component_scores_are_made_once_a_place(crowd, monkeypatch, spec):
+    df, pdf = crowd
+    monkeypatch.setattr(local, "MOST_POINTS", 100)  # all pairs come of the rows of places, so that more points are no matter
+    X, W = pdf[["v", "a"]].to_numpy(), brute(pdf, spec)
+    got = models.gwpca_scores(df, ["v", "a"], 2, spec, 9).toPandas()
+    assert len(got) == (W > 0).sum()
+    score = np.full((N, N, 2), np.nan)
+    score[got.fid, got.d_fid] = got[["Comp.1", "Comp.2"]]
+    for i in range(0, N, 37):
+        on = W[i] > 0
+        assert np.isnan(score[i][~on]).all() and np.allclose(score[i][on], X[on] @ models.components_of(X[on], W[i][on], 2), atol=1e-8)
+    same = (got.d_fid.to_numpy()[1:] == got.d_fid.to_numpy()[:-1]).sum()
+    assert same == len(got) * (1 - PLACES / N)  # a score stands behind itself for all foci of its place
