@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lokalis.functions import distance as dist
 from lokalis.operators import dense, local, models, pairs, summary, tiles
+from lokalis.plans import catalog
 
 N, PLACES = 600, 12
 
@@ -204,3 +205,21 @@ def test_component_scores_are_made_once_a_place(crowd, monkeypatch, spec):
         assert np.isnan(score[i][~on]).all() and np.allclose(score[i][on], X[on] @ models.components_of(X[on], W[i][on], 2), atol=1e-8)
     same = (got.d_fid.to_numpy()[1:] == got.d_fid.to_numpy()[:-1]).sum()
     assert same == len(got) * (1 - PLACES / N)  # a score stands behind itself for all foci of its place
+
+
+@pytest.mark.parametrize("name", ["matrix_lookup"])
+def test_queries_of_suppliers_meet_places(spark, tmp_path, monkeypatch, name):
+    """300 suppliers at 12 places, one without a balance, against the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    keys = [9797 * (k // 12) + k % 12 for k in range(300)]
+    rows = [(key, None if k == 7 else round(900 - 3.17 * k, 2)) for k, key in enumerate(keys)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    met, all_pairs, small = [], pairs.all_pairs, pairs.small
+    monkeypatch.setattr(pairs, "all_pairs", lambda f, d, *more: met.append((f.count(), d.count())) or all_pairs(f, d, *more))
+    monkeypatch.setattr(pairs, "small", lambda d: met.append((12, d.count())) or small(d))
+    got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas().sort_values("fid")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES[name]).df().sort_values("fid")[list(got.columns)]
+    assert len(got) == 300 and np.allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9, atol=1e-5)
+    assert met and set(met) == {(12, 12)}
