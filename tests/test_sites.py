@@ -207,7 +207,7 @@ def test_component_scores_are_made_once_a_place(crowd, monkeypatch, spec):
     assert same == len(got) * (1 - PLACES / N)  # a score stands behind itself for all foci of its place
 
 
-@pytest.mark.parametrize("name", ["matrix_lookup"])
+@pytest.mark.parametrize("name", ["matrix_lookup", "sql_functions"])
 def test_queries_of_suppliers_meet_places(spark, tmp_path, monkeypatch, name):
     """300 suppliers at 12 places, one without a balance, against the query's SQL."""
     duckdb = pytest.importorskip("duckdb")
