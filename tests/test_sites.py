@@ -223,3 +223,31 @@ def test_queries_of_suppliers_meet_places(spark, tmp_path, monkeypatch, name):
     want = con.execute(catalog.ORACLES[name]).df().sort_values("fid")[list(got.columns)]
     assert len(got) == 300 and np.allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9, atol=1e-5)
     assert met and set(met) == {(12, 12)}
+
+
+@pytest.mark.parametrize("criterion, k", [("CV", 70), ("AICc", 20)])
+def test_scalable_of_more_points_than_tasks_hold(crowd, monkeypatch, criterion, k):
+    """50 points at each place and ties between places: fewer and more neighbours than a place has; and points with places of their own. The search is left out, its score is that of given shares."""
+    df, pdf = crowd
+    own = pdf.assign(x=np.random.default_rng(8).uniform(0, 5, N), y=np.random.default_rng(9).uniform(0, 5, N))
+    monkeypatch.setattr(models, "simplex", lambda f, start: np.array([0.7, 0.02]))
+    for df in (df, df.sparkSession.createDataFrame(own)):
+        want, first = models.scalable_gwr(df, "v", ["a"], k=k, criterion=criterion)
+        with monkeypatch.context() as m:
+            m.setattr(models, "MOST_POINTS", 100)
+            m.setattr(local, "MOST_POINTS", 100)
+            got, diag = models.scalable_gwr(df, "v", ["a"], k=k, criterion=criterion)
+            got = got.toPandas().sort_values("fid")
+        want = want.toPandas().sort_values("fid")
+        assert list(got.columns) == list(want.columns) and np.allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-8, atol=1e-9)
+        assert set(diag) == set(first) and {q: round(v, 6) for q, v in diag.items()} == {q: pytest.approx(v, abs=1e-6, rel=1e-8) for q, v in first.items()}
+
+
+def test_values_at_places_of_their_order(spark):
+    from lokalis.operators.models import ranked
+
+    v = np.random.default_rng(5).lognormal(0, 9, 150_000)
+    df = spark.createDataFrame(pd.DataFrame({"d": v, "n": 2})).unionByName(spark.createDataFrame([(0.0, 7), (0.0, 4)], "d double, n bigint"))
+    order = np.sort(np.r_[np.zeros(11), np.repeat(v, 2)])
+    at = [0, 10, 11, 150_004, 150_005, len(order) - 1]
+    assert ranked(df, at) == [order[k] for k in at]
