@@ -251,3 +251,10 @@ def test_values_at_places_of_their_order(spark):
     order = np.sort(np.r_[np.zeros(11), np.repeat(v, 2)])
     at = [0, 10, 11, 150_004, 150_005, len(order) - 1]
     assert ranked(df, at) == [order[k] for k in at]
+
+
+def test_foci_without_points_near_have_no_correlation_in_blocks_of_their_own(crowd, spark):
+    df, _ = crowd
+    far = spark.createDataFrame([(1, 500.0, 500.0)], "fid bigint, x double, y double")
+    got = dense.correlations(far, df, ["v"], ["a"], local.Spec(2.5, "boxcar")).toPandas()
+    assert got.drop(columns="fid").isna().all(axis=None) and len(got) == 1
